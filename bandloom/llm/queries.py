@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "mixing")
+MODULES = ("sharding", "mixing", "pii")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
