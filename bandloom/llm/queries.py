@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "mixing", "pii")
+MODULES = ("decontaminate", "secrets", "quality", "mixing", "pii", "sharding")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
