@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "secrets", "quality", "mixing", "pii", "sharding")
+MODULES = ("decontaminate", "secrets", "quality", "mixing", "neardup", "pii", "sharding")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
