@@ -12,14 +12,17 @@ Pairs come from two sweeps, and both are confirmed on full sets:
 1. leaders: in every node of the first level each class is paired with the node's smallest
    class. That joins copies of one text, however many, with a number of pairs that is linear
    in their number.
-2. nodes: where a node still holds several components, small nodes (``leaf`` classes) are
-   compared exhaustively across components, and larger ones branch again. After ``depth``
-   levels what is left is compared whatever its size, so nothing is capped.
-
-A pair reaches the full sets unless its tokens agree so rarely that a pair at the threshold
-would do so with a chance below 1e-8. A pair at the threshold meets in one tree with chance
-``threshold`` for each level it takes, so ``trees`` = 12 miss about one in 10^9 of those that
-part from the rest at the first level and fewer than 1 in 1000 after five.
+2. nodes: where a node still holds several components, a small one (``leaf`` classes) is
+   compared exhaustively by its sketches, and a larger one branches again. After ``depth``
+   levels what is left is compared whatever its size, so nothing is capped. Of the likely
+   pairs across components each class's best one into each component is confirmed first;
+   those that still join two components follow.
+
+A pair reaches the full sets unless its sketches agree so rarely that a pair at the threshold
+would do so with a chance below CHANCE. A pair at the threshold meets in one tree with chance
+``threshold`` for each level it takes and there are as many levels as its group is dense, so
+``trees`` = 16 miss one in 10^13 of those that part from the rest at the first level and
+fewer than 1 in 1000 after five; components rarely hang on one such pair.
 
 Defined results: null, blank and wordless texts have the empty set and stand alone; rows of
 equal texts, ids included, are one class; a null doc_id never names a component that has
@@ -30,6 +33,7 @@ another id; an empty table gives an empty result; extra columns pass through
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -42,13 +46,15 @@ from .shared import hash_words, is_empty, joined_texts, mix, mix_int, stored, wo
 
 U64 = np.uint64
 WIDTH = 5
-COORDS = 64
+COORDS = 64  # minwise tokens that trees branch on
+SKETCH = 128  # coordinates, those included, of which a sketch has the low byte
+CHANCE = 1e-4
 THRESHOLD = 0.85
-TREES = 12
-LEAF = 16
+TREES = 16
+LEAF = 64
 DEPTH = 16
 BLOOM_BITS = 1 << 25
-_MULT = mix(np.arange(1, COORDS + 1, dtype=U64)) | U64(1)
+_MULT = mix(np.arange(1, SKETCH + 1, dtype=U64)) | U64(1)
 _PLACE = mix(np.arange(101, 101 + WIDTH, dtype=U64)) | U64(1)
 
 # ---------------------------------------------------------------- sets and tokens
@@ -81,9 +87,9 @@ def set_key(s: np.ndarray) -> bytes:
 
 def minwise(s: np.ndarray) -> np.ndarray:
     """The upper 32 bits of each coordinate's smallest product."""
-    best = np.full(COORDS, np.iinfo(np.uint64).max, U64)
-    for at in range(0, len(s), 1024):
-        np.minimum(best, (s[at : at + 1024, None] * _MULT).min(axis=0), out=best)
+    best = np.full(SKETCH, np.iinfo(np.uint64).max, U64)
+    for at in range(0, len(s), 512):
+        np.minimum(best, (s[at : at + 512, None] * _MULT).min(axis=0), out=best)
     return (best >> U64(32)).astype(np.uint32)
 
 
@@ -101,7 +107,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = minwise(s) if len(s) else None
             n.append(len(s))
             keys.append(None if t is None else set_key(s))
-            tokens.append(None if t is None else t.tobytes())
+            tokens.append(None if t is None else t[:COORDS].tobytes())
             sketches.append(None if t is None else t.astype(np.uint8).tobytes())
         blobs = [pa.array(x, pa.binary()) for x in (keys, tokens, sketches)]
         yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_mark"), pa.array(n, pa.int64()), *blobs], names=[c.split()[0] for c in ROW.split(", ")])
@@ -156,11 +162,11 @@ def grown(rows: DataFrame, threshold: float, trees: int | None = None) -> DataFr
 
 
 def least_agreement(threshold: float) -> int:
-    """Tokens of COORDS that agree for a pair at ``threshold`` but with a chance below 1e-8."""
+    """Bytes of a sketch that agree for a pair at ``threshold`` but with a chance below CHANCE."""
     from math import comb
 
     total, k = 0.0, 0
-    while (total := total + comb(COORDS, k) * threshold**k * (1 - threshold) ** (COORDS - k)) < 1e-8:
+    while (total := total + comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k)) < CHANCE:
         k += 1
     return k
 
@@ -172,13 +178,59 @@ def likely(both: DataFrame, threshold: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDS) for c in ("sa", "sb"))
+                sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sa", "sb"))
                 near = pa.array((sa == sb).sum(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], names=["a", "b"])
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
+PAIR = "a binary, b binary, pa binary, pb binary, agree int"
+
+
+def _in_nodes(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (node, key, part, n, sketch) in order of node: likely pairs across parts in each node."""
+    least, kept = least_agreement(threshold), None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        rows = [x for x in (kept, batch and pa.Table.from_batches([batch])) if x is not None]
+        if not rows:
+            continue
+        table = pa.concat_tables(rows).combine_chunks()
+        node = table.column("node").to_numpy()
+        end = len(node) if batch is None else int(np.searchsorted(node, node[-1]))  # the last node may go on
+        kept = table.slice(end)
+        edge = np.flatnonzero(np.r_[True, node[1:end] != node[: end - 1]]) if end else np.zeros(0, int)
+        size = np.diff(np.r_[edge, end])
+        key, part = (np.array(table.column(c).to_pylist(), "S16") for c in ("key", "part"))
+        n = table.column("n").to_numpy().astype(float)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        two = edge[size == 2]
+        pairs = [(two, two + 1, (sketch[two] == sketch[two + 1]).sum(axis=1))]
+        for at, m in zip(edge[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            for i in range(m - 1):
+                j = np.arange(at + i + 1, at + m)
+                agree = (sketch[j] == sketch[at + i]).sum(axis=1)
+                near = agree >= least
+                if near.any():
+                    pairs.append((np.full(int(near.sum()), at + i), j[near], agree[near]))
+        i, j, agree = (np.concatenate([p[k] for p in pairs]) for k in range(3))
+        good = (agree >= least) & (part[i] != part[j]) & (n[i] >= n[j] * threshold) & (n[j] >= n[i] * threshold)
+        i, j, agree = i[good], j[good], agree[good]
+        swap = key[i] > key[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        cols = [table.column(c).take(pa.array(r)).combine_chunks() for c, r in (("key", i), ("key", j), ("part", i), ("part", j))]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(agree.astype(np.int32))], names=["a", "b", "pa", "pb", "agree"])
+
+
+def in_nodes(rows: DataFrame, threshold: float) -> DataFrame:
+    def run(batches):
+        return _in_nodes(batches, threshold)
+
+    return rows.select("node", "key", "part", "n", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(run, PAIR)
+
+
 def fitting(threshold: float, na: str = "na", nb: str = "nb"):
     """Sizes of two sets that allow the threshold."""
     return (F.col(na) >= F.col(nb) * threshold) & (F.col(nb) >= F.col(na) * threshold)
@@ -290,28 +342,41 @@ def classes_and_labels(docs: DataFrame, per_cent: int, trees: int, leaf: int, de
     links = stored(confirmed(stored(likely(both, threshold), "led-pairs"), docs, per_cent), "led-links")
     labels = components(links)
 
-    at, parts = met.select("node", "key"), []
+    at, found = met.select("node", "key"), []
     for level in range(depth):
         now = at.join(labels, "key", "left").select("node", "key", F.coalesce("root", "key").alias("part"))
         mixed = now.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
         now = stored(now.join(mixed.select("node", "size"), "node"), "level")
-        last = level == depth - 1
-        parts.append(now if last else now.where(F.col("size") <= leaf))
+        found.append(in_nodes(now.where(F.col("size") <= leaf).join(info, "key"), threshold))
         large = now.where(F.col("size") > leaf)
-        if last or is_empty(large):
+        if is_empty(large):
             break
-        at = grown(large.select("node", "key").join(classes.select("key", "tokens"), "key"), threshold)
-
-    def across(part: DataFrame) -> DataFrame:
-        full = part.select("node", "key", "part").join(info, "key")
-        x, y = full.toDF("a", "node", "pa", "na", "sa"), full.toDF("b", "node", "pb", "nb", "sb")
-        return likely(x.join(y, "node").where("a < b and pa != pb").where(fitting(threshold)), threshold)
-
-    pairs = stored(reduce(DataFrame.union, map(across, parts)).distinct(), "node-pairs")
-    if not is_empty(pairs):
-        more = stored(confirmed(pairs, docs, per_cent), "node-links")
+        if level == depth - 1:
+            full = large.select("node", "key", "part").join(info, "key")
+            x, y = full.toDF("a", "node", "pa", "na", "sa"), full.toDF("b", "node", "pb", "nb", "sb")
+            both = x.join(y, "node").where("a < b and pa != pb").where(fitting(threshold))
+            parts = both.select("a", "pa").union(both.select("b", "pb")).distinct().toDF("key", "part")
+            rest = likely(both, threshold).join(parts.toDF("a", "pa"), "a").join(parts.toDF("b", "pb"), "b")
+            found.append(rest.select("a", "b", "pa", "pb", F.lit(0).alias("agree")))
+        else:
+            at = grown(large.select("node", "key").join(classes.select("key", "tokens"), "key"), threshold)
+
+    pairs = stored(reduce(DataFrame.union, found).distinct(), "node-pairs")
+    ways = pairs.select("a", "b", F.col("a").alias("one"), F.col("pb").alias("other"), "agree").union(pairs.select("a", "b", F.col("b"), F.col("pa"), "agree"))
+    best = ways.groupBy("one", "other").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+    for stage in (best, pairs):
+        if stage is pairs:
+            roots = labels.select(F.col("key").alias("pa"), F.col("root").alias("ra")), labels.select(F.col("key").alias("pb"), F.col("root").alias("rb"))
+            now = pairs.join(roots[0], "pa", "left").join(roots[1], "pb", "left")
+            stage = now.where(F.coalesce("ra", "pa") != F.coalesce("rb", "pb")).join(best, ["a", "b"], "left_anti")
+        stage = stored(stage.select("a", "b"), "open-pairs")
+        if is_empty(stage):
+            continue
+        more = stored(confirmed(stage, docs, per_cent), "node-links")
         if not is_empty(more):
-            labels = components(links.union(more))
+            links = links.union(more)
+            labels = components(links)
+        best = stage
     return rows, classes, labels
 
 
