@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "langid", "secrets", "quality", "mixing", "neardup", "pii", "chat", "sharding")
+MODULES = ("decontaminate", "katz", "langid", "secrets", "quality", "mixing", "neardup", "pii", "chat", "sharding")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
