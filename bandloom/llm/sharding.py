@@ -64,7 +64,7 @@ def rebalanced(previous: list[int], weights: dict[int, int], shards: int, tolera
     """The previous map with as few slots moved as brings every shard within ``tolerance`` of even.
 
     New shards (numbers the map lacks) start empty; slots go from the fullest shard to the
-    emptiest, each time the largest slot that fits, until no shard is over.
+    emptiest, each time the largest slot that fits, until none is over or under.
     """
     out = list(previous)
     load = dict.fromkeys(range(shards), 0)
@@ -77,7 +77,7 @@ def rebalanced(previous: list[int], weights: dict[int, int], shards: int, tolera
         src, dst = max(load, key=lambda s: (load[s], -s)), min(load, key=lambda s: (load[s], s))
         room = (load[src] - load[dst]) / 2
         fits = [k for k in held[src] if 0 < weights.get(k, 0) <= room]
-        if load[src] <= even * (1 + tolerance) or not fits:
+        if (load[src] <= even * (1 + tolerance) and load[dst] >= even * (1 - tolerance)) or not fits:
             break
         slot = max(fits, key=lambda k: (weights[k], -k))
         held[src].remove(slot)

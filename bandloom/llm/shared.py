@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 import numpy as np
@@ -71,6 +72,12 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with columns called as any of ``names`` renamed, and what brings back exactly its columns."""
+    away = {c: fresh(df, f"_own_{c}") for c in df.columns if c.lower() in names}
+    return df.withColumnsRenamed(away), lambda out: out.select(*[F.col(away.get(c, c)).alias(c) for c in df.columns])
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
