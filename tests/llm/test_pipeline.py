@@ -126,7 +126,7 @@ def test_rebalancing_moves_few_slots():
     first = sharding.balanced(weights, 16, 4096)
     grown = sharding.rebalanced(first, weights, 17)
     moved = [k for k in range(4096) if first[k] != grown[k]]
-    assert all(grown[k] == 16 for k in moved) and abs(len(moved) - 4096 / 17) < 12
+    assert all(grown[k] == 16 for k in moved) and 4096 / 17 * 0.85 < len(moved) < 4096 / 17 + 12
     load = Counter()
     for k, s in enumerate(grown):
         load[s] += weights[k]
