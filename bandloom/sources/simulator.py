@@ -1,0 +1,128 @@
+"""Simulated receivers: transmissions, their frames of channel power, and their samples.
+
+Registered as the data source ``frames`` (batch and stream), every frame depends on the seed
+and its number only, so a lost task makes the same rows again.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+
+from ..functions import dsp
+
+FRAMES = "receiver_id string, window_id long, frame_no long, frame_start long, power_db array<double>"
+
+
+@dataclass(frozen=True)
+class Transmission:
+    channel: int
+    start_s: float
+    length_s: float
+    snr_db: float = 34.0
+    deviation_hz: float = 2400.0
+    tone_hz: float | None = None
+    dcs: str | None = None
+
+
+SCENARIO = (
+    Transmission(10, 2.0, 2.5, deviation_hz=4900.0, tone_hz=141.3), Transmission(16, 4.8, 0.8, tone_hz=88.5),
+    Transmission(4, 5.9, 0.3), Transmission(24, 6.5, 1.6, dcs="023"),
+)
+
+
+def frame_power(seed: int, frame_no: int, channels: int, frame_s: float, scenario: tuple[Transmission, ...] = SCENARIO) -> list[float]:
+    """Noise about -90 dB, a transmission's level on its channel and skirts 8 dB down on its neighbours."""
+    rng = np.random.default_rng([seed, frame_no])
+    power = -90 + rng.normal(0, 0.7, channels)
+    t = frame_no * frame_s
+    for x in scenario:
+        if x.start_s <= t < x.start_s + x.length_s:
+            for step, down in ((0, 0.0), (-1, 8.0), (1, 8.0)):
+                if 0 <= x.channel + step < channels:
+                    power[x.channel + step] = max(power[x.channel + step], -90 + x.snr_db - down)
+    return power.tolist()
+
+
+def samples(rate: float, length_s: float, deviation_hz: float, offset_hz: float = 12_500.0, tone_hz: float | None = None, dcs: str | None = None, noise: float = 0.05, seed: int = 1) -> np.ndarray:
+    """An FM signal of two voice tones with a sub-audible tone or code, in noise."""
+    t = np.arange(int(rate * length_s)) / rate
+    low = tone_hz is not None or dcs is not None
+    sub = 600.0 if low else 0.0
+    voice = (deviation_hz - sub) / 2
+    inst = voice * (np.sin(2 * np.pi * 700 * t) + np.sin(2 * np.pi * 1130 * t))
+    if tone_hz is not None:
+        inst += sub * np.sin(2 * np.pi * tone_hz * t)
+    elif dcs is not None:
+        bit = (t * dsp.DCS_BAUD).astype(int) % 23
+        inst += sub * (2.0 * ((dsp.WORDS[dcs] >> bit) & 1) - 1)
+    phase = 2 * np.pi * (offset_hz * t + np.cumsum(inst) / rate)
+    rng = np.random.default_rng(seed)
+    return np.exp(1j * phase) + noise * (rng.normal(size=len(t)) + 1j * rng.normal(size=len(t)))
+
+
+class _Range(InputPartition):
+    def __init__(self, first: int, last: int):
+        self.first, self.last = first, last
+
+
+class _Made:
+    def __init__(self, options: dict):
+        o = {k.lower(): v for k, v in options.items()}
+        self.seed, self.channels, self.frames = int(o.get("seed", 1)), int(o.get("channels", 40)), int(o.get("frames", 700))
+        self.frame_s, self.rate, self.per = float(o.get("frame_s", 0.0131)), int(o.get("rate", 2_400_000)), int(o.get("per", 200))
+        self.receiver = o.get("receiver", "uhf")
+
+    def row(self, n: int) -> tuple:
+        return self.receiver, 0, n, int(n * self.frame_s * self.rate), frame_power(self.seed, n, self.channels, self.frame_s)
+
+
+class _Batch(_Made, DataSourceReader):
+    def partitions(self) -> list[InputPartition]:
+        return [_Range(a, min(a + self.per, self.frames)) for a in range(0, self.frames, self.per)]
+
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        return (self.row(n) for n in range(partition.first, partition.last))
+
+
+class _Stream(_Made, SimpleDataSourceStreamReader):
+    def initialOffset(self) -> dict:
+        return {"frame": 0}
+
+    def read(self, start: dict):
+        end = min(start["frame"] + self.per, self.frames)
+        return iter([self.row(n) for n in range(start["frame"], end)]), {"frame": end}
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        return iter([self.row(n) for n in range(start["frame"], end["frame"])])
+
+
+class Frames(DataSource):
+    """Options: seed, channels, frames, frame_s, rate, per (frames a task or batch), receiver."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "frames"
+
+    def schema(self) -> str:
+        return FRAMES
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Batch(self.options)
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _Stream(self.options)
+
+
+def sample_signals(spark, rate: float = 2_400_000.0):
+    """(name, i, q, rate, offset): one signal of each kind."""
+    kinds = {"tone": {"deviation_hz": 4900.0, "tone_hz": 141.3}, "code": {"deviation_hz": 2400.0, "dcs": "023"}, "plain": {"deviation_hz": 2400.0}, "short": {"deviation_hz": 2400.0, "length_s": 0.3}}
+    rows = []
+    for name, how in kinds.items():
+        x = samples(rate, **({"length_s": 1.1} | how))
+        rows.append({"name": name, "i": x.real.astype(np.float32), "q": x.imag.astype(np.float32), "rate": rate, "offset": 12_500.0})
+    return spark.createDataFrame(pa.Table.from_pylist(rows, pa.schema([("name", pa.string()), ("i", pa.list_(pa.float32())), ("q", pa.list_(pa.float32())), ("rate", pa.float64()), ("offset", pa.float64())])))
