@@ -7,22 +7,18 @@ the node's path) and sends each of its classes on to the children named by the t
 so similar sets keep meeting and others part. The tree is grown level by level over all nodes
 at once; a node that holds one class, or only classes already in one component, is done.
 
-Pairs come from two sweeps, and both are confirmed on full sets:
-
-1. leaders: in every node of the first level each class is paired with the node's smallest
-   class. That joins copies of one text, however many, with a number of pairs that is linear
-   in their number.
-2. nodes: where a node still holds several components, a small one (``leaf`` classes) is
-   compared exhaustively by its sketches, and a larger one branches again. After ``depth``
-   levels what is left is compared whatever its size, so nothing is capped. Of the likely
-   pairs across components each class's best one into each component is confirmed first;
-   those that still join two components follow.
-
-A pair reaches the full sets unless its sketches agree so rarely that a pair at the threshold
-would do so with a chance below CHANCE. A pair at the threshold meets in one tree with chance
-``threshold`` for each level it takes and there are as many levels as its group is dense, so
-``trees`` = 16 miss one in 10^13 of those that part from the rest at the first level and
-fewer than 1 in 1000 after five; components rarely hang on one such pair.
+The classes of a small node (``leaf`` of them) are compared exhaustively: first by sketches
+(the low bytes of 128 minwise hashes), then by a sample of the sets themselves, which up to 512
+shingles is the whole set in 16 bits each. Of the pairs that pass, a node passes on a spanning
+forest of those well above the threshold and all others that its trees don't join already, so
+their number is linear in the classes; every one is confirmed on full sets, and components
+grow from confirmed pairs only. A larger node branches; after ``depth`` levels it is compared
+in blocks, all against all, so nothing is capped. The first ``FIRST`` trees run alone; the
+others then look only at nodes that still hold several components.
+
+A pair at the threshold fails the sketches with a chance below CHANCE. It meets in one tree
+with chance ``threshold`` for each level, so 16 trees miss one in 10^13 of those that part
+from the rest at the first level and one in 10^4 after four.
 
 Defined results: null, blank and wordless texts have the empty set and stand alone; rows of
 equal texts, ids included, are one class; a null doc_id never names a component that has
@@ -51,8 +47,10 @@ SKETCH = 128  # coordinates, those included, of which a sketch has the low byte
 CHANCE = 1e-4
 THRESHOLD = 0.85
 TREES = 16
-LEAF = 64
-DEPTH = 16
+FIRST = 4
+LEAF = 2048
+DEPTH = 6
+SAMPLE = 512
 BLOOM_BITS = 1 << 25
 _MULT = mix(np.arange(1, SKETCH + 1, dtype=U64)) | U64(1)
 _PLACE = mix(np.arange(101, 101 + WIDTH, dtype=U64)) | U64(1)
@@ -93,29 +91,40 @@ def minwise(s: np.ndarray) -> np.ndarray:
     return (best >> U64(32)).astype(np.uint32)
 
 
+def sample(s: np.ndarray) -> bytes:
+    """Hashes below 2^(64 - r), in order, for the least r that leaves SAMPLE at most: r, how many stay for r + 1, their low 16 bits."""
+    r = 0
+    while len(s) > SAMPLE:
+        r += 1
+        s = s[: np.searchsorted(s, U64(1) << U64(64 - r))]
+    half = int(np.searchsorted(s, U64(1) << U64(63 - r)))
+    return np.concatenate([np.array([r, half], np.uint16), s.astype(np.uint16)]).tobytes()
+
+
 def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-ROW = "doc_id long, mark long, n long, key binary, tokens binary, sketch binary"
+ROW = "doc_id long, mark long, n long, key binary, tokens binary, sketch binary, fine binary"
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, keys, tokens, sketches = [], [], [], []
+        n, keys, tokens, sketches, fine = [], [], [], [], []
         for s in shingle_sets(_texts(batch, "_text")):
             t = minwise(s) if len(s) else None
             n.append(len(s))
             keys.append(None if t is None else set_key(s))
             tokens.append(None if t is None else t[:COORDS].tobytes())
             sketches.append(None if t is None else t.astype(np.uint8).tobytes())
-        blobs = [pa.array(x, pa.binary()) for x in (keys, tokens, sketches)]
+            fine.append(None if t is None else sample(s))
+        blobs = [pa.array(x, pa.binary()) for x in (keys, tokens, sketches, fine)]
         yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_mark"), pa.array(n, pa.int64()), *blobs], names=[c.split()[0] for c in ROW.split(", ")])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, n, key, tokens, sketch) of each row: the text's hash, its set's size and
-    digest, the minwise tokens and their low bytes; the last three null for the empty set."""
+    """(doc_id, mark, n, key, tokens, sketch, fine) of each row: the text's hash, its set's size and
+    digest, the minwise tokens, their low bytes and the sample; the last four null for the empty set."""
     return docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_mark"), F.col("text").alias("_text")).mapInArrow(_keyed, ROW)
 
 
@@ -148,9 +157,9 @@ def _grow(batches: Iterator[pa.RecordBatch], roots: np.ndarray | None, threshold
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("key").take(pa.array(rows))], names=["node", "key"])
 
 
-def grown(rows: DataFrame, threshold: float, trees: int | None = None) -> DataFrame:
-    """(node, key) one level down; with ``trees``, from the roots of so many trees."""
-    roots = None if trees is None else np.array([mix_int(0xC0FFEE + t) for t in range(trees)], U64)
+def grown(rows: DataFrame, threshold: float, trees: range | None = None) -> DataFrame:
+    """(node, key) one level down; with ``trees``, from their roots."""
+    roots = None if trees is None else np.array([mix_int(0xC0FFEE + t) for t in trees], U64)
 
     def run(batches):
         return _grow(batches, roots, threshold)
@@ -171,26 +180,65 @@ def least_agreement(threshold: float) -> int:
     return k
 
 
-def likely(both: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) of rows (a, b, sa, sb) whose sketches agree often enough."""
-    least = least_agreement(threshold)
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sa", "sb"))
-                near = pa.array((sa == sb).sum(axis=1) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], names=["a", "b"])
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
-
-
-PAIR = "a binary, b binary, pa binary, pb binary, agree int"
-
-
-def _in_nodes(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows (node, key, part, n, sketch) in order of node: likely pairs across parts in each node."""
-    least, kept = least_agreement(threshold), None
+class Node:
+    """The classes of one node, and which pairs of them to confirm."""
+
+    def __init__(self, part: list[bytes], n: np.ndarray, sketch: np.ndarray, fine: list[bytes], per_cent: int):
+        self.n, self.sketch, self.limit = n, sketch, per_cent / 100
+        self.fine = [np.frombuffer(f, np.uint16) for f in fine]
+        ids: dict[bytes, int] = {}
+        self.part = np.array([ids.setdefault(p, len(ids)) for p in part])
+        self.up = list(range(len(ids)))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def similar(self, i: int, js: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimates of Jaccard with each of ``js``, and how far each may be off."""
+        f = self.fine[i]
+        est, off = np.zeros(len(js)), np.zeros(len(js))
+        for r in {int(self.fine[j][0]) for j in js}:
+            at = np.flatnonzero([self.fine[j][0] == r for j in js])
+            mine = f[2:] if r <= f[0] else f[2 : 2 + f[1]] if r == f[0] + 1 else f[:0]
+            theirs = [self.fine[j][2:] if r >= f[0] else self.fine[j][2 : 2 + self.fine[j][1]] for j in js[at]]
+            mark[mine] = True
+            size = np.array([len(t) for t in theirs])
+            hits = np.concatenate([[0], np.cumsum(mark[np.concatenate(theirs)])])
+            both = hits[np.cumsum(size)] - hits[np.cumsum(size) - size]
+            mark[mine] = False
+            both = np.minimum(both, len(mine))
+            est[at] = both / np.maximum(len(mine) + size - both, 1)
+            off[at] = 0.015 if max(r, f[0]) == 0 else 0.09
+        return est, off
+
+    def pairs(self, least: int, mark: np.ndarray) -> list[tuple[int, int]]:
+        found: list[tuple[float, int, int]] = []
+        unsure: list[tuple[int, int]] = []
+        for i in range(len(self.n) - 1):
+            j = np.arange(i + 1, len(self.n))
+            j = j[(self.part[j] != self.part[i]) & (self.n[j] >= self.n[i] * self.limit) & (self.n[i] >= self.n[j] * self.limit)]
+            j = j[(self.sketch[j] == self.sketch[i]).sum(axis=1) >= least] if len(j) else j
+            if len(j):
+                est, off = self.similar(i, j, mark)
+                found += [(-e, i, int(k)) for e, k in zip(est[est >= self.limit + off].tolist(), j[est >= self.limit + off], strict=True)]
+                unsure += [(i, int(k)) for k in j[abs(est - self.limit) < off]]
+        out = []
+        for _, i, j in sorted(found):
+            a, b = self.root(self.part[i]), self.root(self.part[j])
+            if a != b:
+                self.up[a] = b
+                out.append((i, j))
+        return out + [(i, j) for i, j in unsure if self.root(self.part[i]) != self.root(self.part[j])]
+
+
+PAIR = "a binary, b binary"
+
+
+def _in_nodes(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (node, key, part, n, sketch, fine) in order of node: pairs across parts to confirm."""
+    least, kept, mark = least_agreement(per_cent / 100), None, np.zeros(1 << 16, bool)
     for batch in itertools.chain(batches, [None]):
         if batch is not None and not batch.num_rows:
             continue
@@ -201,39 +249,38 @@ def _in_nodes(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
         node = table.column("node").to_numpy()
         end = len(node) if batch is None else int(np.searchsorted(node, node[-1]))  # the last node may go on
         kept = table.slice(end)
-        edge = np.flatnonzero(np.r_[True, node[1:end] != node[: end - 1]]) if end else np.zeros(0, int)
+        if not end:
+            continue
+        edge = np.flatnonzero(np.r_[True, node[1:end] != node[: end - 1]])
         size = np.diff(np.r_[edge, end])
-        key, part = (np.array(table.column(c).to_pylist(), "S16") for c in ("key", "part"))
-        n = table.column("n").to_numpy().astype(float)
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-        two = edge[size == 2]
-        pairs = [(two, two + 1, (sketch[two] == sketch[two + 1]).sum(axis=1))]
-        for at, m in zip(edge[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            for i in range(m - 1):
-                j = np.arange(at + i + 1, at + m)
-                agree = (sketch[j] == sketch[at + i]).sum(axis=1)
-                near = agree >= least
-                if near.any():
-                    pairs.append((np.full(int(near.sum()), at + i), j[near], agree[near]))
-        i, j, agree = (np.concatenate([p[k] for p in pairs]) for k in range(3))
-        good = (agree >= least) & (part[i] != part[j]) & (n[i] >= n[j] * threshold) & (n[j] >= n[i] * threshold)
-        i, j, agree = i[good], j[good], agree[good]
-        swap = key[i] > key[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        cols = [table.column(c).take(pa.array(r)).combine_chunks() for c, r in (("key", i), ("key", j), ("part", i), ("part", j))]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(agree.astype(np.int32))], names=["a", "b", "pa", "pb", "agree"])
-
-
-def in_nodes(rows: DataFrame, threshold: float) -> DataFrame:
+        key, part, fine = (table.column(c).to_pylist() for c in ("key", "part", "fine"))
+        n = table.column("n").to_numpy().astype(float)
+        apart = np.zeros(len(edge), bool)
+        apart[size == 2] = (sketch[edge[size == 2]] == sketch[edge[size == 2] + 1]).sum(axis=1) < least
+        out: list[tuple[bytes, bytes]] = []
+        for at, m in zip(edge[~apart].tolist(), size[~apart].tolist(), strict=True):
+            own = slice(at, at + m)
+            for i, j in Node(part[own], n[own], sketch[own], fine[own], per_cent).pairs(least, mark):
+                x, y = key[at + i], key[at + j]
+                out.append((x, y) if x < y else (y, x))
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+def in_nodes(rows: DataFrame, per_cent: int) -> DataFrame:
     def run(batches):
-        return _in_nodes(batches, threshold)
+        return _in_nodes(batches, per_cent)
 
-    return rows.select("node", "key", "part", "n", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(run, PAIR)
+    return rows.select("node", "key", "part", "n", "sketch", "fine").repartition("node").sortWithinPartitions("node").mapInArrow(run, PAIR)
 
 
-def fitting(threshold: float, na: str = "na", nb: str = "nb"):
-    """Sizes of two sets that allow the threshold."""
-    return (F.col(na) >= F.col(nb) * threshold) & (F.col(nb) >= F.col(na) * threshold)
+def blocks(rows: DataFrame, leaf: int) -> DataFrame:
+    """Nodes of any size (node, key, part, size) as nodes of about ``leaf`` rows in which every two rows meet."""
+    n = F.ceil(F.col("size") * 2 / leaf).cast("int")
+    own = F.pmod(F.xxhash64("key"), n).cast("int")
+    other = F.explode(F.sequence(F.lit(0), n - 1))
+    cut = rows.withColumn("_own", own).select("*", other.alias("_other"))
+    return cut.withColumn("node", F.xxhash64("node", F.least("_own", "_other"), F.greatest("_own", "_other"))).select("node", "key", "part")
 
 
 def bloom_bits(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
@@ -327,63 +374,48 @@ def components(links: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the join
 
 
-def classes_and_labels(docs: DataFrame, per_cent: int, trees: int, leaf: int, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows as :func:`keyed` gives them, classes, labels as :func:`components` gives them)."""
+def wave(classes: DataFrame, labels: DataFrame | None, trees: range, per_cent: int, leaf: int, depth: int) -> DataFrame:
+    """(a, b): the pairs to confirm from ``trees``, across the components of ``labels``."""
     threshold = per_cent / 100
-    rows = stored(keyed(docs), "keyed")
-    classes = stored(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "classes")
-    info = classes.select("key", "n", "sketch")
-    met = grown(classes.select("key", "tokens"), threshold, trees)
-    shared = met.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("leader")).where("size > 1")
-    met = stored(met.join(shared.select("node", "leader"), "node"), "nodes")
-
-    pairs = met.where("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    both = pairs.join(info.toDF("b", "nb", "sb"), "b").join(info.toDF("a", "na", "sa"), "a").where(fitting(threshold))
-    links = stored(confirmed(stored(likely(both, threshold), "led-pairs"), docs, per_cent), "led-links")
-    labels = components(links)
-
-    at, found = met.select("node", "key"), []
+    info, tokens = classes.select("key", "n", "sketch", "fine"), classes.select("key", "tokens")
+    at, found = grown(tokens, threshold, trees), []
     for level in range(depth):
-        now = at.join(labels, "key", "left").select("node", "key", F.coalesce("root", "key").alias("part"))
+        now = at.withColumn("part", F.col("key")) if labels is None else at.join(labels, "key", "left").select("node", "key", F.coalesce("root", "key").alias("part"))
         mixed = now.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
         now = stored(now.join(mixed.select("node", "size"), "node"), "level")
-        found.append(in_nodes(now.where(F.col("size") <= leaf).join(info, "key"), threshold))
+        found.append(in_nodes(now.where(F.col("size") <= leaf).join(info, "key"), per_cent))
         large = now.where(F.col("size") > leaf)
         if is_empty(large):
             break
         if level == depth - 1:
-            full = large.select("node", "key", "part").join(info, "key")
-            x, y = full.toDF("a", "node", "pa", "na", "sa"), full.toDF("b", "node", "pb", "nb", "sb")
-            both = x.join(y, "node").where("a < b and pa != pb").where(fitting(threshold))
-            parts = both.select("a", "pa").union(both.select("b", "pb")).distinct().toDF("key", "part")
-            rest = likely(both, threshold).join(parts.toDF("a", "pa"), "a").join(parts.toDF("b", "pb"), "b")
-            found.append(rest.select("a", "b", "pa", "pb", F.lit(0).alias("agree")))
+            found.append(in_nodes(blocks(large, leaf).join(info, "key"), per_cent))
         else:
-            at = grown(large.select("node", "key").join(classes.select("key", "tokens"), "key"), threshold)
-
-    pairs = stored(reduce(DataFrame.union, found).distinct(), "node-pairs")
-    ways = pairs.select("a", "b", F.col("a").alias("one"), F.col("pb").alias("other"), "agree").union(pairs.select("a", "b", F.col("b"), F.col("pa"), "agree"))
-    best = ways.groupBy("one", "other").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    for stage in (best, pairs):
-        if stage is pairs:
-            roots = labels.select(F.col("key").alias("pa"), F.col("root").alias("ra")), labels.select(F.col("key").alias("pb"), F.col("root").alias("rb"))
-            now = pairs.join(roots[0], "pa", "left").join(roots[1], "pb", "left")
-            stage = now.where(F.coalesce("ra", "pa") != F.coalesce("rb", "pb")).join(best, ["a", "b"], "left_anti")
-        stage = stored(stage.select("a", "b"), "open-pairs")
-        if is_empty(stage):
+            at = grown(large.select("node", "key").join(tokens, "key"), threshold)
+    return stored(reduce(DataFrame.union, found).distinct(), "pairs")
+
+
+def classes_and_labels(docs: DataFrame, per_cent: int, trees: int, leaf: int, depth: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rows as :func:`keyed` gives them, classes, labels as :func:`components` gives them or None)."""
+    rows = stored(keyed(docs), "keyed")
+    classes = stored(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "tokens", "sketch", "fine")]), "classes")
+    rows = rows.select("doc_id", "mark", "n", "key")
+    links, labels = None, None
+    for some in (range(min(FIRST, trees)), range(min(FIRST, trees), trees)):
+        pairs = wave(classes, labels, some, per_cent, leaf, depth)
+        if is_empty(pairs):
             continue
-        more = stored(confirmed(stage, docs, per_cent), "node-links")
+        more = stored(confirmed(pairs, docs, per_cent), "links")
         if not is_empty(more):
-            links = links.union(more)
+            links = more if links is None else links.union(more)
             labels = components(links)
-        best = stage
     return rows, classes, labels
 
 
 def near_duplicates(docs: DataFrame, per_cent: int = 85, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """(doc_id, mark, n_shingles, component_id, kept) for every row of ``docs``."""
     rows, classes, labels = classes_and_labels(docs, per_cent, trees, leaf, depth)
-    rooted = classes.select("key", "rep").join(labels, "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
+    rooted = classes.select("key", "rep")
+    rooted = rooted.withColumn("root", F.col("key")) if labels is None else rooted.join(labels, "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     named = rooted.select("key", "root").join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("key", "component_id")
     some = rows.where("key is not null").select("doc_id", "mark", "n", "key").join(named, "key").select("doc_id", "mark", "n", "component_id")
     none = rows.where("key is null").select("doc_id", "mark", "n", F.col("doc_id").alias("component_id"))

@@ -70,7 +70,7 @@ def test_groups_chains_and_shared_passages(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     want = brute(rows)
     assert got(df) == want
-    assert got(df, leaf=4, depth=3) == want
+    assert got(df, leaf=16, depth=2) == want
 
 
 def test_deduplicated_keeps_one_of_each_component_and_all_columns(odd_docs, empty_docs):
