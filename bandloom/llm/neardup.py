@@ -292,8 +292,8 @@ def bloom_bits(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array((at >> U64(6)).astype(np.int64)), pa.array((U64(1) << (at & U64(63))).view(np.int64))], names=["w", "v"])
 
     out = np.zeros(bits // 64, np.int64)
-    for w, v in keys.select("key").mapInArrow(run, "w long, v long").groupBy("w").agg(F.bit_or("v")).toLocalIterator():
-        out[w] = v
+    words = keys.select("key").mapInArrow(run, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()  # bits / 64 rows at most
+    out[words.column("w").to_numpy()] = words.column("v").to_numpy()
     return out
 
 
