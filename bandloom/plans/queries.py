@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import dsp, golay
 from ..operators import bandplan, detect, enrich, mutations, views
-from ..sources import bridge, simulator
+from ..sources import bridge, seed, simulator
 from ..sources.bridge import PLAN_SQL, SIG_SQL, WINDOWS_SQL, plan, sig, table, windows
 from ..streaming import detector
 
@@ -427,6 +427,11 @@ def golay_decode(spark, d):
     return golay.decoded(w.withColumn("word", F.col("word").bitwiseXOR(flips))).select("p_partkey", "data", F.col("errors").cast("long").alias("errors"))
 
 
+@query()
+def seeded_plan(spark, d):
+    return seed.seeded(spark)
+
+
 @query()
 def dcs_pairs(spark, d):
     return golay.inverse_pairs(spark)
