@@ -266,7 +266,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     m = matches(docs, benchmark, ["doc_id"])
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
-    return m.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), contaminated().alias("contaminated"), "longest")
+    return m.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), contaminated().alias("contaminated"))
 
 
 QUERIES = {"op1_decontaminate": op1_decontaminate}

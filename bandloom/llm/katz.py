@@ -43,7 +43,7 @@ from .shared import cleaned_shuffles, hash_words, held_out, joined_texts, mix, m
 
 U64, U32 = np.uint64, np.uint32
 CHUNK = 1_500_000
-BUCKET = 3_000_000
+BUCKET = 1_500_000
 K = 5
 END = mix_int(0xE0D)
 
@@ -356,6 +356,7 @@ def train_and_score(docs: DataFrame, folds: int = 7, fold: int = 2, table_path:
         return _rows(rows, ASKED)
 
     replies = words.where("kind = 'reply'")
+    table = table.drop("words", "train")  # asked and answered
     asked = table.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(asking, ASKED)
     pairs = asked.groupBy("bucket").applyInPandas(lambda rows: _answer_pairs(rows, hot, unigram), SAID)
     with cleaned_shuffles(spark):

@@ -160,7 +160,7 @@ def cascade(docs: DataFrame, columns: list[str] | None = None, measure_all: bool
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = cascade(docs, ["doc_id"], measure_all=True)
-    return out.select("doc_id", *REPORTED, "base_failed", "kept", "rejected_by")
+    return out.select("doc_id", *REPORTED, "base_failed", "kept")
 
 
 QUERIES = {"op5_quality_rules": op5_quality_rules}
