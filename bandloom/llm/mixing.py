@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ranked, stored
+from .shared import ranked, stored, temporary
 
 WEIGHTS = (5, 2, 1)
 SEED = 20240607
@@ -60,7 +60,8 @@ def offset_of(source: Column, seed: int) -> Column:
 
 def mix_sized(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0, seed: int = SEED) -> DataFrame:
     """Rows of ``sized`` (doc_id, source, size and any others) with source_size, target and copies."""
-    table = source_targets(sized.select("source", "size"), weights, budget, most)
+    with temporary(sized.sparkSession) as keep:
+        table = keep(stored(source_targets(sized.select("source", "size"), weights, budget, most), "targets"))
     placed = ranked(sized, "source", ["size", "doc_id"], "_rank", name="mix")
     t = table.select(F.col("source").alias("_s"), "source_size", "target")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

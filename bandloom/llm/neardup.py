@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import hash_words, is_empty, joined_texts, mix, mix_int, stored, words_of
+from .shared import hash_words, is_empty, joined_texts, mix, mix_int, stored, temporary, words_of
 
 U64 = np.uint64
 WIDTH = 5
@@ -349,8 +349,12 @@ def components(links: DataFrame) -> DataFrame:
     Each round hooks every key to its smallest neighbour, shortens the paths to their roots,
     and keeps only links between roots; at least half of the roots that still have links go.
     """
-    spark = links.sparkSession
-    labels = spark.createDataFrame([], "key binary, root binary")
+    with temporary(links.sparkSession) as keep:
+        return keep(stored(_components(links), "components"))
+
+
+def _components(links: DataFrame) -> DataFrame:
+    labels = links.sparkSession.createDataFrame([], "key binary, root binary")
     edges, first = links, True
     while not is_empty(edges):
         both = edges.select(F.col("a").alias("key"), F.col("b").alias("to")).union(edges.select("b", "a"))
@@ -376,6 +380,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def wave(classes: DataFrame, labels: DataFrame | None, trees: range, per_cent: int, leaf: int, depth: int) -> DataFrame:
     """(a, b): the pairs to confirm from ``trees``, across the components of ``labels``."""
+    with temporary(classes.sparkSession) as keep:
+        return keep(stored(_wave(classes, labels, trees, per_cent, leaf, depth), "pairs"))
+
+
+def _wave(classes: DataFrame, labels: DataFrame | None, trees: range, per_cent: int, leaf: int, depth: int) -> DataFrame:
     threshold = per_cent / 100
     info, tokens = classes.select("key", "n", "sketch", "fine"), classes.select("key", "tokens")
     at, found = grown(tokens, threshold, trees), []
@@ -391,7 +400,7 @@ def wave(classes: DataFrame, labels: DataFrame | None, trees: range, per_cent: i
             found.append(in_nodes(blocks(large, leaf).join(info, "key"), per_cent))
         else:
             at = grown(large.select("node", "key").join(tokens, "key"), threshold)
-    return stored(reduce(DataFrame.union, found).distinct(), "pairs")
+    return reduce(DataFrame.union, found).distinct()
 
 
 def classes_and_labels(docs: DataFrame, per_cent: int, trees: int, leaf: int, depth: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -404,7 +413,8 @@ def classes_and_labels(docs: DataFrame, per_cent: int, trees: int, leaf: int, de
         pairs = wave(classes, labels, some, per_cent, leaf, depth)
         if is_empty(pairs):
             continue
-        more = stored(confirmed(pairs, docs, per_cent), "links")
+        with temporary(docs.sparkSession) as keep:
+            more = keep(stored(confirmed(pairs, docs, per_cent), "links"))
         if not is_empty(more):
             links = more if links is None else links.union(more)
             labels = components(links)
@@ -424,7 +434,9 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85, trees: int = TREES, lea
 
 def deduplicated(docs: DataFrame, per_cent: int = 85, **how) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component; of rows equal in id and text, one."""
-    kept = stored(near_duplicates(docs, per_cent, **how).where("kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")), "kept")
+    with temporary(docs.sparkSession) as keep:
+        kept = near_duplicates(docs, per_cent, **how).where("kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+        kept = keep(stored(kept, "kept"))
     again = not is_empty(kept.groupBy("_id", "_mark").count().where("count > 1"))
     marked = docs.withColumn("_own", F.xxhash64("text"))
     stay = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_own"] == kept["_mark"]), "left_semi")

@@ -22,6 +22,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if not shared:
         shared = spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="bandloom-")
         spark.sparkContext.setCheckpointDir(shared)
     return shared.rstrip("/")
@@ -45,13 +47,42 @@ def cleaned_shuffles(spark: SparkSession):
         spark.conf.set(CLEANUP, before)
 
 
+_opened: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     with cleaned_shuffles(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _opened:
+        _opened[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """What :func:`stored` writes inside is removed at the end, but for frames handed to the function this yields."""
+    mine: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.stored_at)
+        return df
+
+    _opened.append(mine)
+    try:
+        yield keep
+    finally:
+        _opened.remove(mine)
+        for path in mine:
+            if path in kept and _opened:
+                _opened[-1].append(path)
+            elif path not in kept:
+                remove_path(spark, path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

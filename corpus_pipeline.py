@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bandloom.llm import decontaminate, mixing, neardup, quality, sharding
-from bandloom.llm.shared import set_aside, stored
+from bandloom.llm.shared import set_aside, stored, temporary
 
 SHARDS = 16
 
@@ -57,6 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    with temporary(spark) as keep:
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        return keep(docs)
