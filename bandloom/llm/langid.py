@@ -13,8 +13,8 @@ for each language, chosen by a hash of doc_id over the whole table; every row is
 The dictionaries together have at most ``ALL_BYTES``, whatever the number of languages.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; without any
-labelled training row every text is; equal sizes go to the first language by code point;
-rows with null lang train nothing; repeated rows are rows of their own; an empty table gives
+labelled training row every text is; equal sizes go to the language with most training rows,
+then the first by code point; rows with null lang train nothing; repeated rows are rows of their own; an empty table gives
 an empty result; extra columns pass through, replaced where they clash.
 """
 
@@ -38,10 +38,13 @@ BLOCK = 4096
 #: zstandard's lazy strategy with short matches
 SEARCH = {"strategy": zstandard.STRATEGY_LAZY, "min_match": 4, "window_log": 17, "hash_log": 15, "chain_log": 15, "search_log": 4}
 MARGIN = 0.02
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def plain(text: str) -> bytes:
     return " ".join(dict.fromkeys(_OTHER.sub(" ", text.lower()).split())).encode("utf-8", "replace")
 
@@ -59,15 +62,16 @@ def training_texts(train: DataFrame, texts: int, max_bytes: int) -> list[tuple[s
 
 
 def dictionaries(train: DataFrame, dict_bytes: int = DICT_BYTES, texts: int = DICT_TEXTS) -> dict[str, bytes]:
-    """lang -> dictionary content."""
-    languages = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang").distinct().count()
-    size = max(256, min(dict_bytes, ALL_BYTES // max(1, languages)))
+    """lang -> dictionary content, the languages with most rows first."""
+    counts = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang").count().collect()  # a row for each language
+    size = max(256, min(dict_bytes, ALL_BYTES // max(1, len(counts))))
     out: dict[str, bytes] = {}
     for lang, text in training_texts(train, texts, size):
         have = out.get(lang, b"")
         if len(have) < size:
             out[lang] = (have + b"\n" + text)[:size]
-    return dict(sorted(out.items()))
+    rows = dict(map(tuple, counts))
+    return dict(sorted(out.items(), key=lambda x: (-rows[x[0]], x[0])))
 
 
 _packers: dict[int, list[tuple[str, object]]] = {}
@@ -109,7 +113,7 @@ def predict(docs: DataFrame, content: dict[str, bytes], columns: list[str], marg
         for batch in batches:
             langs, scores = [], []
             for t in batch.column("_text").to_pylist():
-                lang, score = ("und", 0.0) if t is None or not _LETTER.search(t) else classify(plain(t), by)
+                lang, score = ("und", 0.0) if t is None or not has_letter(t) else classify(plain(t), by)
                 langs.append(lang)
                 scores.append(score)
             made = {"lang_pred": langs, "score": scores, "accepted": [x != "und" and s >= margin for x, s in zip(langs, scores, strict=True)]}
