@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import scratch_path, text_or_empty
+from .shared import scratch_path, stored, text_or_empty
 
 #: Fixed patterns over UTF-8 bytes. The first three are the base; the others add spans.
 #: (kind, pattern, group that must have so many bytes, how many, text it can't do without)
@@ -101,8 +101,8 @@ def scan_history(versions: DataFrame, ledger_path: str, path_column: str = "doc_
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("rules") == RULES_VERSION), "blob", "left_anti")
     unseen.mapInArrow(_scan, LEDGER).write.mode("append").parquet(ledger_path)
-    # an interrupted append may have left a blob twice; its rows are equal
-    present = read_ledger(spark, ledger_path).where(F.col("rules") == RULES_VERSION).dropDuplicates(["blob"]).drop("rules")
+    # an interrupted append may have left a blob twice; its rows are equal. Stored, so that Spark can split a hot blob's paths in the join
+    present = stored(read_ledger(spark, ledger_path).where(F.col("rules") == RULES_VERSION).dropDuplicates(["blob"]).drop("rules"), "findings")
     return named.select("path", "blob").join(present, "blob").withColumnRenamed("path", path_column)
 
 
