@@ -195,6 +195,9 @@ def digests(conversations: DataFrame, template: Template = chatml, loss_roles: t
                 out.append((conv, n, turns.hexdigest(), masked, loss.hexdigest(), chars, rewrites))
                 turns, loss = hashlib.sha256(), hashlib.sha256()
                 n = masked = chars = 0
+                if len(out) >= 1000:
+                    yield _batch(out, DIGESTS)
+                    out = []
                 continue
             chars += len(r.piece)
             for role, text in read_back(r.piece):
