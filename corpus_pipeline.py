@@ -1,7 +1,7 @@
 """From raw documents to shards: each stage takes the documents that the one before kept.
 
 1. quality rules: documents that a rule rejects go.
-2. near-duplicates: of each component (Jaccard 0.85 on 5-word shingles) the smallest doc_id stays.
+2. near-duplicates: of each component (Jaccard of 0.8 or more on 5-word shingles) the smallest doc_id stays.
 3. benchmark decontamination: documents with a twentieth or more of their words in benchmark windows go.
 4. mixing: a document appears as often as its source's target weight has it, none to twice.
 5. sharding: every row gets a shard and its place in it.
@@ -17,6 +17,7 @@ from bandloom.llm import decontaminate, mixing, neardup, quality, sharding
 from bandloom.llm.shared import set_aside, stored, temporary
 
 SHARDS = 16
+SIMILARITY = 80  # per cent
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +26,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.deduplicated(docs)
+    return neardup.deduplicated(docs, SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

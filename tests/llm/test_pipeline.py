@@ -78,7 +78,7 @@ def test_stages_equal_brute_force(spark, sf_dir):
         if name == "quality_rules":
             want = [r for r in rows if good(r[1])]
         elif name == "near_dedup":
-            keep = {i for i, _, c in near_brute([r[:2] for r in rows]) if i == c}
+            keep = {i for i, _, c in near_brute([r[:2] for r in rows], P.SIMILARITY) if i == c}
             want = [r for r in rows if r[0] in keep]
         elif name == "decontamination":
             bad = {x[0] for x in contaminated_brute([r[:2] for r in rows], bench) if x[5]}
