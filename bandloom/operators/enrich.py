@@ -166,5 +166,12 @@ def with_ids(channels: DataFrame) -> DataFrame:
     return channels.withColumn("id", F.row_number().over(Window.orderBy("freq_hz")).cast("long"))
 
 
+def with_pair_ids(channels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``channels`` (freq_hz, ...) with pair_id: the lowest id of the pairs whose output they are; ids go by output, then input."""
+    numbered = pairs.select("output_hz", F.row_number().over(Window.orderBy("output_hz", "input_hz")).cast("long").alias("_id"))  # pairs are fewer than channels
+    least = numbered.groupBy(F.col("output_hz").alias("freq_hz")).agg(F.min("_id").alias("pair_id"))
+    return channels.join(least, "freq_hz", "left")
+
+
 def all_of(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -60,6 +60,19 @@ def coverage_by_time(windows: DataFrame, events: DataFrame) -> DataFrame:
     return windows.select("id").join(counts, "id", "left").select("id", F.coalesce("events", F.lit(0)).alias("events"))
 
 
+def in_windows(events: DataFrame, windows: DataFrame) -> DataFrame:
+    """Every event with the center and label of the window it was heard in, if that is known."""
+    w = windows.select(F.col("id").alias("window_id"), "center_hz", F.col("label").alias("window_label"))
+    return events.join(w, "window_id", "left")
+
+
+def run_statistics(events: DataFrame) -> DataFrame:
+    """Per run: events, those still open, hours between first and last start, and events an hour."""
+    hours = (F.max("t_us") - F.min("t_us")) / F.lit(3.6e9)
+    out = events.groupBy("run_id").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("duration_s").isNull()).alias("open"), hours.alias("hours"))
+    return out.select("run_id", "events", "open", F.round("hours", 4).alias("hours"), F.when(F.col("hours") > 0, F.round(F.col("events") / F.col("hours"), 4)).alias("per_hour"))
+
+
 def busiest(events: DataFrame, n: int = 25) -> DataFrame:
     out = events.groupBy("freq_hz").agg(F.count(F.lit(1)).alias("hits"), F.round(F.avg("snr_db"), 1).alias("snr_db"), F.min_by("ctcss_hz", "id").alias("ctcss_hz"), F.count_if(F.col("tone_state") == "dcs").alias("dcs"))
     return out.orderBy(F.desc("hits"), "freq_hz").limit(n)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import dsp, golay
-from ..operators import bandplan, detect, enrich, mutations, views
+from ..functions import dsp, golay, spectrum
+from ..operators import bandplan, detect, enrich, excerpts, mutations, views
 from ..sources import bridge, seed, simulator
 from ..sources.bridge import PLAN_SQL, SIG_SQL, WINDOWS_SQL, plan, sig, table, windows
 from ..streaming import detector
@@ -203,6 +203,21 @@ def pair_evidence(spark, d):
     return enrich.pair_evidence(events, enrich.pair_candidates(channels, plan(spark)), LAG_US, min_confidence=SHARE)
 
 
+@query(f"""WITH {PAIR_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY output_hz, input_hz) AS id FROM pv WHERE evidence_count >= 3 AND share >= {SHARE})
+  SELECT freq_hz, pair_id FROM ch LEFT JOIN (SELECT output_hz AS freq_hz, min(id) AS pair_id FROM p GROUP BY ALL) USING (freq_hz)""")
+def channel_pair_ids(spark, d):
+    channels, events = placed(spark, d)
+    pairs = enrich.pair_evidence(events, enrich.pair_candidates(channels, plan(spark)), LAG_US, min_confidence=SHARE)
+    return enrich.with_pair_ids(channels, pairs).select("freq_hz", "pair_id")
+
+
+@query(f"WITH {PAIR_SQL} SELECT freq_hz, service FROM ch WHERE freq_hz IN (SELECT output_hz FROM pv WHERE evidence_count >= 3 AND share >= {SHARE})")
+def paired_outputs(spark, d):
+    channels, events = placed(spark, d)
+    pairs = enrich.pair_evidence(events, enrich.pair_candidates(channels, plan(spark)), LAG_US, min_confidence=SHARE)
+    return channels.join(pairs, channels["freq_hz"] == pairs["output_hz"], "left_semi").select("freq_hz", "service")
+
+
 def scored(spark, d):
     channels, events = placed(spark, d)
     pairs = enrich.pair_evidence(events, enrich.pair_candidates(channels, plan(spark)), LAG_US, min_confidence=SHARE)
@@ -255,6 +270,19 @@ def v_coverage_time_range(spark, d):
     return views.coverage_by_time(windows(spark, d), sig(spark, d))
 
 
+@query(f"""WITH {SIG_SQL}, {WINDOWS_SQL} SELECT sig.id, win.id AS window_id, center_hz, win.label AS window_label
+  FROM sig LEFT JOIN win ON win.id = t_us // 86400000000 * 100 + sig.run_id * 10 + CASE WHEN sig.receiver_id = 'vhf' THEN 1 ELSE 0 END""")
+def events_in_windows(spark, d):
+    e = sig(spark, d).withColumn("window_id", F.expr("t_us div 86400000000 * 100 + run_id * 10 + if(receiver_id = 'vhf', 1, 0)"))
+    return views.in_windows(e, windows(spark, d)).select("id", "window_id", "center_hz", "window_label")
+
+
+@query(f"""WITH {SIG_SQL}, r AS (SELECT run_id, count(*) AS events, count(*) FILTER (WHERE duration_s IS NULL) AS open, (max(t_us) - min(t_us)) / 3.6e9::DOUBLE AS hours FROM sig GROUP BY ALL)
+  SELECT run_id, events, open, round(hours, 4) AS hours, CASE WHEN hours > 0 THEN round(events / hours, 4) END AS per_hour FROM r""")
+def run_statistics(spark, d):
+    return views.run_statistics(sig(spark, d))
+
+
 @query(f"WITH {SIG_SQL} SELECT freq_hz, count(*) AS hits, round(avg(snr_db), 1) AS snr_db, arg_min_null(ctcss_hz, id) AS ctcss_hz, count(*) FILTER (WHERE tone_state = 'dcs') AS dcs FROM sig GROUP BY ALL ORDER BY hits DESC, freq_hz LIMIT 25")
 def busiest_channels(spark, d):
     return views.busiest(sig(spark, d))
@@ -356,6 +384,14 @@ def session_approx(spark, d):
     return detect.sessions(e, "user_id", "at", "1 hour").select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
+@query("""WITH e AS (SELECT event_id AS id, event_id * 37 % 100000 AS start, CASE WHEN event_id % 6 <> 0 THEN event_id * 37 % 100000 + user_id * 13 % 3000 END AS stop, event_id * 37 % 100000 + user_id * 29 % 4000 AS written FROM events),
+  f AS (SELECT *, greatest(start - 300, 0) AS first FROM e), n AS (SELECT *, CASE WHEN coalesce(stop + 300, written) >= first + 1200 THEN 1200 WHEN stop IS NOT NULL THEN least(stop - first, 1200) END AS n FROM f)
+  SELECT id, first, CASE WHEN n >= 120 THEN n END AS length FROM n""")
+def analysis_ranges(spark, d):
+    e = table(spark, d, "events").selectExpr("event_id AS id", "event_id * 37 % 100000 AS start", "if(event_id % 6 <> 0, event_id * 37 % 100000 + user_id * 13 % 3000, null) AS end", "event_id * 37 % 100000 + user_id * 29 % 4000 AS written")
+    return excerpts.ranges(e, 1000.0).select("id", "first", "length")
+
+
 # ---------------------------------------------------------------- mutations and checks
 
 
@@ -443,6 +479,12 @@ def signal_analysis(spark, d):
     return s.select("name", dsp.analyse("i", "q", "rate", "offset").alias("r")).select("name", "r.*").withColumn("tone_state", dsp.tone_state())
 
 
+@query()
+def channel_power(spark, d):
+    rows = simulator.sample_frames(spark)
+    return spectrum.by_channel(spectrum.powers(rows, simulator.SAMPLE_RATE))
+
+
 @query()
 def detector_batch(spark, d):
     spark.dataSource.register(simulator.Frames)

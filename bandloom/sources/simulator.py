@@ -10,10 +10,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-from ..functions import dsp
+from ..functions import dsp, spectrum
 
 FRAMES = "receiver_id string, window_id long, frame_no long, frame_start long, power_db array<double>"
 
@@ -126,3 +127,21 @@ def sample_signals(spark, rate: float = 2_400_000.0):
         x = samples(rate, **({"length_s": 1.1} | how))
         rows.append({"name": name, "i": x.real.astype(np.float32), "q": x.imag.astype(np.float32), "rate": rate, "offset": 12_500.0})
     return spark.createDataFrame(pa.Table.from_pylist(rows, pa.schema([("name", pa.string()), ("i", pa.list_(pa.float32())), ("q", pa.list_(pa.float32())), ("rate", pa.float64()), ("offset", pa.float64())])))
+
+
+SAMPLE_RATE, SAMPLE_CENTER_HZ = 2_400_000.0, 466_000_000
+
+
+def sample_frames(spark, frames: int = 6, tone_offset_hz: float = 12_500.0):
+    """Frames of samples from a receiver that hears one FM signal ``tone_offset_hz`` above its center, made in the tasks."""
+    n = spectrum.frame_samples(SAMPLE_RATE)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k in b["id"]:
+                x = samples(SAMPLE_RATE, n / SAMPLE_RATE, 2400.0, tone_offset_hz, seed=int(k))
+                rows.append(("uhf", 0, SAMPLE_CENTER_HZ, int(k), int(k) * n, x.real.astype(np.float32), x.imag.astype(np.float32)))
+            yield pd.DataFrame(rows, columns=["receiver_id", "window_id", "center_hz", "frame_no", "frame_start", "i", "q"])
+
+    return spark.range(frames).mapInPandas(run, "receiver_id string, window_id long, center_hz long, frame_no long, frame_start long, i array<float>, q array<float>")

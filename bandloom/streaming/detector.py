@@ -15,9 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-EVENTS = "receiver_id string, window_id long, channel int, start long, end long, peak_snr double"
+EVENTS = "receiver_id string, window_id long, channel int, start long, end long, peak_snr double, overload int, closed boolean"
 ON_DB, OFF_DB = 10.0, 6.0
 HISTORY, WARM, EVERY, PART = 120, 20, 10, 0.25
 
@@ -31,7 +32,7 @@ class Detector:
         self.count = 0
         self.floor: np.ndarray | None = None
         self.starts: list[int] = []
-        self.active = self.above = self.below = self.began = self.peak = None
+        self.active = self.above = self.below = self.began = self.peak = self.overload = None
 
     def _floor(self, power: np.ndarray) -> np.ndarray | None:
         if self.floor is not None:
@@ -43,12 +44,12 @@ class Detector:
             self.floor = np.sort(np.stack(self.past), axis=0)[k]
         return self.floor
 
-    def frame(self, power: np.ndarray, start: int) -> list[tuple[int, int, int, float]]:
-        """Events (channel, start, end, peak) that this frame ends."""
+    def frame(self, power: np.ndarray, start: int, overload: int = 0) -> list[tuple[int, int, int, float, int, bool]]:
+        """Events (channel, start, end, peak, overload, closed) that this frame ends; overload is that of the frame that opened them."""
         if self.active is None:
             n = len(power)
             self.active, self.above, self.below = np.zeros(n, bool), np.zeros(n, int), np.zeros(n, int)
-            self.began, self.peak = np.zeros(n, np.int64), np.full(n, -np.inf)
+            self.began, self.peak, self.overload = np.zeros(n, np.int64), np.full(n, -np.inf), np.zeros(n, int)
         floor = self._floor(power)
         if floor is None:
             return []
@@ -62,10 +63,16 @@ class Detector:
         closes = self.active & (self.below >= self.hang)
         self.began[opens] = self.starts[max(0, len(self.starts) - self.least)]
         self.peak[opens] = -np.inf
+        self.overload[opens] = overload
         self.active = (self.active | opens) & ~closes
         self.peak = np.where(self.active, np.maximum(self.peak, snr), self.peak)
         end = self.starts[max(0, len(self.starts) - self.hang)]
-        return [(int(c), int(self.began[c]), end, float(self.peak[c])) for c in np.flatnonzero(closes)]
+        return [(int(c), int(self.began[c]), end, float(self.peak[c]), int(self.overload[c]), True) for c in np.flatnonzero(closes)]
+
+    def leave(self) -> list[tuple[int, int, int | None, float, int, bool]]:
+        """Events still on when the receiver leaves the window: they end at the last frame seen, but are not closed."""
+        last = self.starts[-1] if self.starts else None
+        return [] if self.active is None else [(int(c), int(self.began[c]), last, float(self.peak[c]), int(self.overload[c]), False) for c in np.flatnonzero(self.active)]
 
 
 def settings(frame_s: float, min_s: float = 0.12, hang_s: float = 0.30) -> tuple[int, int]:
@@ -73,15 +80,27 @@ def settings(frame_s: float, min_s: float = 0.12, hang_s: float = 0.30) -> tuple
     return max(1, round(min_s / frame_s)), max(1, round(hang_s / frame_s))
 
 
+def _rows(key: tuple, events: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame([(*key, *e) for e in events], columns=[c.split()[0] for c in EVENTS.split(", ")])
+
+
 def _fed(d: Detector, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     out = []
-    for start, power in zip(rows["frame_start"], rows["power_db"], strict=True):
-        out += [(*key, *e) for e in d.frame(np.asarray(power, float), int(start))]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
+    for start, power, overload in zip(rows["frame_start"], rows["power_db"], rows["overload"], strict=True):
+        out += d.frame(np.asarray(power, float), int(start), int(overload))
+    return _rows(key, out)
+
+
+def _flagged(frames: DataFrame) -> DataFrame:
+    return frames if "overload" in frames.columns else frames.withColumn("overload", F.lit(0))
+
 
+def detect(frames: DataFrame, frame_s: float, unclosed: bool = False) -> DataFrame:
+    """Events of a table of frames: the frames of a key pass in order through one task, batch by batch.
 
-def detect(frames: DataFrame, frame_s: float) -> DataFrame:
-    """Closed events of a table of frames: the frames of a key pass in order through one task, batch by batch."""
+    ``unclosed`` adds those still on after the last frame of their receiver and window. Frames
+    may carry an ``overload`` flag (0/1).
+    """
     least, hang = settings(frame_s)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,11 +108,15 @@ def detect(frames: DataFrame, frame_s: float) -> DataFrame:
         for batch in batches:
             for own, rows in batch.groupby(["receiver_id", "window_id"], sort=False):
                 if own != key:
+                    if unclosed and d is not None:
+                        yield _rows(key, d.leave())
                     key, d = own, Detector(least, hang)
                 yield _fed(d, own, rows)
+        if unclosed and d is not None:
+            yield _rows(key, d.leave())
 
     order = ["receiver_id", "window_id", "frame_no"]
-    return frames.repartition("receiver_id", "window_id").sortWithinPartitions(*order).select(*order, "frame_start", "power_db").mapInPandas(run, EVENTS)
+    return _flagged(frames).repartition("receiver_id", "window_id").sortWithinPartitions(*order).select(*order, "frame_start", "power_db", "overload").mapInPandas(run, EVENTS)
 
 
 class _Processor(StatefulProcessor):
@@ -116,5 +139,5 @@ class _Processor(StatefulProcessor):
 
 def detect_stream(frames: DataFrame, frame_s: float) -> DataFrame:
     """The same over a stream; needs the RocksDB state store. A key's frames must come in order of batches."""
-    grouped = frames.groupBy("receiver_id", "window_id")
+    grouped = _flagged(frames).groupBy("receiver_id", "window_id")
     return grouped.transformWithStateInPandas(_Processor(*settings(frame_s)), EVENTS, "Append", "None")
