@@ -25,7 +25,9 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN s USING (r)
 QUALITY = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {WORD}) AS w FROM documents),
 l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM d, unnest(string_split(t, chr(10))) AS u(line) WHERE regexp_matches(line, {WORD}) GROUP BY r),
-g AS (SELECT r, k, count(*) OVER (PARTITION BY r, w[k], w[k + 1], w[k + 2]) AS c FROM d, unnest(range(1, len(w) - 1)) AS u(k)),
+o AS (SELECT r, k, x FROM d, unnest(w) WITH ORDINALITY AS u(x, k)),
+t AS (SELECT r, k, x AS a, lead(x) OVER v AS b, lead(x, 2) OVER v AS e FROM o WINDOW v AS (PARTITION BY r ORDER BY k)),
+g AS (SELECT r, k, count(*) OVER (PARTITION BY r, a, b, e) AS c FROM t WHERE e IS NOT NULL),
 p AS (SELECT r, count(DISTINCT k + j) AS n_repeat_words FROM g, range(3) AS q(j) WHERE c > 1 GROUP BY r),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
   CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines FROM d LEFT JOIN l USING (r) LEFT JOIN p USING (r)),
