@@ -490,3 +490,9 @@ def detector_batch(spark, d):
     spark.dataSource.register(simulator.Frames)
     frames = spark.read.format("frames").option("frames", 700).load()
     return detector.detect(frames, 0.0131)
+
+
+@query()
+def detector_stream(spark, d):
+    spark.dataSource.register(simulator.Frames)
+    return detector.replayed(spark.read.format("frames").option("frames", 700).load(), 0.0131)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +14,13 @@ def session(app: str = "bandloom", **conf: str) -> SparkSession:
     for k, v in (settings | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; in a local folder only where none is set, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="bandloom-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..session import scratch
+
 EVENTS = "receiver_id string, window_id long, channel int, start long, end long, peak_snr double, overload int, closed boolean"
 ON_DB, OFF_DB = 10.0, 6.0
 HISTORY, WARM, EVERY, PART = 120, 20, 10, 0.25
@@ -141,3 +143,22 @@ def detect_stream(frames: DataFrame, frame_s: float) -> DataFrame:
     """The same over a stream; needs the RocksDB state store. A key's frames must come in order of batches."""
     grouped = _flagged(frames).groupBy("receiver_id", "window_id")
     return grouped.transformWithStateInPandas(_Processor(*settings(frame_s)), EVENTS, "Append", "None")
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def replayed(frames: DataFrame, frame_s: float) -> DataFrame:
+    """Events that :func:`detect_stream` finds in a table of frames, streamed from its files to their end."""
+    spark = frames.sparkSession
+    path, before = scratch(spark, "frames"), spark.conf.get(STORE, None)
+    frames.write.parquet(f"{path}/in")
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        stream = spark.readStream.schema(frames.schema).parquet(f"{path}/in")
+        sink = detect_stream(stream, frame_s).writeStream.format("parquet").option("checkpointLocation", f"{path}/log").option("path", f"{path}/out").outputMode("append")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+    return spark.read.schema(EVENTS).parquet(f"{path}/out")

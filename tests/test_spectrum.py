@@ -67,3 +67,10 @@ def test_events_left_open_and_overload_of_the_opening_frame(spark):
     got = sorted((r.window_id, r.start, r.end, r.overload, r.closed) for r in detector.detect(df, 0.04, unclosed=True).collect())
     assert got == [(w, *e) for w in (0, 1) for e in ((30_000, 60_000, 1, True), (90_000, 119_000, 0, False))]
     assert detector.detect(df, 0.04).where("not closed").count() == 0
+
+
+def test_replayed_stream_equals_batch(spark):
+    rows = [(r, 0, k, k * 1000, [-90.0, -60.0 if 30 <= k < 60 else -90.0, -90.0], 0) for r in ("uhf", "vhf") for k in range(100)]
+    df = spark.createDataFrame(rows, "receiver_id string, window_id long, frame_no long, frame_start long, power_db array<double>, overload int").repartition(3)
+    got = sorted(map(tuple, detector.replayed(df, 0.04).collect()))
+    assert got == sorted(map(tuple, detector.detect(df, 0.04).collect())) and len(got) == 2
