@@ -65,6 +65,13 @@ def test_language_held_out_accuracy(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_ties_go_to_the_larger_language(spark):
+    df = spark.createDataFrame([(k, "one two three four", "zz" if k % 3 else "aa") for k in range(30)] + [(99, "½ 12", "aa")], "doc_id long, text string, lang string")
+    content = langid.dictionaries(df)
+    assert list(content) == ["zz", "aa"]
+    assert {r.doc_id: r.lang_pred for r in langid.predict(df, {k: b"" for k in content}, ["doc_id"]).collect()} == {k: "zz" for k in range(30)} | {99: "und"}
+
+
 def test_language_odd_tables(spark, odd_docs, empty_docs):
     content = langid.dictionaries(odd_docs)
     assert sorted(content) == ["de", "en"]
