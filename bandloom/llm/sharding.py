@@ -20,7 +20,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import scratch_path
+from .shared import scratch_path, stored
 
 SLOTS = 4096
 ROWS_PER_CELL = 100_000
@@ -118,30 +118,51 @@ def plan_shards(rows: DataFrame, shards: int, slots: int, map_path: str, previou
     return spark.read.parquet(map_path).where(F.col("version") == version).drop("version")
 
 
+def planned(slim: DataFrame, shards: int, slots: int, hot_share: float, map_path: str, previous: list[int] | None, version: int) -> tuple[list[int], DataFrame, DataFrame]:
+    """From rows without their texts (doc_id, size, text_crc32, _copy): heavy texts, the slot map, and the rows ahead of each cell."""
+    heavy = heavy_texts(slim, shards, hot_share)
+    rows = slotted(slim, slots, heavy)
+    slot_map = plan_shards(rows, shards, slots, map_path, previous, version)
+    ahead = Window.partitionBy("shard").orderBy("vslot", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    cells = in_cells(rows, slot_map).groupBy("shard", "vslot", "sub").agg(F.count(F.lit(1)).alias("_n"))
+    return heavy, slot_map, cells.select("vslot", "sub", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+
+
+def in_cells(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
+    rows = rows.join(F.broadcast(slot_map.select("vslot", "shard", "subs")), "vslot")  # a row for each slot: a constant
+    return rows.withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("subs")).cast("int")).drop("subs")
+
+
+def placed(rows: DataFrame, slots: int, plan: tuple[list[int], DataFrame, DataFrame]) -> DataFrame:
+    """``rows`` (doc_id, size, text_crc32, _copy and any others) with vslot, shard and slot."""
+    heavy, slot_map, cells = plan
+    inside = Window.partitionBy("vslot", "sub").orderBy("doc_id", "text_crc32", "size")
+    rows = in_cells(slotted(rows, slots, heavy).drop("_copy"), slot_map).withColumn("_own", F.row_number().over(inside))
+    return rows.join(cells, ["vslot", "sub"]).withColumn("slot", (F.col("_ahead") + F.col("_own") - 1).cast("long")).drop("_own", "_ahead", "sub")
+
+
 def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, hot_share: float = 0.9, map_path: str | None = None, previous: list[int] | None = None, version: int = 1) -> DataFrame:
     """All rows and columns of ``docs`` with size, text_crc32, vslot, shard and slot.
 
     ``slot`` is the row's place in its shard, gapless from 0: the rows of the shard's earlier
     cells, plus its number in its own cell. A cell is a part of a slot of about
-    ``ROWS_PER_CELL`` rows, so no task sees a whole hot slot.
+    ``ROWS_PER_CELL`` rows, so no task sees a whole hot slot. Texts are read twice: for the
+    sizes and hashes that the plan is made from, which are stored, and for the result.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("size", "text_crc32", "vslot", "shard", "slot", "sub")
-    rows = sized(docs)
-    rows = slotted(rows, slots, heavy_texts(rows, shards, hot_share)).drop("_copy")
-    slot_map = plan_shards(rows, shards, slots, map_path or scratch_path(spark, "slot-map"), previous, version)
-    rows = rows.join(F.broadcast(slot_map.select("vslot", "shard", "subs")), "vslot")  # a row for each slot: a constant
-    rows = rows.withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("subs")).cast("int")).drop("subs")
-    ahead = Window.partitionBy("shard").orderBy("vslot", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy("shard", "vslot", "sub").agg(F.count(F.lit(1)).alias("_n"))
-    cells = cells.select("vslot", "sub", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy("vslot", "sub").orderBy("doc_id", "text_crc32", "size")
-    return rows.withColumn("_own", F.row_number().over(inside)).join(cells, ["vslot", "sub"]).withColumn("slot", (F.col("_ahead") + F.col("_own") - 1).cast("long")).drop("_own", "_ahead", "sub")
+    rows = sized(docs.drop("size", "text_crc32", "vslot", "shard", "slot", "sub"))
+    slim = stored(rows.select("doc_id", "size", "text_crc32", "_copy"), "sizes")
+    return placed(rows, slots, planned(slim, shards, slots, hot_share, map_path or scratch_path(docs.sparkSession, "slot-map"), previous, version))
+
+
+def shard_ids(docs: DataFrame, shards: int = 16, slots: int = SLOTS, hot_share: float = 0.9, map_path: str | None = None, previous: list[int] | None = None, version: int = 1) -> DataFrame:
+    """As :func:`shard`, but doc_id is the only column of ``docs`` that is returned; texts are read once."""
+    slim = stored(sized(docs).select("doc_id", "size", "text_crc32", "_copy"), "sizes")
+    return placed(slim, slots, planned(slim, shards, slots, hot_share, map_path or scratch_path(docs.sparkSession, "slot-map"), previous, version))
 
 
 def op10_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = shard(docs)
+    out = shard_ids(docs)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 

@@ -119,6 +119,9 @@ def test_sharding_odd_tables_hot_texts_and_rebalancing(spark, odd_docs, empty_do
     hot = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, repeat('hot ', 50), concat('doc ', id, repeat(' x', 90))) as text", "'en' as lang", "'a' as source", "id % 7 as kept")
     rows = sharding.shard(hot, 8).select(*cols, "size", "text_crc32", "vslot", "shard", "slot").collect()
     check_sharded([tuple(r) for r in hot.select(*cols).collect()], rows, 8)
+    ids = sharding.shard_ids(hot, 8)
+    assert "text" not in ids.columns and {(r.doc_id, r.size, r.text_crc32, r.vslot, r.shard, r.slot) for r in ids.collect()} == {(r.doc_id, r.size, r.text_crc32, r.vslot, r.shard, r.slot) for r in rows}
+    assert sharding.shard_ids(empty_docs, 4).count() == 0 and sharding.shard_ids(odd_docs, 4).count() == odd_docs.count()
 
 
 def test_rebalancing_moves_few_slots():
