@@ -83,7 +83,7 @@ def emitted(mixed: DataFrame) -> DataFrame:
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    mixed = mix_sized(docs.select("doc_id", "source", word_count().alias("size")))
+    mixed = mix_sized(stored(docs.select("doc_id", "source", word_count().alias("size")), "sizes"))  # texts are read once
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
