@@ -145,7 +145,7 @@ def ask_words(table: DataFrame, buckets: int) -> DataFrame:
             for chunk, w, t in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "train")), strict=True):
                 words, train = unpack(w, U64, True), unpack(t)
                 cut = [0, *np.searchsorted(words, edges).tolist(), len(words)]
-                rows = [(k, chunk, pack(words[a:b], True), pack(train[a:b]), None, None, None) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False))]
+                rows = [(k, chunk, pack(words[a:b], True), pack(train[a:b]), None, None, None) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
                 yield pa.RecordBatch.from_pandas(_rows(rows, ASKED), schema=_ASKED, preserve_index=False)
 
     return table.select("chunk", "words", "train").mapInArrow(run, ASKED)
@@ -337,7 +337,7 @@ def train_and_score(docs: DataFrame, folds: int = 7, fold: int = 2, table_path:
         words.write.partitionBy("kind").parquet(f"{table_path}/words")
     words = spark.read.parquet(f"{table_path}/words")
     sums = {r.bucket: r.sums for r in words.where("kind = 'table'").select("bucket", "sums").collect()}  # a row a bucket
-    sizes = np.array([sums[b][0] for b in range(buckets)])
+    sizes = np.array([sums[b][0] if b in sums else 0.0 for b in range(buckets)])  # nothing asks a bucket without words
     offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     total = np.sum([s for s in sums.values()], axis=0)
     unigram = Unigram(float(total[1]), float(total[0]), total[2:].tolist())

@@ -88,6 +88,13 @@ def test_empty_and_untrained_tables(spark, empty_docs):
     assert rows and all(r.train_tokens == 0 and r.n_known == 0 and r.score == 0 for r in rows)
 
 
+def test_buckets_without_words(spark):
+    rows = [(k, t) for k, t in enumerate(["a b a", "b c", None, "a b d"])]
+    model = Brute(rows)
+    got = {r.doc_id: r.score for r in katz.train_and_score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), chunk=6, bucket=1).collect()}
+    assert got == {i: pytest.approx(model.score(t)[3]) for i, t in rows}
+
+
 def test_arrays_survive_packing():
     import numpy as np
 
