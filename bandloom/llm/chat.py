@@ -6,10 +6,12 @@ span of turn k, and an output that doesn't begin with the one before shows a tem
 rewrites history. Inside a span the text of the turn is found by rendering the same prefix
 with the text replaced by a probe: what both outputs share at either end is the template's.
 
-Rows stream through tasks sorted by (conversation, turn), so a conversation of any length
-needs bounded memory: only the last ``span`` turns are rendered again for each new turn,
-and each time the window moves on, the turns it shares with the last one are rendered in
-both and compared.
+Rows stream through tasks sorted by (conversation, turn). A template is rendered on true
+prefixes, from the first turn on, so a task holds one conversation and its output, and the
+work grows with the square of its turns. A template that declares itself a concatenation of
+turns (``concatenated``) needs bounded memory for a conversation of any length: only the last
+``span`` turns are rendered again for each new turn, and each time the window moves on, the
+turns it shares with the last one are rendered in both and compared.
 
 Defined results: null role or text is empty; turns of one conversation with equal numbers
 go by role, then text; a null turn number comes first; a null conv_id is a conversation;
@@ -53,6 +55,13 @@ def unescape(text: str, lines: bool = False) -> str:
     return _ESCAPED.sub(lambda m: "\\" if m[1] == "\\" else ("\n" if lines else "n") if m[1] else "", text)
 
 
+def concatenated(template: Template) -> Template:
+    """Declares that ``template`` shows every turn alone, whatever stands before or after it, and adds nothing."""
+    template.concatenated = True
+    return template
+
+
+@concatenated
 def chatml(turns: list[Turn]) -> str:
     return "".join(f"{OPEN}{escape(role, True)}\n{escape(text)}{CLOSE}" for role, text in turns)
 
@@ -91,7 +100,7 @@ class Rendered:
 
 @dataclass
 class Renderer:
-    """Feeds turns one by one; keeps the last ``span`` turns and their output only."""
+    """Feeds turns one by one; of a concatenation keeps the last ``span`` turns and their output only."""
 
     template: Template
     span: int = WINDOW
@@ -100,7 +109,7 @@ class Renderer:
     rewrites: int = 0
 
     def add(self, role: str, text: str) -> Rendered:
-        if len(self.turns) >= 2 * self.span:
+        if getattr(self.template, "concatenated", False) and len(self.turns) >= 2 * self.span:
             kept = self.turns[-self.span :]
             again = self.template(kept)
             if not self.shown.endswith(again):

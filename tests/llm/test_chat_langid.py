@@ -6,6 +6,8 @@ import hashlib
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from bandloom.llm import chat, langid
 
 BITS = ["</s>", "[INST]", "[/INST]", "<s>", "<|im_start|>", "<|im_end|>", "\\", "\n", "<", "[", "é", "𝔸", " ok ", "<<SYS>>", "\\n", "n", ""]
@@ -55,6 +57,32 @@ def test_templates_that_rewrite_history_are_found(spark):
     assert [r.rewrites for r in chat.digests(df, drops_old).collect()] == [2]
 
 
+def test_black_box_templates_see_every_turn_from_the_first(spark):
+    said = [("assistant" if k % 2 else "user", f"turn {k}</s>") for k in range(200)]
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(said)], "conv_id long, turn long, role string, text string").repartition(3)
+
+    def begins(turns):
+        return "<bos>system\n" + "".join(f"<{r}>{t}\n" for r, t in turns)
+
+    def numbers(turns):
+        return "".join(f"{k}. <{r}>{t}\n" for k, (r, t) in enumerate(turns))
+
+    def strict(turns):
+        if turns[0][1] not in ("turn 0</s>", *chat.PROBES):
+            raise ValueError("the first turn is missing")
+        return begins(turns)
+
+    for template in (begins, numbers, strict):
+        *spans, end = chat.turn_spans(df, template).orderBy(F.col("turn_no").asc_nulls_last()).collect()
+        assert end.rewrites == 0 and "".join(s.piece for s in spans) == template(said)
+        assert [(s.role, s.piece[s.text_start : s.text_end]) for s in spans] == said
+
+    def forgets(turns):  # a long conversation loses the text of its first turn
+        return "".join(f"<{r}>{'' if k == 0 and len(turns) > 150 else t}\n" for k, (r, t) in enumerate(turns))
+
+    assert [r.rewrites for r in chat.digests(df, forgets).collect()] == [1]
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     d = sf_dir.replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{d}/documents.parquet")
