@@ -177,6 +177,26 @@ def test_signals(spark):
     assert not dsp.analysed(simulator.samples(2.4e6, 0.3, 2400.0), 2.4e6, 12_500.0)["tone_checked"]
 
 
+def test_codes_need_repeats_that_agree_and_their_partner():
+    rate, n = 2000.0, 2000
+
+    def sent(words):
+        at = (np.arange(n) / rate * dsp.DCS_BAUD).astype(int)
+        return np.array([2.0 * (words[b // 23 % len(words)] >> b % 23 & 1) - 1 for b in at])
+
+    full = (1 << 23) - 1
+    for code, word in dsp.WORDS.items():
+        assert dsp.dcs_code(sent([word]), rate) == (code, "N", 0, 5)
+        assert dsp.dcs_code(sent([word ^ 0x100208]), rate)[:3] == (code, "N", 3)
+        assert dsp.dcs_code(sent([word ^ full]), rate)[:3] == (dsp.PARTNERS[code], "N", 0)
+    assert dsp.PARTNERS["023"] == "047" and {dsp.PARTNERS[c] for c in golay.CODES} == set(golay.CODES)
+    assert dsp.dcs_code(sent([dsp.WORDS[c] for c in ("023", "155", "754", "306", "632")]), rate) is None
+    assert dsp.dcs_code(sent([dsp.WORDS["023"]])[:500], rate) is None
+    noise = [np.convolve(np.random.default_rng(k).normal(size=n + 254), dsp.lowpass(255, 300.0, rate), "valid") for k in range(300)]
+    assert [k for k, x in enumerate(noise) if dsp.dcs_code(x, rate)] == []
+    assert dsp.analysed(simulator.samples(2.4e6, 1.1, 4000.0, dcs="155"), 2.4e6, 12_500.0)["dcs_polarity"] == "N"
+
+
 def test_mutations_and_schema(spark, tmp_path):
     path = f"file://{tmp_path}/channels"
     mutations.swapped(spark.range(3), path)
