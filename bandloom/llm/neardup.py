@@ -404,9 +404,11 @@ def _wave(classes: DataFrame, labels: DataFrame | None, trees: range, per_cent:
 
 
 def classes_and_labels(docs: DataFrame, per_cent: int, trees: int, leaf: int, depth: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(rows as :func:`keyed` gives them, classes, labels as :func:`components` gives them or None)."""
+    """(rows as :func:`keyed` gives them, classes, labels as :func:`components` gives them or None).
+
+    ``own`` of a class is its first row by (doc_id, mark), null ids last."""
     rows = stored(keyed(docs), "keyed")
-    classes = stored(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "tokens", "sketch", "fine")]), "classes")
+    classes = stored(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("anon"), "doc_id", "mark")).alias("own"), *[F.first(c).alias(c) for c in ("n", "tokens", "sketch", "fine")]), "classes")
     rows = rows.select("doc_id", "mark", "n", "key")
     links, labels = None, None
     for some in (range(min(FIRST, trees)), range(min(FIRST, trees), trees)):
@@ -432,15 +434,21 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85, trees: int = TREES, lea
     return some.union(none).select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, per_cent: int = 85, **how) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component; of rows equal in id and text, one."""
+def deduplicated(docs: DataFrame, per_cent: int = 85, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+    """The rows of ``docs`` that stay: the first of each component by (doc_id, text's hash), null ids last; of rows
+    equal in both, one. Rows without words stand alone and all stay."""
     with temporary(docs.sparkSession) as keep:
-        kept = near_duplicates(docs, per_cent, **how).where("kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+        rows, classes, labels = classes_and_labels(docs, per_cent, trees, leaf, depth)
+        rooted = classes.select("own", F.col("key").alias("root")) if labels is None else classes.select("key", "own").join(labels, "key", "left").select("own", F.coalesce("root", "key").alias("root"))
+        kept = rooted.groupBy("root").agg(F.min("own").alias("own")).select(F.col("own.doc_id").alias("_id"), F.col("own.mark").alias("_mark"))
         kept = keep(stored(kept, "kept"))
-    again = not is_empty(kept.groupBy("_id", "_mark").count().where("count > 1"))
-    marked = docs.withColumn("_own", F.xxhash64("text"))
+        copies = rows.where("key is not null").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi")
+        again = not is_empty(copies.groupBy("doc_id", "mark").count().where("count > 1"))
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    marked = docs.where(worded).withColumn("_own", F.xxhash64("text"))
     stay = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_own"] == kept["_mark"]), "left_semi")
-    return (stay.dropDuplicates(["doc_id", "_own"]) if again else stay).select(*docs.columns)
+    stay = stay.dropDuplicates(["doc_id", "_own"]) if again else stay
+    return stay.select(*docs.columns).union(docs.where(~worded))
 
 
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,20 @@ def test_deduplicated_keeps_one_of_each_component_and_all_columns(odd_docs, empt
     assert N.near_duplicates(empty_docs).count() == 0 and N.deduplicated(empty_docs).count() == 0
 
 
+def test_deduplicated_with_null_and_repeated_ids(spark):
+    word = [f"w{k}" for k in range(300)]
+    near = lambda a, k: " ".join([*word[a : a + 100], f"own{k}"])
+    rows = [(7, near(0, k)) for k in range(3)] + [(7, near(0, 1)), (9, near(0, 9)), (None, near(0, 8))]
+    rows += [(None, near(100, k)) for k in range(3)] + [(None, near(200, 0))] * 2 + [(5, "")] * 2 + [(None, None)] * 2 + [(5, " \n"), (7, "a text of its own here")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n long").repartition(5)
+    assert len({r.component_id for r in N.near_duplicates(df.where("n < 6")).collect()}) == 1
+    stay = [(r.doc_id, r.text) for r in N.deduplicated(df).collect()]
+    about = lambda a: [i for i, t in stay if t and t.startswith(word[a] + " ")]
+    assert about(0) == [7] and about(100) == [None] and about(200) == [None]
+    rest = [x for x in stay if not (x[1] or "").startswith("w")]
+    assert sorted(rest, key=str) == sorted(rows[11:], key=str)
+
+
 def test_components_of_a_long_path(spark):
     n = 70
     key = lambda k: np.array([k * 7919 % 71], ">u8").tobytes()
