@@ -10,12 +10,16 @@ documents as indexes into its own distinct words. A chunk asks for each distinct
 and later for each distinct pair once; the askings of all chunks meet in *buckets* by a hash
 (words) or by the context (pairs), so that a word or pair costs one entry for each chunk that
 has it, however often it occurs. A bucket adds up the counts, keeps its part of the table and
-answers in the order it was asked. A context with more than its part of a bucket's entries is
-*hot*: its pairs are dealt over all buckets and its sums are added afterwards; there are at
-most ``8 * buckets`` such contexts, the only rows of the model that reach the driver.
+answers in the order it was asked. A chunk asks for every known context it has, also where no
+known word follows, as only the answer says what a context leaves to unseen words. A context
+that makes up more than an eighth of a bucket is *hot*: its pairs are dealt over all buckets,
+and its sums are added by word and joined to the chunks that have it. Only totals of the whole
+corpus reach the driver.
 
-Words are told apart by 64-bit hashes. Tables are kept under ``table_path``: words (bucket,
-hash, count) and pairs (bucket, v, w, count) as arrays in Parquet, a row for each bucket.
+Words are told apart by 64-bit hashes; a word's id is its bucket and its place there, 32 bits
+each. Tables under ``table_path`` (a folder of the run's own, removed at its end, where none is
+given): words (bucket, hash, count) and pairs (bucket, v, w, count) as arrays in Parquet, a row
+for each bucket.
 
 Discounts: for counts r to K = 5, (r*/r - A) / (1 - A) with r* = (r+1) n(r+1)/n(r) and
 A = (K+1) n(K+1)/n(1). Where the corpus is too small for all of them to lie in (0, 1], K is
@@ -39,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cleaned_shuffles, hash_words, held_out, joined_texts, mix, mix_int, scratch_path, stored, words_of
+from .shared import cleaned_shuffles, hash_words, held_out, joined_texts, mix, mix_int, remove_path, scratch_path, stored, temporary, words_of
 
 U64, U32 = np.uint64, np.uint32
 CHUNK = 1_500_000
@@ -128,8 +132,8 @@ def chunks(docs: DataFrame, fold: int, folds: int, limit: int = CHUNK) -> DataFr
 
 # ---------------------------------------------------------------- words
 
-ASKED = "bucket int, chunk long, a binary, b binary, c binary, d binary, e binary"
-SAID = "kind string, bucket int, chunk long, a binary, b binary, c binary, d binary, sums array<double>"
+ASKED = "bucket int, chunk long, a binary, b binary, c binary, d binary, e binary, f binary"
+SAID = "kind string, bucket int, chunk long, a binary, b binary, c binary, d binary, word long, sums array<double>"
 
 
 def _rows(rows: list[tuple], spec: str) -> pd.DataFrame:
@@ -145,13 +149,13 @@ def ask_words(table: DataFrame, buckets: int) -> DataFrame:
             for chunk, w, t in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "train")), strict=True):
                 words, train = unpack(w, U64, True), unpack(t)
                 cut = [0, *np.searchsorted(words, edges).tolist(), len(words)]
-                rows = [(k, chunk, pack(words[a:b], True), pack(train[a:b]), None, None, None) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+                rows = [(k, chunk, pack(words[a:b], True), pack(train[a:b]), None, None, None, None) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
                 yield pa.RecordBatch.from_pandas(_rows(rows, ASKED), schema=_ASKED, preserve_index=False)
 
     return table.select("chunk", "words", "train").mapInArrow(run, ASKED)
 
 
-_ASKED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in "abcde"]])
+_ASKED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in "abcdef"]])
 
 
 def spectrum(counts: np.ndarray) -> list[float]:
@@ -172,10 +176,15 @@ def _answer_words(rows: pd.DataFrame) -> pd.DataFrame:
     for chunk, (w, _) in zip(rows.chunk, asked, strict=True):
         here = where[at : at + len(w)]
         at += len(w)
-        out.append(("reply", rows.bucket.iloc[0], chunk, pack(total[here]), pack(place[here].astype(U32)), None, None, None))
+        out.append(("reply", rows.bucket.iloc[0], chunk, pack(total[here]), pack(place[here].astype(U32)), None, None, None, None))
     kept = total[seen]
     sums = [float(seen.sum()), float(kept.sum()), *spectrum(kept)]
-    return _rows([*out, ("table", rows.bucket.iloc[0], None, pack(words[seen], True), pack(kept), None, None, sums)], SAID)
+    return _rows([*out, ("table", rows.bucket.iloc[0], None, pack(words[seen], True), pack(kept), None, None, None, sums)], SAID)
+
+
+def ids_of(buckets, places: list[np.ndarray]) -> np.ndarray:
+    """Ids of words from their buckets and places there (from 1; 0: not in training, and so is the id)."""
+    return np.concatenate([np.where(p > 0, (U64(b) << U64(32)) | p.astype(U64), U64(0)) for b, p in zip(buckets, places, strict=True)])
 
 
 # ---------------------------------------------------------------- discounts
@@ -212,8 +221,8 @@ class Unigram:
 # ---------------------------------------------------------------- pairs
 
 
-def _decode(chunk: pd.DataFrame, replies: pd.DataFrame, offsets: np.ndarray) -> dict:
-    """A chunk with its words' counts and ids (1 up; 0: unknown), and its distinct pairs.
+def _decode(chunk: pd.DataFrame, replies: pd.DataFrame, least: float) -> dict:
+    """A chunk with its words' counts and ids, and its distinct pairs; ``hot``: pairs whose context is.
 
     A pair is (v, w) as indexes of the chunk's words, v = -1 before the first token.
     """
@@ -221,7 +230,7 @@ def _decode(chunk: pd.DataFrame, replies: pd.DataFrame, offsets: np.ndarray) ->
     lens, tokens = unpack(c.lens, np.int64), unpack(c.tokens, U32).astype(np.int64)
     replies = replies[replies.kind == "reply"].sort_values("bucket")
     count = np.concatenate([unpack(a) for a in replies.a])
-    ids = np.concatenate([np.where((p := unpack(b, U32).astype(np.int64)) > 0, p + offsets[k], 0) for k, b in zip(replies.bucket, replies.b, strict=True)])
+    ids = ids_of(replies.bucket, [unpack(b, U32) for b in replies.b])
     v = np.empty_like(tokens)
     v[1:] = tokens[:-1]
     v[np.cumsum(lens) - lens] = -1
@@ -229,56 +238,77 @@ def _decode(chunk: pd.DataFrame, replies: pd.DataFrame, offsets: np.ndarray) ->
     pairs, where = np.unique((v + 1) * (len(ids) + 1) + tokens, return_inverse=True)
     pv, pw = pairs // (len(ids) + 1) - 1, pairs % (len(ids) + 1)
     return {
-        "c": c, "lens": lens, "where": where, "count": count, "ids": ids, "pv": pv, "pw": pw,
-        "n": np.bincount(where[train], minlength=len(pairs)), "vid": np.where(pv < 0, 0, ids[pv]),
+        "c": c, "lens": lens, "where": where, "count": count, "ids": ids, "pv": pv, "pw": pw, "n": np.bincount(where[train], minlength=len(pairs)),
+        "vid": np.where(pv < 0, U64(0), ids[pv]), "hot": (pv < 0) | (count[pv] >= least),
     }
 
 
-def _asked_pairs(x: dict, buckets: int, hot: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(bucket, indexes of pairs in order of context id, then word id) of the pairs that can have a count."""
-    can = np.flatnonzero((x["ids"][x["pw"]] > 0) & ((x["pv"] < 0) | (x["vid"] > 0)))
-    v, w = x["vid"][can].astype(U64), x["ids"][x["pw"]][can].astype(U64)
-    at = mix(np.where(np.isin(v, hot), v * U64(0x9E3779B97F4A7C15) + w, v)) % U64(buckets)
+def _asked_pairs(x: dict, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """(bucket, indexes of pairs in order of context id, then word id): pairs that can have a count, and every known context that isn't hot."""
+    known = (x["pv"] < 0) | (x["vid"] > 0)
+    can = np.flatnonzero(known & ((x["ids"][x["pw"]] > 0) | ~x["hot"]))
+    v, w = x["vid"][can], x["ids"][x["pw"]][can]
+    at = mix(np.where(x["hot"][can], v * U64(0x9E3779B97F4A7C15) + w, v)) % U64(buckets)
     order = np.lexsort((w, v, at))
     can, at = can[order], at[order]
     cut = np.searchsorted(at, np.arange(buckets + 1).astype(U64))
     return [(b, can[cut[b] : cut[b + 1]]) for b in range(buckets)]
 
 
-def _answer_pairs(rows: pd.DataFrame, hot: np.ndarray, unigram: Unigram) -> pd.DataFrame:
+def _answer_pairs(rows: pd.DataFrame, unigram: Unigram) -> pd.DataFrame:
     """Counts of a bucket's pairs; sums of each context: total, how many counts are 1..K, and the followers' unigram mass."""
     asked = []
     for r in rows.itertuples():
-        v = np.repeat(unpack(r.a, U64, True), unpack(r.b, U32).astype(np.int64))
-        asked.append(((v << U64(32)) | unpack(r.c, U32).astype(U64), unpack(r.d), unpack(r.e)))
-    keys, first, where = np.unique(np.concatenate([k for k, _, _ in asked]), return_index=True, return_inverse=True)
-    total = np.zeros(len(keys), U64)
-    np.add.at(total, where, np.concatenate([n for _, n, _ in asked]))
-    lower = unigram(np.concatenate([c for _, _, c in asked])[first])
+        followers = unpack(r.b, U32).astype(np.int64)
+        v = np.repeat(unpack(r.a, U64, True), followers)
+        asked.append((v, unpack(r.c), unpack(r.d), unpack(r.e), np.repeat(unpack(r.f, np.uint8), followers)))
+    av, aw, n, c, hot = (np.concatenate([x[k] for x in asked]) for k in range(5))
+    order = np.lexsort((aw, av))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (av[order][1:] != av[order][:-1]) | (aw[order][1:] != aw[order][:-1])
+    first = order[fresh]
+    where = np.empty(len(order), np.int64)
+    where[order] = np.cumsum(fresh) - 1
+    total = np.zeros(len(first), U64)
+    np.add.at(total, where, n)
     seen = total > 0
-    v, begin = np.unique(keys[seen] >> U64(32), return_index=True)
-    t, p = total[seen], lower[seen]
+    v, begin = np.unique(av[first][seen], return_index=True)
+    t, p = total[seen], unigram(c[first][seen])
     sums = [np.add.reduceat(y, begin) if len(v) else np.zeros(0) for y in (t.astype(float), *[(t == r).astype(float) for r in range(1, K + 1)], p)]
-    cold = ~np.isin(v, hot)
+    warm = hot[first][seen][begin] == 1
+    cold = v[~warm]
     out, at, bucket = [], 0, rows.bucket.iloc[0]
-    for chunk, (k, _, _) in zip(rows.chunk, asked, strict=True):
-        here = where[at : at + len(k)]
-        at += len(k)
-        own = np.unique(k >> U64(32))
-        own = own[np.isin(own, v[cold])]
+    for chunk, (own, *_) in zip(rows.chunk, asked, strict=True):
+        here = where[at : at + len(own)]
+        at += len(own)
+        own = np.intersect1d(own, cold)
         i = np.searchsorted(v, own)
         cells = [pack(own, True), pack(total[here]), pack(np.stack([s[i] for s in sums[:-1]]).astype(U32).reshape(-1)), pack(sums[-1][i])]
-        out.append(("reply", bucket, chunk, *cells, None))
-    warm = np.flatnonzero(~cold)
-    out += [("hot", bucket, int(v[i]), None, None, None, None, [float(s[i]) for s in sums]) for i in warm]
-    return _rows([*out, ("table", bucket, None, pack(keys[seen], True), pack(t), None, None, spectrum(t))], SAID)
+        out.append(("reply", bucket, chunk, *cells, None, None))
+    out += [("hot", bucket, None, None, None, None, None, int(v[i]), [float(s[i]) for s in sums]) for i in np.flatnonzero(warm)]
+    table = [pack(av[first][seen], True), pack(aw[first][seen]), pack(t), None]
+    return _rows([*out, ("table", bucket, None, *table, None, spectrum(t))], SAID)
+
 
+def hot_contexts(replies: DataFrame, least: float) -> DataFrame:
+    """(word, chunk): the hot contexts that each chunk has, its start (word 0) included."""
 
-def _score(x: dict, replies: pd.DataFrame, asked: list, unigram: Unigram, d2: np.ndarray, hot: dict[int, list[float]]) -> pd.DataFrame:
+    def run(batches):
+        for batch in batches:
+            for bucket, chunk, a, b in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "a", "b")), strict=True):
+                place = unpack(b, U32)
+                at = np.flatnonzero((unpack(a) >= least) & (place > 0))
+                yield pa.RecordBatch.from_arrays([pa.array(ids_of([bucket], [place[at]]).view(np.int64)), pa.array([chunk] * len(at), pa.int64())], names=["word", "chunk"])
+
+    starts = replies.select(F.lit(0).cast("long").alias("word"), "chunk").distinct()
+    return replies.select("bucket", "chunk", "a", "b").mapInArrow(run, "word long, chunk long").union(starts)
+
+
+def _score(x: dict, replies: pd.DataFrame, hot: pd.DataFrame, asked: list, unigram: Unigram, d2: np.ndarray) -> pd.DataFrame:
     pv, pw, vid = x["pv"], x["pw"], x["vid"]
     seen = np.zeros(len(pv))
     by = {r.bucket: r for r in replies.itertuples()}
-    stats = [(np.array([v], U64), np.array(s)[:, None]) for v, s in hot.items()]
+    stats = [(hot.word.to_numpy().astype(U64), np.stack(hot.sums.to_list(), axis=1))] if len(hot) else []
     for b, at in asked:
         if b in by and len(at):
             r = by[b]
@@ -289,9 +319,9 @@ def _score(x: dict, replies: pd.DataFrame, asked: list, unigram: Unigram, d2: np
     table = np.concatenate([s for _, s in stats], axis=1) if stats else np.zeros((K + 2, 0))
     order = np.argsort(known)
     known, table = known[order], table[:, order]
-    place = np.searchsorted(known, vid.astype(U64))
+    place = np.searchsorted(known, vid)
     has = (place < len(known)) & ((pv < 0) | (vid > 0))
-    has[has] = known[place[has]] == vid[has].astype(U64)
+    has[has] = known[place[has]] == vid[has]
     low = unigram(x["count"][pw])
     p = low.copy()
     s = table[:, place[has]]
@@ -325,7 +355,16 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def train_and_score(docs: DataFrame, folds: int = 7, fold: int = 2, table_path: str | None = None, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """Learns from the rows outside the fold and scores every row."""
     spark = docs.sparkSession
-    table_path = table_path or scratch_path(spark, "katz")
+    at = table_path or scratch_path(spark, "katz")
+    with temporary(spark) as keep:
+        scores = keep(stored(_scores(docs, folds, fold, at, chunk, bucket), "scores"))
+    if table_path is None:
+        remove_path(spark, at)
+    return scores
+
+
+def _scores(docs: DataFrame, folds: int, fold: int, table_path: str, chunk: int, bucket: int) -> DataFrame:
+    spark = docs.sparkSession
     table = stored(chunks(docs, fold, folds, chunk), "chunks")
     n_chunks = table.count()
     if not n_chunks:
@@ -335,59 +374,45 @@ def train_and_score(docs: DataFrame, folds: int = 7, fold: int = 2, table_path:
     words = ask_words(table, buckets).groupBy("bucket").applyInPandas(_answer_words, SAID)
     with cleaned_shuffles(spark):
         words.write.partitionBy("kind").parquet(f"{table_path}/words")
-    words = spark.read.parquet(f"{table_path}/words")
-    sums = {r.bucket: r.sums for r in words.where("kind = 'table'").select("bucket", "sums").collect()}  # a row a bucket
-    sizes = np.array([sums[b][0] if b in sums else 0.0 for b in range(buckets)])  # nothing asks a bucket without words
-    offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    total = np.sum([s for s in sums.values()], axis=0)
-    unigram = Unigram(float(total[1]), float(total[0]), total[2:].tolist())
-    if sizes.sum() >= 1 << 32:
-        raise ValueError("more than 2**32 distinct words: split the ids over two columns first")
-    hot = hot_words(words.where("kind = 'table'"), unigram.total / (8 * buckets), offsets)
+    words = spark.read.schema(SAID).parquet(f"{table_path}/words")
+    types, total, *n = words.where("kind = 'table'").select(*[F.sum(F.col("sums")[k]) for k in range(K + 3)]).first()
+    unigram = Unigram(total, types, n)
+    least = max(1.0, total / (8 * buckets))  # training count from which a context is hot
 
     def asking(chunk: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        x = _decode(chunk, replies, offsets)
+        x = _decode(chunk, replies, least)
         rows = []
-        for b, at in _asked_pairs(x, buckets, hot):
+        for b, at in _asked_pairs(x, buckets):
             if len(at):
-                v, followers = np.unique(x["vid"][at].astype(U64), return_counts=True)
+                v, first, followers = np.unique(x["vid"][at], return_index=True, return_counts=True)
                 w = x["pw"][at]
-                rows.append((b, x["c"].chunk, pack(v, True), pack(followers.astype(U32)), pack(x["ids"][w].astype(U32)), pack(x["n"][at].astype(U64)), pack(x["count"][w])))
+                cells = [pack(v, True), pack(followers.astype(U32)), pack(x["ids"][w]), pack(x["n"][at].astype(U64)), pack(x["count"][w]), pack(x["hot"][at][first].astype(np.uint8))]
+                rows.append((b, x["c"].chunk, *cells))
         return _rows(rows, ASKED)
 
     replies = words.where("kind = 'reply'")
     table = table.drop("words", "train")  # asked and answered
     asked = table.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(asking, ASKED)
-    pairs = asked.groupBy("bucket").applyInPandas(lambda rows: _answer_pairs(rows, hot, unigram), SAID)
+    pairs = asked.groupBy("bucket").applyInPandas(lambda rows: _answer_pairs(rows, unigram), SAID)
     with cleaned_shuffles(spark):
         pairs.write.partitionBy("kind").parquet(f"{table_path}/pairs")
     pairs = spark.read.schema(SAID).parquet(f"{table_path}/pairs")
     n = pairs.where("kind = 'table'").select(*[F.sum(F.col("sums")[k]) for k in range(K + 1)]).first()
     d2 = np.array(discounts([x or 0.0 for x in n]))
-    warm = {r[0]: list(r[1:]) for r in pairs.where("kind = 'hot'").groupBy("chunk").agg(*[F.sum(F.col("sums")[k]) for k in range(K + 2)]).collect()}  # 8 * buckets + 1 at most
+    warm = pairs.where("kind = 'hot'").groupBy("word").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(K + 2)]).alias("sums"))
+    warm = hot_contexts(replies, least).join(warm, "word")
 
-    def scoring(chunk: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        x = _decode(chunk, replies[replies.step == "words"], offsets)
-        return _score(x, replies[replies.step == "pairs"], _asked_pairs(x, buckets, hot), unigram, d2, warm)
+    def scoring(chunk: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+        x = _decode(chunk, said[said.step == "words"], least)
+        return _score(x, said[said.step == "pairs"], said[said.step == "hot"], _asked_pairs(x, buckets), unigram, d2)
 
-    cols = ["kind", "bucket", "chunk", "a", "b", "c", "d"]
-    said = replies.select(*cols, F.lit("words").alias("step")).union(pairs.where("kind = 'reply'").select(*cols, F.lit("pairs").alias("step")))
+    cols = ["kind", "bucket", "chunk", "a", "b", "c", "d", "word", "sums"]
+    own = {c: F.col(c) for c in ("chunk", "word", "sums")}
+    hot = warm.select(*[own.get(c, F.lit(None).cast(t)).alias(c) for c, t in replies.select(*cols).dtypes])
+    said = replies.select(*cols, F.lit("words").alias("step")).union(pairs.where("kind = 'reply'").select(*cols, F.lit("pairs").alias("step"))).union(hot.withColumn("step", F.lit("hot")))
     return table.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInPandas(scoring, SCORES)
 
 
-def hot_words(tables: DataFrame, least: float, offsets: np.ndarray) -> np.ndarray:
-    """Ids of the words that occur ``least`` times or more, and 0, the start: total / least of them at most."""
-
-    def run(batches):
-        for batch in batches:
-            for b, counts in zip(batch.column("bucket").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                at = np.flatnonzero(unpack(counts) >= max(least, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(at + 1 + offsets[b])], names=["id"])
-
-    ids = [r[0] for r in tables.select("bucket", "b").mapInArrow(run, "id long").collect()]
-    return np.array([0, *sorted(ids)], U64)
-
-
 def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 

@@ -95,6 +95,17 @@ def test_buckets_without_words(spark):
     assert got == {i: pytest.approx(model.score(t)[3]) for i, t in rows}
 
 
+@pytest.mark.parametrize("parts, sizes", [(1, {}), (1, {"chunk": 1, "bucket": 1 << 20}), (40, {"chunk": 1, "bucket": 1 << 20}), (40, {"chunk": 1, "bucket": 50}), (3, {"chunk": 200, "bucket": 40})])
+def test_layout_of_rows_does_not_matter(spark, parts, sizes):
+    """Held-out documents in chunks of their own, with contexts that only unknown words follow, among contexts of all weights."""
+    rows = [(k, " ".join(f"w{(k * j) % (7 + j)}" for j in range(1, 90))) for k in range(300)]
+    rows += [(1000 + k, f"w{k % 9} zzz{k} w{k % 5} q") for k in range(40)] + [(2000 + k, "w7 zzz") for k in range(40)]
+    model = Brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
+    got = {r.doc_id: r.score for r in katz.train_and_score(docs, **sizes).collect()}
+    assert got == {i: pytest.approx(model.score(t)[3], abs=1e-9) for i, t in rows}
+
+
 def test_arrays_survive_packing():
     import numpy as np
 
