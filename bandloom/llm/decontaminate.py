@@ -6,37 +6,46 @@ that ends there is known. A match of ``window`` words or more, or a whole item t
 shorter, marks the words it covers. A document is contaminated when the marked words reach
 ``coverage`` of its words; spans can also be cut out of the text.
 
-Items are read in blocks of about ``block_words`` words, by a hash of their text; each block's
-words are broadcast (a stated bound, but for one item longer than that) and built into an
-automaton once in every worker. More blocks mean more passes of all documents, not more memory.
+The automaton holds each distinct text once, whatever number of items share it; items are
+named afterwards, once for each set of texts that documents meet, by a join. A long text is cut
+into pieces that overlap by a window less one word, so that every window is in one of them.
+Pieces are dealt by hash into blocks of about ``block_words`` words. One block at a time is
+broadcast and built into an automaton in the workers. A benchmark of one block takes one
+pass of the documents; each further block takes another, which stores the rows that it hits, so
+more blocks mean more passes and not more memory.
 
 Defined results: null text has no words and no hits; a null or wordless item matches nothing;
-items with equal text each count; items with one id count once; repeated document rows are
-rows of their own; empty tables give no hits or no rows; extra columns pass through
-(``columns`` of :func:`matches`), and are replaced where they clash.
+items with equal text each count; items with one id count once, a null id as the empty string;
+repeated document rows are rows of their own; empty tables give no hits or no rows; extra
+columns pass through (``columns`` of :func:`matches`), and are replaced where they clash.
+``longest`` counts words of one piece.
 """
 
 from __future__ import annotations
 
 import re
+import string
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+
+from .shared import fresh, joined_back, row_keyed, stored, temporary, text_udf, without
 
 #: Fixed value: a word, over UTF-8 bytes with A-Z lower-cased.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 BLOCK_WORDS = 100_000
+PIECE_WORDS = 10_000
 
 
 class SuffixAutomaton:
     """Of word sequences; each state knows the items whose window, or whole short text, it stands for."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[object, list[bytes]]], window: int):
         self.window = window
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -153,82 +162,129 @@ class SuffixAutomaton:
         return merged, items, longest
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, bytes]]]:
-    """Blocks of (item id, lower-cased text); a block is fetched when it is asked for."""
-    items = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (6 * block_words)))  # about six bytes a word
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        yield [(r[0], bytes(r[1]).lower()) for r in part.collect()]
+# ---------------------------------------------------------------- the benchmark as texts
+
+
+def words_column(text: str = "text") -> Column:
+    """The words of a text with A-Z lower-cased; null has none."""
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), F.lit(WORD_SQL), F.lit(0))
+
 
+def item_texts(benchmark: DataFrame) -> DataFrame:
+    """(item, key, words) of the items that have words; equal texts have one key."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_column().alias("words")).where(F.size("words") > 0)
+    return items.select("item", F.xxhash64(F.array_join("words", " ")).alias("key"), "words")
 
-_built: dict[object, SuffixAutomaton] = {}
+
+def pieces(benchmark: DataFrame, window: int, piece_words: int) -> DataFrame:
+    """(key, words, block hash): distinct texts, cut where they are long."""
+    step = max(1, piece_words - window + 1)
+    texts = item_texts(benchmark).groupBy("key").agg(F.first("words").alias("words"))
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(step)))
+    cut = texts.select("key", "words", at.alias("at"))
+    return cut.select("key", F.when(F.size("words") <= piece_words, F.col("words")).otherwise(F.slice("words", F.col("at") + 1, F.lit(piece_words))).alias("words"), F.xxhash64("key", "at").alias("h"))
+
+
+_built: dict[str, SuffixAutomaton] = {}
 
 
 def _automaton(key: str, block, window: int) -> SuffixAutomaton:
     if key not in _built:
         _built.clear()  # a worker holds one block's automaton at a time
-        _built[key] = SuffixAutomaton([(i, WORD.findall(t)) for i, t in block.value], window)
+        _built[key] = SuffixAutomaton([(k, t.split(b" ")) for k, t in block.value], window)
     return _built[key]
 
 
-ADDED = "n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>, longest int"
+# ---------------------------------------------------------------- documents against blocks
+
+FOUND = "struct<n_words: bigint, n_hit: bigint, spans: array<struct<start: int, end: int>>, texts: array<bigint>, longest: int>"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, columns: list[str], window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``columns`` of ``docs`` with n_words, n_hit, spans (word offsets), items (ids as strings, sorted) and longest."""
+def search(spark: SparkSession, block: list[tuple[int, bytes]], window: int) -> Column:
+    """What a document's text has of a block of (key, words joined by spaces)."""
+    shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def run(texts: Iterator[list[bytes | None]]) -> Iterator[list[dict]]:
+        sa = _automaton(key, shared, window)
+        for batch in texts:
+            out = []
+            for data in batch:
+                words = WORD.findall((data or b"").lower())
+                spans, met, longest = sa.match(words)
+                out.append({"n_words": len(words), "n_hit": sum(b - a for a, b in spans), "spans": [{"start": a, "end": b} for a, b in spans], "texts": sorted(met), "longest": longest})
+            yield out
+
+    return text_udf(run, FOUND)("text")
+
+
+def joined_spans(spans: Column) -> Column:
+    """Spans from several blocks, merged where they meet."""
+    kind = "struct<done: array<struct<start: int, end: int>>, start: int, end: int>"
+
+    def step(acc: Column, s: Column) -> Column:
+        done = F.when(acc["end"] < 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end")))))
+        grown = F.struct(acc["done"].alias("done"), acc["start"].alias("start"), F.greatest(acc["end"], s["end"]).alias("end"))
+        return F.when((acc["end"] >= 0) & (s["start"] <= acc["end"]), grown).otherwise(F.struct(done.alias("done"), s["start"].alias("start"), s["end"].alias("end")))
+
+    none = F.struct(F.array().cast("array<struct<start: int, end: int>>").alias("done"), F.lit(-1).alias("start"), F.lit(-1).alias("end")).cast(kind)
+    return F.aggregate(F.array_sort(spans), none, step, lambda acc: F.when(acc["end"] < 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))))
+
+
+def found(docs: DataFrame, benchmark: DataFrame, name: str, window: int = WINDOW, block_words: int = BLOCK_WORDS, piece_words: int = PIECE_WORDS) -> DataFrame:
+    """``docs`` with a struct column ``name``: n_words, n_hit, spans (word offsets), texts (keys of item texts), longest."""
     spark = docs.sparkSession
-    columns = [c for c in columns if c not in {a.split()[0] for a in ADDED.split(", ")}]
-    out = None
-    blocks = item_blocks(benchmark, block_words)
-    read = "text" if "text" in columns else "_text"
-    own = columns if read == "text" else [*columns, F.col("text").alias(read)]
-    carried = docs.select(*own, F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).alias("longest"))
-    following = next(blocks)
-    while following is not None:
-        block, following = following, next(blocks, None)
-        last = following is None
-        spec = carried.schema if not last else docs.select(*columns, *[F.lit(None).cast(a.split(" ", 1)[1]).alias(a.split()[0]) for a in ADDED.split(", ")]).schema
-        arrow = to_arrow_schema(spec)
-        shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
-
-        def run(batches, shared=shared, key=key, arrow=arrow):
-            sa = _automaton(key, shared, window)
-            for batch in batches:
-                got: dict[str, list] = {"spans": [], "items": [], "longest": [], "n_words": [], "n_hit": []}
-                before = [batch.column(c).to_pylist() for c in ("spans", "items", "longest")]
-                for data, s0, i0, l0 in zip(batch.column(read).cast(pa.binary()).to_pylist(), *before, strict=True):
-                    words = WORD.findall((data or b"").lower())
-                    spans, items, longest = sa.match(words)
-                    spans = merged([(x["start"], x["end"]) for x in s0 or ()], spans)
-                    got["spans"].append([{"start": a, "end": b} for a, b in spans])
-                    got["items"].append(sorted({*(i0 or ()), *items}))
-                    got["longest"].append(max(l0, longest))
-                    got["n_words"].append(len(words))
-                    got["n_hit"].append(sum(b - a for a, b in spans))
-                cols = [pa.array(got[f.name], f.type) if f.name in got else batch.column(f.name) for f in arrow]
-                yield pa.RecordBatch.from_arrays(cols, schema=arrow)
-
-        out = carried = carried.mapInArrow(run, spec)
-    return out
-
-
-def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    if not a:
-        return b
-    out: list[tuple[int, int]] = []
-    for s, e in sorted([*a, *b]):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], e))
-        else:
-            out.append((s, e))
-    return out
-
-
-def contaminated(coverage_parts: int = 20):
-    """Marked words are at least one in ``coverage_parts`` of all words."""
-    return (F.col("n_hit") > 0) & (F.col("n_hit") * coverage_parts >= F.col("n_words"))
+    cut = stored(pieces(benchmark, window, max(window, min(piece_words, max(block_words, 4 * window)))), "pieces")
+    total = cut.agg(F.sum(F.size("words"))).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
+
+    def block(k: int) -> list[tuple[int, bytes]]:
+        rows = cut.where(F.pmod("h", F.lit(blocks)) == k).select("key", F.array_join("words", " ").cast("binary"))
+        return [(r[0], bytes(r[1])) for r in rows.collect()]  # about block_words words
+
+    if blocks == 1:
+        return docs.withColumn(name, search(spark, block(0), window))
+    keyed, keys = row_keyed(docs, "documents")
+    hits = []
+    for k in range(blocks):
+        one = keyed.select(*keys, search(spark, block(k), window).alias("f")).where(F.size("f.spans") > 0)
+        hits.append(stored(one, "hits"))
+    every = reduce(DataFrame.union, hits).groupBy(*keys)
+    merged = every.agg(joined_spans(F.flatten(F.collect_list("f.spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("f.texts")))).alias("texts"), F.max("f.longest").alias("longest"))
+    both = fresh(docs, "_hits")
+    slim = merged.select(*keys, F.struct("spans", "texts", "longest").alias(both))
+    n = F.coalesce(F.regexp_count(F.translate("text", string.ascii_uppercase, string.ascii_lowercase), F.lit(WORD_SQL)), F.lit(0)).cast("bigint")
+    hit = F.coalesce(F.aggregate(F.col(both)["spans"], F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"]), F.lit(0).cast("bigint"))
+    none = F.array()
+    whole = F.struct(n.alias("n_words"), hit.alias("n_hit"), F.coalesce(F.col(both)["spans"], none).alias("spans"), F.coalesce(F.col(both)["texts"], none).alias("texts"), F.coalesce(F.col(both)["longest"], F.lit(0)).alias("longest"))
+    return joined_back(keyed, slim, keys, "left").withColumn(name, whole.cast(FOUND)).select(*docs.columns, name)
+
+
+ADDED = ("n_words", "n_hit", "spans", "items", "longest")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, columns: list[str], window: int = WINDOW, block_words: int = BLOCK_WORDS, piece_words: int = PIECE_WORDS) -> DataFrame:
+    """``columns`` of ``docs`` with n_words, n_hit, spans (word offsets), items (ids as strings, sorted) and longest.
+
+    The rows are stored. Items are named for each distinct set of texts, not for each document.
+    """
+    with temporary(docs.sparkSession) as keep:
+        own = fresh(docs, "_found")
+        columns = [c for c in without(docs, ADDED) if c in columns]
+        rows = keep(stored(found(docs, benchmark, own, window, block_words, piece_words).select(*columns, own), "matches"))
+        texts = F.col(f"{own}.texts")
+        sets = rows.where(F.size(texts) > 0).select(texts.alias("texts")).distinct()
+        ids = item_texts(benchmark).select("item", "key")
+        named = sets.select("texts", F.explode("texts").alias("key")).join(ids, "key").groupBy("texts").agg(F.array_sort(F.collect_set("item")).alias("items"))
+        named = keep(stored(named, "item-sets"))
+    hit = rows.where(F.size(texts) > 0).join(named, texts == F.col("texts"))
+    every = hit.select(*rows.columns, "items").union(rows.where(F.size(texts) == 0).withColumn("items", F.array().cast("array<string>")))
+    return every.select(*columns, *[f"{own}.{c}" if c != "items" else c for c in ADDED])
+
+
+def contaminated(coverage_parts: int = 20, of: str | None = None) -> Column:
+    """Marked words are at least one in ``coverage_parts`` of all words; ``of``: the struct column that has the counts."""
+    hit, n = (F.col(c if of is None else f"{of}.{c}") for c in ("n_hit", "n_words"))
+    return (hit > 0) & (hit * coverage_parts >= n)
 
 
 def cut_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
@@ -246,8 +302,9 @@ def cut_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage_parts: int = 20, cut_length: int | None = None, window: int = WINDOW) -> DataFrame:
     """``docs`` without contaminated documents; with ``cut_length``, spans of so many words leave the texts that stay."""
-    columns = docs.columns
-    kept = matches(docs, benchmark, columns, window).where(~contaminated(coverage_parts))
+    own = fresh(docs, "_found")
+    kept = found(docs, benchmark, own, window)
+    kept = kept.where(~contaminated(coverage_parts, own))
     if cut_length is not None:
 
         @F.pandas_udf("string")
@@ -256,9 +313,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage_parts: int =
 
             return pd.Series([cut_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-        long = F.filter("spans", lambda s: s["end"] - s["start"] >= cut_length)
+        long = F.filter(F.col(own)["spans"], lambda s: s["end"] - s["start"] >= cut_length)
         kept = kept.withColumn("text", F.when(F.size(long) > 0, cut("text", long)).otherwise(F.col("text")))
-    return kept.select(*columns)
+    return kept.select(*docs.columns)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,13 +23,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import held_out
+from .shared import fresh, held_out, text_udf, without
 
 DICT_BYTES = 32 << 10
 ALL_BYTES = 8 << 20
@@ -55,7 +53,8 @@ def training_texts(train: DataFrame, texts: int, max_bytes: int) -> list[tuple[s
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     share = F.least(F.lit(1.0), F.lit(2.0 * texts) / F.col("_n"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.select("doc_id", "lang", "text").join(F.broadcast(counts), "lang").where(draw < share)  # a row for each language
+    # a row for each language; no more of a text than fills a dictionary (a normalised text is no longer)
+    some = rows.select("doc_id", "lang", F.substring("text", 1, 4 * max_bytes).alias("text")).join(F.broadcast(counts), "lang").where(draw < share)
     order = Window.partitionBy("lang").orderBy(F.octet_length("text") > max_bytes // 8, F.xxhash64("doc_id", F.lit(17)), "doc_id", "text")
     few = some.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= texts)
     return [(r[0], plain(r[1])[:max_bytes]) for r in few.orderBy("lang", "_k").select("lang", "text").collect()]
@@ -103,23 +102,22 @@ def classify(data: bytes, by: list[tuple[str, object]]) -> tuple[str, float]:
 
 def predict(docs: DataFrame, content: dict[str, bytes], columns: list[str], margin: float = MARGIN) -> DataFrame:
     """``columns`` of ``docs`` with lang_pred, score (the margin, 0 to 1) and accepted."""
-    columns = [c for c in columns if c not in ("lang_pred", "score", "accepted")]
-    spec = docs.select(*columns, F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("accepted")).schema
-    arrow = to_arrow_schema(spec)
     shared = docs.sparkSession.sparkContext.broadcast(content)  # ALL_BYTES at most
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[list[bytes | None]]) -> Iterator[list[dict]]:
         by = packers(shared.value)
-        for batch in batches:
-            langs, scores = [], []
-            for t in batch.column("_text").to_pylist():
+        for batch in texts:
+            out = []
+            for data in batch:
+                t = None if data is None else data.decode("utf-8", "replace")
                 lang, score = ("und", 0.0) if t is None or not has_letter(t) else classify(plain(t), by)
-                langs.append(lang)
-                scores.append(score)
-            made = {"lang_pred": langs, "score": scores, "accepted": [x != "und" and s >= margin for x, s in zip(langs, scores, strict=True)]}
-            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name) for f in arrow], schema=arrow)
+                out.append({"lang_pred": lang, "score": score, "accepted": lang != "und" and score >= margin})
+            yield out
 
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, spec)
+    own = fresh(docs, "_said")
+    columns = [c for c in without(docs, ["lang_pred", "score", "accepted"]) if c in columns]
+    said = text_udf(run, "struct<lang_pred: string, score: double, accepted: boolean>")
+    return docs.withColumn(own, said("text")).select(*columns, f"{own}.*")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,13 @@ offset per source is added, and a document is emitted once for each integer boun
 its stretch crosses. As sizes rise along the order, the words taken miss the target by no
 more than about one largest document.
 
+Texts are read twice, once for their sizes and once for the result: what is ranked and stored
+has a row's key, id, source and size only, and copies are joined back to the rows by key.
+
 Defined results: null text has size 0; a null source is a source, last in order; repeated
-rows are rows of their own; a table without words has targets and copies of 0.
+rows are rows of their own; a table without words has targets and copies of 0; extra columns
+pass through :func:`mix`, replaced where they are called as those added, and :func:`repeated`,
+which adds none.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ranked, stored, temporary
+from .shared import fresh, joined_back, ranked, row_keyed, stored, temporary, without
 
 WEIGHTS = (5, 2, 1)
 SEED = 20240607
@@ -58,27 +63,41 @@ def offset_of(source: Column, seed: int) -> Column:
     return F.conv(head, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+ADDED = ("size", "source_size", "target", "copies")
+
+
 def mix_sized(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0, seed: int = SEED) -> DataFrame:
     """Rows of ``sized`` (doc_id, source, size and any others) with source_size, target and copies."""
+    sized = sized.select(*without(sized, ADDED[1:]))
     with temporary(sized.sparkSession) as keep:
         table = keep(stored(source_targets(sized.select("source", "size"), weights, budget, most), "targets"))
-    placed = ranked(sized, "source", ["size", "doc_id"], "_rank", name="mix")
-    t = table.select(F.col("source").alias("_s"), "source_size", "target")
+    rank, own = fresh(sized, "_rank"), fresh(sized, "_source")
+    placed = ranked(sized, "source", ["size", "doc_id"], rank, name="mix")
+    t = table.select(F.col("source").alias(own), "source_size", "target")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     step = offset_of(F.col("source"), seed)
-    copies = F.floor(step + each * (F.col("_rank") + 1)) - F.floor(step + each * F.col("_rank"))
-    return placed.join(t, F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", copies.cast("long")).drop("_s", "_rank")
+    copies = F.floor(step + each * (F.col(rank) + 1)) - F.floor(step + each * F.col(rank))
+    return placed.join(t, F.col("source").eqNullSafe(F.col(own))).withColumn("copies", copies.cast("long")).drop(own, rank)
+
+
+def _by_row(keyed: DataFrame, keys: list[str], how: dict) -> DataFrame:
+    """Row keys with the columns that mixing adds."""
+    sizes = stored(keyed.select(*keys, "doc_id", "source", word_count().alias("size")), "sizes")
+    return mix_sized(sizes, **how).select(*keys, *ADDED)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """Rows and columns of ``docs`` with size, source_size, target and copies (0 to ``most``)."""
-    return mix_sized(docs.drop("size", "source_size", "target", "copies").withColumn("size", word_count()), **how)
+    keyed, keys = row_keyed(docs.select(*without(docs, ADDED)), "documents")
+    return joined_back(keyed, _by_row(keyed, keys, how), keys)
 
 
-def emitted(mixed: DataFrame) -> DataFrame:
-    """Each row once for every copy."""
-    again = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
-    return mixed.where("copies > 0").withColumn("_again", again).drop("_again")
+def repeated(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each once for every copy."""
+    keyed, keys = row_keyed(docs, "documents")
+    times, again = fresh(keyed, "_times"), fresh(keyed, "_again")
+    slim = _by_row(keyed, keys, how).where("copies > 0").select(*keys, F.col("copies").cast("int").alias(times))
+    return joined_back(keyed, slim, keys).withColumn(again, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,10 +20,18 @@ A pair at the threshold fails the sketches with a chance below CHANCE. It meets
 with chance ``threshold`` for each level, so 16 trees miss one in 10^13 of those that part
 from the rest at the first level and one in 10^4 after four.
 
+A node's forest takes pairs well above the threshold for links. Where confirmation finds that
+one is none, its two classes are in doubt, and the trees are compared once more: a pair with
+such a class joins nothing by itself, so every pair of it is confirmed; until no such pair fails.
+
+Texts are read three to four times and shuffled once, by :func:`deduplicated`, for the result;
+what the join works with are rows of about a kilobyte without texts, and rows are named by their
+keys (file and place).
+
 Defined results: null, blank and wordless texts have the empty set and stand alone; rows of
 equal texts, ids included, are one class; a null doc_id never names a component that has
-another id; an empty table gives an empty result; extra columns pass through
-:func:`near_duplicates` and are replaced where they clash.
+another id; an empty table gives an empty result; :func:`deduplicated` returns rows with all
+their columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +39,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -38,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import hash_words, is_empty, joined_texts, mix, mix_int, stored, temporary, words_of
+from .shared import hash_words, is_empty, joined_back, joined_texts, mix, mix_int, row_keyed, small_batches, stored, temporary, words_of
 
 U64 = np.uint64
 WIDTH = 5
@@ -51,7 +60,7 @@ FIRST = 4
 LEAF = 2048
 DEPTH = 6
 SAMPLE = 512
-BLOOM_BITS = 1 << 25
+BLOOM_BITS = 1 << 28  # of the filter, at most
 _MULT = mix(np.arange(1, SKETCH + 1, dtype=U64)) | U64(1)
 _PLACE = mix(np.arange(101, 101 + WIDTH, dtype=U64)) | U64(1)
 
@@ -105,13 +114,13 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-ROW = "doc_id long, mark long, n long, key binary, tokens binary, sketch binary, fine binary"
+ROW = "file long, place long, doc_id long, mark long, n long, key binary, tokens binary, sketch binary, fine binary"
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, keys, tokens, sketches, fine = [], [], [], [], []
-        for s in shingle_sets(_texts(batch, "_text")):
+        for s in shingle_sets(_texts(batch, "text")):
             t = minwise(s) if len(s) else None
             n.append(len(s))
             keys.append(None if t is None else set_key(s))
@@ -119,13 +128,15 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketches.append(None if t is None else t.astype(np.uint8).tobytes())
             fine.append(None if t is None else sample(s))
         blobs = [pa.array(x, pa.binary()) for x in (keys, tokens, sketches, fine)]
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_mark"), pa.array(n, pa.int64()), *blobs], names=[c.split()[0] for c in ROW.split(", ")])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "place", "doc_id", "mark")), pa.array(n, pa.int64()), *blobs], names=[c.split()[0] for c in ROW.split(", ")])
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, n, key, tokens, sketch, fine) of each row: the text's hash, its set's size and
-    digest, the minwise tokens, their low bytes and the sample; the last four null for the empty set."""
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_mark"), F.col("text").alias("_text")).mapInArrow(_keyed, ROW)
+def keyed(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """(file, place, doc_id, mark, n, key, tokens, sketch, fine) of each row: its keys, the text's hash, its set's
+    size and digest, the minwise tokens, their low bytes and the sample; the last four null for the empty set."""
+    file, place = keys
+    rows = docs.select(F.col(file).alias("file"), F.col(place).alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").alias("text"))
+    return rows.mapInArrow(_keyed, ROW)
 
 
 # ---------------------------------------------------------------- trees
@@ -183,8 +194,8 @@ def least_agreement(threshold: float) -> int:
 class Node:
     """The classes of one node, and which pairs of them to confirm."""
 
-    def __init__(self, part: list[bytes], n: np.ndarray, sketch: np.ndarray, fine: list[bytes], per_cent: int):
-        self.n, self.sketch, self.limit = n, sketch, per_cent / 100
+    def __init__(self, part: list[bytes], n: np.ndarray, sketch: np.ndarray, fine: list[bytes], doubt: np.ndarray, per_cent: int):
+        self.n, self.sketch, self.doubt, self.limit = n, sketch, doubt, per_cent / 100
         self.fine = [np.frombuffer(f, np.uint16) for f in fine]
         ids: dict[bytes, int] = {}
         self.part = np.array([ids.setdefault(p, len(ids)) for p in part])
@@ -213,7 +224,8 @@ class Node:
             off[at] = 0.015 if max(r, f[0]) == 0 else 0.09
         return est, off
 
-    def pairs(self, least: int, mark: np.ndarray) -> list[tuple[int, int]]:
+    def pairs(self, least: int, mark: np.ndarray) -> list[tuple[int, int, bool]]:
+        """Pairs to confirm, and whether the node takes them for links."""
         found: list[tuple[float, int, int]] = []
         unsure: list[tuple[int, int]] = []
         for i in range(len(self.n) - 1):
@@ -222,22 +234,23 @@ class Node:
             j = j[(self.sketch[j] == self.sketch[i]).sum(axis=1) >= least] if len(j) else j
             if len(j):
                 est, off = self.similar(i, j, mark)
-                found += [(-e, i, int(k)) for e, k in zip(est[est >= self.limit + off].tolist(), j[est >= self.limit + off], strict=True)]
-                unsure += [(i, int(k)) for k in j[abs(est - self.limit) < off]]
+                firm = (est >= self.limit + off) & ~(self.doubt[i] | self.doubt[j])
+                found += [(-e, i, int(k)) for e, k in zip(est[firm].tolist(), j[firm], strict=True)]
+                unsure += [(i, int(k)) for k in j[~firm & (est > self.limit - off)]]
         out = []
         for _, i, j in sorted(found):
             a, b = self.root(self.part[i]), self.root(self.part[j])
             if a != b:
                 self.up[a] = b
-                out.append((i, j))
-        return out + [(i, j) for i, j in unsure if self.root(self.part[i]) != self.root(self.part[j])]
+                out.append((i, j, True))
+        return out + [(i, j, False) for i, j in unsure if self.root(self.part[i]) != self.root(self.part[j])]
 
 
-PAIR = "a binary, b binary"
+PAIR = "a binary, b binary, firm boolean"
 
 
 def _in_nodes(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (node, key, part, n, sketch, fine) in order of node: pairs across parts to confirm."""
+    """Rows (node, key, part, n, sketch, fine, doubt) in order of node: pairs across parts to confirm."""
     least, kept, mark = least_agreement(per_cent / 100), None, np.zeros(1 << 16, bool)
     for batch in itertools.chain(batches, [None]):
         if batch is not None and not batch.num_rows:
@@ -255,23 +268,23 @@ def _in_nodes(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.R
         size = np.diff(np.r_[edge, end])
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
         key, part, fine = (table.column(c).to_pylist() for c in ("key", "part", "fine"))
-        n = table.column("n").to_numpy().astype(float)
+        n, doubt = table.column("n").to_numpy().astype(float), table.column("doubt").to_numpy()
         apart = np.zeros(len(edge), bool)
         apart[size == 2] = (sketch[edge[size == 2]] == sketch[edge[size == 2] + 1]).sum(axis=1) < least
-        out: list[tuple[bytes, bytes]] = []
+        out: list[tuple[bytes, bytes, bool]] = []
         for at, m in zip(edge[~apart].tolist(), size[~apart].tolist(), strict=True):
             own = slice(at, at + m)
-            for i, j in Node(part[own], n[own], sketch[own], fine[own], per_cent).pairs(least, mark):
+            for i, j, firm in Node(part[own], n[own], sketch[own], fine[own], doubt[own], per_cent).pairs(least, mark):
                 x, y = key[at + i], key[at + j]
-                out.append((x, y) if x < y else (y, x))
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                out.append((x, y, firm) if x < y else (y, x, firm))
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.bool_()))], names=["a", "b", "firm"])
 
 
 def in_nodes(rows: DataFrame, per_cent: int) -> DataFrame:
     def run(batches):
         return _in_nodes(batches, per_cent)
 
-    return rows.select("node", "key", "part", "n", "sketch", "fine").repartition("node").sortWithinPartitions("node").mapInArrow(run, PAIR)
+    return rows.select("node", "key", "part", "n", "sketch", "fine", "doubt").repartition("node").sortWithinPartitions("node").mapInArrow(run, PAIR)
 
 
 def blocks(rows: DataFrame, leaf: int) -> DataFrame:
@@ -283,8 +296,13 @@ def blocks(rows: DataFrame, leaf: int) -> DataFrame:
     return cut.withColumn("node", F.xxhash64("node", F.least("_own", "_other"), F.greatest("_own", "_other"))).select("node", "key", "part")
 
 
-def bloom_bits(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A Bloom filter over keys, of ``bits`` bits whatever their number; its words are or-ed in the tasks."""
+def filter_bits(n: int) -> int:
+    """Bits of a Bloom filter over ``n`` keys with two hashes: 16 to 32 for each, a power of two, BLOOM_BITS at most."""
+    return min(BLOOM_BITS, max(1 << 16, 1 << (16 * n - 1).bit_length()))
+
+
+def bloom_filter(keys: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter over keys; its words are or-ed in the tasks."""
 
     def run(batches):
         for batch in batches:
@@ -300,10 +318,11 @@ def bloom_bits(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
 def full_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, members): the shingle hashes of the classes in ``keys``, from the texts again.
 
-    A Bloom filter of fixed size keeps most other texts' sets in their tasks; what a false
+    A Bloom filter of bounded size keeps most other texts' sets in their tasks; what a false
     positive lets through meets no pair. One copy of each set leaves a task.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bloom_bits(keys))
+    bits = filter_bits(keys.count())
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(keys, bits))
 
     def run(batches):
         words = shared.value.view(U64)
@@ -312,7 +331,7 @@ def full_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
             found: list[tuple[bytes, bytes]] = []
             for s in shingle_sets(_texts(batch, "text")):
                 if len(s) and (key := set_key(s)) not in sent:
-                    at = np.frombuffer(key, U64) % U64(BLOOM_BITS)
+                    at = np.frombuffer(key, U64) % U64(bits)
                     if ((words[at >> U64(6)] >> (at & U64(63))) & U64(1)).all():
                         sent.add(key)
                         found.append((key, s.tobytes()))
@@ -323,7 +342,7 @@ def full_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, per_cent: int) -> DataFrame:
     """The pairs with 100 * |a & b| >= per_cent * |a | b|, on full sets."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    keys = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "asked")
     sets = stored(full_sets(docs, keys), "sets")
 
     def run(batches):
@@ -378,82 +397,106 @@ def _components(links: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the join
 
 
-def wave(classes: DataFrame, labels: DataFrame | None, trees: range, per_cent: int, leaf: int, depth: int) -> DataFrame:
-    """(a, b): the pairs to confirm from ``trees``, across the components of ``labels``."""
+@dataclass(frozen=True)
+class How:
+    per_cent: int = 85
+    trees: int = TREES
+    leaf: int = LEAF
+    depth: int = DEPTH
+
+
+def wave(classes: DataFrame, labels: DataFrame | None, trees: range, how: How, doubtful: DataFrame | None) -> DataFrame:
+    """(a, b, firm): the pairs to confirm from ``trees``, across the components of ``labels``."""
     with temporary(classes.sparkSession) as keep:
-        return keep(stored(_wave(classes, labels, trees, per_cent, leaf, depth), "pairs"))
+        return keep(stored(_wave(classes, labels, trees, how, doubtful), "pairs"))
 
 
-def _wave(classes: DataFrame, labels: DataFrame | None, trees: range, per_cent: int, leaf: int, depth: int) -> DataFrame:
-    threshold = per_cent / 100
+def _wave(classes: DataFrame, labels: DataFrame | None, trees: range, how: How, doubtful: DataFrame | None) -> DataFrame:
+    threshold = how.per_cent / 100
     info, tokens = classes.select("key", "n", "sketch", "fine"), classes.select("key", "tokens")
+    info = info.withColumn("doubt", F.lit(False)) if doubtful is None else info.join(doubtful.select("key", F.lit(True).alias("doubt")), "key", "left").fillna({"doubt": False})
     at, found = grown(tokens, threshold, trees), []
-    for level in range(depth):
+    for level in range(how.depth):
         now = at.withColumn("part", F.col("key")) if labels is None else at.join(labels, "key", "left").select("node", "key", F.coalesce("root", "key").alias("part"))
         mixed = now.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
         now = stored(now.join(mixed.select("node", "size"), "node"), "level")
-        found.append(in_nodes(now.where(F.col("size") <= leaf).join(info, "key"), per_cent))
-        large = now.where(F.col("size") > leaf)
+        found.append(in_nodes(now.where(F.col("size") <= how.leaf).join(info, "key"), how.per_cent))
+        large = now.where(F.col("size") > how.leaf)
         if is_empty(large):
             break
-        if level == depth - 1:
-            found.append(in_nodes(blocks(large, leaf).join(info, "key"), per_cent))
+        if level == how.depth - 1:
+            found.append(in_nodes(blocks(large, how.leaf).join(info, "key"), how.per_cent))
         else:
             at = grown(large.select("node", "key").join(tokens, "key"), threshold)
-    return reduce(DataFrame.union, found).distinct()
+    return reduce(DataFrame.union, found).groupBy("a", "b").agg(F.max("firm").alias("firm"))
 
 
-def classes_and_labels(docs: DataFrame, per_cent: int, trees: int, leaf: int, depth: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(rows as :func:`keyed` gives them, classes, labels as :func:`components` gives them or None).
-
-    ``own`` of a class is its first row by (doc_id, mark), null ids last."""
-    rows = stored(keyed(docs), "keyed")
-    classes = stored(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("anon"), "doc_id", "mark")).alias("own"), *[F.first(c).alias(c) for c in ("n", "tokens", "sketch", "fine")]), "classes")
-    rows = rows.select("doc_id", "mark", "n", "key")
-    links, labels = None, None
-    for some in (range(min(FIRST, trees)), range(min(FIRST, trees), trees)):
-        pairs = wave(classes, labels, some, per_cent, leaf, depth)
+def linked(docs: DataFrame, classes: DataFrame, how: How) -> DataFrame | None:
+    """Labels of the classes that have a link, as :func:`components` gives them."""
+    links, labels, doubtful = None, None, None
+    waves = [range(min(FIRST, how.trees)), range(min(FIRST, how.trees), how.trees)]
+    while waves:
+        pairs = wave(classes, labels, waves.pop(0), how, doubtful)
         if is_empty(pairs):
             continue
         with temporary(docs.sparkSession) as keep:
-            more = keep(stored(confirmed(pairs, docs, per_cent), "links"))
+            more = keep(stored(confirmed(pairs, docs, how.per_cent), "links"))
         if not is_empty(more):
             links = more if links is None else links.union(more)
             labels = components(links)
-    return rows, classes, labels
+        failed = stored(pairs.where("firm").join(more, ["a", "b"], "left_anti"), "failed")
+        if not is_empty(failed):
+            keys = failed.select(F.explode(F.array("a", "b")).alias("key"))
+            doubtful = stored((keys if doubtful is None else keys.union(doubtful)).distinct(), "doubtful")
+            waves = [r for r in waves if len(r)] + [range(how.trees)] if range(how.trees) not in waves else waves
+    return labels
+
+
+def classes_and_labels(docs: DataFrame, keys: list[str], how: How) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rows as :func:`keyed` gives them, classes, labels or None) of ``docs`` with row keys.
+
+    ``own`` of a class is its first row by (doc_id, mark), null ids last."""
+    small_batches(docs.sparkSession)
+    rows = stored(keyed(docs, keys), "keyed")
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("anon"), "doc_id", "mark", "file", "place")).alias("own")
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), own, *[F.first(c).alias(c) for c in ("n", "tokens", "sketch", "fine")])
+    classes = stored(classes, "classes")
+    return rows.select("file", "place", "doc_id", "n", "key"), classes, linked(docs.select("text"), classes, how)
+
+
+def rooted(classes: DataFrame, labels: DataFrame | None, columns: list[str]) -> DataFrame:
+    """``columns`` of the classes, with the root of each one's component."""
+    if labels is None:
+        return classes.select(*columns, F.col("key").alias("root"))
+    return classes.select("key", *(c for c in columns if c != "key")).join(labels, "key", "left").select(*columns, F.coalesce("root", "key").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, per_cent: int = 85, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, mark, n_shingles, component_id, kept) for every row of ``docs``."""
-    rows, classes, labels = classes_and_labels(docs, per_cent, trees, leaf, depth)
-    rooted = classes.select("key", "rep")
-    rooted = rooted.withColumn("root", F.col("key")) if labels is None else rooted.join(labels, "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
-    named = rooted.select("key", "root").join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("key", "component_id")
-    some = rows.where("key is not null").select("doc_id", "mark", "n", "key").join(named, "key").select("doc_id", "mark", "n", "component_id")
-    none = rows.where("key is null").select("doc_id", "mark", "n", F.col("doc_id").alias("component_id"))
-    return some.union(none).select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; stored, with all that it was made from removed."""
+    with temporary(docs.sparkSession) as keep:
+        named, keys = row_keyed(docs.select("doc_id", "text"), "documents")
+        rows, classes, labels = classes_and_labels(named, keys, How(per_cent, trees, leaf, depth))
+        up = rooted(classes, labels, ["key", "rep"])
+        of = up.select("key", "root").join(up.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("key", "component_id")
+        some = rows.where("key is not null").select("doc_id", "n", "key").join(of, "key").select("doc_id", "n", "component_id")
+        every = some.union(rows.where("key is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+        return keep(stored(every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "components"))
 
 
 def deduplicated(docs: DataFrame, per_cent: int = 85, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """The rows of ``docs`` that stay: the first of each component by (doc_id, text's hash), null ids last; of rows
     equal in both, one. Rows without words stand alone and all stay."""
+    named, keys = row_keyed(docs, "documents")
     with temporary(docs.sparkSession) as keep:
-        rows, classes, labels = classes_and_labels(docs, per_cent, trees, leaf, depth)
-        rooted = classes.select("own", F.col("key").alias("root")) if labels is None else classes.select("key", "own").join(labels, "key", "left").select("own", F.coalesce("root", "key").alias("root"))
-        kept = rooted.groupBy("root").agg(F.min("own").alias("own")).select(F.col("own.doc_id").alias("_id"), F.col("own.mark").alias("_mark"))
-        kept = keep(stored(kept, "kept"))
-        copies = rows.where("key is not null").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi")
-        again = not is_empty(copies.groupBy("doc_id", "mark").count().where("count > 1"))
-    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    marked = docs.where(worded).withColumn("_own", F.xxhash64("text"))
-    stay = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_own"] == kept["_mark"]), "left_semi")
-    stay = stay.dropDuplicates(["doc_id", "_own"]) if again else stay
-    return stay.select(*docs.columns).union(docs.where(~worded))
+        rows, classes, labels = classes_and_labels(named, keys, How(per_cent, trees, leaf, depth))
+        first = rooted(classes, labels, ["own"]).groupBy("root").agg(F.min("own").alias("own")).select("own.file", "own.place")
+        stay = keep(stored(first.union(rows.where("key is null").select("file", "place")), "kept"))
+    return joined_back(named, stay.select(*[F.col(c).alias(k) for c, k in zip(("file", "place"), keys, strict=True)]), keys, "left_semi")
 
 
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs).drop("mark")
+    return near_duplicates(docs)
 
 
 QUERIES = {"op7_chosen_path": op7_chosen_path}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, secrets
+from . import chat, pii, secrets
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -84,24 +84,44 @@ FROM d LEFT JOIN a USING (r)
 """
 
 
-def _matches(kind: str, order: int, pattern: str, good: str) -> str:
-    """(r, kind, k, s, e) of the matches m that are good."""
-    return f"""SELECT r, '{kind}' AS kind, {order} AS k, upto - length(m) AS s, upto AS e FROM (SELECT r, m, sum(length(piece) + length(m)) OVER (PARTITION BY r ORDER BY j) AS upto FROM (
-      SELECT r, ms[j] AS m, ps[j] AS piece, j FROM (SELECT r, regexp_extract_all(t, {_text(pattern)}) AS ms, string_split_regex(t, {_text(pattern)}) AS ps FROM d WHERE regexp_matches(t, {_text(pattern)})), unnest(range(1, len(ms) + 1)) AS u(j))) WHERE {good}"""
+def _matches(order: int, pattern: str, good: str) -> str:
+    """(r, kind, k, s, e, score) of the matches m that are good; score in per cent."""
+    kind = pii.KINDS[order]
+    near = f"substr(t, greatest(s - {pii.NEAR}, 0) + 1, s - greatest(s - {pii.NEAR}, 0)) || chr(10) || substr(t, e + 1, {pii.NEAR})"
+    alone = "true" if kind.base else "NOT regexp_matches(CASE WHEN s > 0 THEN substr(t, s, 1) ELSE '' END || substr(t, e + 1, 1), '[A-Za-z0-9]')"
+    prior, high = round(100 * kind.prior), round(100 * min(1.0, kind.prior + pii.BOOST))
+    kept = "" if kind.base else f" WHERE score >= {round(100 * pii.THRESHOLD)}"
+    return f"""SELECT * FROM (SELECT r, '{kind.name}' AS kind, {order} AS k, s, e, CASE WHEN regexp_matches(translate({near}, '{UPPER}', '{LOWER}'), '{kind.words}') THEN {high} ELSE {prior} END AS score
+      FROM (SELECT r, t, m, upto - length(m) AS s, upto AS e FROM (SELECT r, t, m, sum(length(piece) + length(m)) OVER (PARTITION BY r ORDER BY j) AS upto FROM (
+      SELECT r, t, ms[j] AS m, ps[j] AS piece, j FROM (SELECT r, t, regexp_extract_all(t, {_text(pattern)}) AS ms, string_split_regex(t, {_text(pattern)}) AS ps FROM d WHERE regexp_matches(t, {_text(pattern)})), unnest(range(1, len(ms) + 1)) AS u(j))))
+      WHERE {alone} AND {good}){kept}"""
 
 
 DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
-LUHN = f"list_sum(list_transform(range(length({DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(reverse({DIGITS}), i + 1, 1) AS INT) ELSE (2 * CAST(substr(reverse({DIGITS}), i + 1, 1) AS INT)) // 10 + (2 * CAST(substr(reverse({DIGITS}), i + 1, 1) AS INT)) % 10 END)) % 10 = 0"
-MOD97 = "list_reduce(list_concat([0], list_transform(string_split(substr(m, 5) || substr(m, 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda a, x: CASE WHEN x > 9 THEN (a * 100 + x) % 97 ELSE (a * 10 + x) % 97 END) = 1"
+DIGIT = f"CAST(substr(reverse({DIGITS}), i + 1, 1) AS INT)"
+LUHN = f"list_sum(list_transform(range(length({DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN {DIGIT} ELSE (2 * {DIGIT}) // 10 + (2 * {DIGIT}) % 10 END)) % 10 = 0"
+BARE = "replace(m, ' ', '')"
+CODES = f"list_transform(string_split(substr({BARE}, 5) || substr({BARE}, 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)"
+MOD97 = f"list_reduce(list_concat([0], {CODES}), lambda a, x: CASE WHEN x > 9 THEN (a * 100 + x) % 97 ELSE (a * 10 + x) % 97 END) = 1"
+WEIGHED = " + ".join(f"{pii.ABA_WEIGHTS[k % 3]} * CAST(substr(m, {k + 1}, 1) AS INT)" for k in range(9))
+PII_RULES = (
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda p: coalesce(TRY_CAST(p AS HUGEINT), 999) > 255)) = 0"),
+    (r"[0-9]([\x20-]?[0-9])+", f"length({DIGITS}) BETWEEN 16 AND 19 AND {LUHN}"),
+    (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({DIGITS}) BETWEEN 8 AND 15"),
+    (r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]{4}){2,7}(\x20?[A-Z0-9]{1,3})?", MOD97),
+    (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "substr(m, 1, 3) NOT IN ('000', '666') AND substr(m, 1, 1) <> '9' AND substr(m, 5, 2) <> '00' AND substr(m, 8) <> '0000'"),
+    (r"[0-9]{9}", f"m <> '000000000' AND ({WEIGHED}) % 10 = 0"),
+    (r"[0-9]{8}[A-Z]", f"substr('{pii.DNI_LETTERS}', CAST(substr(m, 1, 8) AS INT) % 23 + 1, 1) = substr(m, 9)"),
+    (r"[0-9]{15}", LUHN),
+)
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE k = {k}) AS n_{kind.name}" for k, kind in enumerate(pii.KINDS) if kind.base)
+_ALL = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s)"
 PII = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-s AS ({_matches("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true")}
-  UNION ALL {_matches("ip", 1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda p: coalesce(TRY_CAST(p AS HUGEINT), 999) > 255)) = 0")}
-  UNION ALL {_matches("card", 2, r"[0-9]([\x20-]?[0-9])+", f"length({DIGITS}) BETWEEN 16 AND 19 AND {LUHN}")}
-  UNION ALL {_matches("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({DIGITS}) BETWEEN 8 AND 15")}
-  UNION ALL {_matches("iban", 4, r"[A-Za-z0-9]+", f"CASE WHEN regexp_full_match(m, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}') THEN {MOD97} ELSE false END")}),
-a AS (SELECT r, count(*) FILTER (WHERE k = 0) AS n_email, count(*) FILTER (WHERE k = 1) AS n_ip, count(*) FILTER (WHERE k = 2) AS n_card, count(*) FILTER (WHERE k = 3) AS n_phone,
-  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (WHERE k < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans FROM s GROUP BY r)
-SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+s AS ({" UNION ALL ".join(_matches(k, pattern, good) for k, (pattern, good) in enumerate(PII_RULES))}),
+a AS (SELECT r, {_COUNTS}, {_ALL} FILTER (WHERE k < 4) AS base, {_ALL} AS spans, string_agg(score, ',' ORDER BY k, s) AS scores, count(*) AS n_spans FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(scores, '') AS scores, coalesce(n_spans, 0) AS n_spans
 FROM d LEFT JOIN a USING (r)
 """

@@ -6,12 +6,18 @@ lengths of pieces and matches, summed in turn, give each start. Every repeated g
 pattern is possessive, and a run of word characters is entered at its start only (or where
 the last match ended, ``\\G``), so long runs cost linear time and no stack.
 
-Kinds: email, ip, card (Luhn) and phone as fixed by their patterns, which are always kept;
-and iban (mod 97), kept when its score reaches ``threshold``. A score is the kind's prior,
-raised by a context word within ``near`` code points before the span.
-
-Defined results: null text has no spans; repeated rows are rows of their own; an empty table
-gives an empty result; extra columns pass through ``find`` (a column named ``pii`` is replaced).
+Kinds: email, ip, card (Luhn) and phone as fixed by their patterns, which are always kept; and
+iban (mod 97, in one piece or in groups of four), ssn (parts in range), aba (weights 3, 7, 1),
+dni (letter of the remainder by 23) and imei (Luhn), which stand between characters other than
+letters and digits and are kept when their score reaches ``threshold``. A score is the kind's
+prior, raised by BOOST where one of its context words is within ``near`` code points before or
+after the span. An iban's checksum suffices; the others, whose checks a number passes by chance
+more often, need such a word.
+
+Defined results: null text has no spans; kinds may overlap each other; repeated rows are rows of
+their own; an empty table gives an empty result; extra columns pass through ``find`` (a column
+named ``pii`` is replaced). In capitals, a word of four letters right after a grouped iban whose
+length is a multiple of four is taken for its last group, and the iban is not found.
 """
 
 from __future__ import annotations
@@ -38,8 +44,16 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, "ip|host|address|server", True),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){15,}+", "", 0.8, "card|visa|master|credit|pay", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|call|tel|mobile|fax", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])", "", 0.9, "iban|bank|account|konto|cuenta|compte", False),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", "", 0.7, "iban|bank|account|konto|cuenta|compte", False),
+    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-", 0.5, "ssn|social|security", False),
+    Kind("aba", r"[0-9]{9}", "", 0.4, "routing|aba|transit|bank", False),
+    Kind("dni", r"[0-9]{8}[A-Z]", "", 0.5, "dni|nif|identi", False),
+    Kind("imei", r"[0-9]{15}", "", 0.4, "imei|device|handset|serial", False),
 )
+BOOST, NEAR, THRESHOLD = 0.3, 40, 0.6
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+ABA_WEIGHTS = (3, 7, 1)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 EMPTY_SPANS = "array<struct<kind:string,start:int,end:int,value:string,score:double>>"
 
 
@@ -60,6 +74,7 @@ def luhn_ok(digits: Column) -> Column:
 
 def mod97_ok(value: Column) -> Column:
     """The first four characters moved to the end, letters read as 10..35: the number mod 97 is 1."""
+    value = F.replace(value, F.lit(" "), F.lit(""))
     turned = F.concat(F.substring(value, F.lit(5), F.length(value)), F.substring(value, 1, 4))
 
     def add(acc: Column, c: Column) -> Column:
@@ -78,6 +93,16 @@ def valid(kind: str, value: Column) -> Column:
         return F.length(digits_of(value)).between(8, 15)
     if kind == "iban":
         return mod97_ok(value)
+    if kind == "ssn":
+        area = F.left(value, F.lit(3))
+        return ~area.isin("000", "666") & ~area.startswith("9") & (F.substring(value, 5, 2) != "00") & (F.right(value, F.lit(4)) != "0000")
+    if kind == "aba":
+        weighed = [F.substring(value, k + 1, 1).cast("int") * ABA_WEIGHTS[k % 3] for k in range(9)]
+        return (sum(weighed[1:], weighed[0]) % 10 == 0) & (value != "000000000")
+    if kind == "dni":
+        return F.substring(F.lit(DNI_LETTERS), F.left(value, F.lit(8)).cast("int") % 23 + 1, F.lit(1)) == F.right(value, F.lit(1))
+    if kind == "imei":
+        return luhn_ok(value)
     return F.lit(True)
 
 
@@ -95,18 +120,24 @@ def kind_spans(text: Column, kind: Kind, near: int) -> Column:
     pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, v: F.struct(p.alias("piece"), v.alias("value")))
     none = F.array().cast(EMPTY_SPANS)
     placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
-    confirmed = F.filter(placed, lambda s: valid(kind.name, s["value"]))
+    confirmed = F.filter(placed, lambda s: valid(kind.name, s["value"]) if kind.base else stands_alone(text, s) & valid(kind.name, s["value"]))
 
     def scored(s: Column) -> Column:
         lo = F.greatest(s["start"] - near, F.lit(0))
-        before = F.lower(F.substring(text, lo + 1, s["start"] - lo))
-        return s.withField("score", F.when(before.rlike(kind.words), F.lit(min(1.0, kind.prior + 0.2))).otherwise(s["score"]))
+        around = F.concat(F.substring(text, lo + 1, s["start"] - lo), F.lit("\n"), F.substring(text, s["end"] + 1, F.lit(near)))
+        return s.withField("score", F.when(F.translate(around, UPPER, LOWER).rlike(kind.words), F.lit(round(min(1.0, kind.prior + BOOST), 2))).otherwise(s["score"]))
 
     maybe = F.contains(text, F.lit(kind.mark)) if kind.mark else F.lit(True)
     return F.when(maybe & text.rlike(kind.pattern), F.transform(confirmed, scored)).otherwise(none)
 
 
-def find(docs: DataFrame, near: int = 40, threshold: float = 0.9) -> DataFrame:
+def stands_alone(text: Column, s: Column) -> Column:
+    """Neither a letter nor a digit is next to the span."""
+    before = F.when(s["start"] > 0, F.substring(text, s["start"], F.lit(1))).otherwise("")
+    return ~F.concat(before, F.substring(text, s["end"] + 1, F.lit(1))).rlike("[A-Za-z0-9]")
+
+
+def find(docs: DataFrame, near: int = NEAR, threshold: float = THRESHOLD) -> DataFrame:
     """Adds ``pii``: array of (kind, start, end, value, score), by kind as listed, then start."""
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = [kind_spans(text, k, near) if k.base else F.filter(kind_spans(text, k, near), lambda s: s["score"] >= threshold) for k in KINDS]
@@ -141,7 +172,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     digest = F.sha2(line(F.filter("pii", lambda s: s["kind"].isin(base))).cast("binary"), 256)
-    return found.select("doc_id", *map(count, base), digest.alias("base_sha256"), line(F.col("pii")).alias("spans"))
+    scores = F.array_join(F.transform("pii", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",").alias("scores")
+    return found.select("doc_id", *map(count, base), digest.alias("base_sha256"), line(F.col("pii")).alias("spans"), scores, F.size("pii").cast("long").alias("n_spans"))
 
 
 QUERIES = {"op8_pii": op8_pii}

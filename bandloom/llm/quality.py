@@ -17,12 +17,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import SPACE, hash_words, mix, words_of
+from .shared import SPACE, fresh, hash_words, mix, text_udf, without, words_of
 
 U64 = np.uint64
 SYMBOLS = np.zeros(256, bool)
@@ -97,22 +95,31 @@ RULES = (
 BASE = ("few_words", "repeated_words")
 
 
+SAMPLE_CHARS = 20_000
+
+
 def sampled(docs: DataFrame, size: int, seed: int = 11) -> list[bytes]:
-    """About ``size`` texts drawn over all rows: a Bernoulli sample, of which no more than twice the size is fetched."""
+    """About ``size`` texts drawn over all rows: a Bernoulli sample, of which no more than twice the size is fetched,
+    and of each text the first ``SAMPLE_CHARS`` characters. It decides the order of rules only."""
     n = docs.count()
     if not n:
         return []
-    rows = docs.select("text").sample(fraction=min(1.0, size / n), seed=seed).limit(2 * size).collect()
+    rows = docs.select(F.substring("text", 1, SAMPLE_CHARS)).sample(fraction=min(1.0, size / n), seed=seed).limit(2 * size).collect()
     return [(r[0] or "").encode() for r in rows]
 
 
 def rule_order(sample: list[bytes], rules: tuple[Rule, ...] = RULES) -> list[str]:
-    """Rules by rejections per second of cost on the sample, highest first; ties and no sample: as listed."""
+    """Rules by rejections per second of cost on the sample, highest first; ties and no sample: as listed.
+
+    The words of a text, which most rules share, are split beforehand, as in the cascade only the first rule pays for them.
+    """
     if not sample:
         return [r.name for r in rules]
     worth = []
     for k, rule in enumerate(rules):
         texts = [Text(x) for x in sample]
+        for t in texts:
+            _ = t.words
         began = time.perf_counter()
         rejected = sum(rule.rejects(t) for t in texts)
         cost = max(time.perf_counter() - began, 1e-9)
@@ -120,22 +127,20 @@ def rule_order(sample: list[bytes], rules: tuple[Rule, ...] = RULES) -> list[str
     return [name for _, _, name in sorted(worth)]
 
 
-def judged(batches: Iterator[pa.RecordBatch], order: list[str], measure_all: bool, only_kept: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def verdicts(texts: Iterator[list[bytes | None]], order: list[str], measure_all: bool) -> Iterator[list[dict]]:
     rules = {r.name: r for r in RULES}
-    for batch in batches:
-        out: dict[str, list] = {k: [] for k in (*REPORTED, "base_failed", "kept", "rejected_by")}
-        for data in batch.column("_text").cast(pa.binary()).to_pylist():
+    for batch in texts:
+        out = []
+        for data in batch:
             t = Text(data or b"")
             by = next((name for name in order if rules[name].rejects(t)), None)
-            out["kept"].append(by is None)
-            out["rejected_by"].append(by)
+            out.append({"kept": by is None, "rejected_by": by})
             if measure_all:
-                for k in REPORTED:
-                    out[k].append(getattr(t, k))
-                out["base_failed"].append(any(rules[k].rejects(t) for k in BASE))
-        cols = [pa.array(out[f.name], f.type) if f.name in out else batch.column(f.name) for f in schema]
-        done = pa.RecordBatch.from_arrays(cols, schema=schema)
-        yield done.filter(pa.array(out["kept"])) if only_kept else done
+                out[-1] |= {k: getattr(t, k) for k in REPORTED} | {"base_failed": any(rules[k].rejects(t) for k in BASE)}
+        yield out
+
+
+MEASURED = ("kept boolean", "rejected_by string", *(f"{k} long" for k in REPORTED), "base_failed boolean")
 
 
 def cascade(docs: DataFrame, columns: list[str] | None = None, measure_all: bool = False, only_kept: bool = False, sample_size: int = 500) -> DataFrame:
@@ -144,17 +149,20 @@ def cascade(docs: DataFrame, columns: list[str] | None = None, measure_all: bool
     ``measure_all`` adds every measure and ``base_failed``, which a short-circuit run leaves
     out; ``only_kept`` returns the rows that pass.
     """
-    added = ["kept", "rejected_by", *((*REPORTED, "base_failed") if measure_all else ())]
-    columns = [c for c in (docs.columns if columns is None else columns) if c not in added]
+    spec = MEASURED if measure_all else MEASURED[:2]
+    added = [c.split()[0] for c in spec]
     order = rule_order(sampled(docs, sample_size))
-    kinds = dict.fromkeys(REPORTED, "long") | {"kept": "boolean", "base_failed": "boolean", "rejected_by": "string"}
-    spec = docs.select(*columns, *[F.lit(None).cast(kinds[k]).alias(k) for k in added]).schema
-    arrow = to_arrow_schema(spec)
+    verdict = text_udf(lambda texts: verdicts(texts, order, measure_all), f"struct<{', '.join(c.replace(' ', ': ') for c in spec)}>")
+    own = fresh(docs, "_verdict")
+    columns = [c for c in without(docs, added) if columns is None or c in columns]
+    out = docs.withColumn(own, verdict("text"))
+    return (out.where(F.col(own)["kept"]) if only_kept else out).select(*columns, f"{own}.*")
 
-    def run(batches):
-        return judged(batches, order, measure_all, only_kept, arrow)
 
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, spec)
+def passing(docs: DataFrame, sample_size: int = 500) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with its columns as they are."""
+    order = rule_order(sampled(docs, sample_size))
+    return docs.where(text_udf(lambda texts: ([v["kept"] for v in batch] for batch in verdicts(texts, order, False)), "boolean")("text"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,14 +3,17 @@
 A record hashes to one of ``slots`` virtual slots; bytes are summed for each slot; a map
 (version, vslot, shard, bytes, rows, subs) says which shard holds a slot. Rebalancing edits
 the map, never the hash. The map has ``slots`` rows, a constant, so the driver may plan it.
+A version has a folder of its own under ``map_path`` and never changes: a rerun that plans the
+same map uses it, one that plans another is refused.
 
 Copies of one text go to the same slot, unless they weigh more than ``hot_share`` of an even
-shard: then their ids deal them out. At most ``shards / hot_share`` texts can be that heavy,
-which bounds the list of them.
+shard, as no shard could then hold them and be even: those rows, marked ``split``, are dealt
+out by id. At most ``shards / hot_share`` texts can be that heavy, which bounds the list of them.
 
 Defined results: a null text has no bytes and hashes by its doc_id; size is UTF-8 bytes + 1;
 repeated rows are rows of their own; an empty table gives an empty result and an empty map is
-still written; columns whose names clash with the added ones are replaced by them.
+still written; columns whose names clash with the added ones are replaced by them, all others
+pass through.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import scratch_path, stored
+from .shared import joined_back, path_exists, row_keyed, scratch_path, stored, without
 
 SLOTS = 4096
 ROWS_PER_CELL = 100_000
@@ -30,23 +33,28 @@ def text_key() -> Column:
     return F.xxhash64("text", F.crc32(F.col("text").cast("binary")))
 
 
-def sized(docs: DataFrame) -> DataFrame:
+ADDED = ("size", "text_crc32", "vslot", "shard", "slot", "split")
+
+
+def sized(keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows without their texts: keys, doc_id, size, text_crc32, and a key that copies share."""
     raw = F.col("text").cast("binary")
-    return docs.withColumns({"size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1, "text_crc32": F.crc32(raw), "_copy": text_key()})
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    return keyed.select(F.struct(*keys).alias("row"), "doc_id", size.alias("size"), F.crc32(raw).alias("text_crc32"), text_key().alias("copy"))
 
 
 def heavy_texts(rows: DataFrame, shards: int, hot_share: float) -> list[int]:
     """Keys of texts whose copies exceed ``hot_share`` of an even shard: shards/hot_share at most."""
-    groups = rows.where(F.col("text_crc32").isNotNull()).groupBy("_copy").agg(F.sum("size").alias("b"))
+    groups = rows.where(F.col("text_crc32").isNotNull()).groupBy("copy").agg(F.sum("size").alias("b"))
     total = rows.agg(F.sum("size")).first()[0] or 0
     bound = max(1.0, total / shards * hot_share)
-    return [r[0] for r in groups.where(F.col("b") > bound).select("_copy").collect()]
+    return [r[0] for r in groups.where(F.col("b") > bound).select("copy").collect()]
 
 
 def slotted(rows: DataFrame, slots: int, heavy: list[int]) -> DataFrame:
     own = F.xxhash64(F.col("doc_id").cast("string"), F.lit("row"))
-    by_row = F.col("text_crc32").isNull() | (F.col("_copy").isin(heavy) if heavy else F.lit(False))
-    return rows.withColumn("vslot", F.pmod(F.when(by_row, own).otherwise(F.col("_copy")), F.lit(slots)).cast("int"))
+    split = F.col("text_crc32").isNotNull() & (F.col("copy").isin(heavy) if heavy else F.lit(False))
+    return rows.withColumn("split", split).withColumn("vslot", F.pmod(F.when(F.col("text_crc32").isNull() | split, own).otherwise(F.col("copy")), F.lit(slots)).cast("int"))
 
 
 def balanced(weights: dict[int, int], shards: int, slots: int) -> list[int]:
@@ -107,63 +115,69 @@ def map_frame(spark: SparkSession, version: int, shard_of: list[int], stats: dic
     )
 
 
+MAP = "vslot int, shard int, bytes long, rows long, subs int"
+
+
 def plan_shards(rows: DataFrame, shards: int, slots: int, map_path: str, previous: list[int] | None = None, version: int = 1) -> DataFrame:
-    """Sums bytes by slot, plans or edits the map, appends it to ``map_path`` and reads it back."""
+    """Sums bytes by slot, plans or edits the map, writes it as ``version`` under ``map_path`` and reads it back.
+
+    A version that is there already must be equal; a folder that a run left without its end mark is written again.
+    """
     spark = rows.sparkSession
     stats = {r[0]: (r[1], r[2]) for r in rows.groupBy("vslot").agg(F.sum("size"), F.count(F.lit(1))).collect()}
     weights = {k: v[0] for k, v in stats.items()}
     shard_of = balanced(weights, shards, slots) if previous is None else rebalanced(previous, weights, shards)
-    frame = map_frame(spark, version, shard_of, stats)
-    frame.write.mode("append").partitionBy("version").parquet(map_path)
-    return spark.read.parquet(map_path).where(F.col("version") == version).drop("version")
+    frame = map_frame(spark, version, shard_of, stats).drop("version")
+    at = f"{map_path}/version={version}"
+    if not path_exists(spark, f"{at}/_SUCCESS"):
+        frame.coalesce(1).write.mode("overwrite").parquet(at)
+    there = spark.read.schema(MAP).parquet(at)
+    if sorted(map(tuple, there.collect())) != sorted(map(tuple, frame.collect())):  # ``slots`` rows
+        raise ValueError(f"version {version} under {map_path} is another map; give a new version")
+    return there
 
 
-def planned(slim: DataFrame, shards: int, slots: int, hot_share: float, map_path: str, previous: list[int] | None, version: int) -> tuple[list[int], DataFrame, DataFrame]:
-    """From rows without their texts (doc_id, size, text_crc32, _copy): heavy texts, the slot map, and the rows ahead of each cell."""
-    heavy = heavy_texts(slim, shards, hot_share)
-    rows = slotted(slim, slots, heavy)
-    slot_map = plan_shards(rows, shards, slots, map_path, previous, version)
-    ahead = Window.partitionBy("shard").orderBy("vslot", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    cells = in_cells(rows, slot_map).groupBy("shard", "vslot", "sub").agg(F.count(F.lit(1)).alias("_n"))
-    return heavy, slot_map, cells.select("vslot", "sub", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+def planned(slim: DataFrame, shards: int, slots: int, hot_share: float, map_path: str, previous: list[int] | None, version: int) -> DataFrame:
+    """Rows without texts as :func:`sized` gives them, with vslot, shard, split and slot.
 
-
-def in_cells(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
+    ``slot`` is the row's place in its shard, gapless from 0: the rows of the shard's earlier
+    cells, plus its number in its own cell. A cell is a part of a slot of about
+    ``ROWS_PER_CELL`` rows, so no task sees a whole hot slot.
+    """
+    rows = slotted(slim, slots, heavy_texts(slim, shards, hot_share))
+    slot_map = plan_shards(rows, shards, slots, map_path, previous, version)
     rows = rows.join(F.broadcast(slot_map.select("vslot", "shard", "subs")), "vslot")  # a row for each slot: a constant
-    return rows.withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("subs")).cast("int")).drop("subs")
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64("row"), F.col("subs")).cast("int"))
+    ahead = Window.partitionBy("shard").orderBy("vslot", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("shard", "vslot", "sub").agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.select("vslot", "sub", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("vslot", "sub").orderBy("doc_id", "text_crc32", "size", "row")
+    numbered = rows.withColumn("own", F.row_number().over(inside)).join(cells, ["vslot", "sub"])
+    return numbered.select("row", "doc_id", "size", "text_crc32", "vslot", "shard", (F.col("ahead") + F.col("own") - 1).cast("long").alias("slot"), "split")
 
 
-def placed(rows: DataFrame, slots: int, plan: tuple[list[int], DataFrame, DataFrame]) -> DataFrame:
-    """``rows`` (doc_id, size, text_crc32, _copy and any others) with vslot, shard and slot."""
-    heavy, slot_map, cells = plan
-    inside = Window.partitionBy("vslot", "sub").orderBy("doc_id", "text_crc32", "size")
-    rows = in_cells(slotted(rows, slots, heavy).drop("_copy"), slot_map).withColumn("_own", F.row_number().over(inside))
-    return rows.join(cells, ["vslot", "sub"]).withColumn("slot", (F.col("_ahead") + F.col("_own") - 1).cast("long")).drop("_own", "_ahead", "sub")
+def shard_ids(docs: DataFrame, shards: int = 16, slots: int = SLOTS, hot_share: float = 0.9, map_path: str | None = None, previous: list[int] | None = None, version: int = 1) -> DataFrame:
+    """doc_id of every row with size, text_crc32, vslot, shard, slot and split; texts are read once."""
+    keyed, keys = row_keyed(docs, "documents")
+    slim = stored(sized(keyed, keys), "sizes")
+    return planned(slim, shards, slots, hot_share, map_path or scratch_path(docs.sparkSession, "slot-map"), previous, version).drop("row")
 
 
 def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, hot_share: float = 0.9, map_path: str | None = None, previous: list[int] | None = None, version: int = 1) -> DataFrame:
-    """All rows and columns of ``docs`` with size, text_crc32, vslot, shard and slot.
+    """All rows and columns of ``docs`` with size, text_crc32, vslot, shard, slot and split.
 
-    ``slot`` is the row's place in its shard, gapless from 0: the rows of the shard's earlier
-    cells, plus its number in its own cell. A cell is a part of a slot of about
-    ``ROWS_PER_CELL`` rows, so no task sees a whole hot slot. Texts are read twice: for the
-    sizes and hashes that the plan is made from, which are stored, and for the result.
+    Texts are read twice: for sizes and hashes, which are stored and planned from, and for the result.
     """
-    rows = sized(docs.drop("size", "text_crc32", "vslot", "shard", "slot", "sub"))
-    slim = stored(rows.select("doc_id", "size", "text_crc32", "_copy"), "sizes")
-    return placed(rows, slots, planned(slim, shards, slots, hot_share, map_path or scratch_path(docs.sparkSession, "slot-map"), previous, version))
-
-
-def shard_ids(docs: DataFrame, shards: int = 16, slots: int = SLOTS, hot_share: float = 0.9, map_path: str | None = None, previous: list[int] | None = None, version: int = 1) -> DataFrame:
-    """As :func:`shard`, but doc_id is the only column of ``docs`` that is returned; texts are read once."""
-    slim = stored(sized(docs).select("doc_id", "size", "text_crc32", "_copy"), "sizes")
-    return placed(slim, slots, planned(slim, shards, slots, hot_share, map_path or scratch_path(docs.sparkSession, "slot-map"), previous, version))
+    keyed, keys = row_keyed(docs.select(*without(docs, ADDED)), "documents")
+    slim = stored(sized(keyed, keys), "sizes")
+    plan = planned(slim, shards, slots, hot_share, map_path or scratch_path(docs.sparkSession, "slot-map"), previous, version)
+    return joined_back(keyed, plan.select("row.*", *ADDED), keys)
 
 
 def op10_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = shard_ids(docs)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "split")
 
 
 QUERIES = {"op10_shard_slots": op10_shard_slots}

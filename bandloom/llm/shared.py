@@ -1,15 +1,19 @@
-"""Helpers that several operators share: the shared scratch folder, distributed ranks, block hashing."""
+"""Helpers that several operators share: scratch tables, columns from texts, row keys, distributed ranks, block hashing."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 U64 = np.uint64
 
@@ -91,6 +95,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
@@ -103,10 +112,65 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
-def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """``df`` with columns called as any of ``names`` renamed, and what brings back exactly its columns."""
-    away = {c: fresh(df, f"_own_{c}") for c in df.columns if c.lower() in names}
-    return df.withColumnsRenamed(away), lambda out: out.select(*[F.col(away.get(c, c)).alias(c) for c in df.columns])
+def without(df: DataFrame, names: tuple[str, ...] | list[str]) -> list[str]:
+    """The columns of ``df`` not called as any of ``names``, in either case."""
+    lowered = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in lowered]
+
+
+# ---------------------------------------------------------------- columns from texts
+
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of an Arrow batch, so that a worker's memory doesn't depend on the rows' sizes; a setting of the user's stays."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
+def text_udf(f: Callable[[Iterator[list[bytes | None]]], Iterator[list]], kind: DataType | str) -> Callable[..., Column]:
+    """A column from texts: ``f`` maps lists of UTF-8 bytes (or None) to lists of values or dicts of ``kind``.
+
+    Only the text goes to Python; a row's other columns stay in the JVM.
+    """
+    kind = DataType.fromDDL(kind) if isinstance(kind, str) else kind
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in f(a.cast(pa.binary()).to_pylist() for a in batches):
+            yield pa.array(values, arrow)
+
+    small_batches(SparkSession.active())
+    return F.arrow_udf(run, kind).asNondeterministic()  # so that no filter on it is worked out a second time
+
+
+# ---------------------------------------------------------------- row keys
+
+
+def row_keyed(docs: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two more columns that tell its rows apart whenever it is read, and their names.
+
+    Rows of Parquet files are named by a hash of their file and their place in it. Anything
+    else, whose rows might come in another order the next time, is stored first.
+    """
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias") and node.children().size() == 1:
+        node = node.children().apply(0)
+    keys = [fresh(docs, "_file"), fresh(docs, "_place")]
+    if node.nodeName() == "LogicalRelation":
+        try:
+            at = docs.metadataColumn("_metadata")
+            return docs.select("*", F.xxhash64(at["file_path"]).alias(keys[0]), at["row_index"].alias(keys[1])), keys
+        except AnalysisException:  # files without places
+            pass
+    return row_keyed(stored(docs, name), name)
+
+
+def joined_back(docs: DataFrame, slim: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``docs`` (keyed) joined to ``slim`` (keyed, without texts) by row: hashed on the slim side, so no text is sorted."""
+    return docs.join(slim.hint("shuffle_hash"), keys, how).drop(*keys)
 
 
 def text_or_empty(column: str = "text") -> Column:

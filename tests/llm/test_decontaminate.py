@@ -58,7 +58,8 @@ def test_fuzz_equals_brute_force(spark):
         b = spark.createDataFrame(items, "item_id long, text string")
         want = brute(docs, items)
         assert rows((d, b)) == want
-        assert rows((d, b, {"block_words": 10})) == want  # several blocks
+        assert rows((d, b, {"block_words": 30})) == want  # several blocks
+        assert rows((d, b, {"piece_words": 15})) == want  # long items in pieces
 
 
 def test_whole_small_table_equals_brute_force(small_docs, spark, sf_dir):

@@ -41,7 +41,7 @@ def test_pii_base_equals_brute_force(spark, small_docs):
     df = df.union(small_docs.selectExpr("doc_id + 1000000", "text"))
     got = {r[0]: r[1] for r in pii.find(df).select("doc_id", "pii").collect()}
     for i, t in rows:
-        base = [(s["kind"], s["start"], s["end"]) for s in got[i] if s["kind"] != "iban"]
+        base = [(s["kind"], s["start"], s["end"]) for s in got[i] if s["kind"] in ("email", "ip", "card", "phone")]
         if t is None or len(t) < 90_000:
             assert base == pii_brute(t), t
         for s in got[i]:
@@ -57,6 +57,46 @@ def test_pii_iban_context_and_redaction(spark):
     assert red[1] == "my iban [iban] or GB82WEST12345698765433, mail [email]" and red[2] is None
 
 
+def extra_brute(t):
+    """The kinds beyond the base: (kind, start, end, score in per cent), from plain checks."""
+    digits = lambda v: [int(c) for c in v]
+
+    def iban(v):
+        v = v.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+    kinds = (
+        ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", iban, 70, "iban bank account konto cuenta compte"),
+        ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", lambda v: v[:3] not in ("000", "666") and v[0] != "9" and v[4:6] != "00" and v[7:] != "0000", 50, "ssn social security"),
+        ("aba", r"[0-9]{9}", lambda v: int(v) > 0 and sum(d * (3, 7, 1)[k % 3] for k, d in enumerate(digits(v))) % 10 == 0, 40, "routing aba transit bank"),
+        ("dni", r"[0-9]{8}[A-Z]", lambda v: "TRWAGMYFPDXBNJZSQVHLCKE"[int(v[:8]) % 23] == v[8], 50, "dni nif identi"),
+        ("imei", r"[0-9]{15}", luhn, 40, "imei device handset serial"),
+    )
+    out = []
+    for kind, pattern, good, prior, words in kinds:
+        for m in re.finditer(pattern, t):
+            a, b = m.span()
+            if not re.search("[A-Za-z0-9]", t[max(a - 1, 0) : a] + t[b : b + 1]) and good(m[0]):
+                around = t[max(a - 40, 0) : a] + "\n" + t[b : b + 40]
+                score = prior + 30 * any(w in around.lower() for w in words.split())
+                out += [(kind, a, b, score)] if score >= 60 else []
+    return out
+
+
+def test_pii_context_decides(spark):
+    rng = random.Random(11)
+    parts = ["GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765433", "ES91 2100 0418 4502 0005 1332", "078-05-1120", "666-05-1120", "078-05-11201", "021000021", "021000022", "12345678Z", "12345678A", "490154203237518",
+             "490154203237519", "SSN ", "social ", "iban ", "bank routing ", "DNI: ", "imei=", "device ", " and ", "x", " . ", "-", " lorem ipsum dolor sit amet consectetur adipiscing ", "é𝔸 "]
+    rows = [(k, "".join(rng.choice(parts) + rng.choice(["", " ", ", "]) for _ in range(rng.randint(1, 12)))) for k in range(1500)]
+    got = {r.doc_id: r.pii for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    met = Counter()
+    for i, t in rows:
+        extra = [(s["kind"], s["start"], s["end"], round(100 * s["score"])) for s in got[i] if s["kind"] not in ("email", "ip", "card", "phone")]
+        assert extra == extra_brute(t), t
+        met.update((k, s >= 80) for k, _, _, s in extra)
+    assert {k for k, _ in met} == {"iban", "ssn", "aba", "dni", "imei"}
+
+
 def secret_brute(t):
     t = t or ""
     kinds = {
