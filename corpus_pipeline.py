@@ -6,7 +6,10 @@
 4. mixing: a document appears as often as its source's target weight has it, none to twice.
 5. sharding: every row gets a shard and its place in it.
 
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents, whatever they are called; the last adds
+size, text_crc32, vslot, shard, slot and split, which replace columns of those names. A stage works
+on rows without their texts and moves a text once at most: quality and decontamination filter where
+the rows are, the others join a slim verdict back by row.
 """
 
 from __future__ import annotations
@@ -14,15 +17,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bandloom.llm import decontaminate, mixing, neardup, quality, sharding
-from bandloom.llm.shared import set_aside, stored, temporary
+from bandloom.llm.shared import stored, temporary
 
 SHARDS = 16
 SIMILARITY = 80  # per cent
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs, restore = set_aside(docs, ("kept", "rejected_by"))
-    return restore(quality.cascade(docs, only_kept=True))
+    return quality.passing(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,18 +32,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs, restore = set_aside(docs, ("n_words", "n_hit", "spans", "items", "longest"))
-    return restore(decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs, restore = set_aside(docs, ("size", "source_size", "target", "copies"))
-    return restore(mixing.emitted(mixing.mix(docs)))
+    return mixing.repeated(docs)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    added = ("size", "text_crc32", "vslot", "shard", "slot")  # these replace columns of the same names
-    return sharding.shard(docs, SHARDS).select(*[c for c in docs.columns if c.lower() not in added], *added)
+    return sharding.shard(docs, SHARDS)
 
 
 STAGES = [
