@@ -21,8 +21,8 @@ with chance ``threshold`` for each level, so 16 trees miss one in 10^13 of those
 from the rest at the first level and one in 10^4 after four.
 
 A node's forest takes pairs well above the threshold for links. Where confirmation finds that
-one is none, its two classes are in doubt, and the trees are compared once more: a pair with
-such a class joins nothing by itself, so every pair of it is confirmed; until no such pair fails.
+one is none, its two classes are in doubt, and the nodes that hold such a class are compared once more:
+a pair with it joins nothing by itself, so every pair of it is confirmed; until no such pair fails.
 
 Texts are read three to four times and shuffled once, by :func:`deduplicated`, for the result;
 what the join works with are rows of about a kilobyte without texts, and rows are named by their
@@ -194,8 +194,8 @@ def least_agreement(threshold: float) -> int:
 class Node:
     """The classes of one node, and which pairs of them to confirm."""
 
-    def __init__(self, part: list[bytes], n: np.ndarray, sketch: np.ndarray, fine: list[bytes], doubt: np.ndarray, per_cent: int):
-        self.n, self.sketch, self.doubt, self.limit = n, sketch, doubt, per_cent / 100
+    def __init__(self, part: list[bytes], n: np.ndarray, sketch: np.ndarray, fine: list[bytes], doubt: np.ndarray, per_cent: int, margin: float):
+        self.n, self.sketch, self.doubt, self.limit, self.margin = n, sketch, doubt, per_cent / 100, margin
         self.fine = [np.frombuffer(f, np.uint16) for f in fine]
         ids: dict[bytes, int] = {}
         self.part = np.array([ids.setdefault(p, len(ids)) for p in part])
@@ -234,7 +234,7 @@ class Node:
             j = j[(self.sketch[j] == self.sketch[i]).sum(axis=1) >= least] if len(j) else j
             if len(j):
                 est, off = self.similar(i, j, mark)
-                firm = (est >= self.limit + off) & ~(self.doubt[i] | self.doubt[j])
+                firm = (est >= self.limit + self.margin * off) & ~(self.doubt[i] | self.doubt[j])
                 found += [(-e, i, int(k)) for e, k in zip(est[firm].tolist(), j[firm], strict=True)]
                 unsure += [(i, int(k)) for k in j[~firm & (est > self.limit - off)]]
         out = []
@@ -249,7 +249,7 @@ class Node:
 PAIR = "a binary, b binary, firm boolean"
 
 
-def _in_nodes(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
+def _in_nodes(batches: Iterator[pa.RecordBatch], per_cent: int, margin: float) -> Iterator[pa.RecordBatch]:
     """Rows (node, key, part, n, sketch, fine, doubt) in order of node: pairs across parts to confirm."""
     least, kept, mark = least_agreement(per_cent / 100), None, np.zeros(1 << 16, bool)
     for batch in itertools.chain(batches, [None]):
@@ -274,15 +274,15 @@ def _in_nodes(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.R
         out: list[tuple[bytes, bytes, bool]] = []
         for at, m in zip(edge[~apart].tolist(), size[~apart].tolist(), strict=True):
             own = slice(at, at + m)
-            for i, j, firm in Node(part[own], n[own], sketch[own], fine[own], doubt[own], per_cent).pairs(least, mark):
+            for i, j, firm in Node(part[own], n[own], sketch[own], fine[own], doubt[own], per_cent, margin).pairs(least, mark):
                 x, y = key[at + i], key[at + j]
                 out.append((x, y, firm) if x < y else (y, x, firm))
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.bool_()))], names=["a", "b", "firm"])
 
 
-def in_nodes(rows: DataFrame, per_cent: int) -> DataFrame:
+def in_nodes(rows: DataFrame, per_cent: int, margin: float) -> DataFrame:
     def run(batches):
-        return _in_nodes(batches, per_cent)
+        return _in_nodes(batches, per_cent, margin)
 
     return rows.select("node", "key", "part", "n", "sketch", "fine", "doubt").repartition("node").sortWithinPartitions("node").mapInArrow(run, PAIR)
 
@@ -399,19 +399,22 @@ def _components(links: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class How:
+    """``margin``: how many errors of the sample a pair must lie above the threshold for a node to take it for a link; links don't depend on it."""
+
     per_cent: int = 85
     trees: int = TREES
     leaf: int = LEAF
     depth: int = DEPTH
+    margin: float = 1.0
 
 
-def wave(classes: DataFrame, labels: DataFrame | None, trees: range, how: How, doubtful: DataFrame | None) -> DataFrame:
-    """(a, b, firm): the pairs to confirm from ``trees``, across the components of ``labels``."""
+def wave(classes: DataFrame, labels: DataFrame | None, trees: range, how: How, doubtful: DataFrame | None, again: bool) -> DataFrame:
+    """(a, b, firm): the pairs to confirm from ``trees``, across the components of ``labels``; ``again``: in nodes with a doubtful class."""
     with temporary(classes.sparkSession) as keep:
-        return keep(stored(_wave(classes, labels, trees, how, doubtful), "pairs"))
+        return keep(stored(_wave(classes, labels, trees, how, doubtful, again), "pairs"))
 
 
-def _wave(classes: DataFrame, labels: DataFrame | None, trees: range, how: How, doubtful: DataFrame | None) -> DataFrame:
+def _wave(classes: DataFrame, labels: DataFrame | None, trees: range, how: How, doubtful: DataFrame | None, again: bool) -> DataFrame:
     threshold = how.per_cent / 100
     info, tokens = classes.select("key", "n", "sketch", "fine"), classes.select("key", "tokens")
     info = info.withColumn("doubt", F.lit(False)) if doubtful is None else info.join(doubtful.select("key", F.lit(True).alias("doubt")), "key", "left").fillna({"doubt": False})
@@ -419,13 +422,15 @@ def _wave(classes: DataFrame, labels: DataFrame | None, trees: range, how: How,
     for level in range(how.depth):
         now = at.withColumn("part", F.col("key")) if labels is None else at.join(labels, "key", "left").select("node", "key", F.coalesce("root", "key").alias("part"))
         mixed = now.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
+        if again:
+            mixed = mixed.join(now.join(doubtful, "key", "left_semi").select("node").distinct(), "node", "left_semi")
         now = stored(now.join(mixed.select("node", "size"), "node"), "level")
-        found.append(in_nodes(now.where(F.col("size") <= how.leaf).join(info, "key"), how.per_cent))
+        found.append(in_nodes(now.where(F.col("size") <= how.leaf).join(info, "key"), how.per_cent, how.margin))
         large = now.where(F.col("size") > how.leaf)
         if is_empty(large):
             break
         if level == how.depth - 1:
-            found.append(in_nodes(blocks(large, how.leaf).join(info, "key"), how.per_cent))
+            found.append(in_nodes(blocks(large, how.leaf).join(info, "key"), how.per_cent, how.margin))
         else:
             at = grown(large.select("node", "key").join(tokens, "key"), threshold)
     return reduce(DataFrame.union, found).groupBy("a", "b").agg(F.max("firm").alias("firm"))
@@ -434,9 +439,10 @@ def _wave(classes: DataFrame, labels: DataFrame | None, trees: range, how: How,
 def linked(docs: DataFrame, classes: DataFrame, how: How) -> DataFrame | None:
     """Labels of the classes that have a link, as :func:`components` gives them."""
     links, labels, doubtful = None, None, None
-    waves = [range(min(FIRST, how.trees)), range(min(FIRST, how.trees), how.trees)]
+    waves = [(range(min(FIRST, how.trees)), False), (range(min(FIRST, how.trees), how.trees), False)]
     while waves:
-        pairs = wave(classes, labels, waves.pop(0), how, doubtful)
+        trees, again = waves.pop(0)
+        pairs = wave(classes, labels, trees, how, doubtful, again)
         if is_empty(pairs):
             continue
         with temporary(docs.sparkSession) as keep:
@@ -448,7 +454,7 @@ def linked(docs: DataFrame, classes: DataFrame, how: How) -> DataFrame | None:
         if not is_empty(failed):
             keys = failed.select(F.explode(F.array("a", "b")).alias("key"))
             doubtful = stored((keys if doubtful is None else keys.union(doubtful)).distinct(), "doubtful")
-            waves = [r for r in waves if len(r)] + [range(how.trees)] if range(how.trees) not in waves else waves
+            waves = [x for x in waves if not x[1]] + [(range(how.trees), True)]
     return labels
 
 
@@ -471,11 +477,11 @@ def rooted(classes: DataFrame, labels: DataFrame | None, columns: list[str]) ->
     return classes.select("key", *(c for c in columns if c != "key")).join(labels, "key", "left").select(*columns, F.coalesce("root", "key").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, per_cent: int = 85, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, per_cent: int = 85, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH, margin: float = 1.0) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; stored, with all that it was made from removed."""
     with temporary(docs.sparkSession) as keep:
         named, keys = row_keyed(docs.select("doc_id", "text"), "documents")
-        rows, classes, labels = classes_and_labels(named, keys, How(per_cent, trees, leaf, depth))
+        rows, classes, labels = classes_and_labels(named, keys, How(per_cent, trees, leaf, depth, margin))
         up = rooted(classes, labels, ["key", "rep"])
         of = up.select("key", "root").join(up.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("key", "component_id")
         some = rows.where("key is not null").select("doc_id", "n", "key").join(of, "key").select("doc_id", "n", "component_id")

@@ -92,7 +92,7 @@ def _matches(order: int, pattern: str, good: str) -> str:
     prior, high = round(100 * kind.prior), round(100 * min(1.0, kind.prior + pii.BOOST))
     kept = "" if kind.base else f" WHERE score >= {round(100 * pii.THRESHOLD)}"
     return f"""SELECT * FROM (SELECT r, '{kind.name}' AS kind, {order} AS k, s, e, CASE WHEN regexp_matches(translate({near}, '{UPPER}', '{LOWER}'), '{kind.words}') THEN {high} ELSE {prior} END AS score
-      FROM (SELECT r, t, m, upto - length(m) AS s, upto AS e FROM (SELECT r, t, m, sum(length(piece) + length(m)) OVER (PARTITION BY r ORDER BY j) AS upto FROM (
+      FROM (SELECT r, t, m, CAST(upto - length(m) AS BIGINT) AS s, CAST(upto AS BIGINT) AS e FROM (SELECT r, t, m, sum(length(piece) + length(m)) OVER (PARTITION BY r ORDER BY j) AS upto FROM (
       SELECT r, t, ms[j] AS m, ps[j] AS piece, j FROM (SELECT r, t, regexp_extract_all(t, {_text(pattern)}) AS ms, string_split_regex(t, {_text(pattern)}) AS ps FROM d WHERE regexp_matches(t, {_text(pattern)})), unnest(range(1, len(ms) + 1)) AS u(j))))
       WHERE {alone} AND {good}){kept}"""
 

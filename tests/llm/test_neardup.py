@@ -101,3 +101,24 @@ def test_components_of_a_long_path(spark):
     key = lambda k: np.array([k * 7919 % 71], ">u8").tobytes()
     links = spark.createDataFrame([(bytearray(key(k)), bytearray(key(k + 1))) for k in range(n - 1)], "a binary, b binary")
     assert {bytes(r.root) for r in N.components(links).collect()} == {min(key(k) for k in range(n))}
+
+
+def test_links_that_fail_put_their_classes_in_doubt(spark):
+    """Where nodes take pairs far below the threshold for links, many fail, and the true links must still be found."""
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(100)]
+    texts = []
+    for g in range(6):
+        for _ in range(12):
+            t = [f"{w}{g // 2}" for w in base]
+            for _ in range(rng.randint(0, 4)):
+                t[rng.randrange(100)] = f"x{rng.randint(0, 10**6)}"
+            texts.append(" ".join(t))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    named, keys = N.row_keyed(df, "test")
+    _, classes, _ = N.classes_and_labels(named, keys, N.How(trees=4))
+    all_keys = classes.select("key")
+    pairs = N.wave(classes, None, range(4), N.How(trees=4), all_keys, True)
+    assert not pairs.where("firm").count() and pairs.count() > N.wave(classes, None, range(4), N.How(trees=4), None, False).count()
+    assert got(df, trees=4, margin=-15) == got(df, trees=4) == brute(rows)
