@@ -192,8 +192,14 @@ def _batch(rows: list[tuple], spec: str) -> pa.RecordBatch:
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites int"
 
 
-def digests(conversations: DataFrame, template: Template = chatml, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Per conversation, from the output alone: what reads back, and what the mask covers."""
+def digests(
+    conversations: DataFrame, template: Template = chatml, loss_roles: tuple[str, ...] = ("assistant",),
+    read: Callable[[str], list[Turn]] = read_back, plain: Callable[[str], str] = unescape,
+) -> DataFrame:
+    """Per conversation, from the output alone: what reads back, and what the mask covers.
+
+    ``read`` and ``plain`` belong to the template: the turns in a piece of its output, and a text without its escapes.
+    """
 
     def run(batches):
         out: list[tuple] = []
@@ -209,11 +215,11 @@ def digests(conversations: DataFrame, template: Template = chatml, loss_roles: t
                     out = []
                 continue
             chars += len(r.piece)
-            for role, text in read_back(r.piece):
+            for role, text in read(r.piece):
                 n += 1
                 turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
             if r.role in loss_roles:
-                text = unescape(r.piece[r.start : r.end])
+                text = plain(r.piece[r.start : r.end])
                 masked += len(text)
                 loss.update(text.encode("utf-8", "surrogatepass"))
         if out:

@@ -275,8 +275,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, columns: list[str], window: i
         sets = rows.where(F.size(texts) > 0).select(texts.alias("texts")).distinct()
         ids = item_texts(benchmark).select("item", "key")
         named = sets.select("texts", F.explode("texts").alias("key")).join(ids, "key").groupBy("texts").agg(F.array_sort(F.collect_set("item")).alias("items"))
-        named = keep(stored(named, "item-sets"))
-    hit = rows.where(F.size(texts) > 0).join(named, texts == F.col("texts"))
+        met = fresh(rows, "_texts")
+        named = keep(stored(named.withColumnRenamed("texts", met), "item-sets"))
+    hit = rows.where(F.size(texts) > 0).join(named, texts == F.col(met))
     every = hit.select(*rows.columns, "items").union(rows.where(F.size(texts) == 0).withColumn("items", F.array().cast("array<string>")))
     return every.select(*columns, *[f"{own}.{c}" if c != "items" else c for c in ADDED])
 

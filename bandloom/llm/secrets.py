@@ -2,12 +2,14 @@
 
 Every version of a text is addressed by its content (sha256). The ledger is a Parquet table
 of (blob, rules, ...findings) with a row for each blob and rule version already scanned. A
-run takes the blobs of all its paths, leaves out those the ledger has under the present rule
-version, scans each unseen blob once, appends to the ledger, and joins findings to all paths.
+run takes the hashes of all its paths, leaves out those the ledger has under the present rule
+version, fetches one copy of each unseen blob by its row, scans it once, appends to the ledger,
+and joins the findings of its own blobs to all paths.
 
-Texts travel compressed (zstandard) to the task that keeps one copy of each blob; copies
-inside a task are merged before that shuffle, so a blob that a third of all paths share is
-no hot spot, and the join back to paths carries findings only.
+Only hashes and row keys are grouped and compared, so a blob that a third of all paths share is
+no hot spot; texts of known blobs are hashed where they are read and go no further, and a run
+that meets nothing new reads no text again. The result is stored; the hashes and unseen rows
+that it was made from are removed.
 
 Defined results: null text is the empty text; a null path keeps its row; repeated rows are
 rows of their own; an empty table gives an empty result; other columns of the input are not
@@ -22,11 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import scratch_path, stored, text_or_empty
+from .shared import is_empty, path_exists, row_keyed, scratch_path, small_batches, stored, temporary, text_or_empty
 
 #: Fixed patterns over UTF-8 bytes. The first three are the base; the others add spans.
 #: (kind, pattern, group that must have so many bytes, how many, text it can't do without)
@@ -65,17 +66,9 @@ def as_line(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        z = [pack(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(z, pa.binary())], names=["blob", "z"])
-
-
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        rows = [spans_in(unpack(z)) for z in batch.column("z").to_pylist()]
+        rows = [spans_in(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
         base = [[s for s in r if s[0] in BASE] for r in rows]
         count = [pa.array([sum(s[0] == k for s in r) for r in base], pa.int64()) for k in BASE]
         digest = pa.array([hashlib.sha256(as_line(r).encode()).hexdigest() for r in base])
@@ -85,25 +78,29 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     """The ledger, or None where there is none yet."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    return spark.read.schema(LEDGER).parquet(path) if there else None
+    return spark.read.schema(LEDGER).parquet(path) if path_exists(spark, path) else None
 
 
 def scan_history(versions: DataFrame, ledger_path: str, path_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Findings for every (path, version): (path, blob, n_assign, n_access, n_hex, base_sha256, spans)."""
     spark = versions.sparkSession
-    named = versions.select(F.col(path_column).alias("path"), text_or_empty(text_column).alias("text"))
-    named = named.withColumn("blob", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    ledger = read_ledger(spark, ledger_path)
-    packed = named.select("blob", "text").mapInArrow(_compress, "blob binary, z binary")
-    unseen = packed.groupBy("blob").agg(F.first("z").alias("z"))
-    if ledger is not None:
-        unseen = unseen.join(ledger.where(F.col("rules") == RULES_VERSION), "blob", "left_anti")
-    unseen.mapInArrow(_scan, LEDGER).write.mode("append").parquet(ledger_path)
-    # an interrupted append may have left a blob twice; its rows are equal. Stored, so that Spark can split a hot blob's paths in the join
-    present = stored(read_ledger(spark, ledger_path).where(F.col("rules") == RULES_VERSION).dropDuplicates(["blob"]).drop("rules"), "findings")
-    return named.select("path", "blob").join(present, "blob").withColumnRenamed("path", path_column)
+    small_batches(spark)
+    with temporary(spark) as keep:
+        named, keys = row_keyed(versions.select(F.col(path_column).alias("path"), F.col(text_column).alias("text")), "versions")
+        hashed = named.select(*keys, "path", F.unhex(F.sha2(text_or_empty().cast("binary"), 256)).alias("blob"))
+        paths = stored(hashed.select(F.struct(*keys).alias("row"), "path", "blob"), "paths")
+        blobs = paths.groupBy("blob").agg(F.min("row").alias("row"))
+        ledger = read_ledger(spark, ledger_path)
+        if ledger is not None:
+            blobs = blobs.join(ledger.where(F.col("rules") == RULES_VERSION), "blob", "left_anti")
+        unseen = stored(blobs.select("row.*", "blob"), "unseen")
+        if ledger is None or not is_empty(unseen):
+            texts = named.join(unseen, keys).select("blob", text_or_empty().alias("text"))
+            texts.mapInArrow(_scan, LEDGER).write.mode("append").parquet(ledger_path)
+        # an interrupted append may have left a blob twice; its rows are equal. Stored, so that Spark can split a hot blob's paths in the join
+        known = read_ledger(spark, ledger_path).where(F.col("rules") == RULES_VERSION).join(paths.select("blob"), "blob", "left_semi")
+        present = stored(known.dropDuplicates(["blob"]).drop("rules"), "findings")
+        return keep(stored(paths.select("path", "blob").join(present, "blob").withColumnRenamed("path", path_column), "by-path"))
 
 
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

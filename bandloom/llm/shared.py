@@ -196,18 +196,18 @@ def ranked(df: DataFrame, group: str, order: list[str], out: str, rows_per_part:
     """
     spark = df.sparkSession
     parts = max(-(-df.count() // rows_per_part), spark.sparkContext.defaultParallelism)
-    at, part, tie = (fresh(df, c) for c in ("_at", "_part", "_tie"))
+    at, part, tie, n, first, p, g, shift = (fresh(df, c) for c in ("_at", "_part", "_tie", "_n", "_first", "_p", "_g", "_shift"))
     keys = [F.col(group).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in order]]
     cut = df.withColumn(tie, F.rand(7)).repartitionByRange(parts, *keys, F.col(tie)).sortWithinPartitions(*keys, F.col(tie))
     cut = stored(cut.drop(tie).withColumn(at, F.monotonically_increasing_id()), name)
     cut = cut.withColumn(part, F.shiftright(at, 33))
-    counts = cut.groupBy(part, group).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first"))
+    counts = cut.groupBy(part, group).agg(F.count(F.lit(1)).alias(n), F.min(at).alias(first))
     before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(part).alias("_p"), F.col(group).alias("_g"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    offsets = counts.select(F.col(part).alias(p), F.col(group).alias(g), (F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(first)).alias(shift))
     return (
-        cut.join(offsets, (F.col(part) == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
-        .withColumn(out, (F.col(at) + F.col("_shift")).cast("long"))
-        .drop(at, part, "_p", "_g", "_shift")
+        cut.join(offsets, (F.col(part) == F.col(p)) & F.col(group).eqNullSafe(F.col(g)))
+        .withColumn(out, (F.col(at) + F.col(shift)).cast("long"))
+        .drop(at, part, p, g, shift)
     )
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 
+import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from bandloom.llm import chat, langid
@@ -83,6 +86,63 @@ def test_black_box_templates_see_every_turn_from_the_first(spark):
     assert [r.rewrites for r in chat.digests(df, forgets).collect()] == [1]
 
 
+@pytest.mark.parametrize("turns", [10, 500])
+def test_templates_with_their_own_reader(spark, turns):
+    said = [("assistant" if k % 2 else "user", f"turn {k} <<{k % 3}>>") for k in range(turns)]
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(said)], "conv_id long, turn long, role string, text string").repartition(3)
+
+    def begins(turns):
+        return "<bos>You are helpful.\n" + "".join(f"[{r}]{t.replace('<', '<<')}\n" for r, t in turns)
+
+    def late(turns):  # from the ninth turn on the first one is shown in short
+        return begins([(turns[0][0], "short"), *turns[1:]] if len(turns) > 8 else turns)
+
+    def read(piece):
+        return [(m[1], m[2].replace("<<", "<")) for m in re.finditer(r"\[(user|assistant)\]([^\n]*)\n", piece)]
+
+    def plain(text):
+        return text.replace("<<", "<")
+
+    r = chat.digests(df, begins, read=read, plain=plain).first()
+    loss = "".join(t for a, t in said if a == "assistant")
+    assert r.n_turns == turns and r.rewrites == 0 and r.formatted_chars == len(begins(said))
+    assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in said).encode()).hexdigest()
+    assert r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    assert chat.digests(df, late, read=read, plain=plain).first().rewrites == 1
+
+
+def language_brute(docs, content):
+    """Compressed sizes of the normalised text's blocks, one compressor a language and text, nothing shared between calls."""
+    order = {"strategy": zstandard.STRATEGY_LAZY, "min_match": 4, "window_log": 17, "hash_log": 15, "chain_log": 15, "search_log": 4}
+    out = {}
+    for i, t in docs:
+        if t is None or not re.search(r"[^\W\d_]", t):
+            out[i] = ("und", 0.0)
+            continue
+        words = []
+        for w in re.split(r"[\W\d_]+", t.lower()):
+            if w and w not in words:
+                words.append(w)
+        data = " ".join(words).encode()
+        size = {}
+        for lang, d in content.items():
+            params = zstandard.ZstdCompressionParameters(**order, write_content_size=False, write_checksum=False, write_dict_id=False)
+            c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+            size[lang] = sum(len(c.compress(data[k : k + 4096])) for k in range(0, len(data), 4096))
+        first, *rest = sorted(content, key=lambda x: (size[x], list(content).index(x)))
+        out[i] = (first, (size[rest[0]] - size[first]) / size[rest[0]] if rest else 1.0)
+    return out
+
+
+def test_language_equals_brute_force(spark, small_docs, odd_docs):
+    docs = small_docs.select("doc_id", "text", "lang").where("doc_id % 2 = 0").union(odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"]).selectExpr("doc_id + 1000000", "text", "lang"))
+    content = langid.dictionaries(small_docs)
+    want = language_brute([(r.doc_id, r.text) for r in docs.collect()], content)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, content, ["doc_id"]).collect()}
+    assert {i: x for i, (x, _) in got.items()} == {i: x for i, (x, _) in want.items()}
+    assert all(abs(got[i][1] - s) < 0.02 for i, (_, s) in want.items())
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     d = sf_dir.replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{d}/documents.parquet")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter
 
 import corpus_pipeline as P
-from bandloom.llm import mixing, sharding
+import pytest
+from bandloom.llm import decontaminate, langid, mixing, pii, quality, sharding
+from pyspark.sql import functions as F
 from bandloom.llm.shared import stored
 
 from .test_decontaminate import brute as contaminated_brute
@@ -135,3 +138,67 @@ def test_rebalancing_moves_few_slots():
         load[s] += weights[k]
     assert max(load.values()) / min(load.values()) < 1.06
     assert sharding.rebalanced(first, weights, 16) == first
+
+
+#: Names that the operators use themselves, or add.
+NAMES = """_text _own _copy _ahead _rank _s _source _again _times _file _place _verdict _found _hits _said _metadata _at _part _tie _n _first _p _g _shift
+row own ahead copy n key mark file place sub subs part anon h at words texts vslot shard slot size text_crc32 split kept rejected_by n_words n_hit spans items longest copies target
+source_size pii doubt word_chars base_failed lang_pred score accepted path blob""".split()
+
+
+def test_columns_of_any_name_come_through(spark, small_docs, sf_dir):
+    docs = small_docs.select("doc_id", "text", "source", *[F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in NAMES])
+    for many in (docs, stored(docs, "clash"), docs.repartition(3)):
+        for name, stage in P.STAGES[: 5 if many is docs else 4]:
+            out = stage(spark, many, sf_dir)
+            added = [c for c in NAMES if c in sharding.ADDED] if name == "sharding" else []
+            assert [c for c in out.columns if c not in sharding.ADDED] == [c for c in docs.columns if c not in added] if added else out.columns == docs.columns
+            for r in out.limit(20).collect():
+                assert all(r[c] == f"{c} {r.doc_id}" for c in NAMES if c not in added)
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    kept = [c for c in NAMES if c not in ("kept", "rejected_by", "size", "source_size", "target", "copies", "n_words", "n_hit", "spans", "items", "longest", "lang_pred", "score", "accepted", "pii")]
+    outs = [quality.cascade(docs), mixing.mix(docs), decontaminate.matches(docs, b, docs.columns), langid.predict(docs, {"en": b"the of"}, docs.columns), pii.find(docs)]
+    for out in outs:
+        r = out.first()
+        assert len(set(out.columns)) == len(out.columns) and all(r[c] == f"{c} {r.doc_id}" for c in kept)
+
+
+def test_the_map_is_written_once(spark, tmp_path):
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('text ', id % 100, repeat('x', cast(id % 100 as int)))  as text")
+    at = f"file://{tmp_path}/map"
+    first = sharding.shard_ids(docs, 4, map_path=at)
+    assert first.count() == 400 and sharding.shard_ids(docs, 4, map_path=at).count() == 400
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, sharding.shard_ids(docs, 4, map_path=at).collect()))
+    with pytest.raises(ValueError, match="version 1"):
+        sharding.shard_ids(docs.where("doc_id < 300"), 4, map_path=at)
+    os.remove(f"{tmp_path}/map/version=1/_SUCCESS")  # as an interrupted run leaves it
+    assert sharding.shard_ids(docs, 4, map_path=at).count() == 400
+    previous = [r.shard for r in spark.read.parquet(f"{at}/version=1").orderBy("vslot").collect()]
+    grown = sharding.shard_ids(docs, 5, map_path=at, previous=previous, version=2)
+    before = {r.doc_id: r.shard for r in first.collect()}
+    moved = [r for r in grown.collect() if r.shard != before[r.doc_id]]
+    assert 4 in {r.shard for r in moved} and len(moved) < 200 and len(before) == grown.count()
+
+
+def test_copies_share_a_shard_unless_they_are_marked(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "if(id % 3 = 0, repeat('hot ', 40), concat('doc ', id % 500, repeat(' y', 60))) as text")
+    rows = sharding.shard(docs, 8).collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r.text, r.split), set()).add((r.shard, r.vslot))
+    assert all(len(v) == 1 for (_, split), v in by.items() if not split)
+    assert {t for t, split in by if split} == {"hot " * 40} and not any((t, False) in by for t, split in by if split)
+    want = independent_plan([(r.doc_id, r.text) for r in rows], {(r.text, r.doc_id): r.vslot for r in rows}, 8)
+    assert {(r.doc_id, r.shard) for r in rows} == want
+
+
+def independent_plan(rows, vslot, shards):
+    """Slots by weight, heaviest first, each to the shard that has least, then fewest slots, then the lowest number."""
+    weight = Counter()
+    for i, t in rows:
+        weight[vslot[t, i]] += len(t.encode()) + 1
+    load, held, home = [0] * shards, [0] * shards, {}
+    for slot in sorted(range(sharding.SLOTS), key=lambda k: (-weight[k], k)):
+        s = min(range(shards), key=lambda k: (load[k], held[k], k))
+        load[s], held[s], home[slot] = load[s] + weight[slot], held[s] + 1, s
+    return {(i, home[vslot[t, i]]) for i, t in rows}
