@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 POLY, TRIPLE = 0xC75, 0b100
 #: The standard codes, three octal digits each.
 CODES = (
-    "006 007 015 017 021 023 025 026 031 032 036 043 047 050 051 053 054 065 071 072 073 074 114 115 116 122 125 131 132 134 141 143 145 152 155 156 162 165 172 174 "
-    "205 212 214 223 225 226 243 244 245 246 251 252 255 261 263 265 266 271 274 306 311 315 325 331 332 343 346 351 356 364 365 371 "
-    "411 412 413 423 431 432 445 446 452 454 455 462 464 465 466 503 506 516 523 526 532 546 565 606 612 624 627 631 632 654 662 664 "
-    "703 712 723 731 732 734 743 754"
-).split()
+    "006", "007", "015", "017", "021", "023", "025", "026", "031", "032", "036", "043", "047", "050", "051", "053", "054", "065", "071", "072", "073", "074",
+    "114", "115", "116", "122", "125", "131", "132", "134", "141", "143", "145", "152", "155", "156", "162", "165", "172", "174",
+    "205", "212", "214", "223", "225", "226", "243", "244", "245", "246", "251", "252", "255", "261", "263", "265", "266", "271", "274",
+    "306", "311", "315", "325", "331", "332", "343", "346", "351", "356", "364", "365", "371",
+    "411", "412", "413", "423", "431", "432", "445", "446", "452", "454", "455", "462", "464", "465", "466",
+    "503", "506", "516", "523", "526", "532", "546", "565",
+    "606", "612", "624", "627", "631", "632", "654", "662", "664",
+    "703", "712", "723", "731", "732", "734", "743", "754",
+)
 
 
 def remainder(word: Column) -> Column:
@@ -48,17 +52,18 @@ def bits(word: Column, inverted: bool = False) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(22)), lambda i: (F.getbit(word, i) if not inverted else 1 - F.getbit(word, i)).cast("int"))
 
 
+def leaves(v: int) -> int:
+    """What a plain number of 23 bits leaves when divided by the polynomial."""
+    for i in range(22, 10, -1):
+        if v >> i & 1:
+            v ^= POLY << (i - 11)
+    return v
+
+
 @cache
 def syndromes() -> dict[int, int]:
     """Error pattern of each of the 2,048 remainders; up to three flipped bits."""
-
-    def rem(v: int) -> int:
-        for i in range(22, 10, -1):
-            if v >> i & 1:
-                v ^= POLY << (i - 11)
-        return v
-
-    return {rem(e): e for k in range(4) for e in (sum(1 << b for b in bs) for bs in combinations(range(23), k))}
+    return {leaves(e): e for k in range(4) for e in (sum(1 << b for b in bs) for bs in combinations(range(23), k))}
 
 
 def syndrome_table(spark: SparkSession) -> DataFrame:

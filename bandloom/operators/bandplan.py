@@ -68,6 +68,17 @@ def bin_of(freq: Column) -> Column:
     return (F.rint(freq / F.lit(float(BIN_HZ))) * BIN_HZ).cast("long")
 
 
+def places(freqs: DataFrame, plan: DataFrame) -> DataFrame:
+    """(freq_hz, key, width_hz, tied) of each distinct frequency, from one lookup: :func:`channel_key` with :func:`tied`, null where no range holds it."""
+    row = F.struct("place", "id", "label", "service", "kind", "freq_center_hz", "bandwidth_hz", "licensed", "is_repeater_out")
+    found = lookup(freqs, plan).withColumn("_r", F.rank().over(Window.partitionBy("freq_hz").orderBy("width_hz"))).where("_r = 1")
+    top = found.groupBy("freq_hz").agg(F.min("width_hz").alias("width_hz"), F.array_sort(F.collect_list(row)).alias("tied"))
+    each = freqs.select("freq_hz").distinct().join(top, "freq_hz", "left")
+    first = F.col("tied")[0]
+    key = F.when(first["kind"] == "channel", first["freq_center_hz"]).otherwise(bin_of(F.col("freq_hz")))
+    return each.select("freq_hz", key.alias("key"), "width_hz", "tied")
+
+
 def channel_key(freqs: DataFrame, plan: DataFrame) -> DataFrame:
     """(freq_hz, key): the nominal center where the best match is a channel, else the bin."""
     top = best(freqs, plan).select("freq_hz", "kind", "freq_center_hz")
@@ -84,10 +95,13 @@ def nominal_windows(centers: DataFrame) -> DataFrame:
 
 
 def overlaps(plan: DataFrame) -> DataFrame:
-    """Pairs of one service whose ranges overlap."""
-    a = plan.select("service", F.col("id").alias("a"), F.col("freq_lo_hz").alias("alo"), F.col("freq_hi_hz").alias("ahi"))
-    b = plan.select("service", F.col("id").alias("b"), F.col("freq_lo_hz").alias("blo"), F.col("freq_hi_hz").alias("bhi"))
-    return a.join(b, "service").where("a < b AND alo <= bhi AND blo <= ahi").select("service", "a", "b")
+    """Pairs of one service whose ranges overlap: two ranges meet in the bucket where the later one of them begins, and there only."""
+    listed = F.explode(F.expr(f"sequence(freq_lo_hz div {BUCKET_HZ}, freq_hi_hz div {BUCKET_HZ})"))
+    each = plan.select("service", "id", "freq_lo_hz", "freq_hi_hz", listed.alias("bucket"))
+    a = each.select("service", "bucket", F.col("id").alias("a"), F.col("freq_lo_hz").alias("alo"), F.col("freq_hi_hz").alias("ahi"))
+    b = each.select("service", "bucket", F.col("id").alias("b"), F.col("freq_lo_hz").alias("blo"), F.col("freq_hi_hz").alias("bhi"))
+    first = F.expr(f"greatest(alo, blo) div {BUCKET_HZ}") == F.col("bucket")
+    return a.join(b, ["service", "bucket"]).where(first & F.expr("a < b AND alo <= bhi AND blo <= ahi")).select("service", "a", "b")
 
 
 def summary(plan: DataFrame) -> DataFrame:

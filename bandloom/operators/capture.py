@@ -49,8 +49,15 @@ def recorded(events: DataFrame) -> DataFrame:
     return events.select("id", "audio_hz", "i", "q", "rate").mapInPandas(run, FILES)
 
 
-def within_budget(events: DataFrame, budget: int) -> DataFrame:
-    """Events in order of id whose files, headers included, still fit; checked before anything is written."""
+LEAST_FREE = 500_000_000
+
+
+def within_budget(events: DataFrame, budget: int, free: int | None = None) -> DataFrame:
+    """Events in order of id whose files, headers included, still fit; checked before anything is written.
+
+    ``free``: bytes free on the disk, of which LEAST_FREE must stay.
+    """
+    budget = budget if free is None else min(budget, free - LEAST_FREE)
     seconds = F.size("i") / F.col("rate")
     size = (seconds * AUDIO_HZ * 2 + WAV_HEADER + F.size("i") * 8 + NPZ_HEADER).cast("long")
     return views.running_budget(events.withColumn("bytes", size), "id", "bytes", budget)

@@ -68,7 +68,7 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
 
 
 def spectrum_snapshot(grid: DataFrame, channel: str, value: str) -> DataFrame:
-    """Per channel the mean and peak over frames, and the peak above the median of medians."""
+    """Per channel the mean and peak over frames, and the peak above the median of the channels' medians."""
     each = grid.groupBy(channel).agg(F.avg(value).alias("mean"), F.max(value).alias("peak"), F.median(value).alias("_m"))
     floor = each.agg(F.median("_m").alias("floor"))
-    return each.join(floor).select(channel, F.round("mean", 4).alias("mean"), "peak", F.round(F.col("peak") - F.col("floor"), 4).alias("above"))
+    return each.join(floor).select(channel, "mean", "peak", (F.col("peak") - F.col("floor")).alias("above"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import bandplan
 
 #: Evidence gates and limits.
@@ -51,13 +52,14 @@ def narrowed(tied: Column, median: Column, measured: Column) -> Column:
     return F.when((measured >= MIN_MEASURED) & (distinct >= 2) & (F.size(keep) > 0), keep).otherwise(tied)
 
 
-def keyed(events: DataFrame, plan: DataFrame) -> DataFrame:
-    return events.join(bandplan.channel_key(events, plan), "freq_hz")
+def keyed(events: DataFrame, plan: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """Events with their channel's key; ``places``: as :func:`bandplan.places` gives them, if they are there already."""
+    return events.join((bandplan.channel_key(events, plan) if places is None else places).select("freq_hz", "key"), "freq_hz")
 
 
-def bucket_plans(events: DataFrame, plan: DataFrame) -> DataFrame:
+def bucket_plans(events: DataFrame, plan: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """(key, tied): the narrowest list of tied ranges that any frequency of the key has; of equal ones that of the lowest frequency."""
-    each = bandplan.channel_key(events, plan).join(bandplan.tied(events, plan), "freq_hz")
+    each = (bandplan.places(events, plan) if places is None else places).where("tied IS NOT NULL")
     return each.groupBy("key").agg(F.min_by("tied", F.struct("width_hz", "freq_hz")).alias("tied"))
 
 
@@ -70,7 +72,7 @@ def tone_decision(v: DataFrame, key: str, agreement: float = AGREEMENT) -> DataF
     w = v.groupBy(key).agg(*[of(n, x).alias(f"{n}_{x}") for n in ("state", "ctcss_hz", "dcs_code", "dcs_polarity") for x in ("value", "c", "total")])
 
     def firm(n: str) -> Column:
-        return F.col(f"{n}_c") * 10 >= F.col(f"{n}_total") * int(agreement * 10)
+        return F.col(f"{n}_c") / F.col(f"{n}_total") >= F.lit(float(agreement))
 
     state = F.when(F.col("state_value").isNull() | ~firm("state"), "unknown").when((F.col("state_value") == "ctcss") & ~F.coalesce(firm("ctcss_hz"), F.lit(False)), "unknown").when((F.col("state_value") == "dcs") & ~F.coalesce(firm("dcs_code"), F.lit(True)), "unknown").otherwise(F.col("state_value"))
     w = w.withColumn("tone_state", state)
@@ -80,25 +82,30 @@ def tone_decision(v: DataFrame, key: str, agreement: float = AGREEMENT) -> DataF
     )
 
 
-def rollup(events: DataFrame, plan: DataFrame, notes: DataFrame | None = None, agreement: float = AGREEMENT) -> DataFrame:
-    """One channel for each key, with ids by frequency; ``notes`` (freq_hz, notes) are kept by reported frequency."""
-    e = keyed(events, plan)
+def rollup(events: DataFrame, plan: DataFrame, notes: DataFrame | None = None, agreement: float = AGREEMENT, places: DataFrame | None = None) -> DataFrame:
+    """One channel for each key, with ids by frequency; ``notes`` (freq_hz, notes) are kept by reported frequency.
+
+    Frequencies are looked up once: ``places`` are stored, or given.
+    """
+    places = stored(bandplan.places(events, plan), "places") if places is None else places
+    e = keyed(events, plan, places)
     measured = usable()
     sums = e.groupBy("key").agg(
         F.count(F.lit(1)).alias("event_count"), F.coalesce(F.sum("duration_s"), F.lit(0.0)).alias("total_airtime_s"), F.min("t_us").alias("first_seen_us"), F.max("t_us").alias("last_seen_us"),
         F.median(measured).alias("_median"), F.count(measured).alias("_measured"), F.median("freq_hz").alias("_freq"),
     )
     state = F.when(F.col("tone_state") != "unknown", F.col("tone_state"))
-    v = votes(e.withColumn("state", state), "key", ["state", "ctcss_hz", "dcs_code", "dcs_polarity", "modulation"])
+    content = ["content"] if "content" in events.columns else []
+    v = votes(e.withColumn("state", state), "key", ["state", "ctcss_hz", "dcs_code", "dcs_polarity", "modulation", *content])
     tone = tone_decision(v, "key", agreement)
-    kind = v.where("name = 'modulation'").select("key", F.col("value").alias("modulation"))
-    all_ = sums.join(bucket_plans(e, plan), "key", "left").join(tone, "key", "left").join(kind, "key", "left")
+    kind = v.groupBy("key").agg(*[F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in ("modulation", "content")])
+    all_ = sums.join(bucket_plans(e, plan, places), "key", "left").join(tone, "key", "left").join(kind, "key", "left")
     tied = narrowed(F.coalesce("tied", F.array().cast(all_.schema["tied"].dataType)), F.col("_median"), F.col("_measured"))
     all_ = all_.withColumn("_tied", tied).withColumn("_plan", F.when(F.size("_tied") > 0, F.col("_tied")[0]))
     freq = F.when(F.col("_plan.kind") == "channel", F.col("_plan.freq_center_hz")).otherwise(F.floor("_freq").cast("long"))
     label = F.array_join(F.array_distinct(F.transform("_tied", lambda t: t["label"])), " / ")
     out = all_.select(
-        "key", freq.alias("freq_hz"), F.col("_plan.service").alias("service"), F.when(label != "", label).alias("label"), F.col("_plan.id").alias("band_plan_id"), "modulation",
+        "key", freq.alias("freq_hz"), F.col("_plan.service").alias("service"), F.when(label != "", label).alias("label"), F.col("_plan.id").alias("band_plan_id"), "modulation", "content",
         F.coalesce("tone_state", F.lit("unknown")).alias("tone_state"), "ctcss_hz", "dcs_code", "dcs_polarity", "first_seen_us", "last_seen_us", "event_count", "total_airtime_s", F.bround("_median", 1).alias("deviation_hz"),
         F.col("_plan.licensed").alias("licensed"), F.col("_plan.is_repeater_out").alias("is_repeater_out"),
     )
@@ -151,14 +158,26 @@ def tier_histogram(scored: DataFrame) -> DataFrame:
     return spark.range(5).select(F.col("id").cast("int").alias("tier")).join(scored.groupBy("tier").agg(F.count(F.lit(1)).alias("n")), "tier", "left").select("tier", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def enriched(events: DataFrame, plan: DataFrame, licences: tuple[str, ...] = (), max_lag_us: int = MAX_LAG_US) -> tuple[DataFrame, DataFrame]:
-    """(channels with tiers, pairs): the passes in order, as one lineage."""
-    channels = rollup(events, plan)
-    placed = keyed(events, plan).join(channels.select("key", F.col("freq_hz").alias("channel_hz")), "key")
-    pairs = pair_evidence(placed.select("id", "t_us", "channel_hz"), pair_candidates(channels, plan), max_lag_us)
+def placed(events: DataFrame, plan: DataFrame, agreement: float = AGREEMENT) -> tuple[DataFrame, DataFrame]:
+    """(channels, events as (id, t_us, channel_hz)). Places and channels, a row for each frequency and channel, are stored; events are joined to them."""
+    places = stored(bandplan.places(events, plan), "places")
+    channels = stored(rollup(events, plan, agreement=agreement, places=places), "channels")
+    at = places.join(channels.select("key", F.col("freq_hz").alias("channel_hz")), "key").select("freq_hz", "channel_hz")
+    return channels, events.select("id", "t_us", "freq_hz").join(at, "freq_hz").select("id", "t_us", "channel_hz")
+
+
+def stamped(df: DataFrame, name: str, at: float | None = None) -> DataFrame:
+    """``df`` with the time (seconds since 1970) at which it was made, the same for all rows; ``at`` stands in for the clock."""
+    return df.withColumn(name, F.unix_micros(F.current_timestamp()) / F.lit(1e6) if at is None else F.lit(float(at)))
+
+
+def enriched(events: DataFrame, plan: DataFrame, licences: tuple[str, ...] = (), max_lag_us: int = MAX_LAG_US, at: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(channels with tiers and rebuilt_at, pairs with inferred_at): each pass stores what the next ones read more than once."""
+    channels, located = placed(events, plan)
+    pairs = stamped(stored(pair_evidence(located, pair_candidates(channels, plan), max_lag_us), "pairs"), "inferred_at", at)
     first = pairs.groupBy("output_hz").agg(F.min("input_hz").alias("input_hz"))
     joined = channels.join(first, channels["freq_hz"] == first["output_hz"], "left").withColumn("paired", F.col("input_hz").isNotNull()).drop("output_hz")
-    return tiers(joined, licences), pairs
+    return stamped(tiers(joined, licences), "rebuilt_at", at), pairs
 
 
 def with_ids(channels: DataFrame) -> DataFrame:

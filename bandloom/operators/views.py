@@ -15,6 +15,13 @@ def tone_text() -> Column:
     )
 
 
+def mhz_text(hz: str, places: int = 4) -> Column:
+    """A frequency as MHz with so many decimals, halves up, worked out in whole numbers."""
+    unit = 10 ** (6 - places)
+    steps = F.expr(f"({hz} + {unit // 2}) div {unit}")
+    return F.format_string(f"%d.%0{places}d", F.floor(steps / 10**places).cast("long"), steps % 10**places)
+
+
 def when_text(us: str) -> Column:
     return F.date_format(F.timestamp_micros(us), "yyyy-MM-dd HH:mm:ss")
 
@@ -23,7 +30,7 @@ def events_view(events: DataFrame, channels: DataFrame, plan: DataFrame) -> Data
     """Events in order of time with tone, state and the channel's or the plan's label. ``events``: with key and band_plan_id."""
     named = events.join(channels.select("key", F.col("label").alias("_c")), "key", "left").join(plan.select(F.col("id").alias("band_plan_id"), F.col("label").alias("_p")), "band_plan_id", "left")
     return named.select(
-        "id", when_text("t_us").alias("at"), "freq_hz", F.when(F.col("duration_s").isNull(), "open").otherwise("closed").alias("state"), tone_text().alias("tone"), "snr_db", "deviation_hz",
+        "id", when_text("t_us").alias("at"), "freq_hz", mhz_text("freq_hz").alias("mhz"), F.when(F.col("duration_s").isNull(), "open").otherwise("closed").alias("state"), tone_text().alias("tone"), "snr_db", "deviation_hz",
         F.when(F.col("overload") == 1, "OVL").alias("ovl"), F.coalesce("_c", "_p").alias("label"), "t_us",
     ).orderBy("t_us", "id")
 
@@ -44,20 +51,46 @@ def contactable(scored: DataFrame) -> DataFrame:
 
 
 def coverage(windows: DataFrame, events: DataFrame) -> DataFrame:
-    """Per run, receiver and center: windows, seconds listened (an open window counts none) and events heard in them."""
+    """Per run, receiver and center: the first window's label or the center, windows, seconds listened (an open window counts none) and events heard in them."""
     heard = events.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"))
     each = windows.join(heard, windows["id"] == heard["window_id"], "left")
     return each.groupBy("run_id", "receiver_id", "center_hz").agg(
-        F.min_by("label", "id").alias("label"), F.count_distinct("id").alias("windows"), F.sum(F.coalesce("t_end_us", "t_start_us") - F.col("t_start_us")).alias("listened_us"), F.sum(F.coalesce("n", F.lit(0))).alias("events"),
+        F.coalesce(F.min_by("label", "id"), F.concat(mhz_text("center_hz", 3), F.lit(" MHz"))).alias("label"), F.count_distinct("id").alias("windows"), F.sum(F.coalesce("t_end_us", "t_start_us") - F.col("t_start_us")).alias("listened_us"), F.sum(F.coalesce("n", F.lit(0))).alias("events"),
     ).orderBy("receiver_id", "center_hz", "run_id")
 
 
-def coverage_by_time(windows: DataFrame, events: DataFrame) -> DataFrame:
-    """Events by the windows of their run and receiver that hold their start; an open window has no end."""
-    e = events.select("run_id", "receiver_id", "t_us")
-    each = windows.join(e, ["run_id", "receiver_id"]).where("t_us BETWEEN t_start_us AND coalesce(t_end_us, 9223372036854775807)")
-    counts = each.groupBy("id").agg(F.count(F.lit(1)).alias("events"))
-    return windows.select("id").join(counts, "id", "left").select("id", F.coalesce("events", F.lit(0)).alias("events"))
+def coverage_by_time(windows: DataFrame, events: DataFrame, step_us: int = 3_600_000_000) -> DataFrame:
+    """Events by the windows of their run and receiver that hold their start; an open window has no end.
+
+    Time is cut into steps, and events are counted by step. Of a window, the whole steps are
+    one subtraction of running counts, taken where it starts and ends; only the two steps at
+    its edges look at events one by one. So the work is linear in events and windows, however
+    long or open a window is.
+    """
+    by = ["run_id", "receiver_id"]
+    e = events.select(*by, "t_us", F.expr(f"t_us div {step_us}").alias("step")).where("t_us IS NOT NULL")
+    last = F.coalesce("t_end_us", F.lit(2**63 - 1))
+    w = windows.select("id", *by, "t_start_us", last.alias("last_us"), F.expr(f"t_start_us div {step_us}").alias("lo"), F.expr(f"coalesce(t_end_us, 9223372036854775807) div {step_us}").alias("hi"))
+    in_step = e.groupBy(*by, "step").agg(F.count(F.lit(1)).alias("n"))
+    block = F.expr("step div 256")  # of steps, whose totals are added first, so that no task sees all steps of a receiver
+    totals_ = in_step.groupBy(*by, block.alias("block")).agg(F.sum("n").alias("t"))
+    ahead = totals_.select(*by, "block", (F.sum("t").over(Window.partitionBy(*by).orderBy("block")) - F.col("t")).alias("ahead"))
+    own = F.sum("n").over(Window.partitionBy(*by, "block").orderBy("step"))
+    upto = in_step.withColumn("block", block).withColumn("own", own).join(ahead, [*by, "block"]).select(*by, "step", (F.col("own") + F.col("ahead")).alias("upto"))
+    # a mark for each edge among the steps' running counts: the count of the last step at or before it
+    marks = w.select("id", *by, F.col("lo").alias("step"), F.lit(-1).alias("sign")).union(w.select("id", *by, F.col("hi") - 1, F.lit(1))).where("sign < 0 OR step IS NOT NULL")
+    asked = marks.select(*by, "step").distinct()
+    known = upto.unionByName(asked.withColumn("upto", F.lit(None).cast("long"))).groupBy(*by, "step").agg(F.max("upto").alias("upto"))
+    block2 = F.expr("step div 256")
+    filled = known.withColumn("block", block2)
+    inside = F.last("upto", ignorenulls=True).over(Window.partitionBy(*by, "block").orderBy("step"))
+    ends = filled.groupBy(*by, "block").agg(F.max("upto").alias("m"))
+    before = F.last("m", ignorenulls=True).over(Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    filled = filled.withColumn("own", inside).join(ends.withColumn("before", before).drop("m"), [*by, "block"]).select(*by, "step", F.coalesce("own", "before", F.lit(0)).alias("upto"))
+    whole = marks.join(filled, [*by, "step"]).join(w.select("id", "lo", "hi"), "id").where("hi > lo").groupBy("id").agg(F.sum(F.col("sign") * F.col("upto")).alias("n"))
+    edges = w.select("id", *by, "t_start_us", "last_us", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("step"))
+    met = edges.join(e, [*by, "step"]).where("t_us BETWEEN t_start_us AND last_us").groupBy("id").agg(F.count(F.lit(1)).alias("m"))
+    return windows.select("id").join(whole, "id", "left").join(met, "id", "left").select("id", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("events"))
 
 
 def in_windows(events: DataFrame, windows: DataFrame) -> DataFrame:
@@ -106,12 +139,17 @@ def peaks(power: DataFrame, by: str, value: str, least: float, n: int = 25) -> D
     return power.where(F.col(value) >= least).orderBy(F.desc(value), by).limit(n)
 
 
+BLOCKS = 512
+
+
 def running_budget(files: DataFrame, order: str, size: str, budget: int) -> DataFrame:
     """Files in order while the sum of sizes stays within the budget; once stopped, stopped.
 
     Sums run within blocks of the order and blocks' totals are added, so no task sees all rows.
+    Blocks are cut at quantiles of the order, so they are alike however sparse its numbers are.
     """
-    block = F.expr(f"{order} div 100000")
+    cuts = files.agg(F.percentile_approx(order, [k / BLOCKS for k in range(1, BLOCKS)], 10 * BLOCKS)).first()[0] or [0]
+    block = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(order)))
     totals_ = files.groupBy(block.alias("_b")).agg(F.sum(size).alias("_t"))
     ahead = totals_.select("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
     own = F.sum(size).over(Window.partitionBy("_b").orderBy(order))

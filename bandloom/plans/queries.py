@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import dsp, golay, spectrum
 from ..operators import bandplan, detect, enrich, excerpts, mutations, views
-from ..sources import bridge, seed, simulator
+from ..session import stored
+from ..sources import bridge, seed, stations
 from ..sources.bridge import PLAN_SQL, SIG_SQL, WINDOWS_SQL, plan, sig, table, windows
 from ..streaming import detector
 
@@ -44,7 +45,7 @@ def vote_sql(name: str, source: str, key: str, value: str) -> str:
 
 
 TONE_SQL = f"""{KEY_SQL}, ev AS (SELECT sig.*, key, CASE WHEN tone_state <> 'unknown' THEN tone_state END AS state FROM sig JOIN ck USING (freq_hz)),
-{vote_sql("vs", "ev", "key", "state")}, {vote_sql("vc", "ev", "key", "ctcss_hz")}, {vote_sql("vd", "ev", "key", "dcs_code")}, {vote_sql("vp", "ev", "key", "dcs_polarity")}, {vote_sql("vm", "ev", "key", "modulation")},
+{vote_sql("vs", "ev", "key", "state")}, {vote_sql("vc", "ev", "key", "ctcss_hz")}, {vote_sql("vd", "ev", "key", "dcs_code")}, {vote_sql("vp", "ev", "key", "dcs_polarity")}, {vote_sql("vm", "ev", "key", "modulation")}, {vote_sql("vk", "ev", "key", "content")},
 td AS (SELECT k.key, CASE WHEN vs.value IS NULL OR vs.c * 10 < vs.total * 8 THEN 'unknown' WHEN vs.value = 'ctcss' AND NOT coalesce(vc.c * 10 >= vc.total * 8, false) THEN 'unknown'
     WHEN vs.value = 'dcs' AND NOT coalesce(vd.c * 10 >= vd.total * 8, true) THEN 'unknown' ELSE vs.value END AS tone_state, CAST(vc.value AS DOUBLE) AS c1, CAST(vd.value AS INT) AS d1, vp.value AS p1
   FROM (SELECT DISTINCT key FROM ck) k LEFT JOIN vs USING (key) LEFT JOIN vc USING (key) LEFT JOIN vd USING (key) LEFT JOIN vp USING (key)),
@@ -57,8 +58,8 @@ lims AS (SELECT key, count(DISTINCT lim) AS limits, count(*) FILTER (WHERE lim I
 tied AS (SELECT cand.* FROM cand JOIN lims USING (key) JOIN sums USING (key) WHERE NOT (coalesce(measured >= 3, false) AND limits >= 2 AND stay > 0) OR lim IS NULL OR med <= lim + 1500),
 top AS (SELECT key, arg_min(service, place) AS service, arg_min(id, place) AS band_plan_id, arg_min(kind, place) AS kind, arg_min(coalesce(freq_center_hz, 0), place) AS center, arg_min(licensed, place) AS licensed,
     arg_min(is_repeater_out, place) AS is_repeater_out, string_agg(label, ' / ' ORDER BY place) AS label FROM tied GROUP BY key),
-ch AS (SELECT s.key, CASE WHEN kind = 'channel' THEN center ELSE CAST(floor(mf) AS BIGINT) END AS freq_hz, service, label, band_plan_id, vm.value AS modulation, tone_state, ctcss_hz, dcs_code, dcs_polarity,
-    first_seen_us, last_seen_us, event_count, total_airtime_s, round_even(med, 1) AS deviation_hz, licensed, is_repeater_out FROM sums s LEFT JOIN top USING (key) LEFT JOIN tone USING (key) LEFT JOIN vm USING (key))"""
+ch AS (SELECT s.key, CASE WHEN kind = 'channel' THEN center ELSE CAST(floor(mf) AS BIGINT) END AS freq_hz, service, label, band_plan_id, vm.value AS modulation, vk.value AS content, tone_state, ctcss_hz, dcs_code, dcs_polarity,
+    first_seen_us, last_seen_us, event_count, total_airtime_s, round_even(med, 1) AS deviation_hz, licensed, is_repeater_out FROM sums s LEFT JOIN top USING (key) LEFT JOIN tone USING (key) LEFT JOIN vm USING (key) LEFT JOIN vk USING (key))"""
 PAIR_SQL = f"""{ROLL_SQL}, off AS (SELECT DISTINCT pair_offset_hz AS offset_hz FROM plan WHERE pair_offset_hz IS NOT NULL),
 pc AS (SELECT a.freq_hz AS output_hz, b.freq_hz AS input_hz, offset_hz FROM ch a CROSS JOIN off JOIN ch b ON b.freq_hz = a.freq_hz + offset_hz), pe AS (SELECT ev.id, t_us, ch.freq_hz AS channel_hz FROM ev JOIN ch USING (key)),
 near AS (SELECT output_hz, input_hz, o.id AS out_id, i.id AS in_id, o.t_us - i.t_us AS lag_us, row_number() OVER (PARTITION BY output_hz, input_hz, o.id ORDER BY abs(o.t_us - i.t_us), i.t_us, i.id) AS rn
@@ -101,10 +102,10 @@ def unallocated(spark, d):
     return bandplan.unallocated(sig(spark, d), plan(spark))
 
 
-@query(f"""WITH {MATCH_SQL} SELECT freq_hz, coalesce(label || CASE WHEN o <> 0 THEN ' (off)' ELSE '' END || CASE WHEN n > 1 THEN ' in ' || around ELSE '' END, 'unallocated') AS text
+@query(f"""WITH {MATCH_SQL} SELECT freq_hz, coalesce(label || CASE WHEN o <> 0 THEN printf(' (%+.2f kHz)', o / 1000.0::DOUBLE) ELSE '' END || CASE WHEN n > 1 THEN ' in ' || around ELSE '' END, 'unallocated') AS text
   FROM f LEFT JOIN (SELECT freq_hz, arg_min(label, place) AS label, max(o) AS o, arg_max(label, place) AS around, max(place) AS n FROM (SELECT *, CASE WHEN place = 1 THEN freq_hz - freq_center_hz END AS o FROM l) GROUP BY ALL) USING (freq_hz)""")
 def describe_frequency(spark, d):
-    return bandplan.described(sig(spark, d), plan(spark)).select("freq_hz", F.regexp_replace("text", r" \([+-][0-9.]+ kHz\)", " (off)").alias("text"))
+    return bandplan.described(sig(spark, d), plan(spark))
 
 
 @query("""WITH c AS (SELECT DISTINCT p_brand AS service, CAST(floor(p_retailprice) AS BIGINT) * 1000 AS center, 20000 AS bandwidth FROM part), g AS (
@@ -170,20 +171,23 @@ def reported_frequency(spark, d):
     return enrich.rollup(sig(spark, d), plan(spark)).select("key", "freq_hz")
 
 
-@query(f"WITH {ROLL_SQL}, old AS (SELECT freq_hz, 'note ' || freq_hz AS notes FROM ch WHERE key % 3 = 0) SELECT freq_hz, notes FROM ch LEFT JOIN old USING (freq_hz)")
+@query(f"WITH {ROLL_SQL}, old AS (SELECT freq_hz, 'note ' || freq_hz AS notes FROM ch WHERE key % 3 = 0) SELECT freq_hz, notes, 1.7e9::DOUBLE AS rebuilt_at FROM ch LEFT JOIN old USING (freq_hz)")
 def notes_kept(spark, d):
-    channels = enrich.rollup(sig(spark, d), plan(spark))
+    channels = stored(enrich.rollup(sig(spark, d), plan(spark)), "channels")
     notes = channels.where("key % 3 = 0").select("freq_hz", F.concat(F.lit("note "), "freq_hz").alias("notes"))
-    return enrich.rollup(sig(spark, d), plan(spark), notes).select("freq_hz", "notes")
+    return enrich.stamped(channels.select("freq_hz").join(notes, "freq_hz", "left"), "rebuilt_at", 1.7e9)
 
 
 # ---------------------------------------------------------------- pairs and tiers
 
 
 def placed(spark, d):
-    channels = enrich.rollup(sig(spark, d), plan(spark))
-    events = enrich.keyed(sig(spark, d), plan(spark)).join(channels.select("key", F.col("freq_hz").alias("channel_hz")), "key").select("id", "t_us", "channel_hz")
-    return channels, events
+    return enrich.placed(sig(spark, d), plan(spark))
+
+
+def with_pairs(spark, d):
+    channels, events = placed(spark, d)
+    return channels, stored(enrich.pair_evidence(events, enrich.pair_candidates(channels, plan(spark)), LAG_US, min_confidence=SHARE), "pairs")
 
 
 @query(f"WITH {PAIR_SQL} SELECT * FROM pc")
@@ -206,21 +210,18 @@ def pair_evidence(spark, d):
 @query(f"""WITH {PAIR_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY output_hz, input_hz) AS id FROM pv WHERE evidence_count >= 3 AND share >= {SHARE})
   SELECT freq_hz, pair_id FROM ch LEFT JOIN (SELECT output_hz AS freq_hz, min(id) AS pair_id FROM p GROUP BY ALL) USING (freq_hz)""")
 def channel_pair_ids(spark, d):
-    channels, events = placed(spark, d)
-    pairs = enrich.pair_evidence(events, enrich.pair_candidates(channels, plan(spark)), LAG_US, min_confidence=SHARE)
+    channels, pairs = with_pairs(spark, d)
     return enrich.with_pair_ids(channels, pairs).select("freq_hz", "pair_id")
 
 
 @query(f"WITH {PAIR_SQL} SELECT freq_hz, service FROM ch WHERE freq_hz IN (SELECT output_hz FROM pv WHERE evidence_count >= 3 AND share >= {SHARE})")
 def paired_outputs(spark, d):
-    channels, events = placed(spark, d)
-    pairs = enrich.pair_evidence(events, enrich.pair_candidates(channels, plan(spark)), LAG_US, min_confidence=SHARE)
+    channels, pairs = with_pairs(spark, d)
     return channels.join(pairs, channels["freq_hz"] == pairs["output_hz"], "left_semi").select("freq_hz", "service")
 
 
 def scored(spark, d):
-    channels, events = placed(spark, d)
-    pairs = enrich.pair_evidence(events, enrich.pair_candidates(channels, plan(spark)), LAG_US, min_confidence=SHARE)
+    channels, pairs = with_pairs(spark, d)
     seen = pairs.groupBy(F.col("output_hz").alias("freq_hz")).agg(F.min("input_hz").alias("input_hz"))
     return enrich.tiers(channels.join(seen, "freq_hz", "left").withColumn("paired", F.col("input_hz").isNotNull()), LICENCES)
 
@@ -238,13 +239,14 @@ def tier_histogram(spark, d):
 # ---------------------------------------------------------------- views
 
 
-@query(f"""WITH {ROLL_SQL} SELECT ev.id, strftime(make_timestamp(t_us), '%Y-%m-%d %H:%M:%S') AS at, ev.freq_hz, CASE WHEN duration_s IS NULL THEN 'open' ELSE 'closed' END AS state,
+@query(f"""WITH {ROLL_SQL} SELECT ev.id, strftime(make_timestamp(t_us), '%Y-%m-%d %H:%M:%S') AS at, ev.freq_hz, printf('%d.%04d', (ev.freq_hz + 50) // 1000000, (ev.freq_hz + 50) // 100 % 10000) AS mhz, CASE WHEN duration_s IS NULL THEN 'open' ELSE 'closed' END AS state,
   CASE WHEN ev.ctcss_hz IS NOT NULL THEN printf('CTCSS %.1f', ev.ctcss_hz) WHEN ev.dcs_code IS NOT NULL THEN printf('DCS %03d', ev.dcs_code) || coalesce(ev.dcs_polarity, '') WHEN ev.tone_state = 'dcs' THEN 'DCS?' WHEN ev.tone_state = 'none' THEN 'no tone' ELSE '?' END AS tone,
   snr_db, ev.deviation_hz, CASE WHEN overload = 1 THEN 'OVL' END AS ovl, coalesce(ch.label, l.label) AS label, t_us
   FROM ev LEFT JOIN ch ON ch.key = ev.key LEFT JOIN l ON l.freq_hz = ev.freq_hz AND l.place = 1""")
 def v_events(spark, d):
-    e = bandplan.tag(enrich.keyed(sig(spark, d), plan(spark)), plan(spark))
-    return views.events_view(e, enrich.rollup(sig(spark, d), plan(spark)), plan(spark))
+    places = stored(bandplan.places(sig(spark, d), plan(spark)), "places")
+    e = sig(spark, d).join(places.select("freq_hz", "key", F.col("tied")[0]["id"].alias("band_plan_id")), "freq_hz")
+    return views.events_view(e, enrich.rollup(sig(spark, d), plan(spark), places=places), plan(spark))
 
 
 @query(f"WITH {SIG_SQL} SELECT freq_hz, count(*) AS hits, count(*) FILTER (WHERE duration_s IS NULL) AS open, round(sum(duration_s), 4) AS airtime_s, round(avg(snr_db), 4) AS snr_db, round(avg(deviation_hz), 4) AS deviation_hz, min(t_us) AS first_us, max(t_us) AS last_us FROM sig GROUP BY ALL")
@@ -259,7 +261,7 @@ def v_contactable(spark, d):
 
 
 @query(f"""WITH {SIG_SQL}, {WINDOWS_SQL}, heard AS (SELECT t_us // 86400000000 * 100 + run_id * 10 + CASE WHEN receiver_id = 'vhf' THEN 1 ELSE 0 END AS id, count(*) AS n FROM sig GROUP BY ALL)
-  SELECT run_id, receiver_id, center_hz, arg_min(label, id) AS label, count(DISTINCT id) AS windows, CAST(sum(coalesce(t_end_us, t_start_us) - t_start_us) AS BIGINT) AS listened_us, CAST(sum(coalesce(n, 0)) AS BIGINT) AS events FROM win LEFT JOIN heard USING (id) GROUP BY ALL""")
+  SELECT run_id, receiver_id, center_hz, coalesce(arg_min_null(label, id), printf('%d.%03d MHz', center_hz // 1000000, center_hz // 1000 % 1000)) AS label, count(DISTINCT id) AS windows, CAST(sum(coalesce(t_end_us, t_start_us) - t_start_us) AS BIGINT) AS listened_us, CAST(sum(coalesce(n, 0)) AS BIGINT) AS events FROM win LEFT JOIN heard USING (id) GROUP BY run_id, receiver_id, center_hz""")
 def v_coverage(spark, d):
     e = sig(spark, d).withColumn("window_id", F.expr("t_us div 86400000000 * 100 + run_id * 10 + if(receiver_id = 'vhf', 1, 0)"))
     return views.coverage(windows(spark, d), e)
@@ -336,9 +338,11 @@ def local_max(spark, d):
     return detect.local_maxima(grid(spark, d), "frame", "channel", "value")
 
 
-@query(f"WITH {GRID_SQL} SELECT channel, round(avg(value), 4) AS mean, max(value) AS peak, round(max(value) - (SELECT median(m) FROM (SELECT median(value) AS m FROM grid GROUP BY channel)), 4) AS above FROM grid GROUP BY channel")
+@query(f"""WITH {GRID_SQL}, g AS (SELECT channel, CAST(round(value * 1000) AS BIGINT) AS value FROM grid)
+  SELECT channel, avg(value) AS mean, max(value) AS peak, max(value) - (SELECT median(m) FROM (SELECT median(value) AS m FROM g GROUP BY channel)) AS above FROM g GROUP BY channel""")
 def spectrum_snapshot(spark, d):
-    return detect.spectrum_snapshot(grid(spark, d), "channel", "value")
+    # levels in whole thousandths, whose sums and medians are exact in either engine
+    return detect.spectrum_snapshot(grid(spark, d).withColumn("value", F.round(F.col("value") * 1000).cast("long")), "channel", "value")
 
 
 SEQ_SQL = "seq AS (SELECT user_id, event_id, epoch_us(ts) AS t_us, value FROM events)"
@@ -456,43 +460,71 @@ def golay_encode(spark, d):
     return w.select("data", golay.encoded(F.col("data")).alias("word"))
 
 
-@query("SELECT p_partkey, p_partkey % 4096 AS data, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey % 3 END AS errors FROM part")
+CODES_SQL = "(VALUES " + ", ".join(f"('{c}')" for c in golay.CODES) + ") AS t(code)"
+OCTAL_SQL = "printf('%d%d%d', data % 512 // 64, data % 64 // 8, data % 8)"
+
+
+@query(f"""WITH w AS (SELECT p_partkey, p_partkey % 4096 AS data, p_partkey % 3 AS errors FROM part), c AS (SELECT code FROM {CODES_SQL})
+  SELECT p_partkey, data, errors, CASE WHEN data // 512 = 4 AND {OCTAL_SQL} IN (SELECT code FROM c) THEN {OCTAL_SQL} END AS code FROM w""")
 def golay_decode(spark, d):
     w = table(spark, d, "part").select("p_partkey", golay.encoded(F.expr("p_partkey % 4096")).alias("word"))
     flips = F.expr("CASE p_partkey % 3 WHEN 0 THEN 0L WHEN 1 THEN shiftleft(1L, cast(p_partkey % 23 AS int)) ELSE shiftleft(1L, cast(p_partkey % 23 AS int)) ^ shiftleft(1L, cast((p_partkey + 9) % 23 AS int)) END")
-    return golay.decoded(w.withColumn("word", F.col("word").bitwiseXOR(flips))).select("p_partkey", "data", F.col("errors").cast("long").alias("errors"))
+    return golay.decoded(w.withColumn("word", F.col("word").bitwiseXOR(flips))).select("p_partkey", "data", F.col("errors").cast("long").alias("errors"), "code")
 
 
-@query()
+def values(rows: list[tuple], columns: str) -> str:
+    """Rows as an SQL table."""
+
+    def text(v) -> str:
+        return "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+    return "(VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows) + f") AS t({columns})"
+
+
+def names(spec: str) -> str:
+    return ", ".join(c.split()[0] for c in spec.split(", "))
+
+
+SEED_COLUMNS = "service, label, channel_number, freq_lo_hz, freq_hi_hz, freq_center_hz, bandwidth_hz, kind, is_repeater_out, pair_offset_hz, licensed, source, notes"
+
+
+@query(f"""WITH n AS (SELECT * FROM {values(seed.nominal_rows(), names(seed.NOMINAL))}), g AS (
+    SELECT *, least(center - lag(center) OVER w, lead(center) OVER w - center) AS gap FROM n WINDOW w AS (PARTITION BY service ORDER BY center)), h AS (
+    SELECT *, least(bandwidth // 2, coalesce(gap // 2, bandwidth // 2)) AS half FROM g), r AS (SELECT * FROM {values(seed.range_rows(), names(seed.RANGES))}), a AS (
+    SELECT service, label, channel_number, center - half AS freq_lo_hz, center + half - 1 AS freq_hi_hz, center AS freq_center_hz, bandwidth AS bandwidth_hz, 'channel' AS kind, is_repeater_out, pair_offset_hz, licensed, source, notes FROM h
+    UNION ALL SELECT service, label, NULL, freq_lo_hz, freq_hi_hz, freq_center_hz, bandwidth_hz, kind, is_repeater_out, pair_offset_hz, licensed, source, notes FROM r)
+  SELECT {SEED_COLUMNS}, row_number() OVER (ORDER BY service, freq_lo_hz, label) AS id FROM a""")
 def seeded_plan(spark, d):
-    return seed.seeded(spark)
+    return seed.seeded(spark).select(*SEED_COLUMNS.split(", "), "id")
 
 
-@query()
+FULL = (1 << 23) - 1
+
+
+@query(f"""WITH c AS (SELECT code, (2048 + CAST(code[1] AS BIGINT) * 64 + CAST(code[2] AS BIGINT) * 8 + CAST(code[3] AS BIGINT)) << 11 AS high FROM {CODES_SQL}),
+  w AS (SELECT code, high | ({GOLAY_SQL.format(high="high")}) AS word FROM c),
+  t AS (SELECT code, ((({FULL} - word) >> k) | (({FULL} - word) << (23 - k))) & {FULL} AS word FROM w, range(23) AS r(k))
+  SELECT DISTINCT t.code, w.code AS reads_as FROM t JOIN w ON t.word = w.word""")
 def dcs_pairs(spark, d):
     return golay.inverse_pairs(spark)
 
 
 @query()
 def signal_analysis(spark, d):
-    s = simulator.sample_signals(spark).repartition(4)
-    return s.select("name", dsp.analyse("i", "q", "rate", "offset").alias("r")).select("name", "r.*").withColumn("tone_state", dsp.tone_state())
+    s = stations.signals(spark, d)
+    return s.select("station", "kind", dsp.analyse("i", "q", "rate", "offset").alias("r")).select("station", "kind", "r.*").withColumn("tone_state", dsp.tone_state())
 
 
 @query()
 def channel_power(spark, d):
-    rows = simulator.sample_frames(spark)
-    return spectrum.by_channel(spectrum.powers(rows, simulator.SAMPLE_RATE))
+    return spectrum.by_channel(spectrum.powers(stations.samples(spark, d), stations.RATE_HZ, 1024))
 
 
 @query()
 def detector_batch(spark, d):
-    spark.dataSource.register(simulator.Frames)
-    frames = spark.read.format("frames").option("frames", 700).load()
-    return detector.detect(frames, 0.0131)
+    return detector.detect(stations.frames(spark, d), stations.FRAME_S)
 
 
 @query()
 def detector_stream(spark, d):
-    spark.dataSource.register(simulator.Frames)
-    return detector.replayed(spark.read.format("frames").option("frames", 700).load(), 0.0131)
+    return detector.replayed(stations.frames(spark, d), stations.FRAME_S)

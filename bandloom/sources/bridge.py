@@ -25,7 +25,7 @@ def sig(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN event_id % 10 = 0 THEN 'unknown' WHEN user_id % 5 < 2 THEN 'ctcss' WHEN user_id % 5 = 2 THEN 'dcs' WHEN user_id % 5 = 3 THEN 'none' WHEN event_id % 2 = 0 THEN 'none' ELSE 'ctcss' END AS tone_state",
         "CASE WHEN event_id % 10 = 0 THEN null WHEN user_id % 5 = 0 THEN 141.3D WHEN user_id % 5 = 1 THEN if(event_id % 3 = 0, 67.0D, 100.0D) WHEN user_id % 5 = 4 AND event_id % 2 = 1 THEN 88.5D END AS ctcss_hz",
         "if(user_id % 5 = 2 AND event_id % 10 <> 0 AND event_id % 4 < 3, 155, cast(null AS int)) AS dcs_code", "if(user_id % 5 = 2, 'N', null) AS dcs_polarity",
-        "'fm' AS modulation", "event_id % 2 AS overload", "event_id % 4 AS run_id",
+        "'fm' AS modulation", "CASE WHEN event_id % 3 = 0 THEN 'voice' WHEN event_id % 7 = 0 THEN 'data' END AS content", "event_id % 2 AS overload", "event_id % 4 AS run_id",
     )
 
 
@@ -36,7 +36,7 @@ SIG_SQL = f"""sig AS (
     CASE WHEN event_id % 10 = 0 THEN 'unknown' WHEN user_id % 5 < 2 THEN 'ctcss' WHEN user_id % 5 = 2 THEN 'dcs' WHEN user_id % 5 = 3 THEN 'none' WHEN event_id % 2 = 0 THEN 'none' ELSE 'ctcss' END AS tone_state,
     CAST(CASE WHEN event_id % 10 = 0 THEN null WHEN user_id % 5 = 0 THEN 141.3 WHEN user_id % 5 = 1 THEN CASE WHEN event_id % 3 = 0 THEN 67.0 ELSE 100.0 END WHEN user_id % 5 = 4 AND event_id % 2 = 1 THEN 88.5 END AS DOUBLE) AS ctcss_hz,
     CASE WHEN user_id % 5 = 2 AND event_id % 10 <> 0 AND event_id % 4 < 3 THEN 155 END AS dcs_code, CASE WHEN user_id % 5 = 2 THEN 'N' END AS dcs_polarity,
-    'fm' AS modulation, event_id % 2 AS overload, event_id % 4 AS run_id
+    'fm' AS modulation, CASE WHEN event_id % 3 = 0 THEN 'voice' WHEN event_id % 7 = 0 THEN 'data' END AS content, event_id % 2 AS overload, event_id % 4 AS run_id
   FROM events)"""
 
 
@@ -68,10 +68,10 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sig(spark, sf_dir).withColumn("day", F.expr("t_us div 86400000000"))
     w = s.groupBy("run_id", "receiver_id", "day").agg(F.min("t_us").alias("t_start_us"), F.max("t_us").alias("last_us"))
     w = w.withColumn("id", F.expr("day * 100 + run_id * 10 + if(receiver_id = 'vhf', 1, 0)"))
-    return w.select("id", "run_id", "receiver_id", F.expr(f"{BASE_HZ} + day % 3 * 1000000").alias("center_hz"), F.concat(F.lit("w"), F.col("day") % 5).alias("label"), "t_start_us", F.when(F.col("day") % 3 != 0, F.col("last_us")).alias("t_end_us"), "day")
+    return w.select("id", "run_id", "receiver_id", F.expr(f"{BASE_HZ} + day % 3 * 1000000").alias("center_hz"), F.when(F.col("day") % 5 < 4, F.concat(F.lit("w"), F.col("day") % 5)).alias("label"), "t_start_us", F.when(F.col("day") % 3 != 0, F.col("last_us")).alias("t_end_us"), "day")
 
 
 WINDOWS_SQL = f"""win AS (
-  SELECT day * 100 + run_id * 10 + CASE WHEN receiver_id = 'vhf' THEN 1 ELSE 0 END AS id, run_id, receiver_id, {BASE_HZ} + day % 3 * 1000000 AS center_hz, 'w' || (day % 5) AS label,
+  SELECT day * 100 + run_id * 10 + CASE WHEN receiver_id = 'vhf' THEN 1 ELSE 0 END AS id, run_id, receiver_id, {BASE_HZ} + day % 3 * 1000000 AS center_hz, CASE WHEN day % 5 < 4 THEN 'w' || (day % 5) END AS label,
     t_start_us, CASE WHEN day % 3 <> 0 THEN last_us END AS t_end_us, day
   FROM (SELECT run_id, receiver_id, t_us // 86400000000 AS day, min(t_us) AS t_start_us, max(t_us) AS last_us FROM sig GROUP BY ALL))"""

@@ -15,7 +15,9 @@ RUNS = (
     ("gmrs", "GMRS", 1, 7, 462_562_500, 12_500, 1, "FCC 95E", "5 W simplex"), ("gmrs", "GMRS", 8, 14, 467_562_500, 12_500, 1, "FCC 95E", "0.5 W simplex only"),
 )
 GMRS_FIRST, GMRS_HZ, GMRS_OFFSET = (15, 22), 462_550_000, 5 * MHZ
+GMRS_OLD_NAMES = {462_575_000: "White Dot", 462_625_000: "Black Dot", 462_675_000: "Orange Dot"}
 MURS = {151_820_000: 11_250, 151_880_000: 11_250, 151_940_000: 11_250, 154_570_000: 20_000, 154_600_000: 20_000}
+MURS_OLD_NAMES = {154_570_000: "Blue Dot", 154_600_000: "Green Dot"}
 ITINERANT = (
     (151_505_000, "Itinerant 151.505", None), (151_512_500, "Itinerant 151.5125", None), (151_625_000, "Red Dot", None), (151_700_000, "Itinerant 151.700", None), (151_760_000, "Itinerant 151.760", None),
     (151_955_000, "Purple Dot", None), (154_515_000, "Brown Dot (VHF)", None), (154_540_000, "Yellow Dot (VHF)", None), (158_400_000, "Itinerant 158.400", None),
@@ -39,31 +41,40 @@ SEGMENTS = (
     ("ham70cm", 445_000, 447_000, "70 cm links, repeaters and simplex (local option)", None), ("ham70cm", 447_000, 450_000, "70 cm repeater inputs and outputs (local option)", 5 * MHZ),
 )
 #: Channels with a window of their own, 10 kHz to each side.
-CALLING = (("ham2m", 146_520_000, "2 m national FM simplex calling"), ("ham2m", 144_390_000, "APRS (North America)"), ("ham2m", 144_200_000, "2 m national SSB calling"),
-           ("ham70cm", 446_000_000, "70 cm national FM simplex calling"), ("ham70cm", 432_100_000, "70 cm calling frequency"))
+CALLING = (
+    ("ham2m", 146_520_000, "2 m national FM simplex calling", "146.52 — the one everyone monitors"),
+    ("ham2m", 144_390_000, "APRS (North America)", "packet, not voice"),
+    ("ham2m", 144_200_000, "2 m national SSB calling", None),
+    ("ham70cm", 446_000_000, "70 cm national FM simplex calling", "446.000"),
+    ("ham70cm", 432_100_000, "70 cm calling frequency", "SSB/CW"),
+)
+OFFSET_NOTES = {600 * KHZ: "600 kHz standard offset", 5 * MHZ: "5 MHz standard offset"}
 
 NOMINAL = "service string, label string, channel_number string, center long, bandwidth long, is_repeater_out int, pair_offset_hz long, licensed int, source string, notes string"
-RANGES = "service string, label string, freq_lo_hz long, freq_hi_hz long, freq_center_hz long, bandwidth_hz long, kind string, is_repeater_out int, pair_offset_hz long, licensed int, source string"
+RANGES = "service string, label string, freq_lo_hz long, freq_hi_hz long, freq_center_hz long, bandwidth_hz long, kind string, is_repeater_out int, pair_offset_hz long, licensed int, source string, notes string"
 
 
 def nominal_rows() -> list[tuple]:
     rows = [(service, f"{name} {n}", str(n), hz + (n - a) * 25 * KHZ, bw, 0, None, lic, src, notes) for service, name, a, b, hz, bw, lic, src, notes in RUNS for n in range(a, b + 1)]
     for n in range(GMRS_FIRST[0], GMRS_FIRST[1] + 1):
         hz = GMRS_HZ + (n - GMRS_FIRST[0]) * 25 * KHZ
-        rows.append(("gmrs", f"GMRS {n}", str(n), hz, 20_000, 1, GMRS_OFFSET, 1, "FCC 95E", "50 W, repeater output"))
+        rows.append(("gmrs", f"GMRS {n}", str(n), hz, 20_000, 1, GMRS_OFFSET, 1, "FCC 95E", "50 W, repeater output" + (f"; legacy {GMRS_OLD_NAMES[hz]} — preprogrammed on cheap radios" if hz in GMRS_OLD_NAMES else "")))
         rows.append(("gmrs", f"GMRS {n} repeater input", f"{n}R", hz + GMRS_OFFSET, 20_000, 0, None, 1, "FCC 95E", "50 W, repeater input only"))
-    rows += [("murs", f"MURS {hz // KHZ % 1000:03d}", None, hz, bw, 0, None, 0, "FCC 95J", f"{bw / 1000:g} kHz bandwidth") for hz, bw in MURS.items()]
+    rows += [("murs", f"MURS {hz // KHZ % 1000:03d}", None, hz, bw, 0, None, 0, "FCC 95J", f"{bw / 1000:g} kHz bandwidth" + (f"; legacy {MURS_OLD_NAMES[hz]}, moved from Part 90 in 2002" if hz in MURS_OLD_NAMES else "")) for hz, bw in MURS.items()]
     return rows + [("part90", label, None, hz, 12_500, int(off is not None), off, 1, "Part 90 itinerant", "licence required, no coordination") for hz, label, off in ITINERANT]
 
 
+def range_rows() -> list[tuple]:
+    rows = [(s, label, lo * KHZ, hi * KHZ, None, None, "segment", int(off is not None), off, 1, "ARRL", OFFSET_NOTES.get(off)) for s, lo, hi, label, off in SEGMENTS]
+    return rows + [(s, label, hz - 10_000, hz + 10_000, hz, 20_000, "channel", 0, None, 1, "ARRL", note) for s, hz, label, note in CALLING]
+
+
 def seeded(spark: SparkSession) -> DataFrame:
     """117 rows of the band plan, ids in order of (service, lo, label)."""
     nominal = spark.createDataFrame(nominal_rows(), NOMINAL)
     windows = bandplan.nominal_windows(nominal.select("service", "center", "bandwidth")).select("service", "center", F.col("lo").alias("freq_lo_hz"), F.col("hi").alias("freq_hi_hz"))
     channels = nominal.join(windows, ["service", "center"]).withColumn("kind", F.lit("channel")).withColumnsRenamed({"center": "freq_center_hz", "bandwidth": "bandwidth_hz"})
-    rows = [(s, label, lo * KHZ, hi * KHZ, None, None, "segment", int(off is not None), off, 1, "ARRL") for s, lo, hi, label, off in SEGMENTS]
-    rows += [(s, label, hz - 10_000, hz + 10_000, hz, 20_000, "channel", 0, None, 1, "ARRL") for s, hz, label in CALLING]
-    plan = channels.unionByName(spark.createDataFrame(rows, RANGES), allowMissingColumns=True)
+    plan = channels.unionByName(spark.createDataFrame(range_rows(), RANGES), allowMissingColumns=True)
     from pyspark.sql import Window
 
     return plan.withColumn("id", F.row_number().over(Window.orderBy("service", "freq_lo_hz", "label")).cast("long"))  # a table of fixed size

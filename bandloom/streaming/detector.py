@@ -5,6 +5,9 @@ receiver and window are taken in order. A channel's floor is an order statistic
 frames, in which a frame counts with the old floor while the channel is active; so the floor
 depends on the detector and the detector on the floor, and neither is a window function.
 The state of a key is a few arrays of its channels' width, whatever the length of the stream.
+A frame without power says that the receiver has left the window: what is still on ends there,
+not closed, and the next frame starts anew. In a stream a key that is silent for ``idle`` is
+taken to have left as well.
 """
 
 from __future__ import annotations
@@ -71,9 +74,9 @@ class Detector:
         end = self.starts[max(0, len(self.starts) - self.hang)]
         return [(int(c), int(self.began[c]), end, float(self.peak[c]), int(self.overload[c]), True) for c in np.flatnonzero(closes)]
 
-    def leave(self) -> list[tuple[int, int, int | None, float, int, bool]]:
-        """Events still on when the receiver leaves the window: they end at the last frame seen, but are not closed."""
-        last = self.starts[-1] if self.starts else None
+    def leave(self, now: int | None = None) -> list[tuple[int, int, int | None, float, int, bool]]:
+        """Events still on when the receiver leaves the window: they end now, or at the last frame seen, but are not closed."""
+        last = now if now is not None else self.starts[-1] if self.starts else None
         return [] if self.active is None else [(int(c), int(self.began[c]), last, float(self.peak[c]), int(self.overload[c]), False) for c in np.flatnonzero(self.active)]
 
 
@@ -89,7 +92,11 @@ def _rows(key: tuple, events: list[tuple]) -> pd.DataFrame:
 def _fed(d: Detector, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     out = []
     for start, power, overload in zip(rows["frame_start"], rows["power_db"], rows["overload"], strict=True):
-        out += d.frame(np.asarray(power, float), int(start), int(overload))
+        if power is None:
+            out += d.leave(int(start))
+            d.__init__(d.least, d.hang)
+        else:
+            out += d.frame(np.asarray(power, float), int(start), int(overload))
     return _rows(key, out)
 
 
@@ -122,10 +129,11 @@ def detect(frames: DataFrame, frame_s: float, unclosed: bool = False) -> DataFra
 
 
 class _Processor(StatefulProcessor):
-    def __init__(self, least: int, hang: int):
-        self.made = (least, hang)
+    def __init__(self, least: int, hang: int, idle_ms: int | None):
+        self.made, self.idle_ms = (least, hang), idle_ms
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("detector", "blob binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -133,16 +141,43 @@ class _Processor(StatefulProcessor):
         frames = pd.concat(list(rows)).sort_values("frame_no")
         out = _fed(d, key, frames)
         self.state.update((pickle.dumps(d),))
+        if self.idle_ms is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield out
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            d = pickle.loads(bytes(self.state.get()[0]))
+            self.state.clear()
+            yield _rows(key, d.leave())
+
     def close(self) -> None:
         pass
 
 
-def detect_stream(frames: DataFrame, frame_s: float) -> DataFrame:
-    """The same over a stream; needs the RocksDB state store. A key's frames must come in order of batches."""
+def detect_stream(frames: DataFrame, frame_s: float, idle_ms: int | None = None) -> DataFrame:
+    """The same over a stream; needs the RocksDB state store. A key's frames must come in order of batches.
+
+    With ``idle_ms``, a key without frames for so long is let go and its open events are
+    reported (``closed`` false), at the next trigger. ``query.stop()`` keeps the state in the
+    checkpoint, so a restart goes on with the events that are open.
+    """
     grouped = _flagged(frames).groupBy("receiver_id", "window_id")
-    return grouped.transformWithStateInPandas(_Processor(*settings(frame_s)), EVENTS, "Append", "None")
+    return grouped.transformWithStateInPandas(_Processor(*settings(frame_s), idle_ms), EVENTS, "Append", "None" if idle_ms is None else "ProcessingTime")
+
+
+def statistics(progress: list[dict]) -> dict:
+    """Frames, seconds, frames a second and milliseconds a frame of a query's progress reports (``query.recentProgress``)."""
+    frames = sum(p["numInputRows"] for p in progress)
+    seconds = sum(p["durationMs"].get("triggerExecution", 0) for p in progress) / 1000
+    return {"frames": frames, "seconds": seconds, "frames_per_s": frames / seconds if seconds else None, "ms_per_frame": 1000 * seconds / frames if frames else None}
+
+
+def stalled(progress: list[dict], limit: int = 200) -> bool:
+    """The last ``limit`` triggers all came without a row: the receiver has stopped sending."""
+    return len(progress) >= limit and not any(p["numInputRows"] for p in progress[-limit:])
 
 
 STORE = "spark.sql.streaming.stateStore.providerClass"

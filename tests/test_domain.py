@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +11,10 @@ from pyspark.sql import functions as F
 from bandloom import schemas
 from bandloom.functions import dsp, golay
 from bandloom.operators import bandplan, detect, enrich, mutations, views
-from bandloom.sources import simulator
 from bandloom.streaming import detector
 
+from . import signals
+
 PLAN = "id long, freq_lo_hz long, freq_hi_hz long, freq_center_hz long, bandwidth_hz long, service string, label string, kind string, is_repeater_out int, pair_offset_hz long, licensed int"
 ROWS = [
     (1, 462_668_750, 462_681_249, 462_675_000, 20_000, "gmrs", "GMRS 20", "channel", 1, 5_000_000, 1), (2, 467_668_750, 467_681_249, 467_675_000, 20_000, "gmrs", "GMRS 20 in", "channel", 0, None, 1),
@@ -125,27 +128,53 @@ def test_tracker_edges_and_hysteresis(spark):
 
 
 def test_detector_finds_the_scenario_and_streams_alike(spark, tmp_path):
-    spark.dataSource.register(simulator.Frames)
-    batch = spark.read.format("frames").option("frames", 700).load()
+    rows = [signals.frame_row(n) for n in range(700)]
+    for part in (rows[:350], rows[350:]):
+        spark.createDataFrame(part, signals.FRAMES).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    batch = spark.read.parquet(f"{tmp_path}/in")
     key = lambda df: sorted((r.channel, r.start, r.end, round(r.peak_snr, 6)) for r in df.collect())
     got = key(detector.detect(batch, 0.0131))
     assert [c for c, *_ in got] == [4, 10, 16, 24]
     for c, start, end, peak in got:
-        x = next(t for t in simulator.SCENARIO if t.channel == c)
+        x = next(t for t in signals.SCENARIO if t.channel == c)
         assert abs(start / 2.4e6 - x.start_s) < 0.03 and abs((end - start) / 2.4e6 - x.length_s) < 0.05 and peak > 25
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = spark.readStream.format("frames").option("frames", 700).option("per", 350).load()
-    q = detector.detect_stream(stream, 0.0131).writeStream.format("memory").queryName("found").outputMode("append").option("checkpointLocation", str(tmp_path)).start()
+    stream = spark.readStream.schema(signals.FRAMES).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = detector.detect_stream(stream, 0.0131).writeStream.format("memory").queryName("found").outputMode("append").option("checkpointLocation", f"{tmp_path}/log").start()
     try:
         for _ in range(60):
             q.awaitTermination(2)
             if len(rows := key(spark.table("found"))) >= len(got):
                 break
+        said = detector.statistics(q.recentProgress)
+        assert said["frames"] == 700 and said["frames_per_s"] > 0 and not detector.stalled(q.recentProgress)
     finally:
         q.stop()
     assert rows == got
 
 
+def test_receiver_that_leaves_its_window(spark, tmp_path):
+    level = lambda k: -60.0 if k >= 90 else -90.0
+    rows = [("uhf", 0, k, k * 1000, [-90.0, level(k), -90.0]) for k in range(120)] + [("uhf", 0, 120, 120_000, None)]
+    rows += [("uhf", 0, k, k * 1000, [-90.0, -60.0 if 200 <= k < 220 else -90.0, -90.0]) for k in range(121, 270)]
+    df = spark.createDataFrame(rows, signals.FRAMES).repartition(3)
+    want = [(90_000, 120_000, False), (200_000, 220_000, True)]
+    assert sorted((r.start, r.end, r.closed) for r in detector.detect(df, 0.04).collect()) == want
+    df.where("frame_no <= 110").coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(signals.FRAMES).parquet(f"{tmp_path}/in")
+    q = detector.detect_stream(stream, 0.04, idle_ms=3000).writeStream.format("memory").queryName("left").outputMode("append").option("checkpointLocation", f"{tmp_path}/log").start()
+    try:
+        for _ in range(40):
+            q.awaitTermination(2)
+            if spark.table("left").count():
+                break
+        assert [(r.start, r.end, r.closed) for r in spark.table("left").collect()] == [(90_000, 110_000, False)]
+    finally:
+        q.stop()
+    assert detector.stalled([{"numInputRows": 0}] * 200) and not detector.stalled([{"numInputRows": 0}] * 199)
+
+
 def test_floor_freezes_while_active():
     d = detector.Detector(3, 8)
     for k in range(200):
@@ -166,15 +195,19 @@ def test_golay_corrects_three_errors_and_knows_its_codes(spark):
 
 def test_signals(spark):
     for dev in (1500.0, 3000.0, 5000.0):
-        r = dsp.analysed(simulator.samples(2.4e6, 1.0, dev), 2.4e6, 12_500.0)
+        r = dsp.analysed(signals.samples(2.4e6, 1.0, dev), 2.4e6, 12_500.0)
         assert abs(r["deviation_hz"] / dev - 1) < 0.15 and abs(r["freq_error_hz"]) < 60 and r["tone_checked"] and r["ctcss_hz"] is None
     for tone in (67.0, 141.3, 254.1):
-        assert dsp.analysed(simulator.samples(2.4e6, 1.1, 4000.0, tone_hz=tone), 2.4e6, 12_500.0)["ctcss_hz"] == tone
+        assert dsp.analysed(signals.samples(2.4e6, 1.1, 4000.0, tone_hz=tone), 2.4e6, 12_500.0)["ctcss_hz"] == tone
     for code in ("023", "155", "754"):
-        r = dsp.analysed(simulator.samples(2.4e6, 1.1, 4000.0, dcs=code), 2.4e6, 12_500.0)
-        assert r["dcs_suspected"] and r["dcs_code"] == code
+        r = dsp.analysed(signals.samples(2.4e6, 1.1, 4000.0, dcs=code), 2.4e6, 12_500.0)
+        assert r["dcs_suspected"] and r["dcs_code"] == int(code) and r["dcs_polarity"] == "N" and 0 < r["ctcss_conf"] < 0.3
+    every = [dsp.analysed(signals.samples(50_000.0, 1.0, 3000.0, dcs=c, inverted=turned), 50_000.0, 12_500.0) for turned in (False, True) for c in golay.CODES]
+    assert [r["dcs_code"] for r in every] == [int(c) for c in golay.CODES] + [int(dsp.PARTNERS[c]) for c in golay.CODES]
     assert dsp.analysed(np.zeros(100, complex), 2.4e6, 0.0) is None
-    assert not dsp.analysed(simulator.samples(2.4e6, 0.3, 2400.0), 2.4e6, 12_500.0)["tone_checked"]
+    brief = dsp.analysed(signals.samples(2.4e6, 0.71, 4000.0, tone_hz=141.3), 2.4e6, 12_500.0)
+    assert not brief["tone_checked"] and brief["deviation_hz"] > 3000  # what is left of the filter is shorter than the gate
+    assert not dsp.analysed(signals.samples(2.4e6, 0.3, 2400.0), 2.4e6, 12_500.0)["tone_checked"]
 
 
 def test_codes_need_repeats_that_agree_and_their_partner():
@@ -194,7 +227,7 @@ def test_codes_need_repeats_that_agree_and_their_partner():
     assert dsp.dcs_code(sent([dsp.WORDS["023"]])[:500], rate) is None
     noise = [np.convolve(np.random.default_rng(k).normal(size=n + 254), dsp.lowpass(255, 300.0, rate), "valid") for k in range(300)]
     assert [k for k, x in enumerate(noise) if dsp.dcs_code(x, rate)] == []
-    assert dsp.analysed(simulator.samples(2.4e6, 1.1, 4000.0, dcs="155"), 2.4e6, 12_500.0)["dcs_polarity"] == "N"
+    assert dsp.analysed(signals.samples(2.4e6, 1.1, 4000.0, dcs="155"), 2.4e6, 12_500.0)["dcs_polarity"] == "N"
 
 
 def test_mutations_and_schema(spark, tmp_path):
@@ -221,3 +254,41 @@ def test_mutations_and_schema(spark, tmp_path):
 def test_running_budget(spark):
     df = spark.range(250_000).withColumn("size", F.lit(2))
     assert views.running_budget(df, "id", "size", 300_001).count() == 150_000
+    sparse = spark.range(3000).selectExpr("id * 1000003 AS id", "id % 7 AS size")
+    used = 0
+    for k in range(3000):
+        used += k % 7
+        if used > 5000:
+            break
+    assert views.running_budget(sparse, "id", "size", 5000).count() == k
+    assert views.running_budget(sparse.limit(0), "id", "size", 10).count() == 0
+
+
+def test_agreement_is_not_rounded(spark):
+    rows = [(0, "none", 4), (0, "ctcss", 1), (1, "none", 17), (1, "ctcss", 3), (2, "none", 83), (2, "ctcss", 17), (3, "none", 86), (3, "ctcss", 14)]
+    e = spark.createDataFrame(rows, "key int, state string, n int").selectExpr("key", "state", "explode(sequence(1, n))", "if(state = 'ctcss', 88.5D, null) AS ctcss_hz", "cast(null AS int) AS dcs_code", "cast(null AS string) AS dcs_polarity")
+    v = enrich.votes(e, "key", ["state", "ctcss_hz", "dcs_code", "dcs_polarity"])
+    of = lambda a: {r.key: r.tone_state for r in enrich.tone_decision(v, "key", a).collect()}
+    assert of(0.8) == dict.fromkeys(range(4), "none")
+    assert of(0.85) == {0: "unknown", 1: "none", 2: "unknown", 3: "none"}
+
+
+def test_windows_of_any_length_count_their_events(spark):
+    rng = np.random.default_rng(2)
+    step = 1000
+    events = [(int(r), f"x{x}", int(t)) for r, x, t in zip(rng.integers(0, 2, 4000), rng.integers(0, 2, 4000), rng.integers(0, 900_000, 4000), strict=True)] + [(0, "x0", 5000)] * 50
+    windows = []
+    for k in range(200):
+        a = int(rng.integers(0, 900_000)) if k % 5 else 5000
+        windows.append((k, k % 2, f"x{k % 3}", a, None if k % 7 == 0 else a + int(rng.choice([0, 10, 999, 1000, 5000, 700_000]))))
+    e = spark.createDataFrame(events, "run_id int, receiver_id string, t_us long").repartition(5)
+    w = spark.createDataFrame(windows, "id int, run_id int, receiver_id string, t_start_us long, t_end_us long")
+    got = {r.id: r.events for r in views.coverage_by_time(w, e, step).collect()}
+    assert got == {i: sum(r == run and x == rx and a <= t <= (2**63 if b is None else b) for run, rx, t in events) for i, r, x, a, b in windows}
+
+
+def test_overlaps_meet_once(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, f"s{k % 2}", int(a), int(a) + int(n)) for k, (a, n) in enumerate(zip(rng.integers(0, 2_000_000, 120), rng.choice([0, 5000, 99_999, 100_000, 350_000], 120), strict=True))]
+    got = Counter(map(tuple, bandplan.overlaps(spark.createDataFrame(rows, "id int, service string, freq_lo_hz long, freq_hi_hz long")).select("a", "b").collect()))
+    assert got == Counter((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3])

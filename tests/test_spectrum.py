@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from bandloom.functions import spectrum
 from bandloom.operators import excerpts
-from bandloom.sources import simulator
 from bandloom.streaming import detector
 
+from . import signals
+
 
 def test_frame_samples():
     assert spectrum.frame_samples(2_400_000) == 32_768 and spectrum.frame_samples(10_000_000) == 131_072 and spectrum.frame_samples(48_000) == 32_768
@@ -35,12 +36,15 @@ def test_channel_power_equals_a_loop_over_bins():
 
 
 def test_powers_of_frames(spark):
-    frames = simulator.sample_frames(spark, 3).repartition(2)
+    rate, center, n = 2.4e6, 466_000_000, spectrum.frame_samples(2.4e6)
+    x = [signals.samples(rate, n / rate, 2400.0, seed=k) for k in range(3)]
+    rows = [("uhf", 0, center, k, k * n, x[k].real.tolist(), x[k].imag.tolist()) for k in range(3)]
+    frames = spark.createDataFrame(rows, "receiver_id string, window_id long, center_hz long, frame_no long, frame_start long, i array<double>, q array<double>").repartition(2)
     short = frames.limit(1).withColumns({"frame_no": F.lit(99).cast("long"), "i": F.slice("i", 1, 100), "q": F.slice("q", 1, 100)})
-    out = spectrum.powers(frames.unionByName(short), simulator.SAMPLE_RATE)
+    out = spectrum.powers(frames.unionByName(short), rate)
     assert sorted(r.frame_no for r in out.collect()) == [0, 1, 2]
     top = spectrum.by_channel(out).groupBy("frame_no").agg(F.max_by("freq_hz", "power_db").alias("f")).collect()
-    assert {abs(r.f - simulator.SAMPLE_CENTER_HZ - 12_500) <= 6_250 for r in top} == {True}
+    assert {abs(r.f - center - 12_500) <= 6_250 for r in top} == {True}
     assert all(r.clip_frac > 0.5 and r.wideband_db < -60 for r in out.collect())
 
 
