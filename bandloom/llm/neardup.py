@@ -419,10 +419,13 @@ def _wave(classes: DataFrame, labels: DataFrame | None, trees: range, how: How,
     info, tokens = classes.select("key", "n", "sketch", "fine"), classes.select("key", "tokens")
     info = info.withColumn("doubt", F.lit(False)) if doubtful is None else info.join(doubtful.select("key", F.lit(True).alias("doubt")), "key", "left").fillna({"doubt": False})
     at, found = grown(tokens, threshold, trees), []
+    if again:  # the few nodes of doubtful classes; stored, so that Spark sees their size
+        nodes = grown(tokens.join(doubtful, "key", "left_semi"), threshold, trees).select("node").distinct()
+        at = at.join(stored(nodes, "doubt-nodes"), "node", "left_semi")
     for level in range(how.depth):
         now = at.withColumn("part", F.col("key")) if labels is None else at.join(labels, "key", "left").select("node", "key", F.coalesce("root", "key").alias("part"))
         mixed = now.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
-        if again:
+        if again and level:
             mixed = mixed.join(now.join(doubtful, "key", "left_semi").select("node").distinct(), "node", "left_semi")
         now = stored(now.join(mixed.select("node", "size"), "node"), "level")
         found.append(in_nodes(now.where(F.col("size") <= how.leaf).join(info, "key"), how.per_cent, how.margin))
