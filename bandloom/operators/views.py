@@ -78,11 +78,10 @@ def coverage_by_time(windows: DataFrame, events: DataFrame, step_us: int = 3_600
     own = F.sum("n").over(Window.partitionBy(*by, "block").orderBy("step"))
     upto = in_step.withColumn("block", block).withColumn("own", own).join(ahead, [*by, "block"]).select(*by, "step", (F.col("own") + F.col("ahead")).alias("upto"))
     # a mark for each edge among the steps' running counts: the count of the last step at or before it
-    marks = w.select("id", *by, F.col("lo").alias("step"), F.lit(-1).alias("sign")).union(w.select("id", *by, F.col("hi") - 1, F.lit(1))).where("sign < 0 OR step IS NOT NULL")
+    marks = w.select("id", *by, F.col("lo").alias("step"), F.lit(-1).alias("sign")).union(w.select("id", *by, F.col("hi") - 1, F.lit(1)))
     asked = marks.select(*by, "step").distinct()
     known = upto.unionByName(asked.withColumn("upto", F.lit(None).cast("long"))).groupBy(*by, "step").agg(F.max("upto").alias("upto"))
-    block2 = F.expr("step div 256")
-    filled = known.withColumn("block", block2)
+    filled = known.withColumn("block", block)
     inside = F.last("upto", ignorenulls=True).over(Window.partitionBy(*by, "block").orderBy("step"))
     ends = filled.groupBy(*by, "block").agg(F.max("upto").alias("m"))
     before = F.last("m", ignorenulls=True).over(Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))

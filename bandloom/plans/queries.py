@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import dsp, golay, spectrum
-from ..operators import bandplan, detect, enrich, excerpts, mutations, views
+from ..operators import bandplan, detect, enrich, excerpts, lifecycle, mutations, views
 from ..session import stored
 from ..sources import bridge, seed, stations
 from ..sources.bridge import PLAN_SQL, SIG_SQL, WINDOWS_SQL, plan, sig, table, windows
@@ -417,6 +417,25 @@ def event_log_latest(spark, d):
     return mutations.latest(log, "id", "seq", ["opened", "status", "total"])
 
 
+@query(f"""WITH {SIG_SQL}, a AS (SELECT *, id % 4 <> 0 AS done, CASE WHEN id % 12 = 1 THEN 155 END AS code, CASE WHEN id % 12 = 2 THEN 88.5::DOUBLE END AS tone FROM sig)
+  SELECT id, run_id, receiver_id, t_us / 1e6::DOUBLE AS t_start, freq_hz, overload, t_us // 86400000000 AS window_id,
+    CASE WHEN NOT done THEN 'unknown' WHEN code IS NOT NULL THEN 'dcs' WHEN tone IS NOT NULL THEN 'ctcss' WHEN id % 12 = 3 THEN 'dcs' WHEN id % 12 <> 5 THEN 'none' ELSE 'unknown' END AS tone_state,
+    CASE WHEN done THEN CAST(round_even(freq_hz + (id % 7 - 3) * 10.5::DOUBLE, 0) AS BIGINT) END AS freq_raw_hz, CASE WHEN done THEN deviation_hz END AS deviation_hz, CASE WHEN done THEN tone END AS ctcss_hz,
+    CASE WHEN done THEN 0.0::DOUBLE END AS ctcss_dev_hz, CASE WHEN done THEN code END AS dcs_code, CASE WHEN done AND code IS NOT NULL THEN 'N' END AS dcs_polarity, NULL::INT AS dcs_errors,
+    CASE WHEN done THEN 0.9::DOUBLE END AS analyzed_s, CASE WHEN done THEN 0.5::DOUBLE END AS confidence, CASE WHEN duration_s IS NOT NULL THEN t_us / 1e6::DOUBLE + 1 END AS t_end, duration_s,
+    CASE WHEN duration_s IS NOT NULL THEN snr_db END AS snr_db, CASE WHEN id % 10 = 0 THEN 'audio/' || id || '.wav' END AS audio_path, CASE WHEN id % 10 = 0 THEN 'iq/' || id || '.npz' END AS iq_path FROM a""")
+def event_lifecycle(spark, d):
+    e = sig(spark, d).withColumn("t_start", F.col("t_us") / F.lit(1e6))
+    start = lifecycle.started(e.withColumn("window_id", F.expr("t_us div 86400000000")))
+    results = e.where("id % 4 <> 0").select(
+        "id", "freq_hz", F.expr("(id % 7 - 3) * 10.5D AS freq_error_hz"), "deviation_hz", F.expr("if(id % 12 = 2, 88.5D, null) AS ctcss_hz"), F.lit(0.0).alias("ctcss_dev_hz"), F.expr("if(id % 12 = 1, 155, null) AS dcs_code"),
+        F.expr("if(id % 12 = 1, 'N', null) AS dcs_polarity"), F.lit(None).cast("int").alias("dcs_errors"), F.lit(0.9).alias("analyzed_s"), F.lit(0.5).alias("ctcss_conf"), F.expr("id % 12 = 3 AS dcs_suspected"), F.expr("id % 12 <> 5 AS tone_checked"),
+    )
+    ends = e.where("duration_s IS NOT NULL").select("id", (F.col("t_start") + 1).alias("t_end"), "duration_s", F.col("snr_db").alias("peak_snr"))
+    files = e.where("id % 10 = 0").select("id", F.concat(F.lit("audio/"), "id", F.lit(".wav")).alias("audio_path"), F.concat(F.lit("iq/"), "id", F.lit(".npz")).alias("iq_path"))
+    return lifecycle.folded(start, lifecycle.analysed(results), lifecycle.closed(ends), lifecycle.captured(files))
+
+
 @query("SELECT p_partkey, p_name, CASE WHEN p_partkey % 5 = 0 THEN 999.0 ELSE p_retailprice END AS p_retailprice FROM part UNION ALL SELECT p_partkey + 100000000, p_name, 1.0 FROM part WHERE p_partkey % 10 = 0")
 def upsert_plan(spark, d):
     old = table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice")

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 
 from bandloom import schemas
-from bandloom.operators import bandplan, capture
-from bandloom.sources import profile, seed
+from bandloom.operators import bandplan, capture, lifecycle, mutations
+from bandloom.sources import profile, seed, warehouse
 
 
 def test_seeded_plan(spark):
@@ -60,3 +60,46 @@ def test_capture_files_and_budget(spark):
     assert loaded["baseband"].dtype == np.complex64 and len(loaded["baseband"]) == n and loaded["fs"] == rate
     one = 16_000 + 44 + n * 8 + 600
     assert [r.id for r in capture.within_budget(df, 2 * one).orderBy("id").collect()] == [0, 1] and capture.within_budget(df, one - 1).count() == 0
+
+
+def test_warehouse_is_created_upgraded_and_guarded(spark, tmp_path):
+    at = f"file://{tmp_path}/w"
+    assert warehouse.version(spark, at) is None and warehouse.ensure(spark, at) == 8
+    assert warehouse.version(spark, at) == 8 and set(schemas.TABLES) == {p.name for p in (tmp_path / "w").iterdir()}
+    mutations.appended([{"id": 1, "run_id": 7, "receiver_id": "uhf", "t_start": 0.0, "freq_hz": 1, "overload": 0}], "events", spark, f"{at}/events")
+    with pytest.raises(ValueError, match="events.run_id"):
+        warehouse.ensure(spark, at)
+    mutations.swapped(spark.createDataFrame([(7, 1.0)], "id long, started_at double"), f"{at}/runs")
+    assert warehouse.ensure(spark, at) == 8 and warehouse.table(spark, at, "events").count() == 1
+    with pytest.raises(ValueError, match="older"):
+        warehouse.ensure(spark, at, 7)
+    old = f"file://{tmp_path}/old"
+    spark.createDataFrame([(1, 88.5, None), (2, None, 23), (3, None, None)], "id long, ctcss_hz double, dcs_code int").write.parquet(f"{old}/events")
+    warehouse._record(spark, old, 2)
+    assert warehouse.ensure(spark, old) == 2 and warehouse.version(spark, old) == 8
+    rows = {r.id: r for r in warehouse.table(spark, old, "events").collect()}
+    assert [rows[k].tone_state for k in (1, 2, 3)] == ["ctcss", "dcs", "unknown"] and rows[1].window_id is None
+
+
+def test_runs_and_windows(spark):
+    runs = spark.createDataFrame([(1, "pi", "uhf: {}"), (2, "pi", "vhf: {}")], "id long, host string, profile_yaml string")
+    got = {r.id: r for r in lifecycle.folded(lifecycle.run_started(runs, 10.0), lifecycle.run_ended(runs.where("id = 1"), 20.0)).collect()}
+    assert (got[1].started_at, got[1].ended_at, got[1].profile_yaml) == (10.0, 20.0, "uhf: {}") and got[2].ended_at is None
+    w = spark.createDataFrame([(1, 1, "uhf", 466_000_000), (2, 1, "uhf", 467_000_000)], "id long, run_id long, receiver_id string, center_hz long")
+    got = {r.id: (r.t_start, r.t_end) for r in lifecycle.folded(lifecycle.window_opened(w, 1.0), lifecycle.window_closed(w.where("id = 1"), 2.0)).collect()}
+    assert got == {1: (1.0, 2.0), 2: (1.0, None)}
+    assert lifecycle.folded(lifecycle.run_started(runs)).first().started_at > 1.7e9
+
+
+def test_free_disk_limits_captures(spark):
+    df = spark.range(5).selectExpr("id", "array_repeat(0.0D, 24000) AS i", "24000.0D AS rate")
+    size = 24_000 / 24_000 * 16_000 + capture.WAV_HEADER + 24_000 * 8 + capture.NPZ_HEADER
+    assert capture.within_budget(df, int(3 * size)).count() == 3
+    assert capture.within_budget(df, int(9 * size), free=capture.LEAST_FREE + int(2 * size)).count() == 2 and capture.within_budget(df, int(9 * size), free=10).count() == 0
+
+
+def test_old_names_and_notes(spark):
+    notes = {r.label: r.notes for r in seed.seeded(spark).collect()}
+    assert notes["GMRS 16"] == "50 W, repeater output; legacy White Dot — preprogrammed on cheap radios" and notes["GMRS 15"] == "50 W, repeater output"
+    assert notes["MURS 570"] == "20 kHz bandwidth; legacy Blue Dot, moved from Part 90 in 2002" and notes["MURS 820"] == "11.25 kHz bandwidth"
+    assert notes["2 m FM repeater outputs"] == "600 kHz standard offset" and notes["APRS (North America)"] == "packet, not voice" and notes["2 m simplex"] is None
