@@ -8,15 +8,27 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
-def appended(rows: list[dict], table: str, spark, path: str) -> None:
-    """Appends rows to a table after checking their columns and tone states; unknown columns are refused."""
-    known = {c.strip().split()[0] for c in schemas.TABLES[table].split(",")}
-    for row in rows:
-        if extra := set(row) - known:
+TONE_STATES = ("none", "ctcss", "dcs", "unknown")
+
+
+def appended(rows: list[dict] | DataFrame, table: str, spark, path: str) -> None:
+    """Appends rows to a table after checking their columns and tone states; unknown columns are refused, missing ones are null.
+
+    A frame is checked where its rows are; a list is for the few rows that a driver has itself.
+    """
+    spec = schemas.TABLES[table].replace(" not null", "")
+    known = {c.strip().split()[0]: c.strip().split()[1] for c in spec.split(",")}
+    if not isinstance(rows, DataFrame):
+        if extra := {c for row in rows for c in row} - set(known):
             raise ValueError(f"unknown columns: {', '.join(sorted(extra))}")
-        if row.get("tone_state", "unknown") not in ("none", "ctcss", "dcs", "unknown"):
-            raise ValueError(f"tone_state {row['tone_state']!r}")
-    spark.createDataFrame([{k: row.get(k) for k in known} for row in rows], schemas.TABLES[table].replace(" not null", "")).write.mode("append").parquet(path)
+        rows = spark.createDataFrame([{k: row.get(k) for k in known} for row in rows], spec)
+    if extra := set(rows.columns) - set(known):
+        raise ValueError(f"unknown columns: {', '.join(sorted(extra))}")
+    if "tone_state" in rows.columns:
+        bad = rows.where(F.col("tone_state").isNotNull() & ~F.col("tone_state").isin(*TONE_STATES)).select("tone_state").first()
+        if bad:
+            raise ValueError(f"tone_state {bad[0]!r}")
+    rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in known.items()]).write.mode("append").parquet(path)
 
 
 def latest(log: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:

@@ -241,6 +241,12 @@ def test_mutations_and_schema(spark, tmp_path):
         mutations.appended([{"tone_state": "loud"}], "events", spark, path)
     mutations.appended([{"id": 1, "run_id": 1, "receiver_id": "uhf", "t_start": 0.0, "freq_hz": 1, "overload": 0, "tone_state": "none"}], "events", spark, f"{path}-e")
     assert spark.read.parquet(f"{path}-e").first().tone_state == "none"
+    some = spark.range(3).selectExpr("id", "1L AS run_id", "'uhf' AS receiver_id", "0.0D AS t_start", "1L AS freq_hz", "0 AS overload", "if(id = 2, 'dcs', null) AS tone_state")
+    mutations.appended(some, "events", spark, f"{path}-e")
+    assert spark.read.parquet(f"{path}-e").count() == 4
+    for wrong, said in ((some.withColumn("nope", F.lit(1)), "unknown columns"), (some.withColumn("tone_state", F.lit("loud")), "tone_state")):
+        with pytest.raises(ValueError, match=said):
+            mutations.appended(wrong, "events", spark, f"{path}-e")
     old = spark.createDataFrame([(1, 88.5, None), (2, None, 23), (3, None, None)], "id long, ctcss_hz double, dcs_code int")
     new = schemas.migrated(old, "events", 2)
     assert [r.tone_state for r in new.orderBy("id").collect()] == ["ctcss", "dcs", "unknown"] and "window_id" in new.columns

@@ -28,22 +28,32 @@ def test_seeded_plan(spark):
 
 PROFILE = """
 receivers:
-  uhf: {center_hz: 466_000_000, gain_db: 0}
-  vhf: {windows_hz: [146000000, 154950000], dwell_s: 30}
-  bad: {windows_hz: [146000000, 154950000]}
+  uhf: {center_hz: 466_000_000, label: upper, gain: 0, sample_rate: 0, serial: abc, antenna: whip}
+  vhf: {mode: rotating, windows: [{center_hz: 146000000, label: 2 m}, {center_hz: 154950000}], dwell_seconds: 30}
+  still: {mode: rotating, windows: [{center_hz: 146000000}, {center_hz: 154950000}]}
   none: {}
+  empty: {mode: rotating}
+  vague: {mode: rotating, windows: [{label: x}]}
+  text: nothing
+detection: {on_db: 12, hang_s: 0.5}
 operator: {licences: [gmrs, ham2m]}
 """
 
 
 def test_profile():
     r = profile.load(PROFILE, "uhf")
-    assert r.centers_hz == (466_000_000,) and r.gain_db == 0 and r.sample_rate_hz == 10_000_000.0
+    assert r.windows == (profile.Window(466_000_000, "upper"),) and (r.gain, r.sample_rate, r.serial, r.antenna, r.ppm) == (0.0, 10e6, "abc", "whip", 0.0)
+    assert (r.on_db, r.off_db, r.min_duration_s, r.hang_s) == (12.0, 6.0, 0.12, 0.5)
     v = profile.load(PROFILE, "vhf")
-    assert v.dwell_s == 30 and profile.resolved(v, freq_hz=146_520_000).centers_hz == (146_520_000,)
-    assert profile.resolved(v, gain_db=12.0).gain_db == 12.0 and profile.licences(PROFILE) == ("gmrs", "ham2m")
-    for name in ("bad", "none", "absent"):
-        with pytest.raises(ValueError, match="needs|several|no receiver"):
+    assert (v.gain, v.dwell_seconds, [w.label for w in v.windows]) == (12.0, 30.0, ["2 m", None]) and profile.resolved(v) == v
+    parked = profile.resolved(v, freq_hz=146_520_000, gain=0.0, serial=None)
+    assert parked.windows == (profile.Window(146_520_000, "--freq"),) and parked.mode == "parked" and parked.gain == 0
+    assert profile.licences(PROFILE) == ("gmrs", "ham2m") and profile.licences("") == ()
+    assert len(profile.resolved(profile.load(PROFILE, "still"), dwell_seconds=5.0).windows) == 2
+    with pytest.raises(ValueError, match="dwell_seconds"):
+        profile.resolved(profile.load(PROFILE, "still"))
+    for name, said in (("none", "no center_hz"), ("absent", "no receiver"), ("empty", "no windows"), ("vague", "needs a center_hz"), ("text", "not a table")):
+        with pytest.raises(ValueError, match=said):
             profile.load(PROFILE, name)
 
 
