@@ -32,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, joined_back, row_keyed, stored, temporary, text_udf, without
+from .shared import fresh, joined_back, named, row_keyed, stored, temporary, text_udf, without
 
 #: Fixed value: a word, over UTF-8 bytes with A-Z lower-cased.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -256,7 +256,7 @@ def found(docs: DataFrame, benchmark: DataFrame, name: str, window: int = WINDOW
     hit = F.coalesce(F.aggregate(F.col(both)["spans"], F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"]), F.lit(0).cast("bigint"))
     none = F.array()
     whole = F.struct(n.alias("n_words"), hit.alias("n_hit"), F.coalesce(F.col(both)["spans"], none).alias("spans"), F.coalesce(F.col(both)["texts"], none).alias("texts"), F.coalesce(F.col(both)["longest"], F.lit(0)).alias("longest"))
-    return joined_back(keyed, slim, keys, "left").withColumn(name, whole.cast(FOUND)).select(*docs.columns, name)
+    return joined_back(keyed, slim, keys, "left").withColumn(name, whole.cast(FOUND)).select(*named(docs.columns), name)
 
 
 ADDED = ("n_words", "n_hit", "spans", "items", "longest")
@@ -270,16 +270,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, columns: list[str], window: i
     with temporary(docs.sparkSession) as keep:
         own = fresh(docs, "_found")
         columns = [c for c in without(docs, ADDED) if c in columns]
-        rows = keep(stored(found(docs, benchmark, own, window, block_words, piece_words).select(*columns, own), "matches"))
+        rows = keep(stored(found(docs, benchmark, own, window, block_words, piece_words).select(*named(columns), own), "matches"))
         texts = F.col(f"{own}.texts")
         sets = rows.where(F.size(texts) > 0).select(texts.alias("texts")).distinct()
-        ids = item_texts(benchmark).select("item", "key")
-        named = sets.select("texts", F.explode("texts").alias("key")).join(ids, "key").groupBy("texts").agg(F.array_sort(F.collect_set("item")).alias("items"))
+        of = item_texts(benchmark).select("item", "key")
+        ids = sets.select("texts", F.explode("texts").alias("key")).join(of, "key").groupBy("texts").agg(F.array_sort(F.collect_set("item")).alias("items"))
         met = fresh(rows, "_texts")
-        named = keep(stored(named.withColumnRenamed("texts", met), "item-sets"))
-    hit = rows.where(F.size(texts) > 0).join(named, texts == F.col(met))
-    every = hit.select(*rows.columns, "items").union(rows.where(F.size(texts) == 0).withColumn("items", F.array().cast("array<string>")))
-    return every.select(*columns, *[f"{own}.{c}" if c != "items" else c for c in ADDED])
+        ids = keep(stored(ids.withColumnRenamed("texts", met), "item-sets"))
+    hit = rows.where(F.size(texts) > 0).join(ids, texts == F.col(met))
+    every = hit.select(*named(rows.columns), "items").union(rows.where(F.size(texts) == 0).withColumn("items", F.array().cast("array<string>")))
+    return every.select(*named(columns), *[f"{own}.{c}" if c != "items" else c for c in ADDED])
 
 
 def contaminated(coverage_parts: int = 20, of: str | None = None) -> Column:
@@ -316,7 +316,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage_parts: int =
 
         long = F.filter(F.col(own)["spans"], lambda s: s["end"] - s["start"] >= cut_length)
         kept = kept.withColumn("text", F.when(F.size(long) > 0, cut("text", long)).otherwise(F.col("text")))
-    return kept.select(*docs.columns)
+    return kept.select(*named(docs.columns))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

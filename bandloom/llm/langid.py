@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh, held_out, text_udf, without
+from .shared import fresh, held_out, named, text_udf, without
 
 DICT_BYTES = 32 << 10
 ALL_BYTES = 8 << 20
@@ -53,7 +53,7 @@ def training_texts(train: DataFrame, texts: int, max_bytes: int) -> list[tuple[s
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     share = F.least(F.lit(1.0), F.lit(2.0 * texts) / F.col("_n"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    # a row for each language; no more of a text than fills a dictionary (a normalised text is no longer)
+    # a row for each language; of a text no more than four times what fills a dictionary
     some = rows.select("doc_id", "lang", F.substring("text", 1, 4 * max_bytes).alias("text")).join(F.broadcast(counts), "lang").where(draw < share)
     order = Window.partitionBy("lang").orderBy(F.octet_length("text") > max_bytes // 8, F.xxhash64("doc_id", F.lit(17)), "doc_id", "text")
     few = some.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= texts)
@@ -63,7 +63,7 @@ def training_texts(train: DataFrame, texts: int, max_bytes: int) -> list[tuple[s
 def dictionaries(train: DataFrame, dict_bytes: int = DICT_BYTES, texts: int = DICT_TEXTS) -> dict[str, bytes]:
     """lang -> dictionary content, the languages with most rows first."""
     counts = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang").count().collect()  # a row for each language
-    size = max(256, min(dict_bytes, ALL_BYTES // max(1, len(counts))))
+    size = max(1, min(dict_bytes, ALL_BYTES // max(1, len(counts))))
     out: dict[str, bytes] = {}
     for lang, text in training_texts(train, texts, size):
         have = out.get(lang, b"")
@@ -117,7 +117,7 @@ def predict(docs: DataFrame, content: dict[str, bytes], columns: list[str], marg
     own = fresh(docs, "_said")
     columns = [c for c in without(docs, ["lang_pred", "score", "accepted"]) if c in columns]
     said = text_udf(run, "struct<lang_pred: string, score: double, accepted: boolean>")
-    return docs.withColumn(own, said("text")).select(*columns, f"{own}.*")
+    return docs.withColumn(own, said("text")).select(*named(columns), f"{own}.*")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

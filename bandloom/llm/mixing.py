@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, joined_back, ranked, row_keyed, stored, temporary, without
+from .shared import fresh, joined_back, named, ranked, row_keyed, stored, temporary, without
 
 WEIGHTS = (5, 2, 1)
 SEED = 20240607
@@ -68,7 +68,7 @@ ADDED = ("size", "source_size", "target", "copies")
 
 def mix_sized(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0, seed: int = SEED) -> DataFrame:
     """Rows of ``sized`` (doc_id, source, size and any others) with source_size, target and copies."""
-    sized = sized.select(*without(sized, ADDED[1:]))
+    sized = sized.select(*named(without(sized, ADDED[1:])))
     with temporary(sized.sparkSession) as keep:
         table = keep(stored(source_targets(sized.select("source", "size"), weights, budget, most), "targets"))
     rank, own = fresh(sized, "_rank"), fresh(sized, "_source")
@@ -88,7 +88,7 @@ def _by_row(keyed: DataFrame, keys: list[str], how: dict) -> DataFrame:
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """Rows and columns of ``docs`` with size, source_size, target and copies (0 to ``most``)."""
-    keyed, keys = row_keyed(docs.select(*without(docs, ADDED)), "documents")
+    keyed, keys = row_keyed(docs.select(*named(without(docs, ADDED))), "documents")
     return joined_back(keyed, _by_row(keyed, keys, how), keys)
 
 
@@ -97,7 +97,7 @@ def repeated(docs: DataFrame, **how) -> DataFrame:
     keyed, keys = row_keyed(docs, "documents")
     times, again = fresh(keyed, "_times"), fresh(keyed, "_again")
     slim = _by_row(keyed, keys, how).where("copies > 0").select(*keys, F.col("copies").cast("int").alias(times))
-    return joined_back(keyed, slim, keys).withColumn(again, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*docs.columns)
+    return joined_back(keyed, slim, keys).withColumn(again, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*named(docs.columns))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

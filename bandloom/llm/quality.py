@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, fresh, hash_words, mix, text_udf, without, words_of
+from .shared import SPACE, fresh, hash_words, mix, named, text_udf, without, words_of
 
 U64 = np.uint64
 SYMBOLS = np.zeros(256, bool)
@@ -156,7 +156,7 @@ def cascade(docs: DataFrame, columns: list[str] | None = None, measure_all: bool
     own = fresh(docs, "_verdict")
     columns = [c for c in without(docs, added) if columns is None or c in columns]
     out = docs.withColumn(own, verdict("text"))
-    return (out.where(F.col(own)["kept"]) if only_kept else out).select(*columns, f"{own}.*")
+    return (out.where(F.col(own)["kept"]) if only_kept else out).select(*named(columns), f"{own}.*")
 
 
 def passing(docs: DataFrame, sample_size: int = 500) -> DataFrame:

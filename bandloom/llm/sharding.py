@@ -23,7 +23,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import joined_back, path_exists, row_keyed, scratch_path, stored, without
+from .shared import joined_back, named, path_exists, row_keyed, scratch_path, stored, without
 
 SLOTS = 4096
 ROWS_PER_CELL = 100_000
@@ -168,7 +168,7 @@ def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, hot_share: floa
 
     Texts are read twice: for sizes and hashes, which are stored and planned from, and for the result.
     """
-    keyed, keys = row_keyed(docs.select(*without(docs, ADDED)), "documents")
+    keyed, keys = row_keyed(docs.select(*named(without(docs, ADDED))), "documents")
     slim = stored(sized(keyed, keys), "sizes")
     plan = planned(slim, shards, slots, hot_share, map_path or scratch_path(docs.sparkSession, "slot-map"), previous, version)
     return joined_back(keyed, plan.select("row.*", *ADDED), keys)

@@ -118,6 +118,11 @@ def without(df: DataFrame, names: tuple[str, ...] | list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in lowered]
 
 
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their names as they are, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 # ---------------------------------------------------------------- columns from texts
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"

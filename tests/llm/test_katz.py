@@ -95,7 +95,7 @@ def test_buckets_without_words(spark):
     assert got == {i: pytest.approx(model.score(t)[3]) for i, t in rows}
 
 
-@pytest.mark.parametrize("parts, sizes", [(1, {}), (1, {"chunk": 1, "bucket": 1 << 20}), (40, {"chunk": 1, "bucket": 1 << 20}), (40, {"chunk": 1, "bucket": 50}), (3, {"chunk": 200, "bucket": 40})])
+@pytest.mark.parametrize("parts, sizes", [(1, {}), (40, {"chunk": 1, "bucket": 1 << 20}), (40, {"chunk": 1, "bucket": 50})])
 def test_layout_of_rows_does_not_matter(spark, parts, sizes):
     """Held-out documents in chunks of their own, with contexts that only unknown words follow, among contexts of all weights."""
     rows = [(k, " ".join(f"w{(k * j) % (7 + j)}" for j in range(1, 90))) for k in range(300)]
