@@ -16,7 +16,7 @@ from ..functions import dsp, golay
 from .bridge import table
 
 CHANNELS, FRAMES, FRAME_S, FRAME_SAMPLES = 40, 200, 0.0131, 31_440
-EVENTS_PER_WINDOW, RECEIVERS = 200, 4
+EVENTS_PER_WINDOW, RECEIVERS = 200, 2
 RATE_HZ, CENTER_HZ, SIGNAL_RATE_HZ, OFFSET_HZ = 250_000.0, 466_000_000, 50_000.0, 12_500.0
 
 
@@ -27,10 +27,10 @@ def _noise(*parts: Column) -> Column:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(receiver_id, window_id, frame_no, frame_start, power_db, overload): noise about -90 dB, and each event of the
-    table as a signal on one channel for 15 to 44 frames, with skirts 8 dB down on its neighbours."""
+    table as a signal on one channel for 12 to 20 frames, with skirts 8 dB down on its neighbours."""
     e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % RECEIVERS).alias("rx"), F.expr(f"event_id div {EVENTS_PER_WINDOW}").alias("window_id"))
     h = F.pmod(F.xxhash64("event_id"), F.lit(1 << 40))
-    e = e.select("rx", "window_id", (h % CHANNELS).alias("channel"), (30 + F.expr(f"pmod(xxhash64(event_id, 1), {FRAMES - 80})")).alias("first"), (15 + F.expr("pmod(xxhash64(event_id, 2), 30)")).alias("n"), (20 + F.expr("pmod(xxhash64(event_id, 3), 20)")).alias("snr"))
+    e = e.select("rx", "window_id", (h % CHANNELS).alias("channel"), (30 + F.expr(f"pmod(xxhash64(event_id, 1), {FRAMES - 80})")).alias("first"), (12 + F.expr("pmod(xxhash64(event_id, 2), 9)")).alias("n"), (20 + F.expr("pmod(xxhash64(event_id, 3), 20)")).alias("snr"))
     on = e.select("rx", "window_id", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("frame_no"), F.struct("channel", "snr").alias("s"))
     heard = on.groupBy("rx", "window_id", "frame_no").agg(F.collect_list("s").alias("on"))  # EVENTS_PER_WINDOW at most
     every = e.select("rx", "window_id").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))).alias("frame_no"))
@@ -45,17 +45,17 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str, nfft: int = 1024) -> DataFrame:
-    """A frame of samples for each event: a carrier on one of the channels, in noise."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    """A frame of samples for each supplier: a carrier on one of the channels, in noise."""
+    e = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("station")).repartition(spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = np.arange(4 * nfft) / RATE_HZ
         for b in batches:
             rows = []
-            for event, user in zip(b["event_id"], b["user_id"], strict=True):
-                rng = np.random.default_rng(int(event))
-                x = np.exp(2j * np.pi * 6250 * (int(user) % 31 - 15) * t) + 0.05 * (rng.normal(size=len(t)) + 1j * rng.normal(size=len(t)))
-                rows.append((f"rx{event % RECEIVERS}", event // EVENTS_PER_WINDOW, CENTER_HZ, event, event * len(t), x.real.astype(np.float32), x.imag.astype(np.float32)))
+            for station in b["station"]:
+                rng = np.random.default_rng(int(station))
+                x = np.exp(2j * np.pi * 6250 * (int(station) % 31 - 15) * t) + 0.05 * (rng.normal(size=len(t)) + 1j * rng.normal(size=len(t)))
+                rows.append((f"rx{station % RECEIVERS}", station // EVENTS_PER_WINDOW, CENTER_HZ, station, station * len(t), x.real.astype(np.float32), x.imag.astype(np.float32)))
             yield pd.DataFrame(rows, columns=["receiver_id", "window_id", "center_hz", "frame_no", "frame_start", "i", "q"])
 
     return e.mapInPandas(run, "receiver_id string, window_id long, center_hz long, frame_no long, frame_start long, i array<float>, q array<float>")
