@@ -6,7 +6,7 @@ import importlib
 
 from . import oracles
 
-MODULES = ("decontaminate", "katz", "langid", "secrets", "quality", "mixing", "neardup", "pii", "chat", "sharding")
+MODULES = ("decontaminate", "katz", "langid", "secrets", "quality", "mixing", "neardup", "pii", "chat", "sharding", "trie", "topk", "whitening")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

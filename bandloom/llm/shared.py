@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,13 @@ def cleaned_shuffles(spark: SparkSession):
         spark.conf.set(CLEANUP, before)
 
 
-_opened: list[list[str]] = []
+_opened: ContextVar[tuple[list[str], ...]] = ContextVar("opened", default=())
+
+
+def _owned(path: str) -> None:
+    """The innermost :func:`temporary` that runs removes ``path`` at its end."""
+    if scopes := _opened.get():
+        scopes[-1].append(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -60,13 +67,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     with cleaned_shuffles(spark):
         df.write.parquet(path)
-    if _opened:
-        _opened[-1].append(path)
+    _owned(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def tracked(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What was appended to ``path`` part by part, as a stored frame; without rows if nothing was."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    _owned(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
 @contextmanager
 def temporary(spark: SparkSession):
     """What :func:`stored` writes inside is removed at the end, but for frames handed to the function this yields."""
@@ -77,15 +93,15 @@ def temporary(spark: SparkSession):
         kept.append(df.stored_at)
         return df
 
-    _opened.append(mine)
+    scope = _opened.set((*_opened.get(), mine))
     try:
         yield keep
     finally:
-        _opened.remove(mine)
+        _opened.reset(scope)
         for path in mine:
-            if path in kept and _opened:
-                _opened[-1].append(path)
-            elif path not in kept:
+            if path in kept:
+                _owned(path)
+            else:
                 remove_path(spark, path)
 
 
