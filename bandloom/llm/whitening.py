@@ -39,7 +39,7 @@ def whole_vectors(table: DataFrame, id: str, vector: str, scale: int, wide: int)
         for batch in batches:
             ids = batch.column(0)
             for rows, x in vectors.matrices(batch, "_vector", scale, wide):
-                if x.dtype == object or np.abs(x, initial=0).max() >= vectors.EXACT:
+                if x.dtype == object or np.abs(x).max(initial=0) >= vectors.EXACT:
                     x = np.array([[vectors.as_long(v) for v in row] for row in x], np.int64).reshape(x.shape)
                 flat = pa.array(x.astype(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * wide, flat)], ["id", "x"])

@@ -77,7 +77,7 @@ def test_scores_beyond_doubles_are_exact(spark):
     x = dict(whole(df.collect(), 1024, 3))
     scores = {(q, v): vectors.as_long(sum(a * b for a, b in zip(x[q], x[v], strict=True))) for q in (0, 10, 20) for v in x if v != q}
     assert scores[0, 1] == vectors.LONG and searched(df, 10) == sorted([(q, n + 1, v, scores[q, v]) for q in (0, 10, 20) for n, v in enumerate(sorted((v for v in x if v != q), key=lambda v: (-scores[q, v], v))[:10])], key=str)
-    small = spark.createDataFrame([(i, [2.0**20 + i, -(2.0**18) * i], "x") for i in range(30)], SCHEMA.replace("float", "double"))
+    small = spark.createDataFrame([(i, [2.0**20 + i, -(2.0**14) * i], "x") for i in range(30)], SCHEMA.replace("float", "double"))
     assert searched(small, 10) == brute_top(whole(small.collect(), 1024, 2), 10, 10)
 
 
