@@ -1,13 +1,16 @@
 """Detection as window functions: local maxima, run lengths, hysteresis, floors and flags.
 
 The recursive form, where the floor depends on the detector, is in ``streaming.detector``;
-here levels are given. Every window is partitioned by channel or receiver.
+here levels are given. A key's rows are cut into parts, so one key may hold any share of them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from .ordered import PART, PLACE, Ordered, medians, sliding
 
 
 def local_maxima(grid: DataFrame, frame: str, channel: str, value: str) -> DataFrame:
@@ -20,10 +23,8 @@ def local_maxima(grid: DataFrame, frame: str, channel: str, value: str) -> DataF
 
 def run_lengths(frames: DataFrame, key: str, order: list[str], hot: Column, name: str) -> DataFrame:
     """Adds ``name``: how many rows in a row, this one included, satisfy ``hot``; 0 where it fails."""
-    by = Window.partitionBy(key).orderBy(*order)
-    marked = frames.withColumn("_hot", hot).withColumn("_island", F.sum(F.when(F.col("_hot"), 0).otherwise(1)).over(by))
-    within = Window.partitionBy(key, "_island").orderBy(*order)
-    return marked.withColumn(name, F.sum(F.when(F.col("_hot"), 1).otherwise(0)).over(within)).drop("_hot", "_island")
+    o = Ordered(frames, [key], order)
+    return o.runs(o.rows, {name: hot}).drop(PART, PLACE)
 
 
 def tracked(frames: DataFrame, key: str, order: list[str], value: str, start: str, on: float, off: float, least: int, hang: int, may_start: Column | None = None) -> DataFrame:
@@ -33,32 +34,33 @@ def tracked(frames: DataFrame, key: str, order: list[str], value: str, start: st
     rows in a row below ``off``; both edges are set back to where their run began. The last
     trigger is the state. The peak counts rows that are on. An event still on has no end.
     """
-    by = Window.partitionBy(key).orderBy(*order)
-    rows = run_lengths(frames, key, order, F.col(value) >= on, "_above")
-    rows = run_lengths(rows, key, order, F.col(value) < off, "_below")
+    o = Ordered(frames, [key], order)
+    rows = o.runs(o.rows, {"_above": F.col(value) >= on, "_below": F.col(value) < off})
     gate = F.lit(True) if may_start is None else may_start
     trigger = F.when((F.col("_above") >= least) & gate, 1).when(F.col("_below") >= hang, 0)
-    rows = rows.withColumn("_t", trigger).withColumn("_on", F.coalesce(F.last("_t", ignorenulls=True).over(by), F.lit(0)))
-    first = F.first(start).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumns({"_was": F.coalesce(F.lag("_on").over(by), F.lit(0)), "_up": F.coalesce(F.lag(start, least - 1).over(by), first), "_down": F.coalesce(F.lag(start, hang - 1).over(by), first)})
-    rows = rows.withColumn("event_no", F.sum(F.when((F.col("_on") == 1) & (F.col("_was") == 0), 1).otherwise(0)).over(by)).where((F.col("_on") == 1) | (F.col("_was") == 1))
-    opened, closed = (F.col("_on") == 1) & (F.col("_was") == 0), (F.col("_on") == 0) & (F.col("_was") == 1)
+    rows = o.lagged(o.latest(rows, "_on", trigger, F.lit(0)), start, {"_up": least - 1, "_down": hang - 1})
+    opened, closed = (F.col("_on") == 1) & (F.col("_on_before") == 0), (F.col("_on") == 0) & (F.col("_on_before") == 1)
+    rows = o.running(rows, {"event_no": F.when(opened, 1).otherwise(0)}).where((F.col("_on") == 1) | (F.col("_on_before") == 1))
     return rows.groupBy(key, "event_no").agg(F.min(F.when(opened, F.col("_up"))).alias("start"), F.min(F.when(closed, F.col("_down"))).alias("end"), F.max(F.when(F.col("_on") == 1, F.col(value))).alias("peak"))
 
 
 def rolling_floor(frames: DataFrame, key: str, order: list[str], value: str, history: int = 120, warm: int = 20, part: float = 0.25) -> DataFrame:
     """Adds ``floor``: the k-th smallest of the last ``history`` values, k a quarter of a full history, no higher than the last; null until ``warm``."""
-    by = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - history, Window.currentRow)
-    past = F.array_sort(F.collect_list(value).over(by))
     k = int(history * part)
-    return frames.withColumn("_past", past).withColumn("floor", F.when(F.size("_past") >= warm, F.element_at("_past", F.least(F.lit(k), F.size("_past") - 1) + 1))).drop("_past")
+    return sliding(frames, [key], order, value, history, "floor", DoubleType(), lambda w: w[min(k, len(w) - 1)] if len(w) >= warm else None)
+
+
+def percentile_of(values: list[float], part: float) -> float:
+    """Between the two values next to that part of the way through a sorted list."""
+    at = part * (len(values) - 1)
+    k = int(at)
+    return values[k] if at == k or values[k] == values[k + 1] else (k + 1 - at) * values[k] + (at - k) * values[k + 1]
 
 
 def overload_flags(frames: DataFrame, key: str, order: list[str], level: str, clip: str, history: int = 300, warm: int = 60, desense: float = 6.0, clipped: float = 1e-4) -> DataFrame:
     """Adds ``baseline`` (20th percentile of the last levels, none until warm) and ``overload`` 0/1."""
-    by = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - history, Window.currentRow)
-    rows = frames.withColumn("baseline", F.when(F.count(level).over(by) >= warm, F.percentile(level, F.lit(0.2)).over(by)))
-    return rows.withColumn("overload", (F.coalesce(F.col(level) - F.col("baseline") > desense, F.lit(False)) | (F.col(clip) > clipped)).cast("int"))
+    rows = sliding(frames, [key], order, level, history, "baseline", DoubleType(), lambda w: percentile_of(w, 0.2) if len(w) >= warm else None)
+    return rows.withColumn("overload", (F.coalesce(F.col(level) - F.col("baseline") > desense, F.lit(False)) | F.coalesce(F.col(clip) > clipped, F.lit(False))).cast("int"))
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
@@ -69,6 +71,7 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
 
 def spectrum_snapshot(grid: DataFrame, channel: str, value: str) -> DataFrame:
     """Per channel the mean and peak over frames, and the peak above the median of the channels' medians."""
-    each = grid.groupBy(channel).agg(F.avg(value).alias("mean"), F.max(value).alias("peak"), F.median(value).alias("_m"))
-    floor = each.agg(F.median("_m").alias("floor"))
+    each = grid.groupBy(channel).agg(F.avg(value).alias("mean"), F.max(value).alias("peak"))
+    middle = medians(grid, [channel], {"_m": F.col(value)})  # a row for each channel
+    floor = middle.agg(F.median("_m").alias("floor"))
     return each.join(floor).select(channel, "mean", "peak", (F.col("peak") - F.col("floor")).alias("above"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from . import bandplan
+from .ordered import medians
 
 #: Evidence gates and limits.
 MIN_SNR_DB = 18.0
@@ -92,8 +93,9 @@ def rollup(events: DataFrame, plan: DataFrame, notes: DataFrame | None = None, a
     measured = usable()
     sums = e.groupBy("key").agg(
         F.count(F.lit(1)).alias("event_count"), F.coalesce(F.sum("duration_s"), F.lit(0.0)).alias("total_airtime_s"), F.min("t_us").alias("first_seen_us"), F.max("t_us").alias("last_seen_us"),
-        F.median(measured).alias("_median"), F.count(measured).alias("_measured"), F.median("freq_hz").alias("_freq"),
+        F.count(measured).alias("_measured"),
     )
+    sums = sums.join(medians(e, ["key"], {"_median": measured, "_freq": F.col("freq_hz")}), "key")
     state = F.when(F.col("tone_state") != "unknown", F.col("tone_state"))
     content = ["content"] if "content" in events.columns else []
     v = votes(e.withColumn("state", state), "key", ["state", "ctcss_hz", "dcs_code", "dcs_polarity", "modulation", *content])
@@ -137,7 +139,8 @@ def pair_nearest(events: DataFrame, pairs: DataFrame, max_lag_us: int = MAX_LAG_
 def pair_evidence(events: DataFrame, pairs: DataFrame, max_lag_us: int = MAX_LAG_US, min_evidence: int = MIN_EVIDENCE, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(output_hz, input_hz, evidence_count, median_lag_us, confidence) of the pairs that enough keyups bear out."""
     outs = events.groupBy(F.col("channel_hz").alias("output_hz")).agg(F.count(F.lit(1)).alias("outputs")).where(F.col("outputs") >= min_evidence)
-    met = pair_nearest(events, pairs, max_lag_us).groupBy("output_hz", "input_hz").agg(F.count(F.lit(1)).alias("evidence_count"), F.median("lag_us").alias("median_lag_us"))
+    near = stored(pair_nearest(events, pairs, max_lag_us).select("output_hz", "input_hz", "lag_us"), "keyups")
+    met = near.groupBy("output_hz", "input_hz").agg(F.count(F.lit(1)).alias("evidence_count")).join(medians(near, ["output_hz", "input_hz"], {"median_lag_us": F.col("lag_us")}), ["output_hz", "input_hz"])
     share = F.col("evidence_count") / F.col("outputs")
     return met.join(outs, "output_hz").where((F.col("evidence_count") >= min_evidence) & (share >= min_confidence)).select("output_hz", "input_hz", "evidence_count", "median_lag_us", F.bround(share, 3).alias("confidence"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -51,14 +51,41 @@ def cascaded(parents: DataFrame, children: DataFrame, key: str, ref: str, gone:
     return without(parents, gone, key), children.join(dead, ref, "left_anti")
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop knows them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _files(spark, path)
+    return fs.exists(at)
+
+
+def recovered(spark: SparkSession, path: str) -> None:
+    """Ends a swap that was stopped half way: the new table if it was written whole, else the old one, is in place again."""
+    fs, at = _files(spark, path)
+    new, old = _files(spark, f"{path}.new")[1], _files(spark, f"{path}.old")[1]
+    if not fs.exists(at):
+        if exists(spark, f"{path}.new/_SUCCESS"):
+            fs.rename(new, at)
+        elif fs.exists(old):
+            fs.rename(old, at)
+    if fs.exists(at):
+        fs.delete(old, True)
+        fs.delete(new, True)
+
+
 def swapped(df: DataFrame, path: str) -> None:
-    """Rewrites a derived table: written beside the old one, then moved into its place."""
+    """Rewrites a derived table: written beside the old one, then moved into its place.
+
+    Whenever it is stopped, one of the two is there whole; :func:`recovered` puts it in place.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    new, old, at = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", f"{path}.old", path))
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    recovered(spark, path)
+    fs, at = _files(spark, path)
+    new, old = _files(spark, f"{path}.new")[1], _files(spark, f"{path}.old")[1]
     df.write.mode("overwrite").parquet(f"{path}.new")
-    fs.delete(old, True)
     if fs.exists(at):
         fs.rename(at, old)
     fs.rename(new, at)

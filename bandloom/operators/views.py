@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import PART, PLACE, Ordered
+
 
 def tone_text() -> Column:
     """How a tone reads: CTCSS 141.3, DCS 023N, DCS?, no tone, ?"""
@@ -59,37 +61,23 @@ def coverage(windows: DataFrame, events: DataFrame) -> DataFrame:
     ).orderBy("receiver_id", "center_hz", "run_id")
 
 
-def coverage_by_time(windows: DataFrame, events: DataFrame, step_us: int = 3_600_000_000) -> DataFrame:
+def coverage_by_time(windows: DataFrame, events: DataFrame) -> DataFrame:
     """Events by the windows of their run and receiver that hold their start; an open window has no end.
 
-    Time is cut into steps, and events are counted by step. Of a window, the whole steps are
-    one subtraction of running counts, taken where it starts and ends; only the two steps at
-    its edges look at events one by one. So the work is linear in events and windows, however
-    long or open a window is.
+    A sweep: events and the windows' edges are put in one order of time, the start of a window before
+    the events of its instant and the end after them, and events are counted along it. A window has the
+    count at its end less the one at its start, whatever its length and however many overlap.
     """
     by = ["run_id", "receiver_id"]
-    e = events.select(*by, "t_us", F.expr(f"t_us div {step_us}").alias("step")).where("t_us IS NOT NULL")
-    last = F.coalesce("t_end_us", F.lit(2**63 - 1))
-    w = windows.select("id", *by, "t_start_us", last.alias("last_us"), F.expr(f"t_start_us div {step_us}").alias("lo"), F.expr(f"coalesce(t_end_us, 9223372036854775807) div {step_us}").alias("hi"))
-    in_step = e.groupBy(*by, "step").agg(F.count(F.lit(1)).alias("n"))
-    block = F.expr("step div 256")  # of steps, whose totals are added first, so that no task sees all steps of a receiver
-    totals_ = in_step.groupBy(*by, block.alias("block")).agg(F.sum("n").alias("t"))
-    ahead = totals_.select(*by, "block", (F.sum("t").over(Window.partitionBy(*by).orderBy("block")) - F.col("t")).alias("ahead"))
-    own = F.sum("n").over(Window.partitionBy(*by, "block").orderBy("step"))
-    upto = in_step.withColumn("block", block).withColumn("own", own).join(ahead, [*by, "block"]).select(*by, "step", (F.col("own") + F.col("ahead")).alias("upto"))
-    # a mark for each edge among the steps' running counts: the count of the last step at or before it
-    marks = w.select("id", *by, F.col("lo").alias("step"), F.lit(-1).alias("sign")).union(w.select("id", *by, F.col("hi") - 1, F.lit(1)))
-    asked = marks.select(*by, "step").distinct()
-    known = upto.unionByName(asked.withColumn("upto", F.lit(None).cast("long"))).groupBy(*by, "step").agg(F.max("upto").alias("upto"))
-    filled = known.withColumn("block", block)
-    inside = F.last("upto", ignorenulls=True).over(Window.partitionBy(*by, "block").orderBy("step"))
-    ends = filled.groupBy(*by, "block").agg(F.max("upto").alias("m"))
-    before = F.last("m", ignorenulls=True).over(Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    filled = filled.withColumn("own", inside).join(ends.withColumn("before", before).drop("m"), [*by, "block"]).select(*by, "step", F.coalesce("own", "before", F.lit(0)).alias("upto"))
-    whole = marks.join(filled, [*by, "step"]).join(w.select("id", "lo", "hi"), "id").where("hi > lo").groupBy("id").agg(F.sum(F.col("sign") * F.col("upto")).alias("n"))
-    edges = w.select("id", *by, "t_start_us", "last_us", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("step"))
-    met = edges.join(e, [*by, "step"]).where("t_us BETWEEN t_start_us AND last_us").groupBy("id").agg(F.count(F.lit(1)).alias("m"))
-    return windows.select("id").join(whole, "id", "left").join(met, "id", "left").select("id", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("events"))
+    none = F.lit(None).cast(windows.schema["id"].dataType).alias("id")
+    e = events.where("t_us IS NOT NULL").groupBy(*by, F.col("t_us").alias("at")).agg(F.count(F.lit(1)).alias("n")).select(*by, "at", F.lit(1).alias("kind"), "n", none)
+    edges = [(F.col("t_start_us"), 0), (F.coalesce("t_end_us", F.lit(2**63 - 1)), 2)]
+    w = windows.where("t_start_us IS NOT NULL")
+    marks = [w.select(*by, at.alias("at"), F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("n"), "id") for at, kind in edges]
+    o = Ordered(e.unionByName(marks[0]).unionByName(marks[1]), by, ["at", "kind"])
+    upto = o.running(o.rows, {"upto": F.col("n")}).where("kind <> 1")
+    met = upto.groupBy("id").agg(F.sum((F.col("kind") - 1) * F.col("upto")).alias("n"))
+    return windows.select("id").join(met, "id", "left").select("id", F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).alias("events"))
 
 
 def in_windows(events: DataFrame, windows: DataFrame) -> DataFrame:
@@ -138,18 +126,7 @@ def peaks(power: DataFrame, by: str, value: str, least: float, n: int = 25) -> D
     return power.where(F.col(value) >= least).orderBy(F.desc(value), by).limit(n)
 
 
-BLOCKS = 512
-
-
 def running_budget(files: DataFrame, order: str, size: str, budget: int) -> DataFrame:
-    """Files in order while the sum of sizes stays within the budget; once stopped, stopped.
-
-    Sums run within blocks of the order and blocks' totals are added, so no task sees all rows.
-    Blocks are cut at quantiles of the order, so they are alike however sparse its numbers are.
-    """
-    cuts = files.agg(F.percentile_approx(order, [k / BLOCKS for k in range(1, BLOCKS)], 10 * BLOCKS)).first()[0] or [0]
-    block = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(order)))
-    totals_ = files.groupBy(block.alias("_b")).agg(F.sum(size).alias("_t"))
-    ahead = totals_.select("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    own = F.sum(size).over(Window.partitionBy("_b").orderBy(order))
-    return files.withColumn("_b", block).withColumn("_own", own).join(ahead, "_b").withColumn("used", F.col("_own") + F.col("_ahead")).where(F.col("used") <= budget).drop("_b", "_own", "_ahead")
+    """Files in order while the sum of sizes stays within the budget; once stopped, stopped."""
+    o = Ordered(files, [], [order])
+    return o.running(o.rows, {"used": F.col(size)}).where(F.col("used") <= budget).drop(PART, PLACE)

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import dsp, golay, spectrum
 from ..operators import bandplan, detect, enrich, excerpts, lifecycle, mutations, views
+from ..operators.ordered import medians
 from ..session import stored
 from ..sources import bridge, seed, stations
 from ..sources.bridge import PLAN_SQL, SIG_SQL, WINDOWS_SQL, plan, sig, table, windows
-from ..streaming import detector
+from ..streaming import detector, receiver
 
 LICENCES = ("gmrs",)
 LAG_US = 14_400_000_000  # the driver's events are hours apart
@@ -135,18 +136,25 @@ def plan_windows(spark, d):
     return bandplan.nominal_windows(centers)
 
 
-@query(f"""WITH {PLAN_SQL}, more AS (SELECT * FROM plan
-    UNION ALL SELECT 900, {bridge.BASE_HZ}, {bridge.BASE_HZ + 30_000}, NULL, NULL, 'gmrs', 'extra', 'segment', 0, NULL, 1) SELECT a.service, a.id AS a, b.id AS b
-    FROM more a JOIN more b ON a.service = b.service AND a.id < b.id AND a.freq_lo_hz <= b.freq_hi_hz AND b.freq_lo_hz <= a.freq_hi_hz""")
+PART_PLAN_SQL = """pp AS (SELECT p_partkey AS id, p_brand AS service, p_container AS kind, CAST(floor(p_retailprice) AS BIGINT) * 1000 - p_size * 40 AS freq_lo_hz,
+    CAST(floor(p_retailprice) AS BIGINT) * 1000 + p_size * 40 AS freq_hi_hz FROM part)"""
+
+
+def part_plan(spark, d):
+    """A plan with a range for each part: brands are services, containers kinds, prices centers and sizes widths."""
+    center = F.floor("p_retailprice").cast("long") * 1000
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("service"), F.col("p_container").alias("kind"), (center - F.col("p_size") * 40).alias("freq_lo_hz"), (center + F.col("p_size") * 40).alias("freq_hi_hz"))
+
+
+@query(f"""WITH {PART_PLAN_SQL} SELECT a.service, a.id AS a, b.id AS b
+    FROM pp a JOIN pp b ON a.service = b.service AND a.id < b.id AND a.freq_lo_hz <= b.freq_hi_hz AND b.freq_lo_hz <= a.freq_hi_hz""")
 def plan_overlaps(spark, d):
-    p = plan(spark)
-    extra = p.limit(1).select(*[{"id": F.lit(900), "freq_lo_hz": F.lit(bridge.BASE_HZ), "freq_hi_hz": F.lit(bridge.BASE_HZ + 30_000), "service": F.lit("gmrs"), "label": F.lit("extra"), "kind": F.lit("segment")}.get(c, F.lit(None)).cast(t).alias(c) for c, t in p.dtypes])
-    return bandplan.overlaps(p.unionByName(extra))
+    return bandplan.overlaps(part_plan(spark, d))
 
 
-@query(f"WITH {PLAN_SQL} SELECT service, kind, count(*) AS n, min(freq_lo_hz) AS lo, max(freq_hi_hz) AS hi FROM plan GROUP BY ALL")
+@query(f"WITH {PART_PLAN_SQL} SELECT service, kind, count(*) AS n, min(freq_lo_hz) AS lo, max(freq_hi_hz) AS hi FROM pp GROUP BY ALL")
 def plan_summary(spark, d):
-    return bandplan.summary(plan(spark))
+    return bandplan.summary(part_plan(spark, d))
 
 
 @query(f"WITH {KEY_SQL} SELECT freq_hz, key FROM ck")
@@ -174,13 +182,13 @@ def tone_decision(spark, d):
     WHERE snr_db >= 18 AND deviation_hz IS NOT NULL GROUP BY key""")
 def deviation_evidence(spark, d):
     e = enrich.keyed(sig(spark, d), plan(spark)).where(enrich.usable().isNotNull())
-    return e.groupBy("key").agg(F.median("deviation_hz").alias("median_hz"), F.count(F.lit(1)).alias("measured"))
+    return e.groupBy("key").agg(F.count(F.lit(1)).alias("measured")).join(medians(e, ["key"], {"median_hz": F.col("deviation_hz")}), "key")
 
 
 @query(f"WITH {ROLL_SQL} SELECT key, string_agg(label, ' / ' ORDER BY place) AS labels FROM tied GROUP BY key")
 def narrow_by_deviation(spark, d):
     e = enrich.keyed(sig(spark, d), plan(spark))
-    measured = e.groupBy("key").agg(F.median(enrich.usable()).alias("m"), F.count(enrich.usable()).alias("n"))
+    measured = e.groupBy("key").agg(F.count(enrich.usable()).alias("n")).join(medians(e, ["key"], {"m": enrich.usable()}), "key")
     joined = enrich.bucket_plans(e, plan(spark)).join(measured, "key")
     return joined.select("key", F.array_join(F.transform(enrich.narrowed(F.col("tied"), F.col("m"), F.col("n")), lambda t: t["label"]), " / ").alias("labels"))
 
@@ -579,6 +587,7 @@ def names(spec: str) -> str:
     return ", ".join(c.split()[0] for c in spec.split(", "))
 
 
+HEARD_SQL = "(462500000 + event_id % 5200 * 1000)"
 SEED_COLUMNS = "service, label, channel_number, freq_lo_hz, freq_hi_hz, freq_center_hz, bandwidth_hz, kind, is_repeater_out, pair_offset_hz, licensed, source, notes"
 
 
@@ -591,9 +600,14 @@ SEED_COLUMNS = "service, label, channel_number, freq_lo_hz, freq_hi_hz, freq_cen
         FROM h
     UNION ALL SELECT service, label, NULL, freq_lo_hz, freq_hi_hz, freq_center_hz, bandwidth_hz, kind, is_repeater_out, pair_offset_hz, licensed, source, notes
         FROM r)
-  SELECT {SEED_COLUMNS}, row_number() OVER (ORDER BY service, freq_lo_hz, label) AS id FROM a""")
+  SELECT {SEED_COLUMNS}, row_number() OVER (ORDER BY service, freq_lo_hz, label) AS id, (SELECT count(*) FROM events
+      WHERE {HEARD_SQL} BETWEEN freq_lo_hz AND freq_hi_hz) AS events FROM a""")
 def seeded_plan(spark, d):
-    return seed.seeded(spark).select(*SEED_COLUMNS.split(", "), "id")
+    """The seeded plan, with the events that each range holds."""
+    heard = table(spark, d, "events").selectExpr(f"{HEARD_SQL} AS freq_hz").groupBy("freq_hz").agg(F.count(F.lit(1)).alias("n"))
+    p = seed.seeded(spark)
+    held = bandplan.contained(heard.select("freq_hz"), p).join(heard, "freq_hz").groupBy("id").agg(F.sum("n").alias("n"))
+    return p.join(held, "id", "left").select(*SEED_COLUMNS.split(", "), "id", F.coalesce("n", F.lit(0)).alias("events"))
 
 
 FULL = (1 << 23) - 1
@@ -603,9 +617,14 @@ FULL = (1 << 23) - 1
     FROM {CODES_SQL}),
   w AS (SELECT code, high | ({GOLAY_SQL.format(high="high")}) AS word FROM c),
   t AS (SELECT code, ((({FULL} - word) >> k) | (({FULL} - word) << (23 - k))) & {FULL} AS word FROM w, range(23) AS r(k))
-  SELECT DISTINCT t.code, w.code AS reads_as FROM t JOIN w ON t.word = w.word""")
+  p AS (SELECT DISTINCT t.code, w.code AS reads_as FROM t JOIN w ON t.word = w.word),
+  e AS (SELECT lpad(CAST(event_id % 8 * 100 + event_id // 8 % 8 * 10 + event_id // 64 % 8 AS VARCHAR), 3, '0') AS code, count(*) AS n FROM events GROUP BY ALL)
+  SELECT code, reads_as, coalesce(n, 0) AS events FROM p LEFT JOIN e USING (code)""")
 def dcs_pairs(spark, d):
-    return golay.inverse_pairs(spark)
+    """Code pairs, with the events whose three octal digits are the code."""
+    octal = F.expr("lpad(cast(event_id % 8 * 100 + event_id div 8 % 8 * 10 + event_id div 64 % 8 AS string), 3, '0') AS code")
+    heard = table(spark, d, "events").select(octal).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    return golay.inverse_pairs(spark).join(heard, "code", "left").select("code", "reads_as", F.coalesce("n", F.lit(0)).alias("events"))
 
 
 @query()
@@ -627,3 +646,18 @@ def detector_batch(spark, d):
 @query()
 def detector_stream(spark, d):
     return detector.replayed(stations.frames(spark, d), stations.FRAME_S)
+
+
+@query()
+def detector_log(spark, d):
+    """Events of frames that come out of order, flagged and detected as a stream, begun and ended as rows of a log."""
+    job = lambda s: detector.detect_stream(receiver.in_order(s, "2 hours"), stations.FRAME_S, log=True)
+    return detector.standing(detector.shuffled(stations.frames(spark, d), job, 4, 7200))
+
+
+@query(ORACLES["overload_flags"])
+def overload_stream(spark, d):
+    """The flags of ``overload_flags``, made by the stream's monitor from rows that come out of order."""
+    rows = seq(spark, d).selectExpr("cast(user_id AS string) AS receiver_id", "0L AS window_id", "event_id AS frame_no", "t_us AS frame_start", "timestamp_micros(t_us) AS at", "array(value) AS power_db", "value AS wideband_db", "if(event_id % 50 = 0, 0.001D, 0D) AS clip_frac")
+    out = detector.shuffled(rows, lambda s: receiver.in_order(s, "2 days"), 4, 172_800)
+    return out.select(F.col("frame_no").alias("event_id"), F.round("baseline", 6).alias("baseline"), "overload")

@@ -1,6 +1,6 @@
-"""Radio tables made from the driver's tables, so that they grow with them: frames of channel power, samples, signals.
+"""Radio tables made from the driver's tables, so that they grow with them: frames of channel power as the events measured it, samples, signals.
 
-Everything follows from a row's numbers by hashes, so a lost task makes the same rows again.
+Everything follows from a row's numbers, so a lost task makes the same rows again.
 """
 
 from __future__ import annotations
@@ -9,39 +9,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dsp, golay
 from .bridge import table
 
-CHANNELS, FRAMES, FRAME_S, FRAME_SAMPLES = 40, 200, 0.0131, 31_440
+CHANNELS, FRAME_S, QUIET_DB = 40, 0.12, -90.0
+DAY_US, FRAME_US = 86_400_000_000, 600_000_000
 EVENTS_PER_WINDOW, RECEIVERS = 200, 2
 RATE_HZ, CENTER_HZ, SIGNAL_RATE_HZ, OFFSET_HZ = 250_000.0, 466_000_000, 50_000.0, 12_500.0
 
 
-def _noise(*parts: Column) -> Column:
-    """Between -1 and 1, from a hash."""
-    return (F.pmod(F.xxhash64(*parts), F.lit(20_001)) - 10_000) / F.lit(10_000.0)
-
-
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(receiver_id, window_id, frame_no, frame_start, power_db, overload): noise about -90 dB, and each event of the
-    table as a signal on one channel for 12 to 20 frames, with skirts 8 dB down on its neighbours."""
-    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % RECEIVERS).alias("rx"), F.expr(f"event_id div {EVENTS_PER_WINDOW}").alias("window_id"))
-    h = F.pmod(F.xxhash64("event_id"), F.lit(1 << 40))
-    e = e.select("rx", "window_id", (h % CHANNELS).alias("channel"), (30 + F.expr(f"pmod(xxhash64(event_id, 1), {FRAMES - 80})")).alias("first"), (12 + F.expr("pmod(xxhash64(event_id, 2), 9)")).alias("n"), (20 + F.expr("pmod(xxhash64(event_id, 3), 20)")).alias("snr"))
-    on = e.select("rx", "window_id", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("frame_no"), F.struct("channel", "snr").alias("s"))
-    heard = on.groupBy("rx", "window_id", "frame_no").agg(F.collect_list("s").alias("on"))  # EVENTS_PER_WINDOW at most
-    every = e.select("rx", "window_id").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))).alias("frame_no"))
-    all_ = every.join(heard, ["rx", "window_id", "frame_no"], "left")
-
-    def level(c: Column) -> Column:
-        far = F.transform(F.col("on"), lambda s: F.when(s["channel"] == c, s["snr"]).when(F.abs(s["channel"] - c) == 1, s["snr"] - 8))
-        return F.greatest(-90 + 0.7 * _noise(F.col("rx"), F.col("window_id"), F.col("frame_no"), c), F.array_max(far) - F.lit(90.0))
-
-    power = F.transform(F.sequence(F.lit(0), F.lit(CHANNELS - 1)), level)
-    return all_.select(F.concat(F.lit("rx"), "rx").alias("receiver_id"), "window_id", F.col("frame_no").cast("long").alias("frame_no"), (F.col("frame_no") * FRAME_SAMPLES).cast("long").alias("frame_start"), power.alias("power_db"), F.lit(0).alias("overload"))
+    """(receiver_id, window_id, frame_no, frame_start, at, power_db, wideband_db, clip_frac): what the events' table measured, as a spectrum over time.
+
+    A frame is ``FRAME_US`` of the table's time, a window a day, a channel the users alike modulo ``CHANNELS``; its
+    power is the sum of their values over the quiet level. Frames without an event are quiet.
+    """
+    e = table(spark, sf_dir, "events").selectExpr("user_id % 2 AS rx", f"user_id div 2 % {CHANNELS} AS ch", "unix_micros(cast(ts AS timestamp)) AS t_us", "value")
+    e = e.withColumn("window_id", F.expr(f"t_us div {DAY_US}")).withColumn("frame_no", F.expr(f"t_us % {DAY_US} div {FRAME_US}"))
+    by = ["rx", "window_id", "frame_no"]
+    heard = e.groupBy(*by, "ch").agg(F.sum("value").alias("v")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("ch", "v"))).alias("on"))  # CHANNELS entries at most
+    every = e.select("rx", "window_id").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(DAY_US // FRAME_US - 1))).cast("long").alias("frame_no"))
+    level = F.transform(F.sequence(F.lit(0), F.lit(CHANNELS - 1)), lambda c: QUIET_DB + F.coalesce(F.try_element_at("on", c.cast("long")), F.lit(0.0)))
+    out = every.join(heard, by, "left").withColumn("power_db", level).withColumn("frame_start", F.col("window_id") * DAY_US + F.col("frame_no") * FRAME_US)
+    return out.select(
+        F.concat(F.lit("rx"), "rx").alias("receiver_id"), "window_id", "frame_no", "frame_start", F.timestamp_micros("frame_start").alias("at"), "power_db",
+        (F.aggregate("power_db", F.lit(0.0), lambda a, x: a + x) / CHANNELS).alias("wideband_db"), F.lit(0.0).alias("clip_frac"),
+    )
 
 
 def samples(spark: SparkSession, sf_dir: str, nfft: int = 1024) -> DataFrame:

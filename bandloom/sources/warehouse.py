@@ -1,7 +1,16 @@
-"""A folder of tables at one version of the schema: created, checked, brought up to date."""
+"""A folder of tables at one version of the schema: created, changed together, checked, brought up to date.
+
+What the folder holds is said by its newest manifest, a small file that names each table's folder and
+the version. A change of any number of tables writes their new folders first and one manifest last,
+whose name is taken by renaming: until then readers see the tables as they were, and a change that was
+stopped leaves folders that nothing names. Of two changes at once, the second finds its number taken.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,36 +18,75 @@ from .. import schemas
 from ..operators import mutations
 
 META = "schema_meta"
+MANIFESTS = "_manifests"
+
+
+def manifest(spark: SparkSession, path: str) -> dict:
+    """The newest manifest: number, version, and folder by table; a folder without one is at number 0."""
+    fs, at = mutations._files(spark, f"{path}/{MANIFESTS}")
+    names = sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+    whole = [n for n in names if n.endswith(".json")]
+    if not whole:
+        return {"number": 0, "version": None, "tables": {}}
+    return json.loads(spark.read.text(f"{path}/{MANIFESTS}/{whole[-1]}", wholetext=True).first()[0])
+
+
+def folder(spark: SparkSession, path: str, name: str) -> str:
+    """Where a table's rows are; rows appended there are seen at once."""
+    return f"{path}/{manifest(spark, path)['tables'].get(name, name)}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.parquet(folder(spark, path, name))
 
 
 def version(spark: SparkSession, path: str) -> int | None:
     """The version that the folder's tables are at; None where there is none yet."""
-    if not _exists(spark, f"{path}/{META}"):
+    now = manifest(spark, path)
+    if now["version"] is not None:
+        return now["version"]
+    if not mutations.exists(spark, f"{path}/{META}"):
         return None
     row = spark.read.parquet(f"{path}/{META}").where("key = 'version'").first()
     return int(row.value) if row else None
 
 
-def _record(spark: SparkSession, path: str, v: int) -> None:
-    mutations.swapped(spark.range(1).select(F.lit("version").alias("key"), F.lit(str(v)).alias("value")), f"{path}/{META}")
-
-
-def table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}")
-
-
-def broken_references(spark: SparkSession, path: str) -> dict[str, int]:
+def committed(spark: SparkSession, path: str, tables: dict[str, DataFrame], to: int | None = None) -> int:
+    """Puts new rows in place of those of all ``tables`` at once, as version ``to``; returns the number of the change."""
+    now = manifest(spark, path)
+    number, folders = now["number"] + 1, dict(now["tables"])
+    for name, df in tables.items():
+        folders[name] = f"{name}@{number}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(f"{path}/{folders[name]}")
+    text = json.dumps({"number": number, "version": now["version"] if to is None else to, "tables": folders})
+    fs, draft = mutations._files(spark, f"{path}/{MANIFESTS}/.{number:08d}-{uuid.uuid4().hex[:8]}")
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    final = mutations._files(spark, f"{path}/{MANIFESTS}/{number:08d}.json")[1]
+    if fs.exists(final) or not fs.rename(draft, final):
+        fs.delete(draft, False)
+        raise ValueError(f"{path}: another change was made meanwhile; read it and try again")
+    return number
+
+
+def vacuumed(spark: SparkSession, path: str) -> list[str]:
+    """Removes folders of tables that the newest manifest doesn't name; returns their names."""
+    fs, at = mutations._files(spark, path)
+    named = set(manifest(spark, path)["tables"].values())
+    gone = sorted(f.getPath().getName() for f in fs.listStatus(at) if "@" in f.getPath().getName() and f.getPath().getName() not in named)
+    for name in gone:
+        fs.delete(mutations._files(spark, f"{path}/{name}")[1], True)
+    return gone
+
+
+def broken_references(tables: dict[str, DataFrame]) -> dict[str, int]:
     """(table.column) -> rows whose reference names nothing."""
     out = {}
     for child, columns in schemas.FOREIGN.items():
         for column, (parent, key) in columns.items():
-            if _exists(spark, f"{path}/{child}") and _exists(spark, f"{path}/{parent}") and column in table(spark, path, child).columns:
-                n = schemas.orphans(table(spark, path, child), column, table(spark, path, parent), key).count()
+            if child in tables and parent in tables and column in tables[child].columns:
+                n = schemas.orphans(tables[child], column, tables[parent], key).count()
                 out |= {f"{child}.{column}": n} if n else {}
     return out
 
@@ -46,26 +94,29 @@ def broken_references(spark: SparkSession, path: str) -> dict[str, int]:
 def ensure(spark: SparkSession, path: str, to: int = schemas.VERSION) -> int:
     """Creates what is missing and brings the rest to version ``to``; returns the version it found (or ``to``).
 
-    Runs again without harm: tables that are there stay. An older version than the folder's
-    is refused, and so are references that name nothing. The version is recorded last, and
-    each table is moved into place whole, so a run that was stopped is simply repeated.
+    Runs again without harm: tables that are there stay, and a swap of one that was stopped is ended
+    first. An older version than the folder's is refused, and so are references that name
+    nothing. All that changes does so in one step, with the version.
     """
     at = version(spark, path)
     if at is not None and at > to:
         raise ValueError(f"{path} is at version {at}; {to} is older")
+    known, changed = {}, {}
     for name, spec in schemas.TABLES.items():
         if name == META:
             continue
-        where = f"{path}/{name}"
-        if not _exists(spark, where):
-            mutations.swapped(spark.createDataFrame([], spec.replace(" not null", "")), where)
-        elif at is not None and at < to:
-            old = table(spark, path, name)
-            new = schemas.migrated(old, name, at, to)
+        where = folder(spark, path, name)
+        mutations.recovered(spark, where)
+        if not mutations.exists(spark, where):
+            changed[name] = spark.createDataFrame([], spec.replace(" not null", ""))
+        else:
+            old = known[name] = spark.read.parquet(where)
+            new = schemas.migrated(old, name, at, to) if at is not None else old
             if new.columns != old.columns:
-                mutations.swapped(new, where)
-    if bad := broken_references(spark, path):
+                changed[name] = new
+    if bad := broken_references(known | changed):
         raise ValueError(f"{path}: references that name nothing: {bad}")
-    if at != to:
-        _record(spark, path, to)
+    if changed or at != to:
+        meta = spark.range(1).select(F.lit("version").alias("key"), F.lit(str(to)).alias("value"))
+        committed(spark, path, changed | {META: meta}, to)
     return at or to

@@ -281,7 +281,6 @@ def test_agreement_is_not_rounded(spark):
 
 def test_windows_of_any_length_count_their_events(spark):
     rng = np.random.default_rng(2)
-    step = 1000
     events = [(int(r), f"x{x}", int(t)) for r, x, t in zip(rng.integers(0, 2, 4000), rng.integers(0, 2, 4000), rng.integers(0, 900_000, 4000), strict=True)] + [(0, "x0", 5000)] * 50
     windows = []
     for k in range(200):
@@ -289,7 +288,7 @@ def test_windows_of_any_length_count_their_events(spark):
         windows.append((k, k % 2, f"x{k % 3}", a, None if k % 7 == 0 else a + int(rng.choice([0, 10, 999, 1000, 5000, 700_000]))))
     e = spark.createDataFrame(events, "run_id int, receiver_id string, t_us long").repartition(5)
     w = spark.createDataFrame(windows, "id int, run_id int, receiver_id string, t_start_us long, t_end_us long")
-    got = {r.id: r.events for r in views.coverage_by_time(w, e, step).collect()}
+    got = {r.id: r.events for r in views.coverage_by_time(w, e).collect()}
     assert got == {i: sum(r == run and x == rx and a <= t <= (2**63 if b is None else b) for run, rx, t in events) for i, r, x, a, b in windows}
 
 

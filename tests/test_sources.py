@@ -75,22 +75,70 @@ def test_capture_files_and_budget(spark):
 def test_warehouse_is_created_upgraded_and_guarded(spark, tmp_path):
     at = f"file://{tmp_path}/w"
     assert warehouse.version(spark, at) is None and warehouse.ensure(spark, at) == 8
-    assert warehouse.version(spark, at) == 8 and set(schemas.TABLES) == {p.name for p in (tmp_path / "w").iterdir()}
-    mutations.appended([{"id": 1, "run_id": 7, "receiver_id": "uhf", "t_start": 0.0, "freq_hz": 1, "overload": 0}], "events", spark, f"{at}/events")
+    assert warehouse.version(spark, at) == 8 and set(schemas.TABLES) == set(warehouse.manifest(spark, at)["tables"])
+    mutations.appended([{"id": 1, "run_id": 7, "receiver_id": "uhf", "t_start": 0.0, "freq_hz": 1, "overload": 0}], "events", spark, warehouse.folder(spark, at, "events"))
     with pytest.raises(ValueError, match="events.run_id"):
         warehouse.ensure(spark, at)
-    mutations.swapped(spark.createDataFrame([(7, 1.0)], "id long, started_at double"), f"{at}/runs")
+    warehouse.committed(spark, at, {"runs": spark.createDataFrame([(7, 1.0)], "id long, started_at double")})
     assert warehouse.ensure(spark, at) == 8 and warehouse.table(spark, at, "events").count() == 1
     with pytest.raises(ValueError, match="older"):
         warehouse.ensure(spark, at, 7)
     old = f"file://{tmp_path}/old"
     spark.createDataFrame([(1, 88.5, None), (2, None, 23), (3, None, None)], "id long, ctcss_hz double, dcs_code int").write.parquet(f"{old}/events")
-    warehouse._record(spark, old, 2)
+    warehouse.committed(spark, old, {}, 2)
     assert warehouse.ensure(spark, old) == 2 and warehouse.version(spark, old) == 8
     rows = {r.id: r for r in warehouse.table(spark, old, "events").collect()}
     assert [rows[k].tone_state for k in (1, 2, 3)] == ["ctcss", "dcs", "unknown"] and rows[1].window_id is None
 
 
+def test_a_change_of_several_tables_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    at = f"file://{tmp_path}/w"
+    warehouse.ensure(spark, at)
+    rows = lambda n: {"runs": spark.range(n).selectExpr("id", "0.0D AS started_at"), "decodes": spark.range(n).selectExpr("id", "id AS event_id")}
+    seen = lambda: [warehouse.table(spark, at, t).count() for t in ("runs", "decodes")]
+    first = warehouse.committed(spark, at, rows(3))
+    assert seen() == [3, 3]
+    bad = rows(5) | {"decodes": spark.range(5).selectExpr("assert_true(id < 4) IS NULL AS x")}
+    with pytest.raises(Exception, match="assert|ASSERT"):
+        warehouse.committed(spark, at, bad)  # stopped between two tables
+    assert seen() == [3, 3]
+    now = warehouse.manifest(spark, at)
+    monkeypatch.setattr(warehouse, "manifest", lambda *_: now)
+    warehouse.committed(spark, at, rows(6))
+    with pytest.raises(ValueError, match="meanwhile"):
+        warehouse.committed(spark, at, rows(7))  # began from the same state
+    monkeypatch.undo()
+    assert seen() == [6, 6] and warehouse.manifest(spark, at)["number"] == first + 1
+    assert len(warehouse.vacuumed(spark, at)) >= 5 and seen() == [6, 6] and warehouse.vacuumed(spark, at) == []
+
+
+@pytest.mark.parametrize("stop", ["before", "between", "after"])
+def test_a_stopped_swap_loses_nothing(spark, tmp_path, stop):
+    path, at = tmp_path / "t", f"file://{tmp_path}/t"
+    mutations.swapped(spark.range(3), at)
+    spark.range(5).write.parquet(f"{at}.new")
+    if stop == "before":  # the new table is not whole
+        (tmp_path / "t.new" / "_SUCCESS").unlink()
+        path.rename(tmp_path / "t.old")
+    elif stop == "between":
+        path.rename(tmp_path / "t.old")
+    else:
+        path.rename(tmp_path / "t.old")
+        (tmp_path / "t.new").rename(path)
+    mutations.recovered(spark, at)
+    assert spark.read.parquet(at).count() == (3 if stop == "before" else 5)
+    mutations.swapped(spark.range(7), at)
+    assert spark.read.parquet(at).count() == 7 and {p.name for p in tmp_path.iterdir()} == {"t"}
+
+
+def test_ensure_ends_a_stopped_swap(spark, tmp_path):
+    at = f"file://{tmp_path}/w"
+    spark.createDataFrame([(7, 1.0)], "id long, started_at double").write.parquet(f"{at}/runs.old")
+    spark.createDataFrame([(7, 1.0), (8, 2.0)], "id long, started_at double").write.parquet(f"{at}/runs.new")
+    warehouse.ensure(spark, at)
+    assert warehouse.table(spark, at, "runs").count() == 2
+
+
 def test_runs_and_windows(spark):
     runs = spark.createDataFrame([(1, "pi", "uhf: {}"), (2, "pi", "vhf: {}")], "id long, host string, profile_yaml string")
     got = {r.id: r for r in lifecycle.folded(lifecycle.run_started(runs, 10.0), lifecycle.run_ended(runs.where("id = 1"), 20.0)).collect()}
