@@ -136,14 +136,14 @@ def plan_windows(spark, d):
     return bandplan.nominal_windows(centers)
 
 
-PART_PLAN_SQL = """pp AS (SELECT p_partkey AS id, p_brand AS service, p_container AS kind, CAST(floor(p_retailprice) AS BIGINT) * 1000 - p_size * 40 AS freq_lo_hz,
+PART_PLAN_SQL = """pp AS (SELECT p_partkey AS id, p_brand AS service, p_type AS kind, CAST(floor(p_retailprice) AS BIGINT) * 1000 - p_size * 40 AS freq_lo_hz,
     CAST(floor(p_retailprice) AS BIGINT) * 1000 + p_size * 40 AS freq_hi_hz FROM part)"""
 
 
 def part_plan(spark, d):
-    """A plan with a range for each part: brands are services, containers kinds, prices centers and sizes widths."""
+    """A plan with a range for each part: brands are services, types kinds, prices centers and sizes widths."""
     center = F.floor("p_retailprice").cast("long") * 1000
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("service"), F.col("p_container").alias("kind"), (center - F.col("p_size") * 40).alias("freq_lo_hz"), (center + F.col("p_size") * 40).alias("freq_hi_hz"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("service"), F.col("p_type").alias("kind"), (center - F.col("p_size") * 40).alias("freq_lo_hz"), (center + F.col("p_size") * 40).alias("freq_hi_hz"))
 
 
 @query(f"""WITH {PART_PLAN_SQL} SELECT a.service, a.id AS a, b.id AS b
@@ -616,7 +616,7 @@ FULL = (1 << 23) - 1
 @query(f"""WITH c AS (SELECT code, (2048 + CAST(code[1] AS BIGINT) * 64 + CAST(code[2] AS BIGINT) * 8 + CAST(code[3] AS BIGINT)) << 11 AS high
     FROM {CODES_SQL}),
   w AS (SELECT code, high | ({GOLAY_SQL.format(high="high")}) AS word FROM c),
-  t AS (SELECT code, ((({FULL} - word) >> k) | (({FULL} - word) << (23 - k))) & {FULL} AS word FROM w, range(23) AS r(k))
+  t AS (SELECT code, ((({FULL} - word) >> k) | (({FULL} - word) << (23 - k))) & {FULL} AS word FROM w, range(23) AS r(k)),
   p AS (SELECT DISTINCT t.code, w.code AS reads_as FROM t JOIN w ON t.word = w.word),
   e AS (SELECT lpad(CAST(event_id % 8 * 100 + event_id // 8 % 8 * 10 + event_id // 64 % 8 AS VARCHAR), 3, '0') AS code, count(*) AS n FROM events GROUP BY ALL)
   SELECT code, reads_as, coalesce(n, 0) AS events FROM p LEFT JOIN e USING (code)""")

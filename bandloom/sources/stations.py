@@ -31,12 +31,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.withColumn("window_id", F.expr(f"t_us div {DAY_US}")).withColumn("frame_no", F.expr(f"t_us % {DAY_US} div {FRAME_US}"))
     by = ["rx", "window_id", "frame_no"]
     heard = e.groupBy(*by, "ch").agg(F.sum("value").alias("v")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("ch", "v"))).alias("on"))  # CHANNELS entries at most
-    every = e.select("rx", "window_id").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(DAY_US // FRAME_US - 1))).cast("long").alias("frame_no"))
+    every = e.select("rx", "window_id").distinct().select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DAY_US // FRAME_US - 1).cast("long"))).alias("frame_no"))
     level = F.transform(F.sequence(F.lit(0), F.lit(CHANNELS - 1)), lambda c: QUIET_DB + F.coalesce(F.try_element_at("on", c.cast("long")), F.lit(0.0)))
     out = every.join(heard, by, "left").withColumn("power_db", level).withColumn("frame_start", F.col("window_id") * DAY_US + F.col("frame_no") * FRAME_US)
     return out.select(
         F.concat(F.lit("rx"), "rx").alias("receiver_id"), "window_id", "frame_no", "frame_start", F.timestamp_micros("frame_start").alias("at"), "power_db",
-        (F.aggregate("power_db", F.lit(0.0), lambda a, x: a + x) / CHANNELS).alias("wideband_db"), F.lit(0.0).alias("clip_frac"),
+        ((F.array_sort("power_db")[CHANNELS // 2 - 1] + F.array_sort("power_db")[CHANNELS // 2]) / 2).alias("wideband_db"), F.lit(0.0).alias("clip_frac"),
     )
 
 

@@ -62,24 +62,28 @@ class _Receiver(StatefulProcessor):
         self.monitor = handle.getValueState("monitor", "blob binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = None
         for batch in rows:
             at = batch["at"].astype("datetime64[us]").astype("int64")
             for start, no, window, us, level, clip, power in zip(batch["frame_start"], batch["frame_no"], batch["window_id"], at, batch["wideband_db"], batch["clip_frac"], batch["power_db"], strict=True):
                 blob = None if power is None else np.asarray(power, "<f8").tobytes()
                 self.waiting.updateValue((int(start), int(no)), (int(window), int(us), _known(level), _known(clip), blob))
-                last = us if last is None else max(last, us)
-        if last is not None:
-            self.handle.registerTimer(int(last) // 1000 + 1)
         yield self._released(key, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield self._released(key, timerValues)
 
     def _released(self, key, timerValues) -> pd.DataFrame:
-        """Frames that the watermark has passed, in order of the sample clock."""
+        """Frames that the watermark has passed, in order of the sample clock. The next one waiting sets the timer, so none stays longer than it must."""
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        due = sorted((k, v) for k, v in self.waiting.iterator() if v[1] <= passed)
+        due, soonest = [], None
+        for k, v in self.waiting.iterator():
+            if v[1] <= passed:
+                due.append((tuple(k), tuple(v)))
+            elif soonest is None or v[1] < soonest:
+                soonest = v[1]
+        due.sort(key=lambda x: x[0])
+        if soonest is not None:
+            self.handle.registerTimer(-(-soonest // 1000))
         out = []
         if due:
             monitor = pickle.loads(bytes(self.monitor.get()[0])) if self.monitor.exists() else Monitor()

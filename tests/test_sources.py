@@ -99,7 +99,7 @@ def test_a_change_of_several_tables_is_seen_whole_or_not_at_all(spark, tmp_path,
     first = warehouse.committed(spark, at, rows(3))
     assert seen() == [3, 3]
     bad = rows(5) | {"decodes": spark.range(5).selectExpr("assert_true(id < 4) IS NULL AS x")}
-    with pytest.raises(Exception, match="assert|ASSERT"):
+    with pytest.raises(Exception, match="is not true"):
         warehouse.committed(spark, at, bad)  # stopped between two tables
     assert seen() == [3, 3]
     now = warehouse.manifest(spark, at)
