@@ -250,13 +250,14 @@ def found(docs: DataFrame, benchmark: DataFrame, name: str, window: int = WINDOW
         hits.append(stored(one, "hits"))
     every = reduce(DataFrame.union, hits).groupBy(*keys)
     merged = every.agg(joined_spans(F.flatten(F.collect_list("f.spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("f.texts")))).alias("texts"), F.max("f.longest").alias("longest"))
-    both = fresh(docs, "_hits")
+    both, long = fresh(docs, "_hits"), fresh(docs, "_long")
     slim = merged.select(*keys, F.struct("spans", "texts", "longest").alias(both))
     n = F.coalesce(F.regexp_count(F.translate("text", string.ascii_uppercase, string.ascii_lowercase), F.lit(WORD_SQL)), F.lit(0)).cast("bigint")
     hit = F.coalesce(F.aggregate(F.col(both)["spans"], F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"]), F.lit(0).cast("bigint"))
     none = F.array()
-    whole = F.struct(n.alias("n_words"), hit.alias("n_hit"), F.coalesce(F.col(both)["spans"], none).alias("spans"), F.coalesce(F.col(both)["texts"], none).alias("texts"), F.coalesce(F.col(both)["longest"], F.lit(0)).alias("longest"))
-    return joined_back(keyed, slim, keys, "left").withColumn(name, whole.cast(FOUND)).select(*named(docs.columns), name)
+    whole = F.struct(F.col(long).alias("n_words"), hit.alias("n_hit"), F.coalesce(F.col(both)["spans"], none).alias("spans"), F.coalesce(F.col(both)["texts"], none).alias("texts"), F.coalesce(F.col(both)["longest"], F.lit(0)).alias("longest"))
+    # words are counted before the join, so a text that is not asked for does not travel
+    return joined_back(keyed.withColumn(long, n), slim, keys, "left").withColumn(name, whole.cast(FOUND)).select(*named(docs.columns), name)
 
 
 ADDED = ("n_words", "n_hit", "spans", "items", "longest")

@@ -8,13 +8,14 @@ end, once with each dictionary; the language whose dictionary gives the fewest b
 language. The margin between the best and the next, as a share of the next, says how sure
 that is: ``accepted`` is false where it is below ``margin``.
 
-The sample for the dictionaries is the one bounded part: about ``DICT_TEXTS`` training rows
-for each language, chosen by a hash of doc_id over the whole table; every row is predicted.
+The sample for the dictionaries is the one bounded part: up to ``DICT_TEXTS`` distinct training texts
+for each language, chosen by a hash of the text over the whole table; every row is predicted.
 The dictionaries together have at most ``ALL_BYTES``, whatever the number of languages.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; without any
 labelled training row every text is; equal sizes go to the language with most training rows,
-then the first by code point; rows with null lang train nothing; repeated rows are rows of their own; an empty table gives
+then the first by code point; rows with null lang train nothing; ids, null or shared, make no difference to training, and
+copies train once; repeated rows are rows of their own; an empty table gives
 an empty result; extra columns pass through, replaced where they clash.
 """
 
@@ -48,14 +49,18 @@ def plain(text: str) -> bytes:
 
 
 def training_texts(train: DataFrame, texts: int, max_bytes: int) -> list[tuple[str, bytes]]:
-    """About ``texts`` rows of each language, chosen by a hash; longest first cut off where a text alone would fill a dictionary."""
-    rows = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * texts) / F.col("_n"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    """Up to ``texts`` distinct texts of each language, chosen by a hash of the text; longest first cut off where a text alone would fill a dictionary.
+
+    The share that a first draw takes comes from the number of distinct texts, so neither copies nor ids, null ids or one
+    id for all, decide whether a language has a dictionary.
+    """
+    rows = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_h", F.xxhash64("text", F.lit(17)))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n"))
+    share = F.least(F.lit(1.0), F.lit(2.5 * texts) / F.greatest("_n", F.lit(1)))
+    draw = F.pmod(F.xxhash64("_h"), F.lit(1 << 30)) / float(1 << 30)
     # a row for each language; of a text no more than four times what fills a dictionary
-    some = rows.select("doc_id", "lang", F.substring("text", 1, 4 * max_bytes).alias("text")).join(F.broadcast(counts), "lang").where(draw < share)
-    order = Window.partitionBy("lang").orderBy(F.octet_length("text") > max_bytes // 8, F.xxhash64("doc_id", F.lit(17)), "doc_id", "text")
+    some = rows.join(F.broadcast(counts), "lang").where(draw < share).select("lang", "_h", F.octet_length("text").alias("_b"), F.substring("text", 1, 4 * max_bytes).alias("text")).dropDuplicates(["lang", "_h"])
+    order = Window.partitionBy("lang").orderBy(F.col("_b") > max_bytes // 8, "_h")
     few = some.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= texts)
     return [(r[0], plain(r[1])[:max_bytes]) for r in few.orderBy("lang", "_k").select("lang", "text").collect()]
 

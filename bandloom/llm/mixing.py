@@ -3,7 +3,7 @@
 Each source gets a target number of words: weights share ``budget`` times all words, no
 target passes ``most`` times its source, and what a full source can't take is shared again
 by weight. Within a source every document expects ``target / source_size`` copies. Documents
-stand in order of size, then id; the expected copies are summed along that order, one random
+stand in order of size, then id, then a hash of what else the row holds; the expected copies are summed along that order, one random
 offset per source is added, and a document is emitted once for each integer boundary that
 its stretch crosses. As sizes rise along the order, the words taken miss the target by no
 more than about one largest document.
@@ -66,13 +66,18 @@ def offset_of(source: Column, seed: int) -> Column:
 ADDED = ("size", "source_size", "target", "copies")
 
 
-def mix_sized(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0, seed: int = SEED) -> DataFrame:
-    """Rows of ``sized`` (doc_id, source, size and any others) with source_size, target and copies."""
+def content(docs: DataFrame) -> Column:
+    """A hash of a row's columns, so that rows alike in size and id stand in one order however they are laid out."""
+    return F.xxhash64(*named([c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]))
+
+
+def mix_sized(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0, seed: int = SEED, tie: str | None = None) -> DataFrame:
+    """Rows of ``sized`` (doc_id, source, size and any others) with source_size, target and copies; ``tie`` orders rows of one size and id."""
     sized = sized.select(*named(without(sized, ADDED[1:])))
     with temporary(sized.sparkSession) as keep:
         table = keep(stored(source_targets(sized.select("source", "size"), weights, budget, most), "targets"))
     rank, own = fresh(sized, "_rank"), fresh(sized, "_source")
-    placed = ranked(sized, "source", ["size", "doc_id"], rank, name="mix")
+    placed = ranked(sized, "source", ["size", "doc_id", *([tie] if tie else [])], rank, name="mix")
     t = table.select(F.col("source").alias(own), "source_size", "target")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     step = offset_of(F.col("source"), seed)
@@ -80,29 +85,31 @@ def mix_sized(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: floa
     return placed.join(t, F.col("source").eqNullSafe(F.col(own))).withColumn("copies", copies.cast("long")).drop(own, rank)
 
 
-def _by_row(keyed: DataFrame, keys: list[str], how: dict) -> DataFrame:
+def _by_row(docs: DataFrame, keyed: DataFrame, keys: list[str], how: dict) -> DataFrame:
     """Row keys with the columns that mixing adds."""
-    sizes = stored(keyed.select(*keys, "doc_id", "source", word_count().alias("size")), "sizes")
-    return mix_sized(sizes, **how).select(*keys, *ADDED)
+    sizes = stored(keyed.select(*keys, "doc_id", "source", word_count().alias("size"), content(docs).alias("_content")), "sizes")
+    return mix_sized(sizes, tie="_content", **how).select(*keys, *ADDED)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """Rows and columns of ``docs`` with size, source_size, target and copies (0 to ``most``)."""
-    keyed, keys = row_keyed(docs.select(*named(without(docs, ADDED))), "documents")
-    return joined_back(keyed, _by_row(keyed, keys, how), keys)
+    docs = docs.select(*named(without(docs, ADDED)))
+    keyed, keys = row_keyed(docs, "documents")
+    return joined_back(keyed, _by_row(docs, keyed, keys, how), keys)
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each once for every copy."""
     keyed, keys = row_keyed(docs, "documents")
     times, again = fresh(keyed, "_times"), fresh(keyed, "_again")
-    slim = _by_row(keyed, keys, how).where("copies > 0").select(*keys, F.col("copies").cast("int").alias(times))
+    slim = _by_row(docs, keyed, keys, how).where("copies > 0").select(*keys, F.col("copies").cast("int").alias(times))
     return joined_back(keyed, slim, keys).withColumn(again, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*named(docs.columns))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    mixed = mix_sized(stored(docs.select("doc_id", "source", word_count().alias("size")), "sizes"))  # texts are read once
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    sizes = docs.select("doc_id", "source", word_count().alias("size"), content(docs).alias("tie"))
+    mixed = mix_sized(stored(sizes, "sizes"), tie="tie")  # texts are read once
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 

@@ -99,12 +99,16 @@ FROM d LEFT JOIN a USING (r)
 def _matches(order: int, pattern: str, good: str) -> str:
     """(r, kind, k, s, e, score) of the matches m that are good; score in per cent."""
     kind = pii.KINDS[order]
-    near = f"substr(t, greatest(s - {pii.NEAR}, 0) + 1, s - greatest(s - {pii.NEAR}, 0)) || chr(10) || substr(t, e + 1, {pii.NEAR})"
+    lo = f"greatest(s - {pii.NEAR + 1}, 0)"
+    near = f"""CASE WHEN s <= {pii.NEAR} THEN chr(10) ELSE '' END || substr(t, {lo} + 1, s - {lo}) || chr(10) || substr(t, e + 1, {pii.NEAR + 1})
+        || CASE WHEN e + {pii.NEAR} >= length(t) THEN chr(10) ELSE '' END"""
     alone = "true" if kind.base else "NOT regexp_matches(CASE WHEN s > 0 THEN substr(t, s, 1) ELSE '' END || substr(t, e + 1, 1), '[A-Za-z0-9]')"
-    prior, high = round(100 * kind.prior), round(100 * min(1.0, kind.prior + pii.BOOST))
+    prior, high, low = round(100 * kind.prior), round(100 * pii.raised(kind, 1)), round(100 * pii.raised(kind, -1))
+    around = f"translate({near}, '{UPPER}', '{LOWER}')"
+    against = f"WHEN regexp_matches({around}, {_text(pii.whole(kind.against))}) THEN {low}" if kind.against else ""
     kept = "" if kind.base else f" WHERE score >= {round(100 * pii.THRESHOLD)}"
     return f"""SELECT * FROM (SELECT r, '{kind.name}' AS kind, {order} AS k, s, e,
-        CASE WHEN regexp_matches(translate({near}, '{UPPER}', '{LOWER}'), '{kind.words}') THEN {high} ELSE {prior} END AS score
+        CASE WHEN regexp_matches({around}, {_text(pii.whole(kind.words))}) THEN {high} {against} ELSE {prior} END AS score
       FROM (SELECT r, t, m, CAST(upto - length(m) AS BIGINT) AS s, CAST(upto AS BIGINT) AS e FROM (SELECT r, t, m,
           sum(length(piece) + length(m)) OVER (PARTITION BY r ORDER BY j) AS upto FROM (
       SELECT r, t, ms[j] AS m, ps[j] AS piece, j

@@ -9,10 +9,11 @@ the last match ended, ``\\G``), so long runs cost linear time and no stack.
 Kinds: email, ip, card (Luhn) and phone as fixed by their patterns, which are always kept; and
 iban (mod 97, in one piece or in groups of four), ssn (parts in range), aba (weights 3, 7, 1),
 dni (letter of the remainder by 23) and imei (Luhn), which stand between characters other than
-letters and digits and are kept when their score reaches ``threshold``. A score is the kind's
-prior, raised by BOOST where one of its context words is within ``near`` code points before or
-after the span. An iban's checksum suffices; the others, whose checks a number passes by chance
-more often, need such a word.
+letters and digits and are kept when their score reaches ``threshold``. A score is the kind's prior, raised by BOOST where
+one of its context words stands whole within ``near`` code points before or after the span, and
+lowered by as much where one does that speaks against it, and none for it. An iban's checksum
+suffices; the others, whose checks a number passes by chance more often, need a word. Words are
+English, German, Spanish and French, in either case of a-z.
 
 Defined results: null text has no spans; kinds may overlap each other; repeated rows are rows of
 their own; an empty table gives an empty result; extra columns pass through ``find`` (a column
@@ -36,20 +37,23 @@ class Kind:
     prior: float
     words: str  # context words, as an alternation
     base: bool
+    against: str = ""  # words that speak against it
 
 
 #: The patterns, validators' limits and context words of each kind.
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, "mail|contact|write", True),
-    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, "ip|host|address|server", True),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9]){15,}+", "", 0.8, "card|visa|master|credit|pay", True),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|call|tel|mobile|fax", True),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", "", 0.7, "iban|bank|account|konto|cuenta|compte", False),
-    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-", 0.5, "ssn|social|security", False),
-    Kind("aba", r"[0-9]{9}", "", 0.4, "routing|aba|transit|bank", False),
-    Kind("dni", r"[0-9]{8}[A-Z]", "", 0.5, "dni|nif|identi", False),
-    Kind("imei", r"[0-9]{15}", "", 0.4, "imei|device|handset|serial", False),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, "e-?mails?|mail|contact|write|reply|kontakt|schreiben|correo|contacto|courriel|contactez", True),
+    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, "ip|ipv4|hosts?|address|server|gateway|dns|rechner|adresse|servidor|serveur|h[oô]te", True, "version|release|section|chapter|build|kapitel|cap[ií]tulo|chapitre"),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9]){15,}+", "", 0.8, "cards?|visa|mastercard|credit|debit|pay(?:ment)?|karte|kreditkarte|zahlung|tarjeta|cr[eé]dito|pago|carte|paiement", True, "tracking|serial|isbn|invoice|rechnung|factura|facture"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|telephone|call|tel|mobile|cell|fax|telefon|anrufen|handy|tel[eé]fono|m[oó]vil|llame|t[eé]l[eé]phone|appelez|portable", True),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", "", 0.7, "iban|bank|account|konto|bankverbindung|cuenta|banco|compte|banque|transfer|swift|bic", False),
+    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-", 0.5, "ssn|social|security|taxpayer", False, "isbn|order|invoice|part|phone"),
+    Kind("aba", r"[0-9]{9}", "", 0.4, "routing|aba|rtn|transit|bank|wire", False, "isbn|order|invoice|tracking|ticket|phone"),
+    Kind("dni", r"[0-9]{8}[A-Z]", "", 0.5, "dni|nif|nie|identidad|identificaci[oó]n|identity", False, "part|model|serial"),
+    Kind("imei", r"[0-9]{15}", "", 0.4, "imei|device|handset|mobile|ger[aä]t|dispositivo|t[eé]l[eé]phone|appareil", False, "order|invoice|tracking"),
 )
+#: what may stand next to a context word: anything but a letter, accented ones included
+APART = r"[^a-z\x{80}-\x{10FFFF}]"
 BOOST, NEAR, THRESHOLD = 0.3, 40, 0.6
 DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 ABA_WEIGHTS = (3, 7, 1)
@@ -123,14 +127,29 @@ def kind_spans(text: Column, kind: Kind, near: int) -> Column:
     confirmed = F.filter(placed, lambda s: valid(kind.name, s["value"]) if kind.base else stands_alone(text, s) & valid(kind.name, s["value"]))
 
     def scored(s: Column) -> Column:
-        lo = F.greatest(s["start"] - near, F.lit(0))
-        around = F.concat(F.substring(text, lo + 1, s["start"] - lo), F.lit("\n"), F.substring(text, s["end"] + 1, F.lit(near)))
-        return s.withField("score", F.when(F.translate(around, UPPER, LOWER).rlike(kind.words), F.lit(round(min(1.0, kind.prior + BOOST), 2))).otherwise(s["score"]))
+        # a code point more on each side shows whether a word ends there; the text's ends count as apart
+        lo = F.greatest(s["start"] - near - 1, F.lit(0))
+        end = F.when(s["end"] + near >= F.length(text), "\n").otherwise("")
+        around = F.concat(F.when(s["start"] <= near, "\n").otherwise(""), F.substring(text, lo + 1, s["start"] - lo), F.lit("\n"), F.substring(text, s["end"] + 1, F.lit(near + 1)), end)
+        around = F.translate(around, UPPER, LOWER)
+        score = F.when(around.rlike(whole(kind.words)), F.lit(raised(kind, 1)))
+        if kind.against:
+            score = score.when(around.rlike(whole(kind.against)), F.lit(raised(kind, -1)))
+        return s.withField("score", score.otherwise(s["score"]))
 
     maybe = F.contains(text, F.lit(kind.mark)) if kind.mark else F.lit(True)
     return F.when(maybe & text.rlike(kind.pattern), F.transform(confirmed, scored)).otherwise(none)
 
 
+def whole(words: str) -> str:
+    """A pattern of any of the words standing apart."""
+    return f"{APART}(?:{words}){APART}"
+
+
+def raised(kind: Kind, sign: int) -> float:
+    return round(min(1.0, max(0.0, kind.prior + sign * BOOST)), 2)
+
+
 def stands_alone(text: Column, s: Column) -> Column:
     """Neither a letter nor a digit is next to the span."""
     before = F.when(s["start"] > 0, F.substring(text, s["start"], F.lit(1))).otherwise("")

@@ -6,9 +6,11 @@ the map, never the hash. The map has ``slots`` rows, a constant, so the driver m
 A version has a folder of its own under ``map_path`` and never changes: a rerun that plans the
 same map uses it, one that plans another is refused.
 
-Copies of one text go to the same slot, unless they weigh more than ``hot_share`` of an even
-shard, as no shard could then hold them and be even: those rows, marked ``split``, are dealt
-out by id. At most ``shards / hot_share`` texts can be that heavy, which bounds the list of them.
+Copies of one text go to the same slot, so a group of copies is always in one shard, and shards are
+as even as whole groups allow: one that weighs more than an even shard makes its shard that heavy. Where
+evenness matters more, ``hot_share`` (0.9, say) deals out by id the copies of texts heavier than that part of
+an even shard, marked ``split``; at most ``shards / hot_share`` texts can be, which bounds the list of them.
+No task holds a heavy shard or slot: rows are numbered in cells of about ``ROWS_PER_CELL``.
 
 Defined results: a null text has no bytes and hashes by its doc_id; size is UTF-8 bytes + 1;
 repeated rows are rows of their own; an empty table gives an empty result and an empty map is
@@ -43,8 +45,10 @@ def sized(keyed: DataFrame, keys: list[str]) -> DataFrame:
     return keyed.select(F.struct(*keys).alias("row"), "doc_id", size.alias("size"), F.crc32(raw).alias("text_crc32"), text_key().alias("copy"))
 
 
-def heavy_texts(rows: DataFrame, shards: int, hot_share: float) -> list[int]:
-    """Keys of texts whose copies exceed ``hot_share`` of an even shard: shards/hot_share at most."""
+def heavy_texts(rows: DataFrame, shards: int, hot_share: float | None) -> list[int]:
+    """Keys of texts whose copies exceed ``hot_share`` of an even shard, shards/hot_share at most; none without it."""
+    if hot_share is None:
+        return []
     groups = rows.where(F.col("text_crc32").isNotNull()).groupBy("copy").agg(F.sum("size").alias("b"))
     total = rows.agg(F.sum("size")).first()[0] or 0
     bound = max(1.0, total / shards * hot_share)
@@ -137,7 +141,7 @@ def plan_shards(rows: DataFrame, shards: int, slots: int, map_path: str, previou
     return there
 
 
-def planned(slim: DataFrame, shards: int, slots: int, hot_share: float, map_path: str, previous: list[int] | None, version: int) -> DataFrame:
+def planned(slim: DataFrame, shards: int, slots: int, hot_share: float | None, map_path: str, previous: list[int] | None, version: int) -> DataFrame:
     """Rows without texts as :func:`sized` gives them, with vslot, shard, split and slot.
 
     ``slot`` is the row's place in its shard, gapless from 0: the rows of the shard's earlier
@@ -156,14 +160,14 @@ def planned(slim: DataFrame, shards: int, slots: int, hot_share: float, map_path
     return numbered.select("row", "doc_id", "size", "text_crc32", "vslot", "shard", (F.col("ahead") + F.col("own") - 1).cast("long").alias("slot"), "split")
 
 
-def shard_ids(docs: DataFrame, shards: int = 16, slots: int = SLOTS, hot_share: float = 0.9, map_path: str | None = None, previous: list[int] | None = None, version: int = 1) -> DataFrame:
+def shard_ids(docs: DataFrame, shards: int = 16, slots: int = SLOTS, hot_share: float | None = None, map_path: str | None = None, previous: list[int] | None = None, version: int = 1) -> DataFrame:
     """doc_id of every row with size, text_crc32, vslot, shard, slot and split; texts are read once."""
     keyed, keys = row_keyed(docs, "documents")
     slim = stored(sized(keyed, keys), "sizes")
     return planned(slim, shards, slots, hot_share, map_path or scratch_path(docs.sparkSession, "slot-map"), previous, version).drop("row")
 
 
-def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, hot_share: float = 0.9, map_path: str | None = None, previous: list[int] | None = None, version: int = 1) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, hot_share: float | None = None, map_path: str | None = None, previous: list[int] | None = None, version: int = 1) -> DataFrame:
     """All rows and columns of ``docs`` with size, text_crc32, vslot, shard, slot and split.
 
     Texts are read twice: for sizes and hashes, which are stored and planned from, and for the result.

@@ -160,6 +160,15 @@ def test_language_ties_go_to_the_larger_language(spark):
     assert {r.doc_id: r.lang_pred for r in langid.predict(df, {k: b"" for k in content}, ["doc_id"]).collect()} == {k: "zz" for k in range(30)} | {99: "und"}
 
 
+@pytest.mark.parametrize("ids", ["null", "7", "id % 2", "id"])
+def test_every_language_has_a_dictionary_whatever_the_ids(spark, ids):
+    """Ten languages, one of a single text a thousand times over, and ids that say nothing."""
+    df = spark.range(4000).selectExpr(f"cast({ids} AS long) AS doc_id", "concat('l', id % 10) AS lang", "if(id % 10 = 3, 'always the same', concat('tongue', substring(translate(md5(cast(id AS string)), '0123456789', 'ghijklmnop'), 1, 20), ' l', id % 10)) AS text")
+    content = langid.dictionaries(df)
+    assert sorted(content) == [f"l{k}" for k in range(10)] and content["l3"] == b"\nalways the same"
+    assert all(c.count(b"\n") in (1, 200) for c in content.values()) and {r.lang_pred for r in langid.predict(df, content, ["lang"]).where("lang = 'l3'").collect()} == {"l3"}
+
+
 def test_language_odd_tables(spark, odd_docs, empty_docs):
     content = langid.dictionaries(odd_docs)
     assert sorted(content) == ["de", "en"]

@@ -77,3 +77,15 @@ def test_odd_tables_and_cuts(spark, odd_docs, empty_docs, sf_dir):
     docs = spark.createDataFrame([(1, "pad " * 400 + item.upper() + " Ende é."), (2, item), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in D.decontaminated(docs, spark.createDataFrame([(9, item)], "item_id long, text string"), cut_length=13).collect()}
     assert got == {1: "pad " * 400 + " Ende é.", 3: None}
+
+
+def test_texts_stay_where_they_are_with_several_blocks(spark, sf_dir):
+    """The join of a plan of several blocks exchanges ids and keys only."""
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    out = D.found(docs, bench, "f", block_words=300).select("doc_id", "f")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join LeftOuter") :].split("\n")
+    below = next(line for line in join[1:] if "Project" in line)
+    assert "regexp_extract_all" in below and "text#" not in below.replace("translate(text#", "translate(")
+    want = {r.doc_id: r.f for r in D.found(docs, bench, "f").select("doc_id", "f").collect()}
+    assert {r.doc_id: r.f for r in out.collect()} == want

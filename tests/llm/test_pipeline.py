@@ -120,9 +120,9 @@ def test_sharding_odd_tables_hot_texts_and_rebalancing(spark, odd_docs, empty_do
     assert Counter(tuple(r[c] for c in cols) for r in got) == Counter(tuple(r[c] for c in cols) for r in odd_docs.collect())
     assert sharding.shard(empty_docs, 4).count() == 0
     hot = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, repeat('hot ', 50), concat('doc ', id, repeat(' x', 90))) as text", "'en' as lang", "'a' as source", "id % 7 as kept")
-    rows = sharding.shard(hot, 8).select(*cols, "size", "text_crc32", "vslot", "shard", "slot").collect()
+    rows = sharding.shard(hot, 8, hot_share=0.9).select(*cols, "size", "text_crc32", "vslot", "shard", "slot").collect()
     check_sharded([tuple(r) for r in hot.select(*cols).collect()], rows, 8)
-    ids = sharding.shard_ids(hot, 8)
+    ids = sharding.shard_ids(hot, 8, hot_share=0.9)
     assert "text" not in ids.columns and {(r.doc_id, r.size, r.text_crc32, r.vslot, r.shard, r.slot) for r in ids.collect()} == {(r.doc_id, r.size, r.text_crc32, r.vslot, r.shard, r.slot) for r in rows}
     assert sharding.shard_ids(empty_docs, 4).count() == 0 and sharding.shard_ids(odd_docs, 4).count() == odd_docs.count()
 
@@ -182,7 +182,15 @@ def test_the_map_is_written_once(spark, tmp_path):
 
 def test_copies_share_a_shard_unless_they_are_marked(spark):
     docs = spark.range(4000).selectExpr("id as doc_id", "if(id % 3 = 0, repeat('hot ', 40), concat('doc ', id % 500, repeat(' y', 60))) as text")
-    rows = sharding.shard(docs, 8).collect()
+    whole = sharding.shard(docs, 8).collect()
+    homes: dict = {}
+    for r in whole:
+        homes.setdefault(r.text, set()).add(r.shard)
+    assert not any(r.split for r in whole) and all(len(v) == 1 for v in homes.values())
+    for k in range(8):
+        assert sorted(r.slot for r in whole if r.shard == k) == list(range(sum(r.shard == k for r in whole)))
+    assert {(r.doc_id, r.shard) for r in whole} == independent_plan([(r.doc_id, r.text) for r in whole], {(r.text, r.doc_id): r.vslot for r in whole}, 8)
+    rows = sharding.shard(docs, 8, hot_share=0.9).collect()
     by = {}
     for r in rows:
         by.setdefault((r.text, r.split), set()).add((r.shard, r.vslot))
@@ -202,3 +210,29 @@ def independent_plan(rows, vslot, shards):
         s = min(range(shards), key=lambda k: (load[k], held[k], k))
         load[s], held[s], home[slot] = load[s] + weight[slot], held[s] + 1, s
     return {(i, home[vslot[t, i]]) for i, t in rows}
+
+
+def test_mixing_does_not_depend_on_the_layout(spark, tmp_path):
+    rows = [(None if k % 2 else 7, f"w{k} x y", ["a", "b", None][k % 3], {"k": k}) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra map<string,int>")
+    outs = []
+    for n in (1, 7):
+        df.repartition(n, "text").write.parquet(f"file://{tmp_path}/{n}")
+        outs.append(sorted(map(str, mixing.repeated(spark.read.parquet(f"file://{tmp_path}/{n}")).select("doc_id", "text", "source").collect())))
+    assert outs[0] == outs[1] and 600 < len(outs[0]) < 1800
+
+
+def test_scopes_of_temporary_tables(spark, tmp_path):
+    from bandloom.llm.shared import path_exists, stored, temporary
+
+    with pytest.raises(ZeroDivisionError), temporary(spark):
+        with temporary(spark):
+            pass  # an empty scope inside another
+        a = stored(spark.range(3), "a")
+        with pytest.raises(KeyError), temporary(spark):
+            raise KeyError("before anything is stored")
+        with temporary(spark) as keep:
+            b, c = keep(stored(spark.range(4), "b")), stored(spark.range(5), "c")
+        assert b.count() == 4 and not path_exists(spark, c.stored_at)
+        1 / 0
+    assert not path_exists(spark, a.stored_at) and not path_exists(spark, b.stored_at)

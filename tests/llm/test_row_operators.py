@@ -66,23 +66,46 @@ def extra_brute(t):
         return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
     kinds = (
-        ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", iban, 70, "iban bank account konto cuenta compte"),
-        ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", lambda v: v[:3] not in ("000", "666") and v[0] != "9" and v[4:6] != "00" and v[7:] != "0000", 50, "ssn social security"),
-        ("aba", r"[0-9]{9}", lambda v: int(v) > 0 and sum(d * (3, 7, 1)[k % 3] for k, d in enumerate(digits(v))) % 10 == 0, 40, "routing aba transit bank"),
-        ("dni", r"[0-9]{8}[A-Z]", lambda v: "TRWAGMYFPDXBNJZSQVHLCKE"[int(v[:8]) % 23] == v[8], 50, "dni nif identi"),
-        ("imei", r"[0-9]{15}", luhn, 40, "imei device handset serial"),
+        ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", iban, 70, "iban bank account konto bankverbindung cuenta banco compte banque transfer swift bic"),
+        ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", lambda v: v[:3] not in ("000", "666") and v[0] != "9" and v[4:6] != "00" and v[7:] != "0000", 50, "ssn social security taxpayer"),
+        ("aba", r"[0-9]{9}", lambda v: int(v) > 0 and sum(d * (3, 7, 1)[k % 3] for k, d in enumerate(digits(v))) % 10 == 0, 40, "routing aba rtn transit bank wire"),
+        ("dni", r"[0-9]{8}[A-Z]", lambda v: "TRWAGMYFPDXBNJZSQVHLCKE"[int(v[:8]) % 23] == v[8], 50, "dni nif nie identidad identificacion identificación identity"),
+        ("imei", r"[0-9]{15}", luhn, 40, "imei device handset mobile gerat gerät dispositivo telephone téléphone appareil"),
     )
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     out = []
     for kind, pattern, good, prior, words in kinds:
         for m in re.finditer(pattern, t):
             a, b = m.span()
             if not re.search("[A-Za-z0-9]", t[max(a - 1, 0) : a] + t[b : b + 1]) and good(m[0]):
-                around = t[max(a - 40, 0) : a] + "\n" + t[b : b + 40]
-                score = prior + 30 * any(w in around.lower() for w in words.split())
+                rest = (t[:a] + "\n" + t[b:]).translate(lower)
+                near = [w for w in re.finditer(r"[a-z\x80-\U0010ffff]+", rest) if w[0] in words.split() and w.start() >= a - 40 and w.end() <= a + 1 + 40]
+                score = prior + 30 * bool(near)
                 out += [(kind, a, b, score)] if score >= 60 else []
     return out
 
 
+SENTENCES = [
+    ("aba", "Please wire it, our routing number is 021000021."), ("aba", "ABA 021000021 at the bank"), ("dni", "Su DNI: 12345678Z, gracias"), ("dni", "tarjeta de identidad 12345678Z"), ("imei", "the handset 490154203237518 was lost"),
+    ("imei", "Gerät 490154203237518 gesperrt"), ("ssn", "Social security 078-05-1120"), ("ssn", "SSN=078-05-1120"), ("iban", "Bankverbindung DE89 3704 0044 0532 0130 00"), ("iban", "compte GB82WEST12345698765432"), ("imei", "l'appareil 490154203237518 est neuf"),
+    (None, "after midnight 12345678Z came up"), (None, "database 021000021 rows"), (None, "on the embankment at 021000021"), (None, "invoice 021000021 for part 12345678Z"), (None, "antisocial 078-05-1120"), (None, "order 490154203237518"),
+    (None, "devices 490154203237518"), (None, "routings 021000021"), (None, "éaba 021000021"), (None, "bank routing 021000022"), (None, "DNI 12345678A"), (None, "iban GB82WEST12345698765433"),
+]
+
+
+def test_pii_precision_and_recall_of_labelled_sentences(spark):
+    df = spark.createDataFrame([(k, s) for k, (_, s) in enumerate(SENTENCES)], "doc_id long, text string")
+    found = {r.doc_id: [s["kind"] for s in r.pii if s["kind"] in ("aba", "dni", "imei", "ssn", "iban")] for r in pii.find(df).collect()}
+    assert {SENTENCES[k][1]: v for k, v in found.items()} == {s: [kind] if kind else [] for kind, s in SENTENCES}
+
+
+def test_pii_words_against_a_kind_lower_its_score(spark):
+    card = "4111 1111 1111 1111"
+    df = spark.createDataFrame([(1, f"tracking {card}"), (2, f"visa {card}"), (3, card), (4, f"visa card, invoice {card}"), (5, f"backtracking {card}"), (6, "version 1.2.3.4"), (7, "the server at 1.2.3.4")], "doc_id long, text string")
+    got = {r.doc_id: round(100 * r.pii[0]["score"]) for r in pii.find(df).collect()}
+    assert got == {1: 50, 2: 100, 3: 80, 4: 100, 5: 80, 6: 30, 7: 90}
+
+
 def test_pii_context_decides(spark):
     rng = random.Random(11)
     parts = ["GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765433", "ES91 2100 0418 4502 0005 1332", "078-05-1120", "666-05-1120", "078-05-11201", "021000021", "021000022", "12345678Z", "12345678A", "490154203237518",
