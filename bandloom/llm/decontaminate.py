@@ -246,7 +246,7 @@ def found(docs: DataFrame, benchmark: DataFrame, name: str, window: int = WINDOW
     keyed, keys = row_keyed(docs, "documents")
     hits = []
     for k in range(blocks):
-        one = keyed.select(*keys, search(spark, block(k), window).alias("f")).where(F.size("f.spans") > 0)
+        one = keyed.select(*keys, search(spark, block(k), window).alias("f")).where(F.col("f.longest") > 0)
         hits.append(stored(one, "hits"))
     every = reduce(DataFrame.union, hits).groupBy(*keys)
     merged = every.agg(joined_spans(F.flatten(F.collect_list("f.spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("f.texts")))).alias("texts"), F.max("f.longest").alias("longest"))
