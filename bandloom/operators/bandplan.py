@@ -86,11 +86,20 @@ def channel_key(freqs: DataFrame, plan: DataFrame) -> DataFrame:
     return each.select("freq_hz", F.when(F.col("kind") == "channel", F.col("freq_center_hz")).otherwise(bin_of(F.col("freq_hz"))).alias("key"))
 
 
+def duplicate_centers(centers: DataFrame) -> DataFrame:
+    """(service, center, n): centers that a service has more than once, and that have no window for that reason."""
+    return centers.groupBy("service", "center").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def nominal_windows(centers: DataFrame) -> DataFrame:
-    """(service, center, bandwidth) with lo and hi: half the bandwidth or half the way to the nearest neighbour, hi a Hz short."""
+    """(service, center, bandwidth) with lo and hi: half the bandwidth or half the way to the nearest neighbour, hi a Hz short.
+
+    A service that has a center twice is refused when the rows are worked out.
+    """
     by = Window.partitionBy("service").orderBy("center")
     gap = F.least(F.col("center") - F.lag("center").over(by), F.lead("center").over(by) - F.col("center"))
-    half = F.least(F.expr("bandwidth div 2"), F.coalesce(F.expr("_gap div 2"), F.expr("bandwidth div 2")))
+    twice = F.raise_error(F.concat("service", F.lit(" has a center twice: "), F.col("center").cast("string"))).cast("long")
+    half = F.when(F.col("_gap") == 0, twice).otherwise(F.least(F.expr("bandwidth div 2"), F.coalesce(F.expr("_gap div 2"), F.expr("bandwidth div 2"))))
     return centers.withColumn("_gap", gap).withColumn("_half", half).select("service", "center", "bandwidth", (F.col("center") - F.col("_half")).alias("lo"), (F.col("center") + F.col("_half") - 1).alias("hi"))
 
 

@@ -195,5 +195,14 @@ def with_pair_ids(channels: DataFrame, pairs: DataFrame) -> DataFrame:
     return channels.join(least, "freq_hz", "left")
 
 
+def pair_rows(channels: DataFrame, pairs: DataFrame, at: float | None = None) -> DataFrame:
+    """Rows of the table of pairs: channels (id, freq_hz) named by id, the offset between them, the lag in seconds."""
+    numbered = pairs.withColumn("id", F.row_number().over(Window.orderBy("output_hz", "input_hz")).cast("long"))  # pairs are fewer than channels
+    named = [channels.select(F.col("freq_hz").alias(f"{side}_hz"), F.col("id").alias(f"{side}_channel_id")) for side in ("output", "input")]
+    rows = numbered.join(named[0], "output_hz").join(named[1], "input_hz").withColumn("offset_hz", F.col("input_hz") - F.col("output_hz"))
+    rows = rows.select("id", "output_channel_id", "input_channel_id", "offset_hz", "evidence_count", (F.col("median_lag_us") / 1e6).alias("median_lag_s"), "confidence")
+    return stamped(rows, "inferred_at", at)
+
+
 def all_of(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

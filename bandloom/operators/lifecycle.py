@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import dsp
 from . import mutations
 
@@ -48,23 +49,50 @@ def folded(*steps: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
     return mutations.latest(log, key, order, [c for c in log.columns if c not in (key, order)])
 
 
-def _now(at: float | None) -> Column:
+def _now(at: float | Column | None) -> Column:
+    if isinstance(at, Column):
+        return at
     return F.unix_micros(F.current_timestamp()) / F.lit(1e6) if at is None else F.lit(float(at))
 
 
-def run_started(runs: DataFrame, at: float | None = None) -> DataFrame:
+def run_started(runs: DataFrame, at: float | Column | None = None) -> DataFrame:
     """Runs (id, host, git_commit, profile_name, profile_yaml, notes) that begin; the profile is kept word for word."""
     return runs.withColumn("seq", F.lit(START)).withColumn("started_at", _now(at))
 
 
-def run_ended(ids: DataFrame, at: float | None = None) -> DataFrame:
+def run_ended(ids: DataFrame, at: float | Column | None = None) -> DataFrame:
     return ids.select("id", F.lit(CLOSED).alias("seq"), _now(at).alias("ended_at"))
 
 
-def window_opened(windows: DataFrame, at: float | None = None) -> DataFrame:
+def window_opened(windows: DataFrame, at: float | Column | None = None) -> DataFrame:
     """Windows (id, run_id, receiver_id, center_hz, sample_rate_hz, label) that a receiver begins to listen to."""
     return windows.withColumn("seq", F.lit(START)).withColumn("t_start", _now(at))
 
 
-def window_closed(ids: DataFrame, at: float | None = None) -> DataFrame:
+def window_closed(ids: DataFrame, at: float | Column | None = None) -> DataFrame:
     return ids.select("id", F.lit(CLOSED).alias("seq"), _now(at).alias("t_end"))
+
+
+#: what a run knows of a receiver: its identity, how it was set, and where it was tuned to first
+RECEIVER = ("id", "run_id", "receiver_id", "serial", "center_hz", "sample_rate_hz", "gain_db")
+
+
+def registered(receivers: DataFrame) -> DataFrame:
+    """Receivers as a run has configured them, a row for each; a column that the table doesn't have is refused, one that is missing is null.
+
+    The serial number is the identity, so it may not be null; the order in which radios are found changes.
+    """
+    if extra := set(receivers.columns) - set(RECEIVER):
+        raise ValueError(f"unknown columns: {', '.join(sorted(extra))}")
+    kinds = dict(c.split()[:2] for c in schemas.TABLES["run_receivers"].replace(" not null", "").split(", "))
+    out = receivers.select(*[(F.col(c) if c in receivers.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in RECEIVER])
+    known = F.when(F.col("serial").isNull(), F.raise_error(F.concat(F.lit("no serial of receiver "), F.coalesce("receiver_id", F.lit("?"))))).otherwise(F.col("serial"))
+    return out.withColumn("serial", known.cast("string"))
+
+
+def standing(runs: DataFrame, windows: DataFrame, receivers: DataFrame) -> DataFrame:
+    """Each run's present state: times, receivers, windows, those still open, and seconds listened (an open window has none yet)."""
+    heard = windows.groupBy(F.col("run_id").alias("id")).agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("t_end").isNull()).alias("open"), F.coalesce(F.sum(F.col("t_end") - F.col("t_start")), F.lit(0.0)).alias("listened_s"))
+    set_up = receivers.groupBy(F.col("run_id").alias("id")).agg(F.count(F.lit(1)).alias("receivers"))
+    out = runs.join(heard, "id", "left").join(set_up, "id", "left")
+    return out.select("id", "started_at", "ended_at", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("receivers", "windows", "open")], F.coalesce("listened_s", F.lit(0.0)).alias("listened_s"))

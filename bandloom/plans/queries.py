@@ -14,7 +14,7 @@ from ..operators.ordered import medians
 from ..session import stored
 from ..sources import bridge, seed, stations
 from ..sources.bridge import PLAN_SQL, SIG_SQL, WINDOWS_SQL, plan, sig, table, windows
-from ..streaming import detector, receiver
+from ..streaming import detector, excerpt, receiver
 
 LICENCES = ("gmrs",)
 LAG_US = 14_400_000_000  # the driver's events are hours apart
@@ -661,3 +661,42 @@ def overload_stream(spark, d):
     rows = seq(spark, d).selectExpr("cast(user_id AS string) AS receiver_id", "0L AS window_id", "event_id AS frame_no", "t_us AS frame_start", "timestamp_micros(t_us) AS at", "array(value) AS power_db", "value AS wideband_db", "if(event_id % 50 = 0, 0.001D, 0D) AS clip_frac")
     out = detector.shuffled(rows, lambda s: receiver.in_order(s, "2 days"), 4, 172_800)
     return out.select(F.col("frame_no").alias("event_id"), F.round("baseline", 6).alias("baseline"), "overload")
+
+
+@query("""SELECT p_brand AS service, CAST(floor(p_retailprice) AS BIGINT) * 1000 AS center, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1""")
+def duplicate_centers(spark, d):
+    """What ``plan_windows`` would refuse if it took parts as they are."""
+    return bandplan.duplicate_centers(table(spark, d, "part").select(F.col("p_brand").alias("service"), (F.floor("p_retailprice").cast("long") * 1000).alias("center")))
+
+
+@query(f"""WITH {PAIR_SQL}, c AS (SELECT freq_hz, row_number() OVER (ORDER BY freq_hz) AS id FROM ch)
+  SELECT row_number() OVER (ORDER BY output_hz, input_hz) AS id, o.id AS output_channel_id, i.id AS input_channel_id, input_hz - output_hz AS offset_hz, evidence_count,
+    median_lag_us / 1e6::DOUBLE AS median_lag_s, round_even(share, 3) AS confidence, 1.5e9::DOUBLE AS inferred_at
+  FROM pv JOIN c o ON o.freq_hz = output_hz JOIN c i ON i.freq_hz = input_hz WHERE evidence_count >= 3 AND share >= {SHARE}""")
+def pair_rows(spark, d):
+    channels, pairs = with_pairs(spark, d)
+    return enrich.pair_rows(enrich.with_ids(channels), pairs, 1.5e9)
+
+
+@query(f"""WITH {SIG_SQL}, {WINDOWS_SQL}, r AS (SELECT run_id, count(DISTINCT receiver_id) AS receivers, count(*) AS windows, count(*) FILTER (WHERE t_end_us IS NULL) AS open,
+    coalesce(sum(t_end_us - t_start_us), 0) AS us, min(t_start_us) AS a, max(t_end_us) AS b FROM win GROUP BY run_id)
+  SELECT run_id AS id, a / 1e6::DOUBLE AS started_at, CASE WHEN run_id % 2 = 0 THEN b / 1e6::DOUBLE END AS ended_at, receivers, windows, open, round(us / 1e6::DOUBLE, 3) AS listened_s FROM r""")
+def run_lifecycle(spark, d):
+    """Runs, their receivers and windows begun and ended as rows of logs, folded; odd runs have not ended."""
+    w = windows(spark, d)
+    runs = w.groupBy(F.col("run_id").alias("id")).agg(F.min("t_start_us").alias("a"), F.max("t_end_us").alias("b"))
+    steps = [lifecycle.run_started(runs.select("id", "a"), F.col("a") / 1e6).drop("a"), lifecycle.run_ended(runs.where("id % 2 = 0"), F.col("b") / 1e6)]
+    opened = lifecycle.window_opened(w.select("id", "run_id", "receiver_id", "center_hz", "label", "t_start_us"), F.col("t_start_us") / 1e6).drop("t_start_us")
+    listened = lifecycle.folded(opened, lifecycle.window_closed(w.where("t_end_us IS NOT NULL"), F.col("t_end_us") / 1e6))
+    receivers = lifecycle.registered(w.groupBy("run_id", "receiver_id").agg(F.min_by("center_hz", "t_start_us").alias("center_hz")).withColumn("serial", F.concat(F.lit("serial of "), "receiver_id")))
+    return lifecycle.standing(lifecycle.folded(*steps), listened, receivers).withColumn("listened_s", F.round("listened_s", 3))
+
+
+@query()
+def excerpt_stream(spark, d):
+    """What the measured frames held around each event, cut while they stream; a frame's samples are its channels' levels."""
+    frames = stations.frames(spark, d).select("receiver_id", "window_id", "frame_start", "power_db", F.lit(0).alias("overload"), F.col("power_db").cast("array<float>").alias("i"), F.transform("power_db", lambda x: F.lit(0.0).cast("float")).alias("q"))
+    frames = frames.withColumn("frame_start", F.col("frame_start") % stations.DAY_US / stations.FRAME_US * stations.CHANNELS).withColumn("frame_start", F.col("frame_start").cast("long"))
+    out = detector.drained(frames, [frames], lambda s: excerpt.excerpted(s, stations.FRAME_S, stations.CHANNELS), "excerpts")
+    mean = F.aggregate("i", F.lit(0.0), lambda a, x: a + x) / F.size("i")
+    return out.select("receiver_id", "window_id", "channel", "start", "end", "first", "length", F.size("i").alias("samples"), F.round(mean, 3).alias("mean_db"))

@@ -85,6 +85,16 @@ def _tone_state(df: DataFrame) -> DataFrame:
     return df if "tone_state" in df.columns else df.withColumn("tone_state", known)
 
 
+#: table -> the version that brought it; the others were there from the first
+SINCE = {"coverage_windows": 7}
+#: view -> the version that brought it
+VIEWS = {"v_contactable": 4, "v_events": 4, "v_activity": 5, "v_coverage": 7}
+
+
+def tables_at(version: int) -> dict[str, str]:
+    return {name: spec for name, spec in TABLES.items() if SINCE.get(name, 0) <= version}
+
+
 #: version -> table -> how its rows get there from the version before
 MIGRATIONS = {
     3: {"events": _tone_state, "channels": _tone_state},

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import mutations
+from ..operators import mutations, views
 
 META = "schema_meta"
 MANIFESTS = "_manifests"
@@ -102,7 +102,7 @@ def ensure(spark: SparkSession, path: str, to: int = schemas.VERSION) -> int:
     if at is not None and at > to:
         raise ValueError(f"{path} is at version {at}; {to} is older")
     known, changed = {}, {}
-    for name, spec in schemas.TABLES.items():
+    for name, spec in schemas.tables_at(to).items():
         if name == META:
             continue
         where = folder(spark, path, name)
@@ -120,3 +120,39 @@ def ensure(spark: SparkSession, path: str, to: int = schemas.VERSION) -> int:
         meta = spark.range(1).select(F.lit("version").alias("key"), F.lit(str(to)).alias("value"))
         committed(spark, path, changed | {META: meta}, to)
     return at or to
+
+
+def _timed(df: DataFrame, **columns: str) -> DataFrame:
+    """Seconds since 1970 as microseconds, under the names that the views use."""
+    return df.withColumns({new: F.round(F.col(old) * 1_000_000).cast("long") for new, old in columns.items()})
+
+
+def views_of(tables: dict[str, DataFrame], at: int) -> dict[str, DataFrame]:
+    """The views that version ``at`` has, over its tables."""
+    events, channels, plan = _timed(tables["events"], t_us="t_start").withColumn("key", F.col("channel_id")), tables["channels"].withColumn("key", F.col("id")), tables["band_plan"]
+    made = {"v_events": lambda: views.events_view(events, channels, plan), "v_activity": lambda: views.activity(events)}
+
+    def contactable() -> DataFrame:
+        first = tables["pairs"].groupBy(F.col("output_channel_id").alias("id")).agg(F.min_by("input_channel_id", "id").alias("input_id"))
+        to = tables["channels"].select(F.col("id").alias("input_id"), F.col("freq_hz").alias("input_hz"))
+        return views.contactable(tables["channels"].join(first, "id", "left").join(to, "input_id", "left"))
+
+    def coverage() -> DataFrame:
+        w = _timed(tables["coverage_windows"], t_start_us="t_start", t_end_us="t_end")
+        if at >= 8:
+            return views.coverage(w, events)
+        n = views.coverage_by_time(w, events)  # events had no window yet
+        each = w.join(n, "id").withColumn("listened_us", F.coalesce("t_end_us", "t_start_us") - F.col("t_start_us"))
+        return each.groupBy("run_id", "receiver_id", "center_hz").agg(F.count(F.lit(1)).alias("windows"), F.sum("listened_us").alias("listened_us"), F.sum("events").alias("events"))
+
+    made |= {"v_contactable": contactable, "v_coverage": coverage}
+    return {name: made[name]() for name, since in schemas.VIEWS.items() if since <= at}
+
+
+def register_views(spark: SparkSession, path: str) -> list[str]:
+    """Makes the folder's views known to SQL, as its version has them; returns their names."""
+    at = version(spark, path)
+    found = views_of({name: table(spark, path, name) for name in schemas.tables_at(at) if name != META}, at)
+    for name, df in found.items():
+        df.createOrReplaceTempView(name)
+    return sorted(found)

@@ -214,7 +214,7 @@ def rocksdb(spark: SparkSession):
         spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
 
 
-def _drained(frames: DataFrame, slices: list[DataFrame], job: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def drained(frames: DataFrame, slices: list[DataFrame], job: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """What ``job`` makes of a stream of ``slices``, each a micro-batch, to their end."""
     spark = frames.sparkSession
     path = scratch(spark, name)
@@ -230,7 +230,7 @@ def _drained(frames: DataFrame, slices: list[DataFrame], job: Callable[[DataFram
 
 def replayed(frames: DataFrame, frame_s: float) -> DataFrame:
     """Events that :func:`detect_stream` finds in a table of frames, streamed from its files to their end."""
-    return _drained(frames, [frames], lambda s: detect_stream(s, frame_s), "frames")
+    return drained(frames, [frames], lambda s: detect_stream(s, frame_s), "frames")
 
 
 def shuffled(frames: DataFrame, job: Callable[[DataFrame], DataFrame], batches: int, lateness_s: float) -> DataFrame:
@@ -245,4 +245,4 @@ def shuffled(frames: DataFrame, job: Callable[[DataFrame], DataFrame], batches:
     step = max(1, -(-(hi + half - lo) // batches))
     slices = [frames.where(F.floor((moved - lo) / step) == k).coalesce(1) for k in range(batches)]
     last = frames.limit(1).withColumns({"receiver_id": F.lit(None).cast("string"), "at": F.timestamp_micros(F.lit(hi + 4 * half + 2_000_000))})
-    return _drained(frames, [*slices, last], job, "shuffled")
+    return drained(frames, [*slices, last], job, "shuffled")

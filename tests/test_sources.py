@@ -5,6 +5,7 @@ import wave
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bandloom import schemas
 from bandloom.operators import bandplan, capture, lifecycle, mutations
@@ -161,3 +162,47 @@ def test_old_names_and_notes(spark):
     assert notes["GMRS 16"] == "50 W, repeater output; legacy White Dot — preprogrammed on cheap radios" and notes["GMRS 15"] == "50 W, repeater output"
     assert notes["MURS 570"] == "20 kHz bandwidth; legacy Blue Dot, moved from Part 90 in 2002" and notes["MURS 820"] == "11.25 kHz bandwidth"
     assert notes["2 m FM repeater outputs"] == "600 kHz standard offset" and notes["APRS (North America)"] == "packet, not voice" and notes["2 m simplex"] is None
+
+
+def test_receivers_are_registered_by_serial(spark):
+    rows = spark.createDataFrame([(1, "uhf", "A1", 466_000_000), (1, "vhf", "B2", None)], "run_id long, receiver_id string, serial string, center_hz long")
+    got = {r.receiver_id: r for r in lifecycle.registered(rows).collect()}
+    assert (got["uhf"].serial, got["uhf"].center_hz, got["vhf"].center_hz, got["uhf"].gain_db) == ("A1", 466_000_000, None, None)
+    with pytest.raises(ValueError, match="usb_index"):
+        lifecycle.registered(rows.withColumn("usb_index", F.lit(0)))
+    with pytest.raises(Exception, match="no serial of receiver vhf"):
+        lifecycle.registered(rows.withColumn("serial", F.when(F.col("receiver_id") == "uhf", F.col("serial")))).collect()
+
+
+def test_a_center_twice_is_refused(spark):
+    rows = spark.createDataFrame([("frs", 1000, 100), ("frs", 1000, 100), ("frs", 2000, 100), ("gmrs", 1000, 100)], "service string, center long, bandwidth long")
+    assert [tuple(r) for r in bandplan.duplicate_centers(rows).collect()] == [("frs", 1000, 2)]
+    with pytest.raises(Exception, match="frs has a center twice: 1000"):
+        bandplan.nominal_windows(rows).collect()
+    assert bandplan.nominal_windows(rows.dropDuplicates()).count() == 3
+
+
+def test_views_and_tables_of_each_version(spark, tmp_path):
+    at = f"file://{tmp_path}/w"
+    warehouse.ensure(spark, at, 6)
+    assert "coverage_windows" not in warehouse.manifest(spark, at)["tables"] and warehouse.register_views(spark, at) == ["v_activity", "v_contactable", "v_events"]
+    warehouse.ensure(spark, at, 7)
+    new = {
+        "runs": spark.createDataFrame([(1, 0.0)], "id long, started_at double"),
+        "coverage_windows": spark.createDataFrame([(5, 1, "uhf", 466_000_000, "a", 0.0, 100.0), (6, 1, "uhf", 467_000_000, None, 100.0, None)], "id long, run_id long, receiver_id string, center_hz long, label string, t_start double, t_end double"),
+        "channels": spark.createDataFrame([(1, 462_675_000, "gmrs", "GMRS 20", 4, "ctcss", 141.3), (2, 467_675_000, "gmrs", "input", 0, "none", None)], "id long, freq_hz long, service string, label string, tier int, tone_state string, ctcss_hz double")
+        .withColumns({"dcs_code": F.lit(None).cast("int"), "dcs_polarity": F.lit(None).cast("string"), "total_airtime_s": F.lit(2.5), "event_count": F.lit(2).cast("long")}),
+        "pairs": spark.createDataFrame([(1, 1, 2, 5_000_000)], "id long, output_channel_id long, input_channel_id long, offset_hz long"),
+        "events": spark.createDataFrame([(1, 1, "uhf", 10.0, 462_675_000, 2.5, 1), (2, 1, "uhf", 120.0, 462_675_000, None, 1), (3, 1, "vhf", 10.0, 462_675_000, 1.0, None)], "id long, run_id long, receiver_id string, t_start double, freq_hz long, duration_s double, channel_id long")
+        .withColumns({c: F.lit(None).cast(t) for c, t in (("ctcss_hz", "double"), ("dcs_code", "int"), ("dcs_polarity", "string"), ("tone_state", "string"), ("snr_db", "double"), ("deviation_hz", "double"), ("band_plan_id", "long"))}).withColumn("overload", F.lit(0)),
+    }
+    warehouse.committed(spark, at, new)
+    assert warehouse.register_views(spark, at) == sorted(schemas.VIEWS)
+    assert [(r.at, r.state, r.label) for r in spark.sql("SELECT * FROM v_events WHERE id < 3 ORDER BY id").collect()] == [("1970-01-01 00:00:10", "closed", "GMRS 20"), ("1970-01-01 00:02:00", "open", "GMRS 20")]
+    assert spark.sql("SELECT hits, airtime_s FROM v_activity").first() == (3, 3.5)
+    assert [(r.freq_hz, r.input_hz, r.tone) for r in spark.sql("SELECT * FROM v_contactable").collect()] == [(462_675_000, 467_675_000, "CTCSS 141.3"), (467_675_000, None, "no tone")]
+    by_time = {(r.center_hz, r.windows, r.listened_us, r.events) for r in spark.sql("SELECT * FROM v_coverage").collect()}
+    assert by_time == {(466_000_000, 1, 100_000_000, 1), (467_000_000, 1, 0, 1)}
+    assert warehouse.ensure(spark, at) == 7  # events get window_id, which is null: nothing was heard in a known window
+    warehouse.register_views(spark, at)
+    assert {(r.center_hz, r.label, r.events) for r in spark.sql("SELECT * FROM v_coverage").collect()} == {(466_000_000, "a", 0), (467_000_000, "467.000 MHz", 0)}

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bandloom.operators import detect
-from bandloom.streaming import detector, receiver, watch
+from bandloom.operators import detect, excerpts
+from bandloom.plans.queries import QUERIES
+from bandloom.streaming import detector, excerpt, receiver, watch
 
 FRAMES = "receiver_id string, window_id long, frame_no long, frame_start long, at timestamp, power_db array<double>, wideband_db double, clip_frac double"
 
@@ -124,3 +125,31 @@ def test_a_dry_source_stops_the_query_and_its_state_goes_on(spark, rotation, tmp
         spark.conf.unset("spark.sql.streaming.noDataProgressEventInterval")
     now = detector.standing(spark.read.schema(detector.LOG).parquet(f"{tmp_path}/out")).collect()
     assert [(r.channel, r.start, r.end, r.closed) for r in now] == [(1, 60_000, 90_000, True)]
+
+
+def test_excerpts_of_a_stream_equal_those_of_the_table(spark):
+    """Long, short, and open events; each once, with samples from before its start; none that is too short; nulls once they are gone."""
+    n, frame_s = 10, 0.1
+    times = {"dwell_s": 2.0, "pre_s": 1.0, "least_s": 1.2, "hang_s": 0.3}
+    on = {0: range(60, 75), 1: range(62, 66), 2: range(100, 160), 3: range(190, 200), 4: [*range(40, 50), *range(120, 130)]}
+    rows = []
+    for k in range(200):
+        power = [-90.0 + (30.0 if k in on[c] else 0.0) + 0.01 * (k % 3) for c in range(5) for _ in (0, 1)]
+        rows.append(("uhf", 0, k, k * n, power, 0, [float(k * n + j) for j in range(n)], [0.5] * n))
+    frames = spark.createDataFrame(rows, "receiver_id string, window_id long, frame_no long, frame_start long, power_db array<double>, overload int, i array<float>, q array<float>")
+    log = detector.standing(detector.detect(frames, frame_s, log=True)).withColumn("written", F.lit(200 * n)).withColumn("id", F.struct("channel", "start"))
+    wanted = excerpts.ranges(log, n / frame_s, **times).select("id", "receiver_id", "window_id", "first", "length")
+    want = sorted((tuple(r.id), r.first, r.length, tuple(r.i)) for r in excerpts.fetched(wanted, frames, n).where("length is not null").collect())
+    parts = [frames.where(f"frame_no between {a} and {b}").coalesce(1) for a, b in ((0, 63), (64, 109), (110, 199))]
+    out = detector.drained(frames, parts, lambda s: excerpt.excerpted(s, frame_s, n, **times), "excerpts").collect()
+    assert sorted(((r.channel, r.start), r.first, r.length, tuple(r.i)) for r in out) == want and len(want) >= 4
+    assert len({(r.channel, r.start) for r in out}) == len(out) and min(r.length for r in out) < max(r.length for r in out) == 300
+    short = detector.drained(frames.where("frame_no <> 55"), [frames.where("frame_no <> 55")], lambda s: excerpt.excerpted(s, frame_s, n, **times), "excerpts").collect()
+    lost = {(r.channel, r.start) for r in short if r.i is None}
+    assert lost and lost == {(r.channel, r.start) for r in out if r.first // n <= 55 <= (r.first + r.length - 1) // n}
+
+
+def test_query_of_excerpts_equals_the_table(spark, sf_dir):
+    got = QUERIES["excerpt_stream"](spark, sf_dir).collect()
+    assert got and len({(r.receiver_id, r.window_id, r.channel, r.start) for r in got}) == len(got)
+    assert all(r.samples == r.length and r.mean_db > -90.0 for r in got)
