@@ -1,4 +1,4 @@
-"""Every query runs, and where it has SQL its rows equal DuckDB's on the smallest tables."""
+"""Every query runs and leaves nothing behind, and where it has SQL its rows equal DuckDB's on the smallest tables."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import duckdb
 import pytest
 
 from bandloom.plans.queries import ORACLES, QUERIES
+from bandloom.session import scratch_dir, temporary
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -33,11 +34,19 @@ def plain(v):
     return v
 
 
+def scratch_tables(spark) -> set[str]:
+    at = scratch_dir(spark).removeprefix("file://") + "/bandloom"
+    return set(os.listdir(at)) if os.path.isdir(at) else set()
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, duck, name):
-    df = QUERIES[name](spark, sf_dir)
-    columns = sorted(df.columns)
-    got = Counter(tuple(plain(r[c]) for c in columns) for r in df.collect())
+    before = scratch_tables(spark)
+    with temporary(spark):
+        df = QUERIES[name](spark, sf_dir)
+        columns = sorted(df.columns)
+        got = Counter(tuple(plain(r[c]) for c in columns) for r in df.collect())
+    assert scratch_tables(spark) == before
     if name not in ORACLES:
         assert got
         return
