@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,28 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
+from ..session import owned, remove_path, scratch_dir, temporary
+from ..session import scratch as scratch_path
+
+__all__ = ["remove_path", "scratch_dir", "scratch_path", "temporary"]
 U64 = np.uint64
 
 # ---------------------------------------------------------------- scratch
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; our own only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="bandloom-")
-        spark.sparkContext.setCheckpointDir(shared)
-    return shared.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/bandloom/{name}-{uuid.uuid4().hex[:12]}"
-
-
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -52,22 +36,12 @@ def cleaned_shuffles(spark: SparkSession):
         spark.conf.set(CLEANUP, before)
 
 
-_opened: ContextVar[tuple[list[str], ...]] = ContextVar("opened", default=())
-
-
-def _owned(path: str) -> None:
-    """The innermost :func:`temporary` that runs removes ``path`` at its end."""
-    if scopes := _opened.get():
-        scopes[-1].append(path)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     with cleaned_shuffles(spark):
         df.write.parquet(path)
-    _owned(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -77,40 +51,12 @@ def tracked(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """What was appended to ``path`` part by part, as a stored frame; without rows if nothing was."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    _owned(path)
+    owned(path)
     out = spark.read.schema(schema).parquet(path)
     out.stored_at = path
     return out
 
 
-@contextmanager
-def temporary(spark: SparkSession):
-    """What :func:`stored` writes inside is removed at the end, but for frames handed to the function this yields."""
-    mine: list[str] = []
-    kept: list[str] = []
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept.append(df.stored_at)
-        return df
-
-    scope = _opened.set((*_opened.get(), mine))
-    try:
-        yield keep
-    finally:
-        _opened.reset(scope)
-        for path in mine:
-            if path in kept:
-                _owned(path)
-            else:
-                remove_path(spark, path)
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
