@@ -60,6 +60,12 @@ def leaves(v: int) -> int:
     return v
 
 
+def plain_word(code: str) -> int:
+    """The word of a code, as a plain number."""
+    high = (TRIPLE << 9 | int(code, 8)) << 11
+    return high | leaves(high)
+
+
 @cache
 def syndromes() -> dict[int, int]:
     """Error pattern of each of the 2,048 remainders; up to three flipped bits."""

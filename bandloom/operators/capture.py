@@ -22,7 +22,7 @@ WAV_HEADER, NPZ_HEADER = 44, 600
 def wav(audio_hz: np.ndarray, rate: float) -> bytes:
     """Frequency deviation as 16-bit mono at 8 kHz; 5 kHz is full scale."""
     by = max(1, round(rate / AUDIO_HZ))
-    thin = dsp.decimated(np.asarray(audio_hz, float), dsp.lowpass(101, AUDIO_HZ * 0.45, rate), by)
+    thin = dsp.thinned(np.asarray(audio_hz, float), dsp.lowpass(101, AUDIO_HZ * 0.45, rate), by)
     pcm = np.clip(thin / FULL_SCALE_HZ, -1, 1) * 32767
     out = io.BytesIO()
     with wave.open(out, "wb") as w:

@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import dsp
-from . import mutations
+from . import mutations, signals
 
 START, ANALYSED, CLOSED, CAPTURED = 1, 2, 3, 4
 MEASURED = ("deviation_hz", "ctcss_hz", "ctcss_dev_hz", "dcs_code", "dcs_polarity", "dcs_errors", "analyzed_s")
@@ -28,9 +27,9 @@ def started(events: DataFrame) -> DataFrame:
 
 
 def analysed(results: DataFrame) -> DataFrame:
-    """The step of an analysis (id, freq_hz and the columns of :func:`dsp.analyse`): what was measured, the raw frequency, and the tone's state."""
+    """The step of an analysis (id, freq_hz and the columns of :func:`signals.analysed`): what was measured, the raw frequency, and the tone's state."""
     raw = F.bround(F.col("freq_hz") + F.col("freq_error_hz")).cast("long")
-    return results.select("id", F.lit(ANALYSED).alias("seq"), raw.alias("freq_raw_hz"), *MEASURED, F.col("ctcss_conf").alias("confidence"), dsp.tone_state().alias("tone_state"))
+    return results.select("id", F.lit(ANALYSED).alias("seq"), raw.alias("freq_raw_hz"), *MEASURED, F.col("ctcss_conf").alias("confidence"), signals.tone_state().alias("tone_state"))
 
 
 def closed(ends: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import dsp, golay, spectrum
-from ..operators import bandplan, detect, enrich, excerpts, lifecycle, mutations, views
+from ..functions import golay, spectrum
+from ..operators import bandplan, detect, enrich, excerpts, lifecycle, mutations, signals, views
 from ..operators.ordered import medians
 from ..session import stored
 from ..sources import bridge, seed, stations
@@ -629,8 +629,7 @@ def dcs_pairs(spark, d):
 
 @query()
 def signal_analysis(spark, d):
-    s = stations.signals(spark, d)
-    return s.select("station", "kind", dsp.analyse("i", "q", "rate", "offset").alias("r")).select("station", "kind", "r.*").withColumn("tone_state", dsp.tone_state())
+    return signals.analysed(stations.signals(spark, d), ["station", "kind"]).withColumn("tone_state", signals.tone_state())
 
 
 @query()

@@ -73,8 +73,8 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
                 if kind == "tone":
                     inst = inst + 600 * np.sin(2 * np.pi * dsp.TONES[station % len(dsp.TONES)] * t)
                 elif kind == "code":
-                    word = dsp.WORDS[golay.CODES[station % len(golay.CODES)]]
-                    inst = inst + 600 * (2.0 * (word >> (t * dsp.DCS_BAUD).astype(int) % 23 & 1) - 1)
+                    word = golay.plain_word(golay.CODES[station % len(golay.CODES)])
+                    inst = inst + 600 * (2.0 * (word >> (t * dsp.BAUD).astype(int) % 23 & 1) - 1)
                 rng = np.random.default_rng(int(station))
                 x = np.exp(2j * np.pi * (OFFSET_HZ * t + np.cumsum(inst) / SIGNAL_RATE_HZ)) + 0.05 * (rng.normal(size=len(t)) + 1j * rng.normal(size=len(t)))
                 rows.append((station, kind, x.real.astype(np.float32), x.imag.astype(np.float32), SIGNAL_RATE_HZ, OFFSET_HZ))

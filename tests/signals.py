@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from bandloom.functions import dsp
+from bandloom.functions import dsp, golay
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ def samples(rate: float, length_s: float, deviation_hz: float, offset_hz: float
     if tone_hz is not None:
         inst += sub * np.sin(2 * np.pi * tone_hz * t)
     elif dcs is not None:
-        bit = (t * dsp.DCS_BAUD).astype(int) % 23
-        inst += sub * (2.0 * ((dsp.WORDS[dcs] >> bit) & 1) - 1) * (-1 if inverted else 1)
+        bit = (t * dsp.BAUD).astype(int) % 23
+        inst += sub * (2.0 * ((golay.plain_word(dcs) >> bit) & 1) - 1) * (-1 if inverted else 1)
     rng = np.random.default_rng(seed)
     return np.exp(2j * np.pi * (offset_hz * t + np.cumsum(inst) / rate)) + noise * (rng.normal(size=len(t)) + 1j * rng.normal(size=len(t)))

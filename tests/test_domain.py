@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from bandloom import schemas
 from bandloom.functions import dsp, golay
 from bandloom.operators import bandplan, detect, enrich, mutations, views
+from bandloom.operators import signals as sigs
 from bandloom.streaming import detector
 
 from . import signals
@@ -193,41 +194,66 @@ def test_golay_corrects_three_errors_and_knows_its_codes(spark):
     assert golay.inverse_pairs(spark).count() >= 60
 
 
+def analysed(spark, cases):
+    """Results of (samples, rate) by their place in the list."""
+    rows = [(k, x.real.astype(np.float32).tolist(), x.imag.astype(np.float32).tolist(), rate, offset) for k, (x, rate, offset) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "id int, i array<float>, q array<float>, rate double, offset double").repartition(8)
+    got = {r.id: r for r in sigs.analysed(df, ["id"]).withColumn("tone_state", sigs.tone_state()).collect()}
+    return [got[k] for k in range(len(cases))]
+
+
 def test_signals(spark):
-    for dev in (1500.0, 3000.0, 5000.0):
-        r = dsp.analysed(signals.samples(2.4e6, 1.0, dev), 2.4e6, 12_500.0)
-        assert abs(r["deviation_hz"] / dev - 1) < 0.15 and abs(r["freq_error_hz"]) < 60 and r["tone_checked"] and r["ctcss_hz"] is None
-    for tone in (67.0, 141.3, 254.1):
-        assert dsp.analysed(signals.samples(2.4e6, 1.1, 4000.0, tone_hz=tone), 2.4e6, 12_500.0)["ctcss_hz"] == tone
-    for code in ("023", "155", "754"):
-        r = dsp.analysed(signals.samples(2.4e6, 1.1, 4000.0, dcs=code), 2.4e6, 12_500.0)
-        assert r["dcs_suspected"] and r["dcs_code"] == int(code) and r["dcs_polarity"] == "N" and 0 < r["ctcss_conf"] < 0.3
-    every = [dsp.analysed(signals.samples(50_000.0, 1.0, 3000.0, dcs=c, inverted=turned), 50_000.0, 12_500.0) for turned in (False, True) for c in golay.CODES]
-    assert [r["dcs_code"] for r in every] == [int(c) for c in golay.CODES] + [int(dsp.PARTNERS[c]) for c in golay.CODES]
-    assert dsp.analysed(np.zeros(100, complex), 2.4e6, 0.0) is None
-    brief = dsp.analysed(signals.samples(2.4e6, 0.71, 4000.0, tone_hz=141.3), 2.4e6, 12_500.0)
-    assert not brief["tone_checked"] and brief["deviation_hz"] > 3000  # what is left of the filter is shorter than the gate
-    assert not dsp.analysed(signals.samples(2.4e6, 0.3, 2400.0), 2.4e6, 12_500.0)["tone_checked"]
-
-
-def test_codes_need_repeats_that_agree_and_their_partner():
+    def made(rate, *how, offset=12_500.0, **more):
+        return signals.samples(rate, *how, **more), rate, offset
+
+    devs, tones, codes, fast = (1500.0, 3000.0, 5000.0), (67.0, 141.3, 254.1), ("023", "155", "754"), 250_000.0
+    got = analysed(spark, [*(made(fast, 1.0, d) for d in devs), *(made(fast, 1.1, 4000.0, tone_hz=t) for t in tones), *(made(fast, 1.1, 4000.0, dcs=c) for c in codes), (np.zeros(100, complex), fast, 0.0), made(fast, 0.71, 4000.0, tone_hz=141.3), made(fast, 0.3, 2400.0)])
+    for dev, r in zip(devs, got, strict=False):
+        assert abs(r.deviation_hz / dev - 1) < 0.15 and abs(r.freq_error_hz) < 60 and r.tone_checked and r.ctcss_hz is None and r.tone_state == "none"
+    assert [r.ctcss_hz for r in got[3:6]] == list(tones) and {r.tone_state for r in got[3:6]} == {"ctcss"}
+    for code, r in zip(codes, got[6:9], strict=True):
+        assert r.dcs_suspected and r.dcs_code == int(code) and r.dcs_polarity == "N" and 0 < r.ctcss_conf < 0.3 and r.tone_state == "dcs"
+    short, brief, least = got[9:]
+    assert short.deviation_hz is None and short.tone_checked is None and short.tone_state == "unknown"
+    assert not brief.tone_checked and brief.deviation_hz > 3000 and brief.tone_state == "unknown"  # what is left of the filter is shorter than the gate
+    assert not least.tone_checked and least.ctcss_conf == 0.0
+
+
+def test_a_wide_receiver_is_thinned_and_moved_to_the_channel(spark):
+    """Every output is the filter's full sum, and the channel is moved to zero, at 10 MSPS as well."""
+    rng = np.random.default_rng(1)
+    x, taps = rng.normal(size=5000) + 1j * rng.normal(size=5000), rng.normal(size=31)
+    assert np.allclose(dsp.thinned(x, taps, 7), np.convolve(x, taps)[::7])
+    t = np.arange(1_000_000) / 1e7
+    base, fs = dsp.channel(np.exp(2j * np.pi * 1_262_700.0 * t), 1e7, 1_262_500.0)
+    assert abs(dsp.frequency(base, fs)[50:-50].mean() - 200) < 1 and abs(fs - 24_000) < 50
+
+
+def test_every_code_in_both_polarities(spark):
+    partners = {r.code: r.reads_as for r in golay.inverse_pairs(spark).collect()}
+    assert partners["023"] == "047" and set(partners) == set(partners.values()) == set(golay.CODES)
+    every = analysed(spark, [(signals.samples(50_000.0, 1.0, 3000.0, dcs=c, inverted=turned), 50_000.0, 12_500.0) for turned in (False, True) for c in golay.CODES])
+    assert [r.dcs_code for r in every] == [int(c) for c in golay.CODES] + [int(partners[c]) for c in golay.CODES]
+
+
+def test_codes_need_repeats_that_agree_and_their_partner(spark):
     rate, n = 2000.0, 2000
+    words, full = {c: golay.plain_word(c) for c in golay.CODES}, (1 << 23) - 1
 
     def sent(words):
-        at = (np.arange(n) / rate * dsp.DCS_BAUD).astype(int)
+        at = (np.arange(n) / rate * dsp.BAUD).astype(int)
         return np.array([2.0 * (words[b // 23 % len(words)] >> b % 23 & 1) - 1 for b in at])
 
-    full = (1 << 23) - 1
-    for code, word in dsp.WORDS.items():
-        assert dsp.dcs_code(sent([word]), rate) == (code, "N", 0, 5)
-        assert dsp.dcs_code(sent([word ^ 0x100208]), rate)[:3] == (code, "N", 3)
-        assert dsp.dcs_code(sent([word ^ full]), rate)[:3] == (dsp.PARTNERS[code], "N", 0)
-    assert dsp.PARTNERS["023"] == "047" and {dsp.PARTNERS[c] for c in golay.CODES} == set(golay.CODES)
-    assert dsp.dcs_code(sent([dsp.WORDS[c] for c in ("023", "155", "754", "306", "632")]), rate) is None
-    assert dsp.dcs_code(sent([dsp.WORDS["023"]])[:500], rate) is None
     noise = [np.convolve(np.random.default_rng(k).normal(size=n + 254), dsp.lowpass(255, 300.0, rate), "valid") for k in range(300)]
-    assert [k for k, x in enumerate(noise) if dsp.dcs_code(x, rate)] == []
-    assert dsp.analysed(signals.samples(2.4e6, 1.1, 4000.0, dcs="155"), 2.4e6, 12_500.0)["dcs_polarity"] == "N"
+    cases = [sent([words[c] ^ flip]) for c in golay.CODES for flip in (0, 0x100208, full)]
+    cases += [sent([words[c] for c in ("023", "155", "754", "306", "632")]), sent([words["023"]])[:500], *noise]
+    rows = [(k, dsp.code_words(x, rate)) for k, x in enumerate(cases)]
+    df = spark.createDataFrame(rows, "id int, words array<int>").where("words IS NOT NULL").repartition(8)
+    got = {r.id: (r.code, r.polarity, r.errors, r.agree) for r in sigs.codes(df, ["id"]).collect()}
+    partners = {r.code: r.reads_as for r in golay.inverse_pairs(spark).collect()}
+    for k, c in enumerate(golay.CODES):
+        assert got[3 * k] == (c, "N", 0, 5) and got[3 * k + 1][:3] == (c, "N", 3) and got[3 * k + 2][:3] == (partners[c], "N", 0)
+    assert set(got) == set(range(3 * len(golay.CODES))) and rows[3 * len(golay.CODES) + 1][1] is None
 
 
 def test_mutations_and_schema(spark, tmp_path):
