@@ -53,23 +53,26 @@ class Pending:
 class Ring:
     """Frames of samples by number, the oldest going when more than ``keep`` samples are there."""
 
-    def __init__(self, state, frame_n: int, keep: int):
-        self.state, self.frame_n, self.most = state, frame_n, -(-keep // frame_n) + 1
+    def __init__(self, frames: Iterator[tuple], frame_n: int, keep: int):
+        self.frame_n, self.most = frame_n, -(-keep // frame_n) + 1
+        self.frames = {no: (bytes(i), bytes(q)) for no, i, q in frames}
 
     def push(self, no: int, i: np.ndarray, q: np.ndarray) -> None:
-        self.state.updateValue((no,), (i.astype("<f4").tobytes(), q.astype("<f4").tobytes()))
-        if self.state.containsKey((no - self.most,)):
-            self.state.removeKey((no - self.most,))
+        self.frames[no] = (i.astype("<f4").tobytes(), q.astype("<f4").tobytes())
+        self.frames.pop(no - self.most, None)
 
     def get(self, first: int, length: int) -> tuple[list | None, list | None]:
         """The samples of that range, or nulls where one of its frames is missing."""
-        parts = []
-        for no in range(first // self.frame_n, (first + length - 1) // self.frame_n + 1):
-            if not self.state.containsKey((no,)):
-                return None, None
-            parts.append([np.frombuffer(bytes(b), "<f4") for b in self.state.getValue((no,))])
+        wanted = [self.frames.get(no) for no in range(first // self.frame_n, (first + length - 1) // self.frame_n + 1)]
+        if None in wanted:
+            return None, None
         at = first % self.frame_n
-        return tuple(np.concatenate(p)[at : at + length].tolist() for p in zip(*parts, strict=True))
+        return tuple(np.frombuffer(b"".join(parts), "<f4")[at : at + length].tolist() for parts in zip(*wanted, strict=True))
+
+    def rows(self) -> list[tuple]:
+        """What stays: the last frames, gaps or not."""
+        last = max(self.frames, default=0)
+        return [(no, *iq) for no, iq in self.frames.items() if no > last - self.most]
 
 
 class _Excerpter(StatefulProcessor):
@@ -78,11 +81,11 @@ class _Excerpter(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.state = handle.getValueState("detector", "blob binary")
-        self.frames = handle.getMapState("ring", "no long", "i binary, q binary")
+        self.frames = handle.getListState("ring", "no long, i binary, q binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         d, pending = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else (Detector(*self.made), Pending(self.frame_n, self.rate, **self.times))
-        ring = Ring(self.frames, self.frame_n, max(pending.full, round(self.keep_s * self.rate)) + self.made[1] * self.frame_n)
+        ring = Ring(map(tuple, self.frames.get()) if self.frames.exists() else iter(()), self.frame_n, max(pending.full, round(self.keep_s * self.rate)) + self.made[1] * self.frame_n)
         out = []
 
         def take(due: list[tuple]) -> None:
@@ -94,7 +97,7 @@ class _Excerpter(StatefulProcessor):
                 for c, began, end, *_ in d.leave(int(start)):
                     take(pending.ended(c, began, end))
                 d.__init__(*self.made)
-                self.frames.clear()
+                ring.frames.clear()
                 continue
             ring.push(int(start) // self.frame_n, np.asarray(i), np.asarray(q))
             closed = d.frame(np.asarray(power, float), int(start), int(overload))
@@ -104,6 +107,10 @@ class _Excerpter(StatefulProcessor):
             for c, began, end, *_ in closed:
                 take(pending.ended(c, began, end))
         self.state.update((pickle.dumps((d, pending)),))
+        if kept := ring.rows():
+            self.frames.put(kept)
+        else:
+            self.frames.clear()
         yield pd.DataFrame(out, columns=NAMES)
 
     def close(self) -> None:

@@ -25,8 +25,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from ..operators.detect import percentile_of
 
 HISTORY, WARM, DESENSE_DB, CLIPPED = 300, 60, 6.0, 1e-4
-KEY = "frame_start long, frame_no long"
-WAITING = "window_id long, at_us long, level double, clip double, power binary"
+WAITING = "frame_start long, frame_no long, window_id long, at_us long, level double, clip double, power binary"
 READY = "receiver_id string, window_id long, frame_no long, frame_start long, at timestamp, power_db array<double>, baseline double, overload int"
 NAMES = [c.split()[0] for c in READY.split(", ")]
 
@@ -58,42 +57,41 @@ def _known(x: float | None) -> float | None:
 class _Receiver(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", KEY, WAITING)
+        self.waiting = handle.getListState("waiting", WAITING)
         self.monitor = handle.getValueState("monitor", "blob binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = []
         for batch in rows:
             at = batch["at"].astype("datetime64[us]").astype("int64")
             for start, no, window, us, level, clip, power in zip(batch["frame_start"], batch["frame_no"], batch["window_id"], at, batch["wideband_db"], batch["clip_frac"], batch["power_db"], strict=True):
                 blob = None if power is None else np.asarray(power, "<f8").tobytes()
-                self.waiting.updateValue((int(start), int(no)), (int(window), int(us), _known(level), _known(clip), blob))
-        yield self._released(key, timerValues)
+                new.append((int(start), int(no), int(window), int(us), _known(level), _known(clip), blob))
+        yield self._released(key, new, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._released(key, timerValues)
+        yield self._released(key, [], timerValues)
 
-    def _released(self, key, timerValues) -> pd.DataFrame:
-        """Frames that the watermark has passed, in order of the sample clock. The next one waiting sets the timer, so none stays longer than it must."""
+    def _released(self, key, new: list[tuple], timerValues) -> pd.DataFrame:
+        """Frames that the watermark has passed, in order of the sample clock, each once. The next one waiting sets the timer, so none stays longer than it must."""
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        due, soonest = [], None
-        for k, v in self.waiting.iterator():
-            if v[1] <= passed:
-                due.append((tuple(k), tuple(v)))
-            elif soonest is None or v[1] < soonest:
-                soonest = v[1]
-        due.sort(key=lambda x: x[0])
-        if soonest is not None:
-            self.handle.registerTimer(-(-soonest // 1000))
+        before = [tuple(f) for f in self.waiting.get()] if self.waiting.exists() else []
+        every = {f[:2]: f for f in [*before, *new]}
+        due, later = sorted((f for f in every.values() if f[3] <= passed), key=lambda f: f[:2]), [f for f in every.values() if f[3] > passed]
+        if later:
+            self.handle.registerTimer(-(-min(f[3] for f in later) // 1000))
+            self.waiting.put(later)
+        elif before:
+            self.waiting.clear()
         out = []
         if due:
             monitor = pickle.loads(bytes(self.monitor.get()[0])) if self.monitor.exists() else Monitor()
-            for (start, no), (window, us, level, clip, blob) in due:
+            for start, no, window, us, level, clip, blob in due:
                 if monitor.window is not None and window != monitor.window:
                     out.append((*key, monitor.window, no, start, us, None, None, 0))
                 monitor.window = window
                 power = None if blob is None else np.frombuffer(bytes(blob), "<f8").tolist()
                 out.append((*key, window, no, start, us, power, *monitor.flag(level, clip)))
-                self.waiting.removeKey((start, no))
             self.monitor.update((pickle.dumps(monitor),))
         made = pd.DataFrame(out, columns=NAMES)
         made["at"] = pd.to_datetime(made["at"].astype("int64"), unit="us").dt.as_unit("us")
