@@ -18,9 +18,19 @@ RUNS = (
     ("gmrs", "GMRS", 8, 14, 467_562_500, 12_500, 1, "FCC 95E", "0.5 W simplex only"),
 )
 GMRS_FIRST, GMRS_HZ, GMRS_OFFSET = (15, 22), 462_550_000, 5 * MHZ
-GMRS_OLD_NAMES = {462_575_000: "White Dot", 462_625_000: "Black Dot", 462_675_000: "Orange Dot"}
-MURS = {151_820_000: 11_250, 151_880_000: 11_250, 151_940_000: 11_250, 154_570_000: 20_000, 154_600_000: 20_000}
-MURS_OLD_NAMES = {154_570_000: "Blue Dot", 154_600_000: "Green Dot"}
+GMRS_NOTE = "50 W, repeater output"
+GMRS_NOTES = {
+    462_575_000: "50 W, repeater output; legacy White Dot — preprogrammed on cheap radios",
+    462_625_000: "50 W, repeater output; legacy Black Dot — preprogrammed on cheap radios",
+    462_675_000: "50 W, repeater output; legacy Orange Dot — preprogrammed on cheap radios",
+}
+MURS = (
+    (151_820_000, "MURS 820", 11_250, "11.25 kHz bandwidth"),
+    (151_880_000, "MURS 880", 11_250, "11.25 kHz bandwidth"),
+    (151_940_000, "MURS 940", 11_250, "11.25 kHz bandwidth"),
+    (154_570_000, "MURS 570", 20_000, "20 kHz bandwidth; legacy Blue Dot, moved from Part 90 in 2002"),
+    (154_600_000, "MURS 600", 20_000, "20 kHz bandwidth; legacy Green Dot, moved from Part 90 in 2002"),
+)
 ITINERANT = (
     (151_505_000, "Itinerant 151.505", None),
     (151_512_500, "Itinerant 151.5125", None),
@@ -99,9 +109,9 @@ def nominal_rows() -> list[tuple]:
     rows = [(service, f"{name} {n}", str(n), hz + (n - a) * 25 * KHZ, bw, 0, None, lic, src, notes) for service, name, a, b, hz, bw, lic, src, notes in RUNS for n in range(a, b + 1)]
     for n in range(GMRS_FIRST[0], GMRS_FIRST[1] + 1):
         hz = GMRS_HZ + (n - GMRS_FIRST[0]) * 25 * KHZ
-        rows.append(("gmrs", f"GMRS {n}", str(n), hz, 20_000, 1, GMRS_OFFSET, 1, "FCC 95E", "50 W, repeater output" + (f"; legacy {GMRS_OLD_NAMES[hz]} — preprogrammed on cheap radios" if hz in GMRS_OLD_NAMES else "")))
+        rows.append(("gmrs", f"GMRS {n}", str(n), hz, 20_000, 1, GMRS_OFFSET, 1, "FCC 95E", GMRS_NOTES.get(hz, GMRS_NOTE)))
         rows.append(("gmrs", f"GMRS {n} repeater input", f"{n}R", hz + GMRS_OFFSET, 20_000, 0, None, 1, "FCC 95E", "50 W, repeater input only"))
-    rows += [("murs", f"MURS {hz // KHZ % 1000:03d}", None, hz, bw, 0, None, 0, "FCC 95J", f"{bw / 1000:g} kHz bandwidth" + (f"; legacy {MURS_OLD_NAMES[hz]}, moved from Part 90 in 2002" if hz in MURS_OLD_NAMES else "")) for hz, bw in MURS.items()]
+    rows += [("murs", label, None, hz, width, 0, None, 0, "FCC 95J", note) for hz, label, width, note in MURS]
     return rows + [("part90", label, None, hz, 12_500, int(off is not None), off, 1, "Part 90 itinerant", "licence required, no coordination") for hz, label, off in ITINERANT]
 
 
