@@ -20,6 +20,7 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -73,11 +74,23 @@ def summed(fit: DataFrame, wide: int, columns: int, of) -> np.ndarray:
     return out.reshape(-1, columns)
 
 
-def totals(fit: DataFrame) -> tuple[int, list[int]]:
-    """(n, S): the number of fit vectors and their exact sums by dimension."""
-    n = fit.count()
-    rows = fit.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("s")).collect()  # a row for each dimension
-    return n, [int(r.s) for r in sorted(rows, key=lambda r: r.i)]
+def totals(fit: DataFrame, wide: int) -> tuple[int, list[int]]:
+    """(n, S): the number of fit vectors and their exact sums by dimension; each task adds its own up, Spark the tasks'."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = 0, np.zeros(wide, object)
+        for batch in batches:
+            x = _matrix(batch, wide)
+            n += len(x)
+            small = int(np.abs(x.astype(float)).max(initial=0)) * max(1, len(x)) < vectors.EXACT
+            sums += (x if small else x.astype(object)).sum(axis=0).astype(object)
+        if n:
+            every = [*sums, n]  # the count goes last
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(wide + 1)), pa.array([Decimal(int(v)) for v in every], pa.decimal128(38, 0))], ["i", "s"])
+
+    rows = fit.select("x").mapInArrow(run, "i long, s decimal(38,0)").groupBy("i").agg(F.sum("s").alias("s")).collect()  # a row for each dimension
+    found = [int(r.s) for r in sorted(rows, key=lambda r: r.i)]
+    return (found[-1], found[:-1]) if found else (0, [])
 
 
 def _orthonormal(block: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -154,7 +167,7 @@ class Whitening:
 
 def fitted(fit: DataFrame, wide: int, k: int = K) -> Whitening:
     """Fits to a stored list of distinct vectors (x array<long>)."""
-    n, sums = totals(fit)
+    n, sums = totals(fit, wide)
     if not n:
         return Whitening(0, [], Components(np.zeros(0), np.zeros((wide, 0)), np.zeros(0), 0), 0.0)
     mean = np.array([s / n for s in sums])
