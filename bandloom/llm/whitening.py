@@ -6,7 +6,8 @@ Xᵀ(XQ)/n over centred rows, each task one matrix of (dimensions x columns); th
 what the pass added to the space. Earlier blocks and their products are kept, up to ``KEPT`` columns,
 so that spectra without gaps need few passes; beyond that the iteration restarts from its best
 vectors. It ends when the residuals of all k components are within ``TOLERANCE`` of the largest eigenvalue
-or the space is exhausted, where the projection is exact; ``passes`` without that are an error.
+(or what rounding leaves of a sum over so many rows), or when the space is exhausted, where the projection
+is exact; ``passes`` without that are an error.
 
 The fit list has each distinct whole vector once; every row is whitened with what the list gives.
 
@@ -94,21 +95,14 @@ def totals(fit: DataFrame, wide: int) -> tuple[int, list[int]]:
 
 
 def _orthonormal(block: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Columns that ``block`` adds to ``basis``, orthonormal; those within rounding of it go."""
-    scale = np.linalg.norm(block, axis=0, keepdims=True)
-    block = block / np.where(scale > 0, scale, 1.0)
+    """Columns that ``block`` adds to ``basis``, orthonormal; directions within rounding of it go."""
+    size = np.linalg.norm(block, axis=0, keepdims=True)
+    block = block / np.where(size > 0, size, 1.0)
     for _ in range(2):
         block = block - basis @ (basis.T @ block)
-    q, r, kept = _pivoted(block)
-    q = q[:, : int((np.abs(np.diag(r)) > 1e-10).sum())]
-    q = q - basis @ (basis.T @ q)
-    return np.linalg.qr(q)[0] if q.shape[1] else q
-
-
-def _pivoted(block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """QR with the heaviest columns first, so that small diagonal entries come last."""
-    u, s, _ = np.linalg.svd(block, full_matrices=False)
-    return u, np.diag(s), np.arange(len(s))
+    left, size, _ = np.linalg.svd(block, full_matrices=False)
+    new = left[:, size > 1e-10]
+    return np.linalg.qr(new - basis @ (basis.T @ new))[0] if new.shape[1] else new
 
 
 class Components:
@@ -180,7 +174,7 @@ def fitted(fit: DataFrame, wide: int, k: int = K) -> Whitening:
 
         return summed(fit, wide, q.shape[1], part) / n
 
-    out = Whitening(n, sums, leading(product, wide, k) if trace > 0 else Components(np.zeros(0), np.zeros((wide, 0)), np.zeros(0), 0), trace)
+    out = Whitening(n, sums, leading(product, wide, k, tolerance=max(TOLERANCE, 4 * np.finfo(float).eps * n**0.5)) if trace > 0 else Components(np.zeros(0), np.zeros((wide, 0)), np.zeros(0), 0), trace)
     m = len(out.values)
     if m:
         own = summed(fit, wide, m + 1, lambda x: _moments(out.apply(x))) / n
