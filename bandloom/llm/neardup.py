@@ -8,8 +8,8 @@ so similar sets keep meeting and others part. The tree is grown level by level o
 at once; a node that holds one class, or only classes already in one component, is done.
 
 The classes of a small node (``leaf`` of them) are compared exhaustively: first by sketches
-(the low bytes of 128 minwise hashes), then by a sample of the sets themselves, which up to 512
-shingles is the whole set in 16 bits each. Of the pairs that pass, a node passes on a spanning
+(the low bytes of 128 minwise hashes), after which only the groups of those that agree go on, then
+by a sample of the sets themselves, which up to 512 shingles is the whole set in 16 bits each. Of the pairs that pass, a node passes on a spanning
 forest of those well above the threshold and all others that its trees don't join already, so
 their number is linear in the classes; every one is confirmed on full sets, and components
 grow from confirmed pairs only. A larger node branches; after ``depth`` levels it is compared
@@ -249,9 +249,9 @@ class Node:
 PAIR = "a binary, b binary, firm boolean"
 
 
-def _in_nodes(batches: Iterator[pa.RecordBatch], per_cent: int, margin: float) -> Iterator[pa.RecordBatch]:
-    """Rows (node, key, part, n, sketch, fine, doubt) in order of node: pairs across parts to confirm."""
-    least, kept, mark = least_agreement(per_cent / 100), None, np.zeros(1 << 16, bool)
+def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows in order of node as tables of whole nodes, with where each node starts and how many rows it has."""
+    kept = None
     for batch in itertools.chain(batches, [None]):
         if batch is not None and not batch.num_rows:
             continue
@@ -262,17 +262,62 @@ def _in_nodes(batches: Iterator[pa.RecordBatch], per_cent: int, margin: float) -
         node = table.column("node").to_numpy()
         end = len(node) if batch is None else int(np.searchsorted(node, node[-1]))  # the last node may go on
         kept = table.slice(end)
-        if not end:
-            continue
-        edge = np.flatnonzero(np.r_[True, node[1:end] != node[: end - 1]])
-        size = np.diff(np.r_[edge, end])
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        if end:
+            edge = np.flatnonzero(np.r_[True, node[1:end] != node[: end - 1]])
+            yield table.slice(0, end).combine_chunks(), edge, np.diff(np.r_[edge, end])
+
+
+def _sketches(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+
+
+def _related(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (node, key, part, n, sketch) in order of node: (node, key, part) of those whose sketch agrees with one of another part."""
+    least, limit = least_agreement(per_cent / 100), per_cent / 100
+    for table, edge, size in _whole_nodes(batches):
+        sketch, n = _sketches(table), table.column("n").to_numpy().astype(float)
+        part = table.column("part").chunk(0).dictionary_encode().indices.to_numpy()
+        label, stays = part.copy(), np.zeros(len(part), bool)
+        first = edge[size == 2]
+        near = (part[first] != part[first + 1]) & ((sketch[first] == sketch[first + 1]).sum(axis=1) >= least)
+        first = first[near]
+        stays[first] = stays[first + 1] = True
+        label[first + 1] = label[first]
+        for at, m in zip(edge[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            own = label[at : at + m]  # parts that agree get one label; a part's rows stay together
+            for i in range(at, at + m - 1):
+                j = np.arange(i + 1, at + m)
+                j = j[(part[j] != part[i]) & (n[j] >= n[i] * limit) & (n[i] >= n[j] * limit)]
+                j = j[(sketch[j] == sketch[i]).sum(axis=1) >= least] if len(j) else j
+                if len(j):
+                    stays[i] = stays[j] = True
+                    met = np.unique(label[np.r_[i, j]])
+                    if len(met) > 1:
+                        own[np.isin(own, met)] = met[0]
+        node = mix(table.column("node").to_numpy().view(U64) + mix(label.astype(U64) + U64(1)))
+        out = table.select(["key", "part"]).filter(pa.array(stays)).combine_chunks()
+        columns = [pa.array(node[stays].view(np.int64)), *(pa.concat_arrays(out.column(c).chunks) if out.num_rows else pa.array([], pa.binary()) for c in ("key", "part"))]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "key", "part"])
+
+
+def related(rows: DataFrame, per_cent: int) -> DataFrame:
+    """Nodes (node, key, part) of the rows that have another part's sketch near: a node for each group of parts that agree."""
+
+    def run(batches):
+        return _related(batches, per_cent)
+
+    return rows.select("node", "key", "part", "n", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, key binary, part binary")
+
+
+def _in_nodes(batches: Iterator[pa.RecordBatch], per_cent: int, margin: float) -> Iterator[pa.RecordBatch]:
+    """Rows (node, key, part, n, sketch, fine, doubt) in order of node: pairs across parts to confirm."""
+    least, mark = least_agreement(per_cent / 100), np.zeros(1 << 16, bool)
+    for table, edge, size in _whole_nodes(batches):
+        sketch = _sketches(table)
         key, part, fine = (table.column(c).to_pylist() for c in ("key", "part", "fine"))
         n, doubt = table.column("n").to_numpy().astype(float), table.column("doubt").to_numpy()
-        apart = np.zeros(len(edge), bool)
-        apart[size == 2] = (sketch[edge[size == 2]] == sketch[edge[size == 2] + 1]).sum(axis=1) < least
         out: list[tuple[bytes, bytes, bool]] = []
-        for at, m in zip(edge[~apart].tolist(), size[~apart].tolist(), strict=True):
+        for at, m in zip(edge.tolist(), size.tolist(), strict=True):
             own = slice(at, at + m)
             for i, j, firm in Node(part[own], n[own], sketch[own], fine[own], doubt[own], per_cent, margin).pairs(least, mark):
                 x, y = key[at + i], key[at + j]
@@ -280,11 +325,14 @@ def _in_nodes(batches: Iterator[pa.RecordBatch], per_cent: int, margin: float) -
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.bool_()))], names=["a", "b", "firm"])
 
 
-def in_nodes(rows: DataFrame, per_cent: int, margin: float) -> DataFrame:
+def in_nodes(rows: DataFrame, info: DataFrame, per_cent: int, margin: float) -> DataFrame:
+    """Pairs to confirm from nodes (node, key, part): sketches travel to all of a node's rows, samples only to those that are left."""
+
     def run(batches):
         return _in_nodes(batches, per_cent, margin)
 
-    return rows.select("node", "key", "part", "n", "sketch", "fine", "doubt").repartition("node").sortWithinPartitions("node").mapInArrow(run, PAIR)
+    left = stored(related(rows.join(info.select("key", "n", "sketch"), "key"), per_cent), "related")
+    return left.join(info, "key").select("node", "key", "part", "n", "sketch", "fine", "doubt").repartition("node").sortWithinPartitions("node").mapInArrow(run, PAIR)
 
 
 def blocks(rows: DataFrame, leaf: int) -> DataFrame:
@@ -424,16 +472,17 @@ def _wave(classes: DataFrame, labels: DataFrame | None, trees: range, how: How,
         at = at.join(stored(nodes, "doubt-nodes"), "node", "left_semi")
     for level in range(how.depth):
         now = at.withColumn("part", F.col("key")) if labels is None else at.join(labels, "key", "left").select("node", "key", F.coalesce("root", "key").alias("part"))
-        mixed = now.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
+        h = F.xxhash64("part")
+        mixed = now.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo != hi")
         if again and level:
             mixed = mixed.join(now.join(doubtful, "key", "left_semi").select("node").distinct(), "node", "left_semi")
         now = stored(now.join(mixed.select("node", "size"), "node"), "level")
-        found.append(in_nodes(now.where(F.col("size") <= how.leaf).join(info, "key"), how.per_cent, how.margin))
+        found.append(in_nodes(now.where(F.col("size") <= how.leaf), info, how.per_cent, how.margin))
         large = now.where(F.col("size") > how.leaf)
         if is_empty(large):
             break
         if level == how.depth - 1:
-            found.append(in_nodes(blocks(large, how.leaf).join(info, "key"), how.per_cent, how.margin))
+            found.append(in_nodes(blocks(large, how.leaf), info, how.per_cent, how.margin))
         else:
             at = grown(large.select("node", "key").join(tokens, "key"), threshold)
     return reduce(DataFrame.union, found).groupBy("a", "b").agg(F.max("firm").alias("firm"))
