@@ -143,19 +143,3 @@ def test_recall_of_links_at_and_just_above_the_threshold(spark):
     found = {(c, i) for i, _, c in got(df) if c != i}
     assert not found - links  # a link that is none
     assert len(found) >= 0.995 * len(links)
-
-
-def test_rows_whose_sketches_agree_with_no_other_part_leave_a_node():
-    """What goes on from a node: groups of parts that agree, each its own node; parts stay together."""
-    import pyarrow as pa
-
-    rng = np.random.default_rng(5)
-    a, b, c = (rng.integers(0, 256, N.SKETCH, np.uint8) for _ in range(3))
-    rows = [(1, b"k0", b"p0", a), (1, b"k1", b"p1", a), (1, b"k2", b"p2", b), (1, b"k3", b"p3", b), (1, b"k4", b"p4", c), (1, b"k5", b"p4", c), (2, b"k0", b"p0", a), (2, b"k4", b"p4", c), (3, b"k2", b"p2", b), (3, b"k3", b"p3", b)]
-    of = lambda part: pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), *(pa.array([r[k] for r in part], pa.binary()) for k in (1, 2)), pa.array([50] * len(part), pa.int64()), pa.array([r[3].tobytes() for r in part], pa.binary())], names=["node", "key", "part", "n", "sketch"])
-    for cuts in ([0, 10], [0, 3, 7, 10], list(range(11))):
-        out = [r for x in N._related(iter([of(rows[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]), 85) for r in x.to_pylist()]
-        groups = {}
-        for r in out:
-            groups.setdefault(r["node"], set()).add(r["key"])
-        assert sorted(map(sorted, groups.values())) == [[b"k0", b"k1"], [b"k2", b"k3"], [b"k2", b"k3"]]
