@@ -103,14 +103,29 @@ def nominal_windows(centers: DataFrame) -> DataFrame:
     return centers.withColumn("_gap", gap).withColumn("_half", half).select("service", "center", "bandwidth", (F.col("center") - F.col("_half")).alias("lo"), (F.col("center") + F.col("_half") - 1).alias("hi"))
 
 
+def listed(plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(begun, held) by service, size and bucket: where ranges begin, and which ranges touch that bucket.
+
+    A range is listed under at most five buckets of a size that follows its width, so a beginning meets few ranges that
+    don't hold it, however dense the plan is. Each beginning is listed once for each size of bucket that there is.
+    """
+    size = F.greatest(F.length(F.bin(width())) - 2, F.lit(0))
+    each = plan.select("service", "id", "freq_lo_hz", "freq_hi_hz")
+    sized = each.where("freq_lo_hz <= freq_hi_hz").withColumn("size", size)  # a range that ends before it begins holds nothing
+    cells = sized.withColumn("bucket", F.explode(F.expr("sequence(shiftright(freq_lo_hz, size), shiftright(freq_hi_hz, size))")))
+    held = cells.select("service", "size", "bucket", F.col("id").alias("x"), F.col("freq_lo_hz").alias("xlo"), F.col("freq_hi_hz").alias("xhi"))
+    sizes = sized.agg(F.collect_set("size").alias("sizes"))  # one row, 62 sizes at most
+    begun = each.join(sizes).select("service", F.explode("sizes").alias("size"), F.col("id").alias("y"), F.col("freq_lo_hz").alias("ylo"), F.col("freq_hi_hz").alias("yhi"))
+    return begun.withColumn("bucket", F.expr("shiftright(ylo, size)")), held
+
+
 def overlaps(plan: DataFrame) -> DataFrame:
-    """Pairs of one service whose ranges overlap: two ranges meet in the bucket where the later one of them begins, and there only."""
-    listed = F.explode(F.expr(f"sequence(freq_lo_hz div {BUCKET_HZ}, freq_hi_hz div {BUCKET_HZ})"))
-    each = plan.select("service", "id", "freq_lo_hz", "freq_hi_hz", listed.alias("bucket"))
-    a = each.select("service", "bucket", F.col("id").alias("a"), F.col("freq_lo_hz").alias("alo"), F.col("freq_hi_hz").alias("ahi"))
-    b = each.select("service", "bucket", F.col("id").alias("b"), F.col("freq_lo_hz").alias("blo"), F.col("freq_hi_hz").alias("bhi"))
-    first = F.expr(f"greatest(alo, blo) div {BUCKET_HZ}") == F.col("bucket")
-    return a.join(b, ["service", "bucket"]).where(first & F.expr("a < b AND alo <= bhi AND blo <= ahi")).select("service", "a", "b")
+    """Pairs of one service whose ranges overlap: where the later one of them begins, the earlier one goes on."""
+    by = ["service", "size", "bucket"]
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pairs are many more than ranges, whose bytes would make few parts
+    begun, held = (side.repartition(parts, *by) for side in listed(plan))
+    met = begun.join(held, by).where("ylo <= xhi AND xlo <= yhi AND (xlo < ylo OR xlo = ylo AND x < y) AND x <> y")
+    return met.select("service", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def summary(plan: DataFrame) -> DataFrame:

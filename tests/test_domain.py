@@ -323,3 +323,18 @@ def test_overlaps_meet_once(spark):
     rows = [(k, f"s{k % 2}", int(a), int(a) + int(n)) for k, (a, n) in enumerate(zip(rng.integers(0, 2_000_000, 120), rng.choice([0, 5000, 99_999, 100_000, 350_000], 120), strict=True))]
     got = Counter(map(tuple, bandplan.overlaps(spark.createDataFrame(rows, "id int, service string, freq_lo_hz long, freq_hi_hz long")).select("a", "b").collect()))
     assert got == Counter((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3])
+
+
+def test_overlaps_of_dense_and_wide_plans(spark):
+    """Ranges of any width, odd ones too; beginnings meet few ranges that don't hold them."""
+    rng = np.random.default_rng(4)
+    rows = [(k, "s", int(a), int(a) + int(n)) for k, (a, n) in enumerate(zip(rng.integers(-9000, 9000, 600), rng.choice([0, 1, 7, 80, 500], 600), strict=True))]
+    rows += [(600, "s", -(2**55), 2**55), (601, "s", 100, 50), (602, "s", 40, 2**40), (603, "s", None, 5), (604, "s", 5, None), (605, None, 0, 90), (606, "t", 0, 90), (607, "s", 40, 2**40), (607, "s", 41, 50)]
+    plan = spark.createDataFrame(rows, "id int, service string, freq_lo_hz long, freq_hi_hz long")
+    got = Counter(map(tuple, bandplan.overlaps(plan).select("a", "b").collect()))
+    known = [r for r in rows if None not in r[1:3]]
+    reach = lambda a, b: a[2] is not None and b[3] is not None and a[2] <= b[3]
+    assert got == Counter((a[0], b[0]) for a in known for b in known if a[0] < b[0] and a[1] == b[1] and reach(a, b) and reach(b, a))
+    dense = spark.range(4000).selectExpr("id", "'s' AS service", "id * 25 AS freq_lo_hz", "id * 25 + 60 + id % 900 AS freq_hi_hz")
+    begun, held = bandplan.listed(dense)
+    assert begun.join(held, ["service", "size", "bucket"]).count() < 4 * bandplan.overlaps(dense).count()
