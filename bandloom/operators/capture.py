@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dsp
+from ..session import small_batches
 from . import views
 
 AUDIO_HZ, FULL_SCALE_HZ = 8_000, 5_000.0
@@ -46,6 +47,7 @@ def recorded(events: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "audio": [wav(a, r) for a, r in zip(b["audio_hz"], b["rate"], strict=True)], "iq": [npz(np.asarray(i) + 1j * np.asarray(q), r) for i, q, r in zip(b["i"], b["q"], b["rate"], strict=True)]})
 
+    small_batches(events.sparkSession)
     return events.select("id", "audio_hz", "i", "q", "rate").mapInPandas(run, FILES)
 
 

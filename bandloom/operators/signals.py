@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dsp, golay
-from ..session import stored
+from ..session import small_batches, stored
 
 #: Seconds that tones and codes need, the shares of power and the strengths (Hz) that decide.
 TONE_DWELL_S, CODE_DWELL_S = 0.7, 0.55
@@ -74,6 +74,7 @@ def decided(m: DataFrame, key: list[str]) -> DataFrame:
 
 def analysed(samples: DataFrame, key: list[str]) -> DataFrame:
     """Results of events (key, i, q, rate, offset), a row for each key: samples are read once and go no further than their row."""
+    small_batches(samples.sparkSession)
     m = samples.select(*key, dsp.measure("i", "q", "rate", "offset").alias("m")).select(*key, "m.*")
     return decided(stored(m, "measured"), key)
 

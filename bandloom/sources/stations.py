@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dsp, golay
+from ..session import BATCH_BYTES
 from .bridge import table
 
 CHANNELS, FRAME_S, QUIET_DB = 40, 0.12, -90.0
@@ -40,13 +41,21 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sliced(batches: Iterator[pd.DataFrame], samples: int) -> Iterator[pd.DataFrame]:
+    """Rows that are made into so many samples (two floats) each, few enough at a time to fill an Arrow batch."""
+    n = max(1, BATCH_BYTES // (8 * samples))
+    for b in batches:
+        for k in range(0, len(b), n):
+            yield b.iloc[k : k + n]
+
+
 def samples(spark: SparkSession, sf_dir: str, nfft: int = 1024) -> DataFrame:
     """A frame of samples for each supplier: a carrier on one of the channels, in noise."""
     e = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("station")).repartition(spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = np.arange(4 * nfft) / RATE_HZ
-        for b in batches:
+        for b in sliced(batches, len(t)):
             rows = []
             for station in b["station"]:
                 rng = np.random.default_rng(int(station))
@@ -63,7 +72,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ("tone", "code", "plain", "short")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in sliced(batches, int(SIGNAL_RATE_HZ * 1.1)):
             rows = []
             for station, balance in zip(b["station"], b["balance"], strict=True):
                 kind = kinds[station % 4]

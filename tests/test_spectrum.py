@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from bandloom.functions import spectrum
-from bandloom.operators import excerpts
+from bandloom.operators import capture, excerpts
+from bandloom.operators import signals as sigs
+from bandloom.session import BATCH, BATCH_BYTES
+from bandloom.sources import stations
 from bandloom.streaming import detector
 
 from . import signals
@@ -78,3 +82,20 @@ def test_replayed_stream_equals_batch(spark):
     df = spark.createDataFrame(rows, "receiver_id string, window_id long, frame_no long, frame_start long, power_db array<double>, overload int").repartition(3)
     got = sorted(map(tuple, detector.replayed(df, 0.04).collect()))
     assert got == sorted(map(tuple, detector.detect(df, 0.04).collect())) and len(got) == 2
+
+
+def test_samples_come_in_small_batches(spark):
+    """However many rows a task has, it holds a few MB of samples at a time."""
+    rows = pd.DataFrame({"station": range(1000)})
+    for samples, most in ((55_000, 9), (4096, 128), (10**8, 1)):
+        parts = list(stations.sliced(iter([rows, rows[:3]]), samples))
+        assert max(map(len, parts)) <= most and pd.concat(parts)["station"].tolist() == [*range(1000), 0, 1, 2]
+    one = spark.range(1).selectExpr("id", "'uhf' AS receiver_id", "0L AS window_id", "466000000L AS center_hz", "id AS frame_no", "0L AS frame_start", "array(0F) AS i", "array(0F) AS q", "array(0D) AS audio_hz", "48000D AS rate", "0D AS offset")
+    before = spark.conf.get(BATCH, None)
+    try:
+        for job in (lambda: sigs.analysed(one, ["id"]), lambda: capture.recorded(one)):
+            spark.conf.unset(BATCH)
+            job()
+            assert spark.conf.get(BATCH) == str(BATCH_BYTES)
+    finally:
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
