@@ -93,7 +93,7 @@ def test_samples_come_in_small_batches(spark):
     one = spark.range(1).selectExpr("id", "'uhf' AS receiver_id", "0L AS window_id", "466000000L AS center_hz", "id AS frame_no", "0L AS frame_start", "array(0F) AS i", "array(0F) AS q", "array(0D) AS audio_hz", "48000D AS rate", "0D AS offset")
     before = spark.conf.get(BATCH, None)
     try:
-        for job in (lambda: sigs.analysed(one, ["id"]), lambda: capture.recorded(one)):
+        for job in (lambda: spectrum.powers(one, 48_000.0), lambda: sigs.analysed(one, ["id"]), lambda: capture.recorded(one)):
             spark.conf.unset(BATCH)
             job()
             assert spark.conf.get(BATCH) == str(BATCH_BYTES)
