@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from . import bandplan
-from .ordered import medians
+from .ordered import Ordered, medians
 
 #: Evidence gates and limits.
 MIN_SNR_DB = 18.0
@@ -125,15 +125,19 @@ def pair_candidates(channels: DataFrame, plan: DataFrame) -> DataFrame:
 def pair_nearest(events: DataFrame, pairs: DataFrame, max_lag_us: int = MAX_LAG_US) -> DataFrame:
     """For each event of a pair's output the nearest event of its input within the lag, before or after.
 
-    ``events``: (id, t_us, channel_hz). Both sides are cut into time steps of the lag's
-    length, and an output meets inputs of its own step and the next ones on each side only;
-    ties go to the earliest input. lag_us is output minus input.
+    ``events``: (id, t_us, channel_hz). A channel's inputs and the outputs paired with it stand in one order of time, and an
+    output sees the last input up to it and the first one after it, however many are within the lag; ties go to the
+    earliest input, then to the smallest id. lag_us is output minus input.
     """
-    out = events.join(pairs, events["channel_hz"] == pairs["output_hz"]).select("output_hz", "input_hz", F.col("id").alias("out_id"), F.col("t_us").alias("out_us"))
-    out = out.withColumn("step", F.explode(F.expr(f"sequence(out_us div {max_lag_us} - 1, out_us div {max_lag_us} + 1)")))
-    inp = events.select(F.col("channel_hz").alias("input_hz"), F.col("id").alias("in_id"), F.col("t_us").alias("in_us"), F.expr(f"t_us div {max_lag_us}").alias("step"))
-    near = out.join(inp, ["input_hz", "step"]).withColumn("lag_us", F.col("out_us") - F.col("in_us")).where(F.abs("lag_us") <= max_lag_us)
-    return near.groupBy("output_hz", "input_hz", "out_id").agg(F.min_by(F.struct("in_id", "lag_us"), F.struct(F.abs("lag_us"), "in_us", "in_id")).alias("m")).select("output_hz", "input_hz", "out_id", "m.in_id", "m.lag_us")
+    pairs, events = pairs.select("output_hz", "input_hz").distinct(), events.where("t_us IS NOT NULL")
+    out = events.join(pairs, events["channel_hz"] == pairs["output_hz"]).select("input_hz", "t_us", F.lit(1).alias("late"), F.lit(None).cast("struct<in_us: bigint, in_id: bigint>").alias("heard"), "output_hz", F.col("id").alias("out_id"))
+    inp = events.join(pairs.select("input_hz").distinct(), events["channel_hz"] == F.col("input_hz"), "left_semi").groupBy(F.col("channel_hz").alias("input_hz"), "t_us").agg(F.min("id").alias("in_id"))
+    inp = inp.select("input_hz", "t_us", F.lit(0).alias("late"), F.struct(F.col("t_us").alias("in_us"), "in_id").alias("heard"), F.lit(None).cast("long").alias("output_hz"), F.lit(None).cast("long").alias("out_id"))
+    o = Ordered(inp.unionByName(out), ["input_hz"], ["t_us", "late"])
+    rows = o.upcoming(o.latest(o.rows, "_last", F.col("heard"), F.lit(None)).drop("_last_before"), "_next", F.col("heard")).where("late = 1")
+    near = rows.select("output_hz", "input_hz", "out_id", F.explode(F.array("_last", "_next")).alias("m"), "t_us").where("m IS NOT NULL").withColumn("lag_us", F.col("t_us") - F.col("m.in_us")).where(F.abs("lag_us") <= max_lag_us)
+    near = near.groupBy("output_hz", "input_hz", "out_id").agg(F.min_by(F.struct("m.in_id", "lag_us"), F.struct(F.abs("lag_us"), "m.in_us", "m.in_id")).alias("m"))
+    return near.select("output_hz", "input_hz", "out_id", "m.in_id", "m.lag_us")
 
 
 def pair_evidence(events: DataFrame, pairs: DataFrame, max_lag_us: int = MAX_LAG_US, min_evidence: int = MIN_EVIDENCE, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:

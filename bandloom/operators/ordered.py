@@ -77,6 +77,14 @@ class Ordered:
         rows = rows.withColumn(name, F.coalesce("_own", "_in", default))
         return rows.withColumn(f"{name}_before", F.coalesce(F.lag("_own").over(self.sorted), "_in", default)).drop("_own", "_in")
 
+    def upcoming(self, rows: DataFrame, name: str, value: Column) -> DataFrame:
+        """Adds ``name``, the first value from this row on that is not null."""
+        backward = Window.partitionBy(*self.key, PART).orderBy(F.desc(PLACE)).rowsBetween(FIRST, HERE)  # a frame open at its far end would be read anew for each row
+        behind = (Window.partitionBy(*self.key) if self.key else Window.partitionBy(F.lit(0))).orderBy(F.desc(PART)).rowsBetween(FIRST, -1)
+        rows = rows.withColumn("_own", F.last(value, True).over(backward))
+        rows = self.carried(rows, [F.min_by("_own", PLACE).alias("_end")], lambda p: p.select(*self.key, PART, F.last("_end", True).over(behind).alias("_in")))
+        return rows.withColumn(name, F.coalesce("_own", "_in")).drop("_own", "_in")
+
     def lagged(self, rows: DataFrame, value: str, back: dict[str, int]) -> DataFrame:
         """Adds each name: ``value`` so many rows back, or the key's first one where there are fewer."""
         most = max(max(back.values()), 1)

@@ -338,3 +338,23 @@ def test_overlaps_of_dense_and_wide_plans(spark):
     dense = spark.range(4000).selectExpr("id", "'s' AS service", "id * 25 AS freq_lo_hz", "id * 25 + 60 + id % 900 AS freq_hi_hz")
     begun, held = bandplan.listed(dense)
     assert begun.join(held, ["service", "size", "bucket"]).count() < 4 * bandplan.overlaps(dense).count()
+
+
+def test_nearest_inputs_of_crowded_channels(spark):
+    """Against all pairs, with ties, copies and odd rows; what is within the lag is never joined."""
+    rng = np.random.default_rng(5)
+    rows = [(k, int(t), int(c)) for k, (t, c) in enumerate(zip(rng.integers(-400, 400, 900), rng.choice([10, 20, 30], 900), strict=True))]
+    rows += [(900, None, 10), (901, None, 20), (902, 5, None), (903, 5000, 10), (904, 5041, 20), (905, 9000, 10), (906, 9040, 20), (906, 9040, 20), (903, 4999, 10)]
+    events = spark.createDataFrame(rows, "id long, t_us long, channel_hz long").repartition(5)
+    pairs = [(10, 20), (10, 30), (20, 30), (10, 20), (30, 30), (10, 40)]
+    got = Counter(map(tuple, enrich.pair_nearest(events, spark.createDataFrame(pairs, "output_hz long, input_hz long"), 40).collect()))
+    want: dict = {}
+    for a, b in set(pairs):
+        for i, t, c in rows:
+            for j, u, d in rows:
+                if c == a and d == b and t is not None and u is not None and abs(t - u) <= 40:
+                    want[a, b, i] = min(want.get((a, b, i), (99,)), (abs(t - u), u, j, t - u))
+    assert got == Counter((*k, v[2], v[3]) for k, v in want.items())
+    hot = spark.range(20_000).selectExpr("id", "id div 2 AS t_us", "if(id % 2 = 0, 10L, 20L) AS channel_hz")  # 10,000 inputs within the lag of each output
+    df = enrich.pair_nearest(hot, spark.createDataFrame(pairs[:1], "output_hz long, input_hz long"), 1_000_000)
+    assert "step" not in df._jdf.queryExecution().optimizedPlan().toString() and df.where("lag_us = 0 AND in_id = out_id + 1").count() == 10_000

@@ -61,6 +61,14 @@ def test_running_sums_runs_and_last_values(table):
     assert as_set(mine, *columns) == as_set(plain, *columns) and mine.agg(F.max("hot")).first()[0] > 700
 
 
+def test_values_still_to_come(table):
+    o = Ordered(table, ["key"], ["at"])
+    value = F.when(F.col("at") % 401 == 0, F.struct("at", "v"))
+    mine = o.upcoming(o.rows, "next", value)
+    plain = table.withColumn("next", F.first(value, True).over(by_key().rowsBetween(0, Window.unboundedFollowing)))
+    assert as_set(mine, "key", "at", "next") == as_set(plain, "key", "at", "next") and mine.where("next IS NOT NULL").count() > 900
+
+
 @pytest.mark.parametrize("back", [{"a": 0, "b": 1}, {"a": 3, "b": 700}])
 def test_values_some_rows_back(table, back):
     o = Ordered(table, ["key"], ["at"])
