@@ -6,6 +6,8 @@ here levels are given. A key's rows are cut into parts, so one key may hold any
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -51,10 +53,16 @@ def rolling_floor(frames: DataFrame, key: str, order: list[str], value: str, his
 
 
 def percentile_of(values: list[float], part: float) -> float:
-    """Between the two values next to that part of the way through a sorted list."""
+    """Between the two values next to that part of the way through a sorted list.
+
+    Levels just as far above it as the limit depend on its last bit, so it is rounded as DuckDB's quantile_cont rounds: the lower share is added unrounded.
+    """
     at = part * (len(values) - 1)
     k = int(at)
-    return values[k] if at == k or values[k] == values[k + 1] else (k + 1 - at) * values[k] + (at - k) * values[k + 1]
+    if at == k or values[k] == values[k + 1]:
+        return values[k]
+    lower, upper = 1 - (at - k), values[k + 1] * (at - k)
+    return math.fma(values[k], lower, upper) if math.isfinite(values[k]) and math.isfinite(upper) else lower * values[k] + upper
 
 
 def overload_flags(frames: DataFrame, key: str, order: list[str], level: str, clip: str, history: int = 300, warm: int = 60, desense: float = 6.0, clipped: float = 1e-4) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from bandloom.operators import detect, ordered, views
 from bandloom.operators.ordered import Ordered
+from bandloom.plans.queries import ORACLES, QUERIES
+from bandloom.streaming.receiver import Monitor
 
 
 def by_key():
@@ -152,3 +155,24 @@ def test_budget_over_equal_parts(spark):
     df = spark.range(5000).withColumn("size", F.col("id") % 7)
     used = np.cumsum([k % 7 for k in range(5000)])
     assert views.running_budget(df, "id", "size", 9000).count() == int((used <= 9000).sum())
+
+
+def test_levels_at_the_limit_are_flagged_as_in_sql(spark, tmp_path):
+    """The last level is 6 above the baseline but for the last bit of it."""
+    cases = [(62, 12, 5.39, 5.44, 11.4), (62, 12, 41.5, 41.8, 47.56), (64, 12, 14.27, 14.67, 20.51), (63, 12, 57.37, 57.72, 63.51), (65, 12, 24.95, 25.05, 31.03), (300, 59, 10.2, 10.2, 16.2)]
+    levels = [[lo] * (k + 1) + [hi] * (n - k - 2) + [last] for n, k, lo, hi, last in cases]
+    rows = [(1000 * user + 7 * at + 1, 1000 * at, user, v) for user, vs in enumerate(levels) for at, v in enumerate(vs)]
+    spark.createDataFrame(rows, "event_id long, us long, user_id long, value double").selectExpr("event_id", "timestamp_micros(us) AS ts", "user_id", "value").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * REPLACE (CAST(ts AS TIMESTAMP) AS ts) FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLES["overload_flags"]).fetchall())
+    assert sorted(map(tuple, QUERIES["overload_flags"](spark, str(tmp_path)).select("event_id", "baseline", "overload").collect())) == want
+    flags = {i: o for i, _, o in want}
+    for user, vs in enumerate(levels):
+        monitor = Monitor()
+        got = [monitor.flag(v, 0.0)[1] for v in vs][-1]
+        last = 1000 * user + 7 * (len(vs) - 1) + 1
+        assert last % 50 == 0 or got == flags[last]
+    inf = float("inf")
+    assert detect.percentile_of([1.0, inf], 0.5) == inf and detect.percentile_of([-inf, 1.0], 0.5) == -inf and str(detect.percentile_of([-inf, inf], 0.5)) == "nan"
