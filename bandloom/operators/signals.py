@@ -73,9 +73,13 @@ def decided(m: DataFrame, key: list[str]) -> DataFrame:
 
 
 def analysed(samples: DataFrame, key: list[str]) -> DataFrame:
-    """Results of events (key, i, q, rate, offset), a row for each key: samples are read once and go no further than their row."""
+    """Results of events (key, i, q, rate, offset), a row for each key: samples are read once and go no further than their row.
+
+    Bytes of complex floats, iq, may stand for i and q; Spark hands these on whole, where it takes arrays number by number.
+    """
     small_batches(samples.sparkSession)
-    m = samples.select(*key, dsp.measure("i", "q", "rate", "offset").alias("m")).select(*key, "m.*")
+    parts = ["iq"] if "iq" in samples.columns else ["i", "q"]
+    m = samples.select(*key, dsp.measure(parts, "rate", "offset").alias("m")).select(*key, "m.*")
     return decided(stored(m, "measured"), key)
 
 

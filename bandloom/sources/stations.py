@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,26 +68,29 @@ def samples(spark: SparkSession, sf_dir: str, nfft: int = 1024) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(station, kind, i, q, rate, offset): a second of FM for each supplier, with a tone, a code, neither, or too short for either."""
+    """(station, kind, iq, rate, offset): a second of FM for each supplier, with a tone, a code, neither, or too short for either."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("station"), F.col("s_acctbal").cast("double").alias("balance"))
     kinds = ("tone", "code", "plain", "short")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in sliced(batches, int(SIGNAL_RATE_HZ * 1.1)):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = np.arange(int(SIGNAL_RATE_HZ * 1.1)) / SIGNAL_RATE_HZ
+        voices, bit = np.sin(2 * np.pi * 700 * t) + np.sin(2 * np.pi * 1130 * t), (t * dsp.BAUD).astype(int) % 23
+        for b in sliced((b.to_pandas() for b in batches), len(t)):
             rows = []
             for station, balance in zip(b["station"], b["balance"], strict=True):
                 kind = kinds[station % 4]
-                t = np.arange(int(SIGNAL_RATE_HZ * (0.3 if kind == "short" else 1.1))) / SIGNAL_RATE_HZ
-                voice = (1500 + abs(balance) % 3000 - 600) / 2
-                inst = voice * (np.sin(2 * np.pi * 700 * t) + np.sin(2 * np.pi * 1130 * t))
+                n = int(SIGNAL_RATE_HZ * 0.3) if kind == "short" else len(t)
+                inst = (1500 + abs(balance) % 3000 - 600) / 2 * voices[:n]
                 if kind == "tone":
                     inst = inst + 600 * np.sin(2 * np.pi * dsp.TONES[station % len(dsp.TONES)] * t)
                 elif kind == "code":
                     word = golay.plain_word(golay.CODES[station % len(golay.CODES)])
-                    inst = inst + 600 * (2.0 * (word >> (t * dsp.BAUD).astype(int) % 23 & 1) - 1)
+                    inst = inst + 600 * (2.0 * (word >> bit & 1) - 1)
                 rng = np.random.default_rng(int(station))
-                x = np.exp(2j * np.pi * (OFFSET_HZ * t + np.cumsum(inst) / SIGNAL_RATE_HZ)) + 0.05 * (rng.normal(size=len(t)) + 1j * rng.normal(size=len(t)))
-                rows.append((station, kind, x.real.astype(np.float32), x.imag.astype(np.float32), SIGNAL_RATE_HZ, OFFSET_HZ))
-            yield pd.DataFrame(rows, columns=["station", "kind", "i", "q", "rate", "offset"])
+                phase = 2 * np.pi * (OFFSET_HZ * t[:n] + np.cumsum(inst) / SIGNAL_RATE_HZ)
+                iq = np.empty(n, np.complex64)
+                iq.real, iq.imag = np.cos(phase) + 0.05 * rng.standard_normal(n), np.sin(phase) + 0.05 * rng.standard_normal(n)
+                rows.append((station, kind, iq.tobytes(), SIGNAL_RATE_HZ, OFFSET_HZ))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["station", "kind", "iq", "rate", "offset"]), preserve_index=False)
 
-    return s.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "station long, kind string, i array<float>, q array<float>, rate double, offset double")
+    return s.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "station long, kind string, iq binary, rate double, offset double")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from bandloom.functions import spectrum
+from bandloom.functions import dsp, spectrum
 from bandloom.operators import capture, excerpts
 from bandloom.operators import signals as sigs
 from bandloom.session import BATCH, BATCH_BYTES
@@ -99,3 +101,41 @@ def test_samples_come_in_small_batches(spark):
             assert spark.conf.get(BATCH) == str(BATCH_BYTES)
     finally:
         spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
+
+
+def test_filters_are_products_of_matrices():
+    """Every output is the filter's full sum, however its length and the step lie, at well under the time of a sum for each output."""
+    rng = np.random.default_rng(1)
+    for n, taps, by in ((1, 31, 7), (2000, 31, 1), (2001, 31, 7), (500, 31, 31), (2000, 31, 40), (10, 301, 2), (9000, 301, 2)):
+        x, h = rng.normal(size=n) + 1j * rng.normal(size=n), rng.normal(size=taps) + 1j * rng.normal(size=taps)
+        assert np.allclose(dsp.thinned(x, h, by), np.convolve(x, h)[::by]) and np.allclose(dsp.thinned(x.real, h.real, by), np.convolve(x.real, h.real)[::by])
+    x, h = (rng.normal(size=55_000) + 1j * rng.normal(size=55_000)).astype(np.complex64), dsp.lowpass(301, 12_500.0, 50_000.0) + 0j
+    windows = np.lib.stride_tricks.sliding_window_view(x, len(h))[::2]
+
+    def least(f):
+        took = []
+        for _ in range(7):
+            began = time.perf_counter()
+            f()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert 1.5 * least(lambda: dsp.thinned(x, h, 2)) < least(lambda: np.concatenate([windows[k : k + 4096] @ h for k in range(0, len(windows), 4096)]))
+
+
+def test_tones_of_any_length_come_from_one_table():
+    rate, hits = 2083.25, dsp.waves.cache_info().hits
+    for n in (32, 2290, 2300, 4096, 9001):
+        x = np.random.default_rng(n).normal(size=n)
+        w = np.hanning(n)
+        assert np.allclose(dsp.tone_strength(x, rate), np.abs((x * w) @ np.exp(-2j * np.pi * np.outer(np.arange(n) / rate, dsp.TONES))) / w.sum())
+    assert dsp.waves.cache_info().hits == hits + 3
+
+
+def test_samples_as_bytes_are_samples_as_arrays(spark, sf_dir):
+    """What the query's signals say, with their samples handed on whole or number by number; each supplier's is there."""
+    made = stations.signals(spark, sf_dir)
+    rows = [(r.station, np.frombuffer(r.iq, np.complex64), r.rate, r.offset) for r in made.collect()]
+    arrays = spark.createDataFrame([(s, x.real.tolist(), x.imag.tolist(), r, o) for s, x, r, o in rows], "station long, i array<float>, q array<float>, rate double, offset double")
+    got, want = (sorted(map(tuple, sigs.analysed(df, ["station"]).collect())) for df in (made, arrays))
+    assert got == want and len(got) == spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
