@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 
 import numpy as np
@@ -85,6 +86,41 @@ def test_an_open_event_outlives_a_crash(spark, rotation, tmp_path):
             assert [(r.channel, r.start, r.end) for r in now] == [(1, 60_000, e) for e in want]
 
 
+def test_many_receivers_share_the_keys_of_the_state(spark, tmp_path):
+    """A thousand receivers, whose frames come in three batches, with the flags of the table and no state or timer for each of them."""
+    at = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("k") * 1_000_000)
+    level = F.when((F.col("rx") + F.col("k")) % 37 == 0, -70.0).when(F.col("rx") % 11 == 5, None).otherwise(-90.0 + F.pmod(F.xxhash64("rx", "k"), F.lit(100)) / 100)
+    rows = spark.range(1000).withColumnRenamed("id", "rx").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(69)).cast("array<long>")))
+    name = F.when(F.col("rx") > 0, F.concat(F.lit("rx"), "rx"))  # one has none
+    frames = rows.select("k", name.alias("receiver_id"), F.lit(0).cast("long").alias("window_id"), F.col("k").alias("frame_no"), F.col("k").alias("frame_start"), at.alias("at"), F.array(level).alias("power_db"), level.alias("wideband_db"), F.lit(0.0).alias("clip_frac"))
+    with detector.rocksdb(spark):
+        for part in ("k < 30 OR k = 35", "k >= 30 AND k < 50 AND k <> 35 OR k = 55", "k >= 50 AND k <> 55"):
+            frames.where(part).drop("k").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = started(spark, tmp_path, lambda s: receiver.in_order(s, "10 seconds"), "many").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4 * receiver.BUCKETS
+        frames.limit(1).withColumns({"frame_start": F.lit(9999).cast("long"), "at": at + F.expr("INTERVAL 1 HOUR")}).drop("k").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        started(spark, tmp_path, lambda s: receiver.in_order(s, "10 seconds"), "many").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(receiver.READY).parquet(f"{tmp_path}/out").collect()
+    want = detect.overload_flags(frames, "receiver_id", ["frame_start"], "wideband_db", "clip_frac").collect()
+    assert {(r.receiver_id, r.frame_start, r.baseline, r.overload, *r.power_db) for r in out} == {(r.receiver_id, r.frame_start, r.baseline, r.overload, *r.power_db) for r in want}
+    assert len(out) == 70_000 and sum(r.overload for r in out) > 0
+
+
+def test_a_slice_of_many_files_is_one_batch(spark, rotation, monkeypatch):
+    """Slices of several files, one of them with fewer rows than files, give what slices of one file do."""
+    job = lambda s: receiver.in_order(s, "4 seconds")
+    monkeypatch.setattr(detector, "FILE_ROWS", 30)
+    few = rotation.repartition(10).where("frame_start < 30000 OR frame_start BETWEEN 300000 AND 302000 OR frame_start > 500000")
+    for frames in (rotation.repartition(10), few):
+        out = detector.shuffled(frames, job, 5, 4.0)
+        files = max(1, frames.count() // (5 * 30))
+        folder = out.inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
+        assert files > 1 and len([f for f in os.listdir(f"{folder}/in") if f.endswith(".parquet")]) == 5 * files + 1
+        flags, _ = by_hand(frames.collect())
+        assert {(r.receiver_id, r.frame_start): r.overload for r in out.where("power_db is not null").collect()} == flags
+
+
 def test_late_frames_are_dropped_and_counted(spark, rotation, tmp_path):
     mine = rotation.where("receiver_id = 'uhf'")
     parts = ["frame_start between 300000 and 500000", "frame_start between 501000 and 600000", "frame_start < 20000", "frame_start > 600000"]
