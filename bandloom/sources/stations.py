@@ -93,4 +93,4 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((station, kind, iq.tobytes(), SIGNAL_RATE_HZ, OFFSET_HZ))
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["station", "kind", "iq", "rate", "offset"]), preserve_index=False)
 
-    return s.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "station long, kind string, iq binary, rate double, offset double")
+    return s.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(run, "station long, kind string, iq binary, rate double, offset double")
